@@ -41,6 +41,7 @@ class Plan:
 
     runs: (length, first rank, end rank, first bin, items a bin, offset in the bin)
     bins: (first bin, end bin, capacity, used)
+    rooms: room left in the opened lengths, before bins are cut down: number of bins
     """
 
     def __init__(self, counts: dict[int, int], sizes: tuple[int, ...], expect: float, attention: float = ATTENTION):
@@ -86,6 +87,7 @@ class Plan:
                     put(first + full, first + full + 1, used + left * length, room - left * length)
                     rank, left, full = rank + left, 0, full + 1
                 put(first + full, end, used, room)
+        self.rooms = {room: sum(end - first for first, end, _ in groups) for room, groups in open_at.items()}
         for groups in open_at.values():
             for first, end, used in groups:
                 self.bins.append((first, end, self.sizes[bisect_left(self.sizes, used)], used))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import exact_dedup, packing, sharding, sp_codec, token_count
+from tessera.llm import exact_dedup, packing, sharding, sp_codec, substring_dedup, token_count
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
@@ -30,12 +30,16 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_read(spark, sf_dir))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(_read(spark, sf_dir))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
         return token_count.count_tokens(_read(spark, sf_dir), file.read(), limit=2048)
 
 
-QUERIES = {f.__name__: f for f in (op1_hypergeometric_shards, op2_best_fit_pack, op4_byte_bpe, op6_exact_dedup, op8_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_hypergeometric_shards, op2_best_fit_pack, op4_byte_bpe, op6_exact_dedup, op7_substring_dedup, op8_token_counts)}
 
 ORACLE_SQL = {
     "op6_exact_dedup": """
