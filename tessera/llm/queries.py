@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from tessera.llm import exact_dedup, packing, sharding, sp_codec, substring_dedup, token_count
+from tessera.llm import exact_dedup, neardup, packing, pii, sharding, sp_codec, substring_dedup, token_count, toxicity
+
+#: The key of the surrogates; a deployment passes its own secret to the operator.
+PII_KEY = b"tessera public example key"
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
@@ -21,6 +23,10 @@ def op2_best_fit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_pack(_read(spark, sf_dir))
 
 
+def op3_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_read(spark, sf_dir))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = sp_codec.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return sp_codec.encode_decode(_read(spark, sf_dir), ranks, public_tokenizers.PATTERN)
@@ -39,7 +45,16 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         return token_count.count_tokens(_read(spark, sf_dir), file.read(), limit=2048)
 
 
-QUERIES = {f.__name__: f for f in (op1_hypergeometric_shards, op2_best_fit_pack, op4_byte_bpe, op6_exact_dedup, op7_substring_dedup, op8_token_counts)}
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir)
+    return toxicity.toxicity(docs, toxicity.fit(docs, _read(spark, sf_dir, "labels")))
+
+
+def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.surrogates(_read(spark, sf_dir), PII_KEY)
+
+
+QUERIES = {f.__name__: f for f in (op1_hypergeometric_shards, op2_best_fit_pack, op3_dart_minhash, op4_byte_bpe, op6_exact_dedup, op7_substring_dedup, op8_token_counts, op9_toxicity, op10_pii_surrogates)}
 
 ORACLE_SQL = {
     "op6_exact_dedup": """
