@@ -5,10 +5,12 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import exact_dedup, neardup, packing, pii, sharding, sp_codec, substring_dedup, token_count, toxicity
+from tessera.llm import ann, exact_dedup, neardup, packing, pii, sharding, sp_codec, substring_dedup, token_count, toxicity
 
 #: The key of the surrogates; a deployment passes its own secret to the operator.
 PII_KEY = b"tessera public example key"
+#: Bounds are pruned at 1/1.15 of the exact search's; recall is measured in the tests.
+ANN_FACTOR = 1.15
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
@@ -32,6 +34,11 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sp_codec.encode_decode(_read(spark, sf_dir), ranks, public_tokenizers.PATTERN)
 
 
+def op5_vantage_point_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _read(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.vec_id % 100 == 0, k=10, factor=ANN_FACTOR)
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_read(spark, sf_dir))
 
@@ -54,7 +61,7 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.surrogates(_read(spark, sf_dir), PII_KEY)
 
 
-QUERIES = {f.__name__: f for f in (op1_hypergeometric_shards, op2_best_fit_pack, op3_dart_minhash, op4_byte_bpe, op6_exact_dedup, op7_substring_dedup, op8_token_counts, op9_toxicity, op10_pii_surrogates)}
+QUERIES = {f.__name__: f for f in (op1_hypergeometric_shards, op2_best_fit_pack, op3_dart_minhash, op4_byte_bpe, op5_vantage_point_search, op6_exact_dedup, op7_substring_dedup, op8_token_counts, op9_toxicity, op10_pii_surrogates)}
 
 ORACLE_SQL = {
     "op6_exact_dedup": """
