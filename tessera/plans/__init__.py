@@ -1,6 +1,6 @@
 """All named queries over the reference tables."""
 
-from tessera.plans import corpus
+from tessera.plans import corpus, vectors
 from tessera.plans.registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "corpus"]
+__all__ = ["ORACLE_SQL", "QUERIES", "corpus", "vectors"]
