@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialise, shared_dir
+from tessera.llm.common import materialise, work_path
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -38,11 +38,10 @@ class MergeIndex:
     def flush(self, rows: DataFrame, digest: str, ident: str) -> None:
         """Write a run of the rows' digests: each task's rows sorted by digest."""
         run = rows.select(F.col(digest).alias("digest"), F.col(ident).alias("keep"), F.lit(1).cast("long").alias("rows"))
-        path = f"{shared_dir(self.spark)}/run-{id(self):x}-{len(self.runs)}-{self.spark.sparkContext.applicationId}"
+        path = work_path(self.spark, "run")
         (
             run.sortWithinPartitions("digest")
-            .write.mode("overwrite")
-            .option("compression", "zstd")
+            .write.option("compression", "zstd")
             .option("parquet.bloom.filter.enabled#digest", "true")
             .option("parquet.bloom.filter.max.bytes", 1 << 20)
             .parquet(path)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import steps
+from tessera.llm.common import materialise, steps
 
 #: The classifier is fitted on this many labelled rows at most (the ones of the least hash).
 TRAIN_ROWS = 20_000
@@ -290,7 +290,7 @@ def learn_terms(train: DataFrame) -> dict[str, float]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS) -> Model:
-    train = _training(docs, labels, id_col, text_col, rows)
+    train = materialise(_training(docs, labels, id_col, text_col, rows), "train")  # `rows` texts, read four times
     model = Model(learn_terms(train))
 
     def fuzzy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
