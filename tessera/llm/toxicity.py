@@ -1,8 +1,10 @@
 """Toxicity scores from a lexicon matched by Levenshtein automata, weighed by its context.
 
-The lexicon is learned: words that stand in many more toxic than other training documents, in many
-different neighbourhoods (copies of one toxic document repeat its other words in the same one), and
-so do stems, the first STEM letters of longer words, which catch inflections. Its
+The lexicon is learned: words that stand in many more toxic than other training documents, after many
+different words (near copies of one toxic document repeat its other words after the same one), and
+so do stems, the first STEM letters of longer words, which catch inflections. Copies of a text count
+once, and how many different words must go before is a share of all toxic texts, not of the term's own:
+distinct words saturate, so a share of those would fall with the size of the training data. Its
 terms form a trie; the trie is run against the Levenshtein automaton of each word of a text, as one
 automaton whose states, sets of (trie node, edits), are made on demand and kept, so a word costs a
 lookup a letter and is dropped where no term can follow. Short terms match exactly, terms of
@@ -245,12 +247,14 @@ def held_out(id_col: str):
 
 
 def _training(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, rows: int) -> DataFrame:
-    """(_text, _toxic) of the training rows, `rows` labels at most, those of the least hash."""
+    """(_text, _toxic) of the training rows, `rows` labels at most, those of the least hash; a row for
+    each distinct text, toxic if any of its copies is."""
     known = labels.select(F.col(id_col).alias("_id"), F.col("toxic").cast("int").alias("_toxic")).where("_id is not null and _toxic is not null")
     known = known.where(~held_out("_id")).groupBy("_id").agg(F.max("_toxic").alias("_toxic"))
     known = known.orderBy(F.xxhash64("_id", F.lit("train")), "_id").limit(rows)
     texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    return texts.join(F.broadcast(known), "_id").select("_text", "_toxic")  # `rows` labels: bounded
+    found = texts.join(F.broadcast(known), "_id")  # `rows` labels: bounded
+    return found.groupBy("_text").agg(F.max("_toxic").alias("_toxic"))
 
 
 def learn_terms(train: DataFrame) -> dict[str, float]:
@@ -284,7 +288,7 @@ def learn_terms(train: DataFrame) -> dict[str, float]:
     other = (F.col("n") - F.col("t") + 0.5) / (n - n_toxic + 1.0)
     counts = counts.withColumn("lift", F.log(rate / other))
     least = max(3, n_toxic // 200)
-    good = counts.where((F.col("t") >= least) & (F.col("lift") > 2.0) & (F.col("around") >= 0.6 * F.col("t")))
+    good = counts.where((F.col("t") >= least) & (F.col("lift") > 2.0) & (F.col("around") >= least))
     good = good.orderBy(F.desc(F.col("lift") * F.sqrt("t")), "word").limit(TERMS).collect()
     return {r.word: min(1.0, max(0.1, (r.t / r.n))) for r in good}
 

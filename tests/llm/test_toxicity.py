@@ -86,3 +86,16 @@ def test_labels_and_ids_are_not_inputs(spark, trained):
     other = few.withColumn("doc_id", F.col("doc_id") + 1000).withColumn("lang", F.lit("x")).withColumn("source", F.lit("y"))
     a = {r.doc_id + 1000: r.score for r in tox.toxicity(few, model).collect()}
     assert a == {r.doc_id: r.score for r in tox.toxicity(other, model).collect()}
+
+
+def test_terms_hold_at_any_size_and_with_copies(spark):
+    """A term's preceding words saturate: 400 toxic texts share 60 of them, and one of them has 300 copies."""
+    rng = random.Random(4)
+    words = [a + b + c for a in "bdfgk" for b in "aeiou" for c in "lmnr"]
+    talk = lambda n: " ".join(rng.choices(words, k=n))
+    texts = [(f"{talk(9)} {words[i % 60]} grobian {talk(5)}", 1) for i in range(400)]
+    texts += [("zuvor kopie " + texts[0][0], 1)] * 300 + [(talk(15), 0) for _ in range(3000)]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(texts)], "doc_id long, toxic int")
+    model = tox.fit(docs, labels)
+    assert "grobian" in model.terms and "kopie" not in model.terms
