@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -161,6 +163,29 @@ def mask_contract_counts(spark: SparkSession, sf: str) -> DataFrame:
     return _examples(spark, sf).groupBy(masked.alias("n_masked")).agg(F.count(F.lit(1)).alias("rows"))
 
 
+def _corpus_examples(spark: SparkSession, sf: str) -> DataFrame:
+    windows = tokens.byte_windows(corpus.kept_documents(table(spark, sf, "documents")))
+    return tokens.masked_examples(windows, 128, 0.15, seed=11)
+
+
+@query()
+def mlm_mask_corpus(spark: SparkSession, sf: str) -> DataFrame:
+    """Every window of every document, as mlm_mask_examples has the first bytes of the items."""
+    made = _corpus_examples(spark, sf)
+    return made.select("doc_idx", "win_idx", *[arrays.joined(F.col(c)).alias(c) for c in ("input_ids", "positions", "targets")], F.aggregate("weights", F.lit(0.0), lambda s, x: s + x).cast("int").alias("n_weights"))
+
+
+@query()
+def mask_corpus_counts(spark: SparkSession, sf: str) -> DataFrame:
+    masked = F.size(F.filter("input_ids", lambda x: x == arrays.MASK))
+    return _corpus_examples(spark, sf).groupBy(masked.alias("n_masked")).agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query()
+def bow_corpus_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return tokens.token_bags(table(spark, sf, "documents").withColumnRenamed("doc_id", "item_id")).withColumnRenamed("item_id", "doc_id")
+
+
 @query(f"WITH t AS (SELECT item_id, unnest({BYTES.format('text')}) AS token_id FROM benchmark) SELECT item_id, token_id, count(*) AS n FROM t GROUP BY ALL")
 def bow_counts(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.token_bags(table(spark, sf, "benchmark"))
@@ -194,6 +219,18 @@ def corpus_digest(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "benchmark").agg(F.sha1(F.array_join(listed["text"], "\x00")).alias("digest"), F.count(F.lit(1)).alias("n"))
 
 
+@query(f"WITH {DISTINCT} SELECT sha1(string_agg(sentence, chr(0) ORDER BY doc_id, sent_pos)) AS digest, count(*) AS n FROM firsts")
+def sentence_digest(spark: SparkSession, sf: str) -> DataFrame:
+    """corpus_digest of the documents' distinct sentences: sorted by the tasks, then one pass on the
+    driver, which holds a partition at a time."""
+    found = corpus.distinct_sentences(corpus.sentences(table(spark, sf, "documents")))
+    digest, n = hashlib.sha1(), 0
+    for row in found.orderBy("doc_id", "sent_pos").select("sentence").toLocalIterator():
+        digest.update(b"\0" * (n > 0) + row.sentence.encode())
+        n += 1
+    return spark.createDataFrame([(digest.hexdigest() if n else None, n)], "digest string, n long")
+
+
 @query("SELECT item_id, unnest([' ' || trim(text) || ' ']) AS padded, substr(' ' || trim(text) || ' ', i::INT, 3) AS gram, i::INT AS at FROM benchmark, unnest(range(1, length(trim(text)) + 1)) AS u(i)".replace("unnest([' ' || trim(text) || ' ']) AS padded, ", ""))
 def char_trigrams(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "benchmark").select("item_id", F.posexplode(text.char_grams(F.col("text"))).alias("at", "gram"))
