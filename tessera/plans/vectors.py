@@ -19,9 +19,15 @@ NEAREST = VIEWS + """, every AS (SELECT a.vec_id, b.vec_id AS o, round(list_dot_
 
 
 def _views(spark: SparkSession, sf: str) -> DataFrame:
+    """Of the rows that pair metrics are defined on."""
     return vectors.pairs_of_views(vectors.metric_rows(table(spark, sf, "embeddings")))
 
 
+def _all_views(spark: SparkSession, sf: str) -> DataFrame:
+    """Of every row: for means and moments. Over METRIC_ROWS rows the queries' SQL covers fewer."""
+    return vectors.pairs_of_views(table(spark, sf, "embeddings"))
+
+
 
 @query(f"WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), u AS (SELECT vec_id, {UNIT.format('e', '1e-12')} AS v FROM e) SELECT vec_id, unnest(range(64))::INT AS dim, round(unnest(v), 6) AS x FROM u")
 def l2_normalize(spark: SparkSession, sf: str) -> DataFrame:
@@ -99,12 +105,12 @@ def similarity_agreement(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {VIEWS} SELECT round(avg(1 - list_dot_product(s, t[1:32])), 6) AS loss FROM views")
 def loss_cosine(spark: SparkSession, sf: str) -> DataFrame:
     """The student's view against the teacher's first components (a student has the teacher's width)."""
-    return _views(spark, sf).agg(F.round(F.avg(1 - arrays.dot(F.col("s"), F.slice("t", 1, 32))), 6).alias("loss"))
+    return _all_views(spark, sf).agg(F.round(F.avg(1 - arrays.dot(F.col("s"), F.slice("t", 1, 32))), 6).alias("loss"))
 
 
 @query(f"WITH {VIEWS} SELECT round(avg(power(list_dot_product(a.s, b.s) - list_dot_product(a.t, b.t), 2)), 6) AS loss FROM views a, views b")
 def loss_gram_mse(spark: SparkSession, sf: str) -> DataFrame:
-    return vectors.gram_mse(_views(spark, sf)).select(F.round("loss", 6).alias("loss"))
+    return vectors.gram_mse(_all_views(spark, sf)).select(F.round("loss", 6).alias("loss"))
 
 
 SOFT = VIEWS + """, z AS (SELECT a.vec_id, list_dot_product(a.s, b.s) / 0.05 AS zs, list_dot_product(a.t, b.t) / 0.05 AS zt FROM views a JOIN views b ON a.vec_id <> b.vec_id),
@@ -119,14 +125,15 @@ def loss_kl(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {SOFT} SELECT round(1.0 * (SELECT avg(1 - list_dot_product(s, t[1:32])) FROM views) + 0.5 * (SELECT avg(loss) FROM l), 6) AS loss")
 def loss_combined(spark: SparkSession, sf: str) -> DataFrame:
+    """The cosine part of all rows; the other compares pairs."""
     views = _views(spark, sf)
-    one = views.agg(F.avg(1 - arrays.dot(F.col("s"), F.slice("t", 1, 32))).alias("a"))
+    one = _all_views(spark, sf).agg(F.avg(1 - arrays.dot(F.col("s"), F.slice("t", 1, 32))).alias("a"))
     return one.crossJoin(vectors.soft_retrieval(views).agg(F.avg("loss").alias("b"))).select(F.round(F.col("a") + 0.5 * F.col("b"), 6).alias("loss"))
 
 
 @query(f"WITH {PAIRS} SELECT round(avg(t), 6) AS mean_cosine FROM pairs")
 def geometry_mean_cos(spark: SparkSession, sf: str) -> DataFrame:
-    return vectors.mean_cosine(_views(spark, sf).select(F.col("t").alias("v"))).select(F.round("mean_cosine", 6).alias("mean_cosine"))
+    return vectors.mean_cosine(_all_views(spark, sf).select(F.col("t").alias("v"))).select(F.round("mean_cosine", 6).alias("mean_cosine"))
 
 
 @query(f"WITH {PAIRS} SELECT round(stddev_pop(t), 6) AS cosine_sd FROM pairs")
@@ -137,12 +144,12 @@ def geometry_cos_sd(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {VIEWS}, p AS (SELECT vec_id, unnest(range(64)) AS d, unnest(t) AS x FROM views), c AS (SELECT vec_id, d, x - avg(x) OVER (PARTITION BY d) AS x FROM p),
     s AS (SELECT a.d AS a, b.d AS b, sum(a.x * b.x) AS c FROM c a JOIN c b USING (vec_id) GROUP BY 1, 2) SELECT round(power(sum(c) FILTER (a = b), 2) / sum(c * c), 4) AS participation_ratio FROM s""")
 def geometry_pr(spark: SparkSession, sf: str) -> DataFrame:
-    return vectors.participation_ratio(_views(spark, sf).select(F.col("t").alias("v"))).select(F.round("participation_ratio", 4).alias("participation_ratio"))
+    return vectors.participation_ratio(_all_views(spark, sf).select(F.col("t").alias("v"))).select(F.round("participation_ratio", 4).alias("participation_ratio"))
 
 
 @query()
 def geometry_erank(spark: SparkSession, sf: str) -> DataFrame:
-    return vectors.effective_rank(_views(spark, sf).select(F.col("t").alias("v")))
+    return vectors.effective_rank(_all_views(spark, sf).select(F.col("t").alias("v")))
 
 
 @query(f"""WITH {NEAREST}, k AS (SELECT v.vec_id, count(n.vec_id)::DOUBLE AS k FROM views v LEFT JOIN nearest n ON n.t_nn = v.vec_id GROUP BY 1), m AS (SELECT avg(k) AS m, stddev_pop(k) AS sd FROM k)
