@@ -8,7 +8,9 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions import hashing
 from tessera.operators import statistics
+from tessera.operators.ordering import with_ordinal
 
 
 def featured(rows: DataFrame, vector: str = "embedding") -> DataFrame:
@@ -40,7 +42,30 @@ def cross_validated_probe(rows: DataFrame, k: int = 5, seed: int = 0) -> DataFra
     return out
 
 
-def clustered(rows: DataFrame, k: int, seed: int = 0) -> DataFrame:
-    """(item, y, c): k-means clusters of the rows."""
-    model = KMeans(k=k, seed=seed, maxIter=30).fit(data := featured(rows).cache())
+def clustered(rows: DataFrame, k: int, seed: int = 0, starts: int = 1) -> DataFrame:
+    """(item, y, c): k-means clusters of the rows, the best of some starts."""
+    data = featured(rows).cache()
+    models = [KMeans(k=k, seed=seed * starts + i, maxIter=30).fit(data) for i in range(starts)]
+    model = min(models, key=lambda m: m.summary.trainingCost)
     return model.transform(data).select("item", F.col("label").alias("y"), F.col("prediction").alias("c"))
+
+
+def resampled(rows: DataFrame, run: int, seed: int = 0) -> DataFrame:
+    """As many rows of (ord, ...) as there are, drawn with replacement; ord is 0..n-1."""
+    n = rows.agg(F.count(F.lit(1)).alias("n"))  # one row
+    drawn = rows.select("ord").crossJoin(F.broadcast(n)).select(F.pmod(hashing.draw_number(F.lit(run), F.col("ord"), seed), F.col("n")).alias("ord"))
+    return drawn.join(rows, "ord")
+
+
+def clustering_scores(rows: DataFrame, runs: int = 10, seed: int = 0) -> DataFrame:
+    """One row: v-measure (mean, population deviation) and adjusted Rand index over bootstrap resamples,
+    each clustered into as many clusters as there are labels."""
+    rows = with_ordinal(rows, "ord", "item").cache()
+    n, k = rows.agg(F.count(F.lit(1)), F.countDistinct("label")).first()
+    scores = []
+    for run in range(runs):  # ten clusterings
+        found = clustered(resampled(rows, run, seed), k, seed + run, starts=3).cache()
+        scores.append((run, *statistics.v_measure(found).crossJoin(statistics.adjusted_rand(found)).first()))
+        found.unpersist()
+    made = rows.sparkSession.createDataFrame(scores, "run int, v double, a double")
+    return made.agg(F.avg("v").alias("v_measure"), F.stddev_pop("v").alias("v_measure_sd"), F.avg("a").alias("ari"), F.lit(n).alias("n"), F.lit(k).alias("n_clusters"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import features, learning, statistics
 from tessera.operators.ordering import with_ordinal
-from tessera.plans.registry import query, table
+from tessera.plans.registry import ORACLE_SQL, query, table
 
 DRAW = "('0x' || substr(sha1({}), 1, 8))::BIGINT"
 
@@ -107,6 +107,31 @@ def bootstrap_ci_grouped(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(statistics.cluster_bootstrap(rows, 200))
 
 
+#: The SQL of the three queries above has 200 replicates; the whole job has these.
+REPLICATES = 2_000
+
+
+def _whole(name: str) -> str:
+    return ORACLE_SQL[name].replace("unnest(range(200)) AS b", f"unnest(range({REPLICATES})) AS b")
+
+
+@query(_whole("bootstrap_ci"))
+def bootstrap_ci_2000(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(statistics.bootstrap(_scores(spark, sf).select("ord", "x"), REPLICATES))
+
+
+@query(_whole("paired_delta"))
+def paired_delta_2000(spark: SparkSession, sf: str) -> DataFrame:
+    row = _rounded(statistics.bootstrap(_scores(spark, sf).select("ord", (F.col("x") - F.col("z")).alias("x")), REPLICATES))
+    return row.withColumn("significant", (F.col("lo") > 0) | (F.col("hi") < 0))
+
+
+@query(_whole("bootstrap_ci_grouped"))
+def bootstrap_ci_grouped_2000(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _guesses(spark, sf).select(F.substring("c", 4, 9).cast("long").alias("grp"), (F.col("y") == F.col("p")).cast("double").alias("x"))
+    return _rounded(statistics.cluster_bootstrap(rows, REPLICATES))
+
+
 @query(f"WITH {GUESSES}, m AS (SELECT 'length' AS model, avg((y = p)::INT) AS score FROM g UNION ALL SELECT 'toxic', avg((y = t)::INT) FROM g UNION ALL SELECT 'ones', avg(y) FROM g) SELECT model, round(score, 6) AS score FROM m ORDER BY m.score DESC, model LIMIT 1")
 def strongest_baseline(spark: SparkSession, sf: str) -> DataFrame:
     g = _guesses(spark, sf)
@@ -146,12 +171,12 @@ def trigram_projection(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def lsa(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "benchmark")
-    return features.latent_semantics(features.tfidf(rows, features.word_terms(F.col("text"))), dim=16)
+    return features.latent_semantics(features.tfidf(rows, features.word_terms(F.col("text"))))
 
 
 @query()
 def few_shot_probe(spark: SparkSession, sf: str) -> DataFrame:
-    return statistics.accuracy(learning.few_shot_probe(_classes(spark, sf), draws=3))
+    return statistics.accuracy(learning.few_shot_probe(_classes(spark, sf)))
 
 
 @query()
@@ -161,5 +186,4 @@ def cross_validated_probe(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def clustering_scores(spark: SparkSession, sf: str) -> DataFrame:
-    found = learning.clustered(_classes(spark, sf), 10).cache()
-    return statistics.v_measure(found).crossJoin(statistics.adjusted_rand(found))
+    return learning.clustering_scores(_classes(spark, sf))
