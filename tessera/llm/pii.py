@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -49,6 +50,8 @@ HEX = "0123456789abcdef"
 KINDS = ("email", "access_key", "secret", "iban", "card", "ssn", "ipv4", "phone", "name")
 
 _CLASS = {c: a for a in ALPHABETS for c in a}
+#: For a character outside all alphabets where its own has no other.
+_SPARE = "bcdfghjklmnpqrstvwxyz"
 _NAMES = {n.lower(): (g, s) for (g, s), names in GIVEN.items() for n in names}
 _TITLE = {t.lower(): g for g, ts in TITLES.items() for t in ts}
 _CAP = r"[^\W\d_a-zß-öø-ÿа-я][^\W\d_]+"
@@ -71,6 +74,37 @@ _HINTS = {"email": re.compile("@"), "access_key": re.compile("A[KS]IA"), "secret
 _DIGIT = re.compile(r"\d")
 
 
+@lru_cache(maxsize=50_000)
+def alphabet(c: str) -> str:
+    """The characters that c is moved among: those of its alphabet, or of its script, category and case
+    rule in its block of 256 (all of these have the same one); c alone if it is no letter or digit."""
+    if c in _CLASS or not c.isalnum():
+        return _CLASS.get(c, c)
+    first = ord(c) & ~255
+    return "".join(x for x in map(chr, range(first, first + 256)) if x not in _CLASS and x.isalnum() and _kind(x) == _kind(c))
+
+
+def _kind(c: str) -> tuple:
+    """Script, category, and whether c comes back from the other case."""
+    both = len(c.upper()) == len(c.lower()) == 1 and c in (c.lower(), c.upper()) and c.upper().lower() == c.lower()
+    return unicodedata.name(c, "").split(" ")[0], unicodedata.category(c), both
+
+
+def _lower(text: str) -> str:
+    """Lower case with a character for each character."""
+    return "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
+def _ascii_digits(text: str) -> str:
+    """Decimal digits of any script as 0-9."""
+    return text if text.isascii() else "".join(str(unicodedata.decimal(c)) if c.isdecimal() else c for c in text)
+
+
+def _digit_like(s: str, c: str) -> str:
+    """The digit s, 0-9, in the script of the digit c; anything else stays."""
+    return chr(ord(c) - unicodedata.decimal(c) + int(s)) if c.isdecimal() and s.isdecimal() else s
+
+
 class Surrogates:
     """The keyed maps. One object a worker; results depend on the key alone."""
 
@@ -117,10 +151,15 @@ class Surrogates:
         return "".join(reversed(out))
 
     def by_class(self, text: str, domain: str) -> str:
-        return self.spell(text, [_CLASS.get(c, c) for c in text], domain)
+        return self.spell(text, [alphabet(c) for c in text], domain)
 
     def _replace(self, kind: str, canonical: str) -> str:
-        return getattr(self, "_" + kind)(canonical)
+        made = getattr(self, "_" + kind)(canonical)
+        if made != canonical:
+            return made
+        # no character has another to move to: letters by a keyed hash of the whole
+        digest = hmac.digest(self.key, f"spare|{kind}|{canonical}".encode(), "sha512")
+        return "".join(_SPARE[digest[i % 64] % len(_SPARE)] for i in range(len(canonical)))
 
     def _email(self, text: str) -> str:
         local, _, host = text.partition("@")
@@ -166,7 +205,7 @@ class Surrogates:
         if set(text) <= set(HEX):
             return self.spell(text, [HEX] * len(text), "secret|hex")
         wide = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789")
-        return self.spell(text, [next((a for a in wide if c in a), c) for c in text], "secret")
+        return self.spell(text, [next((a for a in wide if c in a), None) or alphabet(c) for c in text], "secret")
 
     def given(self, name: str, gender: str) -> str:
         """Another given name of the gender and script; an unlisted one is spelled anew."""
@@ -217,13 +256,15 @@ def find(text: str) -> list[tuple[int, int, str]]:
 
 def _canonical(kind: str, text: str) -> str:
     if kind in ("email",):
-        return text.lower()
+        return _lower(text)
     if kind in ("card", "ssn"):
-        return re.sub(r"\D", "", text)
+        return re.sub(r"\D", "", _ascii_digits(text))
     if kind == "iban":
-        return text.replace(" ", "")
+        return _ascii_digits(text).replace(" ", "")
+    if kind == "ipv4":
+        return _ascii_digits(text)
     if kind == "phone":
-        digits = re.sub(r"\D", "", text)
+        digits = re.sub(r"\D", "", _ascii_digits(text))
         national = digits[1:] if len(digits) == 11 and digits[0] == "1" else digits
         return national if len(national) == 10 and (text[0] != "+" or digits[0] == "1") else "+" + digits
     return text
@@ -235,7 +276,7 @@ def _written(original: str, surrogate: str, keep) -> str:
     out = []
     for c in original:
         if keep(c):
-            s = next(letters)
+            s = _digit_like(next(letters), c)
             out.append(s.upper() if c.isupper() else s)
         else:
             out.append(c)
@@ -252,20 +293,23 @@ def _one(maker: Surrogates, kind: str, text: str) -> list[tuple[str, str, str]]:
             if k == 0 and bare in _TITLE:
                 out.append(("", word, word))
             else:
-                made = maker.replace("name", word.lower())
-                out.append(("name", word.lower(), made.upper() if word.isupper() and len(word) > 1 else made[:1].upper() + made[1:] if word[0].isupper() else made))
+                made = maker.replace("name", _lower(word))
+                out.append(("name", _lower(word), made.upper() if word.isupper() and len(word) > 1 else made[:1].upper() + made[1:] if word[0].isupper() else made))
         return out
     canonical = _canonical(kind, text)
     made = maker.replace(kind, canonical)
     if kind == "phone" and canonical[0] != "+":
-        digits = re.sub(r"\D", "", text)
+        digits = re.sub(r"\D", "", _ascii_digits(text))
         made = digits[: len(digits) - 10] + made
     if kind in ("card", "ssn", "phone"):
-        return [(kind, canonical, _written(text, made.lstrip("+"), str.isdigit))]
+        return [(kind, canonical, _written(text, made.lstrip("+"), str.isdecimal))]
     if kind == "iban":
         return [(kind, canonical, _written(text, made, lambda c: c != " "))]
     if kind == "email":
         return [(kind, canonical, _written(text, made, lambda c: True))]
+    if kind == "ipv4" and not text.isascii():
+        zero = next(c for c in text if c.isdecimal() and not c.isascii())
+        made = "".join(_digit_like(c, zero) for c in made)
     return [(kind, canonical, made)]
 
 
