@@ -2,9 +2,10 @@
 
 Found: e-mail addresses, IPv4 addresses, payment cards, US social security numbers, IBANs, telephone
 numbers, cloud access keys, values of password-like settings, and persons' names after a form of
-address or a listed given name. Each is replaced everywhere by the same surrogate of its canonical
+address or a listed given name. Wherever found, each is replaced by the same surrogate of its canonical
 form (letters in lower case, digits without separators), written back into the original's own
-separators and letter case.
+separators and letter case. A limit: a name that stands alone is not found ("Mr Smith came. Smith
+left" keeps the second Smith), even if the same text has it after a form of address.
 
 A surrogate is a keyed permutation of its format's domain: conjugating a shift by a Feistel cipher,
 walked along its cycle into the domain. So different originals of a format get different surrogates
