@@ -8,19 +8,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step handles at a time (a longer single document is one step).
 STEP_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; only where it is unset (tests), a temporary one."""
+    """The folder all executors share: spark.checkpoint.dir; only where it is unset and all runs in one
+    process (tests), a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         context = spark.sparkContext
         found = context._jsc.sc().getCheckpointDir()
         found = found.get() if found.isDefined() else None
+        if not found and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not found:
             found = "file://" + tempfile.mkdtemp(prefix="tessera-")
             context.setCheckpointDir(found)
@@ -40,7 +44,51 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     executor costs only its running tasks."""
     path = work_path(df.sparkSession, tag)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back.work_path = path
+    return back
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete work tables of materialise() that nothing will read again."""
+    for df in tables:
+        where = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df.work_path)
+        where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like `name` that df does not have (names are told apart without regard to case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def key_filter(keys: DataFrame, bits: int = 22) -> Column:
+    """A Bloom filter of the one column of `keys`: 2**bits bits in an array of longs, one scalar.
+
+    Its size does not depend on the number of keys. With very many keys it lets everything through,
+    which costs time and changes no result: what passes is always joined with the keys themselves.
+    """
+    words = 1 << (bits - 6)
+    at = F.explode(F.array(*_places(F.xxhash64(keys.columns[0]), bits)))
+    found = keys.select(at.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("b"))
+    every = keys.sparkSession.range(words).join(found, F.col("id") == F.col("w"), "left")
+    return every.agg(F.array_sort(F.collect_list(F.struct("id", F.coalesce("b", F.lit(0).cast("long")).alias("b")))).alias("f")).select("f.b").scalar()
+
+
+def _places(hash_: Column, bits: int) -> list[Column]:
+    mask = F.lit((1 << bits) - 1).cast("long")
+    return [hash_.bitwiseAND(mask), F.shiftrightunsigned(hash_, 32).bitwiseAND(mask)]
+
+
+def may_be_in(column: Column, filter_: Column, bits: int = 22) -> Column:
+    """False only if the column's value is not among the keys of key_filter()."""
+    out = F.lit(True)
+    for place in _places(F.xxhash64(column), bits):
+        word = F.get(filter_, F.shiftright(place, 6).cast("int"))
+        out = out & (F.call_function("shiftright", word, F.pmod(place, F.lit(64)).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1)
+    return out
 
 
 def steps(batches: Iterator[pa.RecordBatch], column: str, limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
@@ -61,3 +109,11 @@ def _lengths(column: pa.Array) -> np.ndarray:
     import pyarrow.compute as pc
 
     return pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """rows (a work table) less those whose `key` is in `gone` (a work table of that column), without the
+    column. Only rows that the filter of `gone` lets through are dealt out for the join."""
+    filter_ = key_filter(gone)
+    maybe = may_be_in(F.col(key), filter_)
+    return rows.where(~maybe).unionByName(rows.where(maybe).join(gone, key, "left_anti")).drop(key)

@@ -4,9 +4,11 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.llm import graph, neardup
+from tessera.llm.words import Words
 
 
 def sets(text):
@@ -73,10 +75,34 @@ def test_signature_agreement_is_weighted_jaccard():
         assert abs(np.mean(agree) - want) < 0.02
 
 
-def test_similarity_is_exact():
-    a, b = "a b c d e f g h a b c d e", "a b c d e f g x a b c d e"
-    assert neardup.similarity(a.encode(), b.encode()) == jaccard(sets(a), sets(b))
-    assert neardup.similarity(b"", b"") == 1.0 and neardup.similarity(b"", b"a") == 0.0
+def entries(texts):
+    return neardup.shingles(Words(pa.array([t.encode() for t in texts], pa.large_binary()).cast(pa.large_string())))
+
+
+def test_blocks_find_the_pairs_of_brute_force():
+    rng = random.Random(8)
+    texts = [" ".join(rng.choices("ab", k=rng.randint(1, 14))) for _ in range(90)] + ["", "a b", "a b c d e a b c d e a b c d e"]
+    bags = [sets(t) for t in texts]
+    group = np.sort(np.array([rng.randrange(4) for _ in texts]))
+    want = {(i, j) for j in range(len(texts)) for i in range(j) if bags[i] and bags[j] and jaccard(bags[i], bags[j]) >= 0.5}
+    i, j = neardup.near_within(*entries(texts), group, 0.5)
+    assert {(int(a), int(b)) for a, b in zip(i, j, strict=True)} == {(a, b) for a, b in want if group[a] == group[b]}
+    i, j = neardup.Shown(*entries(texts[40:]), len(texts) - 40).near(*entries(texts[:40]), 40, 0.5)
+    assert {(int(a), int(b) + 40) for a, b in zip(i, j, strict=True)} == {(a, b) for a, b in want if a < 40 <= b}
+
+
+def test_groups_are_cut_whole():
+    rows = [(b, b % 3, "x" * (b % 7 + 1) * 20) for b in sorted(random.Random(1).choices(range(60), k=400))]
+    rows += [(99, 0, "y" * 30)] * 300
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["bucket", "block", "packed"])
+    parts = [batch.slice(i, 37) for i in range(0, batch.num_rows, 37)]
+    seen, out = set(), []
+    for table, group in neardup._whole_groups(iter(parts), 2, "packed", 500):
+        keys = list(zip(table.column(0).to_pylist(), table.column(1).to_pylist(), strict=True))
+        assert len(set(group)) == len(set(keys)) and not seen & set(keys)
+        seen |= set(keys)
+        out += keys
+    assert out == [r[:2] for r in rows]
 
 
 def test_op3_over_documents(docs, odd, empty):
@@ -109,6 +135,25 @@ def test_chains_and_large_groups(spark):
     assert got == want and kept == classes
 
 
+@pytest.mark.parametrize("block", [4, 256])
+def test_a_large_loose_group_and_repeated_rows(spark, monkeypatch, block):
+    """Copies of one text with 0 to 12 words changed, many of them like many others and linked to few,
+    in buckets of one block and of many; and rows repeated with their ids."""
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    base, rows = [word() for _ in range(150)], []
+    for i in range(160):
+        copy = list(base)
+        for k in rng.sample(range(150), rng.choice([0, 1, 2, 4, 6, 8, 12])):
+            copy[k] = word()
+        rows.append((i, " ".join(copy)))
+    rows += [rows[7]] * 30 + [(500, None), (501, ""), (500, None)]
+    got, kept = result(spark.createDataFrame(rows, "doc_id long, text string"))
+    want, classes = brute(rows)
+    assert got == want and kept == classes
+
+
 def test_drop_keeps_whole_rows(odd):
     kept = neardup.drop_near_copies(odd)
     assert kept.columns == odd.columns
@@ -118,7 +163,7 @@ def test_drop_keeps_whole_rows(odd):
 
 @pytest.mark.parametrize("edges", [[(1, 2)], [(i, i + 1) for i in range(40)], [(5, i) for i in range(20) if i != 5] + [(100, 101), (101, 19)]])
 def test_components(spark, edges):
-    got = {r.node: r.label for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.unit: r.label for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     parent = {}
     for a, b in edges:
         parent.setdefault(a, {a}), parent.setdefault(b, {b})
