@@ -29,12 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialise, steps
+from tessera.llm.common import fresh, materialise, steps
 
 #: The classifier is fitted on this many labelled rows at most (the ones of the least hash).
 TRAIN_ROWS = 20_000
-#: Terms of the lexicon, at most; letters from which one and two edits are allowed.
-TERMS, FUZZY, LONG = 2_000, 5, 9
+#: Letters from which one and two edits are allowed.
+FUZZY, LONG = 5, 9
+#: The automaton's states and a scanner's words that a worker keeps; beyond them it starts afresh.
+STATES, CACHE = 20_000, 50_000
 #: Letters of a stem; a term "abcde*" matches any word that begins so, without edits.
 STEM = 5
 #: Words of context on either side of a hit.
@@ -74,6 +76,10 @@ class Lexicon:
                 self.allowed[node] = max(self.allowed[node], edits)
             self.term_at[node] = term
         self.letters = frozenset(c for t in terms for c in t if c != "*")
+        self._clear()
+
+    def _clear(self) -> None:
+        """Forget the states made so far; they are made again on demand."""
         self.states: list[frozenset] = []
         self.steps: list[dict[str, int]] = []
         self.final: list[tuple[str, int] | None] = []
@@ -123,6 +129,8 @@ class Lexicon:
 
     def match(self, word: str) -> tuple[str, int] | None:
         """The closest term and its edits, or None."""
+        if len(self.states) > STATES:
+            self._clear()
         state, steps, dead = self.start, self.steps, self.dead
         for c in word:
             if c not in self.letters:
@@ -151,7 +159,7 @@ def plain(token: str) -> str:
 class Scanner:
     """A worker's scanner: texts to hit features, with a bounded cache of words."""
 
-    def __init__(self, lexicon: Lexicon, cache_size: int = 200_000):
+    def __init__(self, lexicon: Lexicon, cache_size: int = CACHE):
         self.lexicon, self.cache, self.cache_size = lexicon, {}, cache_size
 
     def _learn(self, tokens: set[str]) -> None:
@@ -258,7 +266,11 @@ def _training(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, ro
 
 
 def learn_terms(train: DataFrame) -> dict[str, float]:
-    """Words by evidence: in how many toxic and other documents they stand, after how many words."""
+    """Words by evidence: in how many toxic and other documents they stand, after how many words.
+
+    A term stands in at least a two-hundredth of the toxic training texts, so there are at most 200
+    times as many terms as such a text has different words and stems on average, whatever the corpus.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, "_text"):
@@ -267,7 +279,7 @@ def learn_terms(train: DataFrame) -> dict[str, float]:
                 last, seen = "", {}
                 for token in text.split():
                     word = plain(token)
-                    if 2 < len(word) <= 40 and word not in seen and "*" not in word:
+                    if len(word) > 2 and word not in seen and "*" not in word:
                         seen[word] = last
                         if len(word) > STEM:
                             seen.setdefault(word[:STEM] + "*", last)
@@ -281,15 +293,17 @@ def learn_terms(train: DataFrame) -> dict[str, float]:
     n, n_toxic = int(sizes[0]), int(sizes[1] or 0)
     if not n_toxic or n_toxic == n:
         return {}
+    # Counts first, in two numbers a word; only words with the evidence are looked at for what goes before them.
     found = train.mapInArrow(run, "word string, last long, toxic int")
-    counts = found.groupBy("word").agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n"), F.approx_count_distinct(F.when(F.col("toxic") == 1, F.col("last")), 0.02).alias("around"))
+    counts = found.groupBy("word").agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n"))
     # the rate among toxic documents must be many times the rate among the others
     rate = (F.col("t") + 0.5) / (n_toxic + 1.0)
     other = (F.col("n") - F.col("t") + 0.5) / (n - n_toxic + 1.0)
-    counts = counts.withColumn("lift", F.log(rate / other))
     least = max(3, n_toxic // 200)
-    good = counts.where((F.col("t") >= least) & (F.col("lift") > 2.0) & (F.col("around") >= least))
-    good = good.orderBy(F.desc(F.col("lift") * F.sqrt("t")), "word").limit(TERMS).collect()
+    able = materialise(counts.where((F.col("t") >= least) & (F.log(rate / other) > 2.0)), "able-words")
+    after = found.where("toxic = 1").join(able.select("word"), "word", "left_semi").select("word", "last").distinct()
+    around = after.groupBy("word").agg(F.count(F.lit(1)).alias("around")).where(F.col("around") >= least)
+    good = able.join(around, "word").orderBy("word").collect()  # see the docstring for the bound
     return {r.word: min(1.0, max(0.1, (r.t / r.n))) for r in good}
 
 
@@ -342,9 +356,9 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 60)
     return [float(v) for v in w]
 
 
-def toxicity(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
-    """Each row's id_col, held_out, score and predicted; carry keeps df's columns and adds `_score`."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # TERMS terms at most
+def toxicity(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", carry: str | None = None) -> DataFrame:
+    """Each row's id_col, held_out, score and predicted; with `carry`, df's columns and the score under that name."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # terms: see learn_terms
     empty = model.score(None)
 
     def scores(batch: pa.RecordBatch, scanner: Scanner) -> list[float]:
@@ -357,12 +371,12 @@ def toxicity(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
         for batch in steps(batches, text_col if carry else "_text"):
             score = pa.array(scores(batch, scanner), pa.float64())
             head = list(batch.columns) if carry else [batch.column(0), batch.column(1)]
-            yield pa.RecordBatch.from_arrays([*head, score], names=[*(batch.schema.names if carry else [id_col, "held_out"]), "_score" if carry else "score"])
+            yield pa.RecordBatch.from_arrays([*head, score], names=[*(batch.schema.names if carry else [id_col, "held_out"]), carry or "score"])
 
     if carry:
         from pyspark.sql.types import DoubleType, StructType
 
-        return docs.mapInArrow(run, StructType([*docs.schema.fields]).add("_score", DoubleType()))
+        return docs.mapInArrow(run, StructType([*docs.schema.fields]).add(carry, DoubleType()))
     slim = docs.select(F.col(id_col), held_out(id_col).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     out = slim.mapInArrow(run, f"`{id_col}` {slim.schema[0].dataType.simpleString()}, held_out boolean, score double")
     return out.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
@@ -370,4 +384,5 @@ def toxicity(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
 
 def reject_toxic(docs: DataFrame, model: Model, *, text_col: str = "text", limit: float = 0.5) -> DataFrame:
     """The rows of docs with a score under `limit`, all columns."""
-    return toxicity(docs, model, text_col=text_col, carry=True).where(F.col("_score") < limit).drop("_score")
+    score = fresh(docs, "_score")
+    return toxicity(docs, model, text_col=text_col, carry=score).where(F.col(score) < limit).drop(score)

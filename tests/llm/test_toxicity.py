@@ -1,5 +1,6 @@
 """op9: the automaton against plain edit distance, contexts, and held-out accuracy."""
 
+import math
 import random
 
 import pytest
@@ -61,6 +62,53 @@ def test_held_out_accuracy(trained):
     assert sum(r.predicted == r.toxic for r in rows) / len(rows) > 0.93
 
 
+def plain_score(model, text):
+    """The score from its definition: every word against every term by edit distance."""
+    tokens = text.split()
+    inside = tox.quoted_tokens(tokens)
+    hit, reported, quoted, addressed, kinds, strength = 0.0, 0.0, 0.0, 0.0, set(), 0.0
+    for i, token in enumerate(tokens):
+        word = tox.plain(token)
+        near = [(osa(word, t), -w, t) for t, w in model.terms.items() if not t.endswith("*") and abs(len(word) - len(t)) <= 2]
+        near = [x for x in near if x[0] <= (0 if x[2] in model.exact else tox.allowance(x[2]))]
+        if near:
+            edits, _, term = min(near)
+        elif len(word) > tox.STEM and word[: tox.STEM] + "*" in model.terms:
+            edits, term = 0, word[: tox.STEM] + "*"
+        else:
+            continue
+        weight = model.terms[term] * 0.6**edits
+        context = {tox.plain(t) for t in tokens[max(0, i - tox.WINDOW) : i + tox.WINDOW + 1]}
+        kinds.add(term)
+        strength = max(strength, weight)
+        quoted += weight * inside[i]
+        reported += weight * (not inside[i] and bool(context & tox.REPORT))
+        hit += weight * (not inside[i] and not context & tox.REPORT)
+        addressed += weight * bool(context & tox.ADDRESS)
+    z = model.weights[0]
+    if kinds:
+        x = [math.log1p(hit), math.log1p(quoted), math.log1p(reported), math.log1p(addressed), math.log1p(len(kinds)), hit / (len(tokens) + 20) * 20, strength]
+        z += sum(a * b for a, b in zip(model.weights[1:], x, strict=True))
+    return 1 / (1 + math.exp(-max(-30, min(30, z))))
+
+
+def test_scores_are_those_of_the_plain_version(trained):
+    docs, labels, model = trained
+    toxic = docs.join(labels.where("toxic = 1"), "doc_id", "left_semi").where("length(text) < 2000").limit(25)
+    some = toxic.unionByName(docs.where("length(text) < 800").limit(25))
+    texts = [r.text or "" for r in some.collect()]
+    got = sorted(r.score for r in tox.toxicity(some, model).collect())
+    assert got == pytest.approx(sorted(plain_score(model, t) for t in texts), rel=1e-9)
+
+
+def test_clearing_the_automaton_changes_nothing(monkeypatch):
+    words = ["idoit", "scm", "wortless", "patetic", "mroon", "xx", "idiot"] * 3
+    want = [tox.Lexicon(TERMS).match(w) for w in words]
+    monkeypatch.setattr(tox, "STATES", 3)
+    lexicon = tox.Lexicon(TERMS)
+    assert [lexicon.match(w) for w in words] == want and len(lexicon.states) < 30
+
+
 def test_misspelled_terms_are_caught(trained):
     _, _, model = trained
     scan = tox.Scanner(model.lexicon()).features
