@@ -238,8 +238,12 @@ def _placed(units: DataFrame) -> DataFrame:
     several = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("mass").alias("m"), *marks).where("n > 1")
     sets = several.groupBy("n", "m", "x1", "x2").agg(F.min("bucket").alias("bucket"))
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.least(F.ceil(F.col("m") / BLOCK_MASS), F.floor(F.col("n") / 4)), F.lit(1)).cast("long")
-    members = buckets.join(sets.select("bucket", blocks.alias("blocks")), "bucket")
-    return members.select("bucket", "unit", F.pmod(F.xxhash64("unit", "bucket"), "blocks").alias("block"), "blocks")
+    sets = materialise(sets.select("bucket", blocks.alias("blocks")), "near-buckets")
+    # most buckets have one member; only what a filter of the others lets through is dealt out again
+    members = buckets.where(may_be_in(F.col("bucket"), key_filter(sets.select("bucket")))).join(sets, "bucket")
+    members = materialise(members.select("bucket", "unit", F.pmod(F.xxhash64("unit", "bucket"), "blocks").alias("block"), "blocks"), "near-members")
+    release(sets)
+    return members
 
 
 def _sorted_by(df: DataFrame, keys: list[str], *then: str) -> DataFrame:
@@ -323,7 +327,7 @@ def _links_across(shown: DataFrame, size: int, threshold: float) -> DataFrame:
 def classes(rows: DataFrame, units: DataFrame, *, size: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame | None:
     """(unit, label) of the units that have links (None: no links). rows has `_row` and `packed`; units
     has unit, mass and bands, and its unit is the `_row` of its text."""
-    placed = materialise(_placed(units), "near-members")
+    placed = _placed(units)
     needed = key_filter(placed.select("unit"))
     texts = rows.select(F.col("_row").alias("unit"), "packed").where(may_be_in(F.col("_row"), needed))
     links = materialise(_links_in_blocks(placed.join(texts, "unit"), size, threshold), "near-links")
