@@ -1,10 +1,12 @@
 """Exact dedup by a log-structured merge index of text digests, in DataFrame operations only.
 
-A flush writes each task's rows (its memtable, combined by digest) as a run sorted by digest, with
-a Parquet Bloom filter on the digest. Compaction merges all runs into one level: for each digest
-the identifier that stays and the number of rows. Digests of several rows are hits; the hits' texts
-are compared byte by byte with that of the row that stays, and rows that differ in spite of an
-equal digest form groups of their own by their whole text.
+Rows reach the index in RUNS memtables, by the task that read them. A flush combines a memtable by
+digest (the identifier that stays, the number of rows) and writes it as a run sorted by digest, with
+a Bloom filter of fixed size. A digest of one row that no other run's filter holds is settled there
+and then. What the filters let through is compacted level by level, FAN runs into one. Digests of
+several rows are hits: only rows that a filter of the hits lets through are dealt out with their
+texts, and each is compared byte by byte with the text of the row that stays; a row that differs in spite
+of an equal digest forms a group by its whole text. Filters change the work, never the result.
 
 Texts are equal when identical after lower-casing A-Z; null counts as empty. Of equal texts the row
 with the largest identifier stays (a null identifier is the smallest; of rows that share even
@@ -14,12 +16,16 @@ columns are ignored, whatever their names. An empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialise, work_path
+from tessera.llm.common import fresh, key_filter, materialise, may_be_in, release, without
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Memtables that the rows are dealt to, and runs that a compaction makes one.
+RUNS, FAN = 8, 4
+#: Copies of one text that are compared with it in one task, about.
+COPIES = 1000
 
 
 def normalised(text: Column) -> Column:
@@ -29,67 +35,89 @@ def normalised(text: Column) -> Column:
 
 
 class MergeIndex:
-    """Runs of (digest, keep, rows) in the shared folder. `keep` is the identifier that stays."""
+    """Runs of (digest, keep, rows). `keep` is the identifier that stays."""
 
-    def __init__(self, spark: SparkSession, keep: str = "largest"):
-        self.spark, self.runs = spark, []
+    def __init__(self, keep: str = "largest"):
         self.pick = {"largest": F.max, "smallest": F.min}[keep]
+        self.level: DataFrame | None = None
 
     def flush(self, rows: DataFrame, digest: str, ident: str) -> None:
-        """Write a run of the rows' digests: each task's rows sorted by digest."""
-        run = rows.select(F.col(digest).alias("digest"), F.col(ident).alias("keep"), F.lit(1).cast("long").alias("rows"))
-        path = work_path(self.spark, "run")
-        (
-            run.sortWithinPartitions("digest")
-            .write.option("compression", "zstd")
-            .option("parquet.bloom.filter.enabled#digest", "true")
-            .option("parquet.bloom.filter.max.bytes", 1 << 20)
-            .parquet(path)
-        )
-        self.runs.append((path, run.schema))
-
-    def compact(self) -> DataFrame:
-        """All runs as one level: (digest, keep, rows), combined on the map side first."""
-        runs = None
-        for path, schema in self.runs:
-            run = self.spark.read.schema(schema).parquet(path)
-            runs = run if runs is None else runs.unionByName(run)
-        return runs.groupBy("digest").agg(self.pick("keep").alias("keep"), F.sum("rows").alias("rows"))
+        """Every memtable's rows combined by digest, each as a sorted run."""
+        rows = rows.select(F.pmod(F.spark_partition_id(), F.lit(RUNS)).alias("run"), F.col(digest).alias("digest"), F.col(ident).alias("keep"), F.lit(1).cast("long").alias("rows"))
+        self.level = self._merge(rows, "run-0")
+
+    def _merge(self, rows: DataFrame, tag: str) -> DataFrame:
+        merged = rows.groupBy("run", "digest").agg(self.pick("keep").alias("keep"), F.sum("rows").alias("rows"))
+        return materialise(merged.sortWithinPartitions("run", "digest"), tag)
+
+    def settle(self) -> tuple[DataFrame, DataFrame]:
+        """(digests of one row that no other run's filter holds, all other entries) of the flushed runs."""
+        filters = [key_filter(self.level.where(F.col("run") == i).select("digest")) for i in range(RUNS)]
+        elsewhere = F.lit(False)
+        for i, other in enumerate(filters):
+            elsewhere = elsewhere | ((F.col("run") != i) & may_be_in(F.col("digest"), other))
+        marked = self.level.withColumn("open", (F.col("rows") > 1) | elsewhere)
+        return marked.where(~F.col("open")).drop("open"), marked.where("open").drop("open")
+
+    def compact(self, entries: DataFrame) -> DataFrame:
+        """The entries of all runs as one level: (digest, keep, rows), FAN runs into one at a time."""
+        runs, depth = RUNS, 0
+        while runs > 1:
+            runs, depth = -(-runs // FAN), depth + 1
+            merged = self._merge(entries.withColumn("run", F.floor(F.col("run") / FAN).cast("int")), f"run-{depth}")
+            if depth > 1:
+                release(entries)
+            entries = merged
+        return entries.drop("run")
 
 
 def exact_dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest") -> DataFrame:
     """One row for each row of df: its id_col, keep_id, group_size, kept and text_sha256."""
-    spark = df.sparkSession
     docs = df.select(F.col(id_col).alias("_id"), normalised(F.col(text_col)).alias("_text"))
     docs = docs.select("_id", "_text", F.unhex(F.sha2("_text", 256)).alias("_digest"))
 
-    index = MergeIndex(spark, keep)
+    index = MergeIndex(keep)
     index.flush(docs, "_digest", "_id")
-    level = materialise(index.compact(), "level")
-    single = level.where("rows = 1").select(F.col("keep").alias("_id"), F.col("keep").alias("keep_id"), F.col("rows").alias("group_size"), F.lit(True).alias("kept"), "digest")
-
-    # The hits' texts, once each, and one text for each digest to hold them against.
-    hits = level.where("rows > 1").select(F.col("digest").alias("_digest"), "keep")
-    members = docs.join(hits, "_digest").withColumn("_row", F.monotonically_increasing_id())
-    members = materialise(members, "members")
-    first = members.where(F.col("_id").eqNullSafe(F.col("keep"))).groupBy("_digest").agg(F.min("_row").alias("_row"))
-    sample = members.join(first, ["_digest", "_row"]).select("_digest", F.col("_text").alias("_sample"))
-    # variant: null for rows equal to the sample byte by byte, else the row's own whole text
-    checked = members.join(sample, "_digest").select("_digest", "_id", "_row", F.when(F.col("_text") != F.col("_sample"), F.col("_text")).alias("_variant"))
+    settled, entries = index.settle()
+    level = index.compact(entries)
+    alone = settled.select("digest", "keep", "rows").unionByName(level.where("rows = 1"))
+    single = alone.select(F.col("keep").alias("_id"), F.col("keep").alias("keep_id"), F.col("rows").alias("group_size"), F.lit(True).alias("kept"), "digest")
+
+    hits = materialise(level.where("rows > 1").withColumnRenamed("digest", "_digest"), "hits")
+    among = docs.where(may_be_in(F.col("_digest"), key_filter(hits.select("_digest"))))
+    members = materialise(among.join(hits, "_digest").withColumn("_row", F.monotonically_increasing_id()), "members")
+    stays = members.where(F.col("_id").eqNullSafe(F.col("keep"))).groupBy("_digest").agg(F.min("_row").alias("_row"))
+    # Many copies of one text meet its sample in several tasks: the sample is dealt to each of their parts.
+    parts = F.ceil(F.col("rows") / COPIES)
+    sample = members.join(stays, ["_digest", "_row"]).select("_digest", F.col("_row").alias("_first"), F.col("_text").alias("_sample"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("_part"))
+    dealt = members.withColumn("_part", F.pmod(F.xxhash64("_row"), parts))
+    variant = F.when(F.col("_text") != F.col("_sample"), F.col("_text"))
+    checked = dealt.join(sample, ["_digest", "_part"]).select("_digest", "_id", "_row", "keep", "rows", "_first", variant.alias("_variant"))
     checked = materialise(checked, "checked")
-    variant = F.coalesce("_variant", F.lit(""))
+    release(hits, members)
+    columns = ["_id", F.col("keep").alias("keep_id"), F.col("rows").alias("group_size"), (F.col("_first") == F.col("_row")).alias("kept"), F.col("_digest").alias("digest")]
+    if checked.where("_variant is not null").limit(1).count():
+        grouped = _with_variants(checked, keep).select(*columns)
+    else:
+        grouped = checked.select(*columns)
+    return single.unionByName(grouped).select(F.col("_id").alias(id_col), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def _with_variants(checked: DataFrame, keep: str) -> DataFrame:
+    """checked with the groups of texts that share a digest and differ: keep, rows and _first by whole text."""
     place = F.struct(F.col("_id").alias("i"), F.col("_row").alias("r"))
     best = F.max(place) if keep == "largest" else F.min(place)
-    groups = checked.groupBy("_digest", variant.alias("_v")).agg(best.alias("_best"), F.count(F.lit(1)).alias("group_size"))
-    grouped = checked.withColumn("_v", variant).join(groups, ["_digest", "_v"])
-    grouped = grouped.select("_id", F.col("_best.i").alias("keep_id"), "group_size", (F.col("_best.r") == F.col("_row")).alias("kept"), F.col("_digest").alias("digest"))
-    return single.unionByName(grouped).select(F.col("_id").alias(id_col), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+    groups = checked.groupBy("_digest", "_variant").agg(best.alias("_best"), F.count(F.lit(1)).alias("_size"))
+    found = checked.alias("c").join(groups.alias("g"), (F.col("c._digest") == F.col("g._digest")) & F.col("c._variant").eqNullSafe(F.col("g._variant")))
+    return found.select("c._digest", "c._id", "c._row", F.col("_best.i").alias("keep"), F.col("_size").alias("rows"), F.col("_best.r").alias("_first"))
 
 
 def drop_copies(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest") -> DataFrame:
     """The rows of df that stay, with all its columns. Rows are told apart by a number given to them
-    in a copy in the shared folder, so rows with equal or null identifiers are handled too."""
-    own = materialise(df.withColumn("_n", F.monotonically_increasing_id()), "rows")
-    order = own.select(F.struct(F.col(id_col).alias("i"), F.col("_n").alias("n")).alias("_key"), F.col(text_col).alias("_t"))
-    kept = exact_dedup(order, id_col="_key", text_col="_t", keep=keep).where("kept").select(F.col("_key.n").alias("_n"))
-    return own.join(kept, "_n", "left_semi").drop("_n")
+    in a copy in the shared folder, so rows with equal or null identifiers are handled too; only rows
+    that a fixed filter of the dropped ones lets through are joined."""
+    number = fresh(df, "_n")
+    own = materialise(df.withColumn(number, F.monotonically_increasing_id()), "rows")
+    order = own.select(F.struct(F.col(id_col).alias("i"), F.col(number).alias("n")).alias("_key"), F.col(text_col).alias("_t"))
+    gone = exact_dedup(order, id_col="_key", text_col="_t", keep=keep).where(~F.col("kept")).select(F.col("_key.n").alias(number))
+    return without(own, materialise(gone, "gone"), number)

@@ -49,11 +49,29 @@ def test_equal_digests_of_unequal_texts_stay_apart(spark, docs, monkeypatch):
     assert got == sorted(x[:4] for x in brute_dedup(docs.select("doc_id", "text").collect()))
 
 
-def test_index_merges_several_runs(spark):
-    index = exact_dedup.MergeIndex(spark, keep="smallest")
-    for part in ([(b"a", 3), (b"b", 1)], [(b"a", 2), (b"c", 9)], [(b"a", 5)]):
-        index.flush(spark.createDataFrame([(bytearray(d), i) for d, i in part], "digest binary, id long"), "digest", "id")
-    assert sorted((bytes(r.digest), r.keep, r.rows) for r in index.compact().collect()) == [(b"a", 2, 3), (b"b", 1, 1), (b"c", 9, 1)]
+@pytest.mark.parametrize("keep", ["smallest", "largest"])
+def test_index_settles_and_merges_runs(spark, keep):
+    """Runs of several memtables: unique digests are settled by the filters, the others merged in levels."""
+    rng = random.Random(3)
+    rows = [(bytearray(f"{rng.randrange(3000)}".encode()), i) for i in range(2500)]
+    index = exact_dedup.MergeIndex(keep)
+    index.flush(spark.createDataFrame(rows, "digest binary, id long").repartition(12), "digest", "id")
+    assert index.level.select("run").distinct().count() == exact_dedup.RUNS
+    settled, entries = index.settle()
+    assert settled.count() > 1000 and entries.count() > 500
+    groups = defaultdict(list)
+    for d, i in rows:
+        groups[bytes(d)].append(i)
+    got = settled.select("digest", "keep", "rows").unionByName(index.compact(entries)).collect()
+    pick = min if keep == "smallest" else max
+    assert sorted((bytes(r.digest), r.keep, r.rows) for r in got) == sorted((d, pick(g), len(g)) for d, g in groups.items())
+
+
+def test_many_copies_meet_their_sample_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "COPIES", 7)
+    rows = [(i, "Many Copies" if i % 3 else f"text {i}") for i in range(120)] + [(None, "many copies"), (119, "many copies")]
+    got = sorted(map(tuple, exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr)
+    assert got == brute_dedup(rows)
 
 
 @pytest.mark.parametrize("counts", [[5, 0, 7, 12], [1], [100] * 9])
