@@ -10,7 +10,8 @@
 The random keys are drawn once and kept in a work table in the shared folder, so a lost executor
 cannot change them. Law "rows": shard sizes differ by one at most. Null text has size 1 and the
 checksum of an empty text. Equal rows are different rows, each gets its own slot; an empty table
-gives an empty result; the input's other columns are carried if their names are in `carry`.
+gives an empty result; the input's other columns are carried if their names are in `carry`, whatever
+they are, but for `shard` and `slot`, which the result has anew.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialise
+from tessera.llm.common import materialise, release
 
 #: Rows of one key range of a shard, at least; of large inputs the square root of all rows.
 RANGE_ROWS = 250
@@ -63,39 +64,43 @@ def _hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> in
 
 
 def shuffle_to_shards(df: DataFrame, shards: int = 8, *, seed: int = 20_260_101, carry: list[str] | None = None, range_rows: int = RANGE_ROWS) -> DataFrame:
-    """The columns `carry` (all, if None) of each row with its shard and slot."""
-    names = df.columns if carry is None else carry
+    """The columns `carry` (all, if None) of each row with its shard and slot, which take the place of
+    input columns of these names."""
+    names = [c for c in (df.columns if carry is None else carry) if c.lower() not in ("shard", "slot")]
     spark = df.sparkSession
     number = F.monotonically_increasing_id()
-    rows = df.select(*[F.col(f"`{c}`") for c in names], F.spark_partition_id().alias("_p"), F.xxhash64(F.lit(seed), number).alias("_k1"), F.xxhash64(F.lit(seed + 1), number, F.lit("slot")).alias("_k2"))
+    carried = F.struct(*[F.col(f"`{c}`") for c in names]) if names else F.lit(None).cast("int")
+    rows = df.select(carried.alias("carried"), F.spark_partition_id().alias("part"), F.xxhash64(F.lit(seed), number).alias("key"), F.xxhash64(F.lit(seed + 1), number, F.lit("slot")).alias("place"))
     rows = materialise(rows, "shard-rows")
 
-    counts = rows.groupBy("_p").count().orderBy("_p").collect()  # one number a partition
+    counts = rows.groupBy("part").count().orderBy("part").collect()  # one number a partition
     matrix = communication_matrix([r["count"] for r in counts], shards, seed)
     sent = matrix.sum(axis=0)
-    cuts = spark.createDataFrame([(r["_p"], [int(x) for x in np.cumsum(m)]) for r, m in zip(counts, matrix, strict=True)], "_p int, _cuts array<long>")
-    local = Window.partitionBy("_p").orderBy("_k1")
-    dealt = rows.withColumn("_rank", F.row_number().over(local)).join(cuts, "_p")
-    shard = F.size(F.filter("_cuts", lambda x: x < F.col("_rank")))
+    cuts = spark.createDataFrame([(r["part"], [int(x) for x in np.cumsum(m)]) for r, m in zip(counts, matrix, strict=True)], "part int, cuts array<long>")
+    local = Window.partitionBy("part").orderBy("key")
+    dealt = rows.withColumn("rank", F.row_number().over(local)).join(cuts, "part")
 
     range_rows = max(range_rows, math.isqrt(int(sent.sum())))
     pieces = [max(1, -(-int(n) // range_rows)) for n in sent]
     sizes = F.array(*[F.lit(n) for n in pieces])
-    dealt = dealt.withColumn("shard", shard)
+    dealt = dealt.withColumn("shard", F.size(F.filter("cuts", lambda x: x < F.col("rank"))))
     # the top 31 bits of the second key, scaled to the shard's number of ranges
-    top = F.shiftrightunsigned("_k2", 33)
-    dealt = dealt.withColumn("_r", F.shiftright(top * F.element_at(sizes, F.col("shard") + 1), 31).cast("int"))
-    dealt = materialise(dealt.drop("_cuts", "_rank", "_p", "_k1"), "shard-dealt")
-    ranges = dealt.groupBy("shard", "_r").count()
-    before = Window.partitionBy("shard").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = ranges.select("shard", "_r", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
-    within = Window.partitionBy("shard", "_r").orderBy("_k2")
-    out = dealt.withColumn("_rank", F.row_number().over(within)).join(offsets, ["shard", "_r"])
-    return out.select(*[F.col(f"`{c}`") for c in names], "shard", (F.col("_before") + F.col("_rank") - 1).cast("long").alias("slot"))
+    top = F.shiftrightunsigned("place", 33)
+    dealt = dealt.withColumn("range", F.shiftright(top * F.element_at(sizes, F.col("shard") + 1), 31).cast("int"))
+    dealt = materialise(dealt.select("carried", "shard", "range", "place"), "shard-dealt")
+    release(rows)
+    ranges = dealt.groupBy("shard", "range").count()
+    before = Window.partitionBy("shard").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranges.select("shard", "range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
+    within = Window.partitionBy("shard", "range").orderBy("place")
+    out = dealt.withColumn("rank", F.row_number().over(within)).join(offsets, ["shard", "range"])
+    slot = (F.col("before") + F.col("rank") - 1).cast("long").alias("slot")
+    return out.select(*(["carried.*"] if names else []), "shard", slot)
 
 
 def write_shards(df: DataFrame, path: str, shards: int = 8, **options) -> None:
-    """The whole rows as one folder of Parquet a shard, files in slot order."""
+    """The whole rows as one folder of Parquet a shard, files in slot order; input columns named shard
+    or slot are replaced."""
     dealt = shuffle_to_shards(df, shards, **options)
     dealt.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 

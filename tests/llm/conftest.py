@@ -26,7 +26,7 @@ def odd(spark):
     from pyspark.sql import functions as F
 
     df = spark.createDataFrame(ROWS, SCHEMA)
-    for name in ("_text", "shard", "slot", "length", "kept", "keep_id", "digest", "_row", "n_tokens", "key"):
+    for name in ("_text", "shard", "slot", "length", "kept", "keep_id", "digest", "_row", "n_tokens", "key", "_n", "_score", "_p", "_r", "_k1", "_k2", "_key", "_t", "_id", "unit", "bucket", "label", "rows", "run"):
         df = df.withColumn(name, F.lit("clash"))
     return df
 
