@@ -1,18 +1,22 @@
 """Surrogates for personal data: keyed, of the same type, script and format, distinct and coreferent.
 
-Found: e-mail addresses, IPv4 addresses, payment cards, US social security numbers, IBANs, telephone
-numbers, cloud access keys, values of password-like settings, and persons' names after a form of
-address or a listed given name. Wherever found, each is replaced by the same surrogate of its canonical
-form (letters in lower case, digits without separators), written back into the original's own
-separators and letter case. A limit: a name that stands alone is not found ("Mr Smith came. Smith
-left" keeps the second Smith), even if the same text has it after a form of address.
+Found: e-mail, IPv4, IPv6 and MAC addresses, payment cards and IBANs whose check digits hold, US social
+security numbers, telephone numbers, cloud access keys, values of password-like settings, birth
+dates and passport or identity numbers after a word that says so, and persons' names after a form of
+address, a listed given name or a cue such as "my name is". A name's words are then looked for in the
+whole text: wherever one stands again, capitalised or in capitals, before or after, it gets the
+same surrogate. A name without any such sign in its document is not found.
+
+Wherever found, an entity is replaced by the surrogate of its canonical form (letters in lower case,
+digits without separators), written back into the original's own separators and letter case.
 
 A surrogate is a keyed permutation of its format's domain: conjugating a shift by a Feistel cipher,
 walked along its cycle into the domain. So different originals of a format get different surrogates
-and none maps to itself; the collision check for names walks on while a surrogate would meet the
-listed names. Card numbers keep their check digit's state, IBANs theirs, addresses their valid
-octets, North American numbers their valid codes; a listed given name becomes another one listed for
-its gender and script. `collisions` counts, over a whole table, surrogates that two originals share.
+and none maps to itself; names walk on while a surrogate would meet the listed names. Card numbers keep
+their check digit's state, IBANs theirs, addresses their valid octets, North American numbers their
+valid codes. A listed given name becomes another one listed for its gender and script; any other word
+of a name keeps its last letter, where languages mark gender. `collisions` counts, over a whole table,
+surrogates that two originals share; `checked` refuses a table that has any.
 
 Null and empty texts stay as they are. Rows, repeated ones too, map one to one; other columns are
 ignored by `surrogates` and carried by `anonymise`. An empty table gives an empty result.
@@ -24,14 +28,15 @@ import hashlib
 import hmac
 import re
 import unicodedata
+import warnings
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import steps
+from tessera.llm.common import materialise, release, steps
 
 # Given names by gender and script, and forms of address.
 GIVEN = {
@@ -47,8 +52,16 @@ TITLES = {
 }
 ALPHABETS = ("0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "áéíóú", "àèìòù", "äöü")
 HEX = "0123456789abcdef"
+# Words before a person's name, a birth date, an identity document's number.
+NAME_CUES = ("my name is", "name:", "signed by", "contact person:", "ich heiße", "je m'appelle", "me llamo")
+BIRTH_CUES = ("born on", "born", "date of birth", "dob", "geboren am", "né le", "née le", "nacido el", "nacida el")
+DOCUMENT_CUES = ("passport", "passport no", "passport number", "identity card", "id card", "reisepass", "passeport", "pasaporte")
 #: In the order of precedence.
-KINDS = ("email", "access_key", "secret", "iban", "card", "ssn", "ipv4", "phone", "name")
+KINDS = ("email", "access_key", "secret", "iban", "document", "birth", "mac", "ipv6", "card", "ssn", "ipv4", "phone", "name")
+#: The setting that has the secret key of the surrogates.
+KEY_SETTING = "spark.tessera.surrogate.key"
+#: For the given example tables, where that is unset. Whoever knows a key can undo its surrogates.
+EXAMPLE_KEY = b"tessera public example key"
 
 _CLASS = {c: a for a in ALPHABETS for c in a}
 #: For a character outside all alphabets where its own has no other.
@@ -59,19 +72,24 @@ _CAP = r"[^\W\d_a-zß-öø-ÿа-я][^\W\d_]+"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 
 PATTERNS = {
-    "email": r"(?<![\w.+-])[A-Za-z0-9](?:[\w.%+-]*[A-Za-z0-9])?@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![\w-])",
+    "email": r"(?<![\w.%+-])[A-Za-z0-9](?:[\w.%+-]*[A-Za-z0-9])?@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![\w-])",
     "access_key": r"(?<!\w)A[KS]IA[A-Z0-9]{16}(?!\w)",
     "secret": r"(?<!\w)(?i:password|passwd|pwd|secret|token|api[_-]?key)\s?[=:]\s?(?P<value>[^\s,;\"']{4,})",
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
+    "document": rf"(?<!\w)(?i:{'|'.join(DOCUMENT_CUES)})\.?:? (?P<value>[A-Z]{{0,3}}\d{{5,10}}[A-Z]?)(?!\w)",
+    "birth": rf"(?<!\w)(?i:{'|'.join(BIRTH_CUES)}):? (?P<value>\d{{4}}-\d{{2}}-\d{{2}}|\d{{1,2}}[./]\d{{1,2}}[./]\d{{4}})(?!\w)",
+    "mac": r"(?<![\w:-])[0-9A-Fa-f]{2}(?:([:-])[0-9A-Fa-f]{2})(?:\1[0-9A-Fa-f]{2}){4}(?![\w:-])",
+    "ipv6": r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])|(?<![\w:.])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){1,5}::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,4})?(?![\w:])",
     "card": r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "ipv4": rf"(?<![\w.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\w|\.\d)",
     "phone": r"(?<![\w.])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w)",
-    "name": rf"(?<!\w)(?:(?P<title>{'|'.join(t for ts in TITLES.values() for t in ts)})\.? (?:{_CAP} ){{0,2}}{_CAP}|(?:{'|'.join(n for ns in GIVEN.values() for n in ns)}) {_CAP})(?!\w)",
+    "name": rf"(?<!\w)(?:(?P<title>{'|'.join(t for ts in TITLES.values() for t in ts)})\.? (?:{_CAP} ){{0,2}}{_CAP}|(?:{'|'.join(n for ns in GIVEN.values() for n in ns)}) {_CAP}|(?P<cue>(?i:{'|'.join(map(re.escape, NAME_CUES))}) ){_CAP}(?: {_CAP}){{0,2}})(?!\w)",
 }
 _COMPILED = {kind: re.compile(p) for kind, p in PATTERNS.items()}
-#: A text without any of these has no such entity; tested before the pattern.
-_HINTS = {"email": re.compile("@"), "access_key": re.compile("A[KS]IA"), "secret": re.compile(r"[=:]"), "name": re.compile("|".join([t for ts in TITLES.values() for t in ts] + [n for ns in GIVEN.values() for n in ns]))}
+#: A text without any of these, or any of the cues, has no such entity; tested before the pattern.
+_HINTS = {"email": re.compile("@"), "access_key": re.compile("A[KS]IA"), "secret": re.compile(r"[=:]"), "ipv6": re.compile(":[0-9A-Fa-f]"), "mac": re.compile("[:-][0-9A-Fa-f]{2}[:-]"), "name": re.compile("|".join([t for ts in TITLES.values() for t in ts] + [n for ns in GIVEN.values() for n in ns]))}
+_CUES = {"name": NAME_CUES, "birth": BIRTH_CUES, "document": DOCUMENT_CUES}
 _DIGIT = re.compile(r"\d")
 
 
@@ -208,23 +226,38 @@ class Surrogates:
         wide = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789")
         return self.spell(text, [next((a for a in wide if c in a), None) or alphabet(c) for c in text], "secret")
 
-    def given(self, name: str, gender: str) -> str:
-        """Another given name of the gender and script; an unlisted one is spelled anew."""
-        if name in _NAMES:
-            names = GIVEN[_NAMES[name]]
-            at = [n.lower() for n in names].index(name)
-            return names[self._shift(at, len(names), "given|" + "|".join(_NAMES[name]))].lower()
-        return self._name(name)
+    def _document(self, text: str) -> str:
+        return self.spell(text, ["0123456789" if c.isdigit() else "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for c in text], "document")
+
+    def _birth(self, text: str) -> str:
+        """Canonical YYYYMMDD: another day of the years from 1900 to 2027; a date outside is moved by its digits."""
+        year, month, day = int(text[:4]), int(text[4:6]), int(text[6:])
+        if not (1900 <= year < 2028 and 1 <= month <= 12 and 1 <= day <= 28):
+            return self.spell(text[:4], ["0123456789"] * 4, "birth year" + text[4:]) + text[4:]
+        number = self._shift(((year - 1900) * 12 + month - 1) * 28 + day - 1, 128 * 12 * 28, "birth")
+        return f"{1900 + number // 336:04d}{number // 28 % 12 + 1:02d}{number % 28 + 1:02d}"
+
+    def _mac(self, text: str) -> str:
+        return self.spell(text, [HEX] * 12, "mac")
+
+    def _ipv6(self, text: str) -> str:
+        return self.spell(text, [HEX if c in HEX else c for c in text], "ipv6")
 
     def _name(self, text: str) -> str:
-        """A name's letters moved within their class and script; walks past listed names, which
-        keeps the map one to one on all the others."""
+        """A listed name: another of its gender and script. Else its letters but the last, which may
+        mark gender, moved within their class and script; walks past listed names, which keeps the
+        map one to one on all the others."""
         if text in _NAMES:
-            return self.given(text, _NAMES[text][0])
-        out = self.by_class(text, "name")
-        while out in _NAMES:
-            out = self.by_class(out, "name")
-        return out
+            names = GIVEN[_NAMES[text]]
+            at = [n.lower() for n in names].index(text)
+            return names[self._shift(at, len(names), "given|" + "|".join(_NAMES[text]))].lower()
+        kept = 1 if len(text) > 3 and any(len(alphabet(c)) > 1 for c in text[:-1]) else 0
+        out = text
+        while True:
+            alphabets = [alphabet(c) for c in out[: len(out) - kept]] + list(out[len(out) - kept :])
+            out = self.spell(out, alphabets, "name")
+            if out not in _NAMES:
+                return out
 
 
 def _luhn(body: str) -> int:
@@ -240,18 +273,57 @@ def _iban_check(country: str, body: str) -> int:
     return 98 - int("".join(str(int(c, 36)) for c in body + country + "00")) % 97
 
 
+def _valid(kind: str, text: str) -> bool:
+    """Whether the check digits of a card number or IBAN hold."""
+    if kind == "card":
+        digits = re.sub(r"\D", "", _ascii_digits(text))
+        return _luhn(digits[:-1]) == int(digits[-1])
+    if kind == "iban":
+        plain = _ascii_digits(text).replace(" ", "")
+        return _iban_check(plain[:2], plain[4:]) == int(plain[2:4])
+    return True
+
+
+def _name_words(text: str) -> list[tuple[int, int]]:
+    """The words of a name that are not a form of address, as ranges of the text."""
+    words = [m.span() for m in re.finditer(r"[^ ]+", text)]
+    return [(a, b) for k, (a, b) in enumerate(words) if not (k == 0 and text[a:b].rstrip(".").lower() in _TITLE)]
+
+
 def find(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of the entities, leftmost first, none overlapping; earlier kinds win."""
-    kinds = [k for k, hint in _HINTS.items() if hint.search(text)]
+    """(start, end, kind) of the entities, leftmost first, none overlapping; earlier kinds win. Names
+    come as whole runs where a sign is, and as single words where one of theirs stands again."""
+    low = text.lower()
+    kinds = {k for k, hint in _HINTS.items() if hint.search(text)} | {k for k, cues in _CUES.items() if any(c in low for c in cues)}
     if _DIGIT.search(text):
-        kinds += ["iban", "card", "ssn", "ipv4", "phone"]
-    kinds.sort(key=KINDS.index)
+        kinds.update(("iban", "card", "ssn", "ipv4", "phone"))
+    if not kinds:
+        return []
+    kinds = sorted(kinds, key=KINDS.index)
+    taken = bytearray(len(text))
     spans: list[tuple[int, int, str]] = []
+
+    def take(a: int, b: int, kind: str) -> bool:
+        if taken.find(1, a, b) >= 0:
+            return False
+        taken[a:b] = b"\1" * (b - a)
+        spans.append((a, b, kind))
+        return True
+
+    words: set[str] = set()
     for kind in kinds:
         for m in _COMPILED[kind].finditer(text):
-            a, b = m.span("value") if kind == "secret" else m.span()
-            if all(b <= x or a >= y for x, y, _ in spans):
-                spans.append((a, b, kind))
+            a, b = m.span("value") if "value" in m.re.groupindex else m.span()
+            if kind == "name" and m["cue"]:
+                a = m.end("cue")
+            if _valid(kind, text[a:b]) and take(a, b, kind) and kind == "name":
+                words.update(_lower(text[a + x : a + y]) for x, y in _name_words(text[a:b]))
+    words = {w for w in words if len(w) > 1}
+    if words:
+        for m in re.finditer(r"[^\W\d_]+", text):
+            word = m[0]
+            if (word[0].isupper() or not word[0].islower()) and _lower(word) in words:
+                take(*m.span(), "name")
     return sorted(spans)
 
 
@@ -264,6 +336,14 @@ def _canonical(kind: str, text: str) -> str:
         return _ascii_digits(text).replace(" ", "")
     if kind == "ipv4":
         return _ascii_digits(text)
+    if kind == "mac":
+        return re.sub(r"[:-]", "", text).lower()
+    if kind == "ipv6":
+        return text.lower()
+    if kind == "birth":
+        parts = [int(x) for x in re.split(r"[-./]", _ascii_digits(text))]
+        year, month, day = parts if "-" in text else parts[::-1]
+        return f"{year:04d}{month:02d}{day:02d}"
     if kind == "phone":
         digits = re.sub(r"\D", "", _ascii_digits(text))
         national = digits[1:] if len(digits) == 11 and digits[0] == "1" else digits
@@ -284,34 +364,38 @@ def _written(original: str, surrogate: str, keep) -> str:
     return "".join(out)
 
 
-def _one(maker: Surrogates, kind: str, text: str) -> list[tuple[str, str, str]]:
-    """[(kind, canonical, written surrogate)]: for a name one for each of its words."""
+def _one(maker: Surrogates, kind: str, text: str) -> tuple[str, list[tuple[str, str]]]:
+    """The written surrogate, and (canonical original, its surrogate): for a name of each of its words."""
     if kind == "name":
-        out = []
-        words = text.split(" ")
-        for k, word in enumerate(words):
-            bare = word.rstrip(".").lower()
-            if k == 0 and bare in _TITLE:
-                out.append(("", word, word))
-            else:
-                made = maker.replace("name", _lower(word))
-                out.append(("name", _lower(word), made.upper() if word.isupper() and len(word) > 1 else made[:1].upper() + made[1:] if word[0].isupper() else made))
-        return out
+        out, made_of, at = [], [], 0
+        for a, b in _name_words(text):
+            word = text[a:b]
+            made = maker.replace("name", _lower(word))
+            made_of.append((_lower(word), made))
+            out += [text[at:a], made.upper() if word.isupper() and len(word) > 1 else made[:1].upper() + made[1:] if word[0].isupper() else made]
+            at = b
+        return "".join(out) + text[at:], made_of
     canonical = _canonical(kind, text)
     made = maker.replace(kind, canonical)
-    if kind == "phone" and canonical[0] != "+":
+    written = made
+    if kind == "birth":
+        year, month, day = made[:4], made[4:6], made[6:]
+        mark = re.search(r"[-./]", text)[0]
+        written = mark.join((year, month, day) if mark == "-" else (day, month, year))
+    elif kind in ("card", "ssn", "phone"):
         digits = re.sub(r"\D", "", _ascii_digits(text))
-        made = digits[: len(digits) - 10] + made
-    if kind in ("card", "ssn", "phone"):
-        return [(kind, canonical, _written(text, made.lstrip("+"), str.isdecimal))]
-    if kind == "iban":
-        return [(kind, canonical, _written(text, made, lambda c: c != " "))]
-    if kind == "email":
-        return [(kind, canonical, _written(text, made, lambda c: True))]
-    if kind == "ipv4" and not text.isascii():
+        country = digits[: len(digits) - 10] if kind == "phone" and canonical[0] != "+" else ""
+        written = _written(text, country + made.lstrip("+"), str.isdecimal)
+    elif kind == "iban":
+        written = _written(text, made, lambda c: c != " ")
+    elif kind == "mac":
+        written = _written(text, made, str.isalnum)
+    elif kind in ("email", "ipv6"):
+        written = _written(text, made, lambda c: True)
+    elif kind == "ipv4" and not text.isascii():
         zero = next(c for c in text if c.isdecimal() and not c.isascii())
-        made = "".join(_digit_like(c, zero) for c in made)
-    return [(kind, canonical, made)]
+        written = "".join(_digit_like(c, zero) for c in made)
+    return written, [(canonical, made)]
 
 
 def redact(text: str, maker: Surrogates) -> tuple[str, list[tuple[str, int, str, str]]]:
@@ -321,9 +405,9 @@ def redact(text: str, maker: Surrogates) -> tuple[str, list[tuple[str, int, str,
         return text, []
     out, entities, at = [], [], 0
     for a, b, kind in spans:
-        made = _one(maker, kind, text[a:b])
-        out += [text[at:a], " ".join(w for _, _, w in made) if kind == "name" else made[0][2]]
-        entities += [(k, a, c, w) for k, c, w in made if k]
+        written, made_of = _one(maker, kind, text[a:b])
+        out += [text[at:a], written]
+        entities += [(kind, a, c, made) for c, made in made_of]
         at = b
     out.append(text[at:])
     return "".join(out), entities
@@ -351,7 +435,7 @@ def surrogates(df: DataFrame, key: bytes, *, id_col: str = "doc_id", text_col: s
             heads = [id_col, "text", "n_entities", *names]
             if with_entities:
                 sign = lambda x: hmac.new(key, x.encode(), hashlib.sha256).hexdigest()
-                listed = [[{"kind": k, "original": sign(c), "surrogate": w.lower()} for k, _, c, w in x] for x in found]
+                listed = [[{"kind": k, "original": sign(c), "surrogate": w} for k, _, c, w in x] for x in found]
                 arrays.append(pa.array(listed, pa.list_(pa.struct([("kind", pa.string()), ("original", pa.string()), ("surrogate", pa.string())]))))
                 heads.append("entities")
             yield pa.RecordBatch.from_arrays(arrays, names=heads)
@@ -359,16 +443,40 @@ def surrogates(df: DataFrame, key: bytes, *, id_col: str = "doc_id", text_col: s
     return slim.mapInArrow(run, fields)
 
 
-def collisions(df: DataFrame, key: bytes, **options) -> DataFrame:
-    """(kind, surrogate, originals): surrogates that more than one original got. None are expected."""
-    one = surrogates(df, key, with_entities=True, **options).select(F.explode("entities").alias("e")).select("e.*")
-    digits = F.when(F.col("kind").isin("card", "ssn", "iban", "phone"), F.regexp_replace("surrogate", r"[^0-9a-z]", "")).otherwise(F.col("surrogate"))
-    digits = F.when(F.col("kind") == "phone", F.regexp_replace(digits, r"^1(?=\d{10}$)", "")).otherwise(digits)
-    return one.withColumn("surrogate", digits).distinct().groupBy("kind", "surrogate").agg(F.count(F.lit(1)).alias("originals")).where("originals > 1")
+def key_of(spark: SparkSession) -> bytes:
+    """The key that the session's setting names; the example key, with a warning, where it is unset."""
+    found = spark.conf.get(KEY_SETTING, None)
+    if found:
+        return found.encode()
+    warnings.warn(f"{KEY_SETTING} is unset: surrogates are made with the published example key", stacklevel=2)
+    return EXAMPLE_KEY
+
+
+def collisions(found: DataFrame) -> DataFrame:
+    """(kind, surrogate, originals): surrogates that more than one original of a kind got, of a table
+    from surrogates(with_entities=True). None are expected."""
+    one = found.select(F.explode("entities").alias("e")).select("e.*")
+    return one.distinct().groupBy("kind", "surrogate").agg(F.count(F.lit(1)).alias("originals")).where("originals > 1")
+
+
+def checked(df: DataFrame, key: bytes, **options) -> DataFrame:
+    """surrogates(), after a check over the whole table that no two originals of a kind share one."""
+    return _refuse_collisions(surrogates(df, key, with_entities=True, **options)).drop("entities")
+
+
+def _refuse_collisions(found: DataFrame) -> DataFrame:
+    found = materialise(found, "surrogates")
+    shared = collisions(found).limit(3).collect()
+    if shared:
+        raise ValueError(f"originals share a surrogate, take another key: {shared}")
+    return found
 
 
 def anonymise(df: DataFrame, key: bytes, *, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
-    """df, all columns, with surrogates in its text and the length column, if it has one, renewed."""
+    """df, all columns, with surrogates in its text and the length column, if it has one, renewed,
+    after the check that no two originals of a kind share one."""
+    alone = df.select(F.lit(0).alias("id"), F.col(text_col).alias("text"))
+    release(_refuse_collisions(surrogates(alone, key, id_col="id", with_entities=True).where("n_entities > 0").select("entities")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maker = Surrogates(key)

@@ -7,8 +7,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import ann, exact_dedup, neardup, packing, pii, sharding, sp_codec, substring_dedup, token_count, toxicity
 
-#: The key of the surrogates; a deployment passes its own secret to the operator.
-PII_KEY = b"tessera public example key"
 #: Bounds are pruned at 1/1.15 of the exact search's; recall is measured in the tests.
 ANN_FACTOR = 1.15
 
@@ -58,7 +56,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.surrogates(_read(spark, sf_dir), PII_KEY)
+    return pii.checked(_read(spark, sf_dir), pii.key_of(spark))
 
 
 QUERIES = {f.__name__: f for f in (op1_hypergeometric_shards, op2_best_fit_pack, op3_dart_minhash, op4_byte_bpe, op5_vantage_point_search, op6_exact_dedup, op7_substring_dedup, op8_token_counts, op9_toxicity, op10_pii_surrogates)}

@@ -20,7 +20,7 @@ def plain(spark, sf):
         last[(t or "").translate(ASCII)] = max(i, last.get((t or "").translate(ASCII), i))
     rows = [(i, t) for i, t in rows if last[(t or "").translate(ASCII)] == i]
     stay = {c for _, c, _ in near_classes(rows)[0]}
-    maker = pii.Surrogates(corpus_pipeline.PII_KEY)
+    maker = pii.Surrogates(pii.EXAMPLE_KEY)
     return {i: pii.redact(t or "", maker)[0] for i, t in rows if i in stay}
 
 
