@@ -12,9 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.llm import exact_dedup, neardup, packing, pii, toxicity
 from tessera.llm.common import materialise
 
-#: The key of the surrogates; a deployment passes its own secret to the operator.
-PII_KEY = b"tessera public example key"
-
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score under 0.5; the scorer is fitted on labels.toxic."""
@@ -31,7 +28,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pii.anonymise(docs, PII_KEY)
+    return pii.anonymise(docs, pii.key_of(spark))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
