@@ -62,3 +62,9 @@ def clock(seconds: Column) -> Column:
     """h:mm:ss"""
     whole = F.floor(seconds).cast("long")
     return F.format_string("%d:%02d:%02d", F.floor(whole / 3600), F.floor(whole % 3600 / 60), whole % 60)
+
+
+def short_clock(seconds: Column) -> Column:
+    """h:mm:ss, or m:ss under an hour; nothing under 0."""
+    whole = F.greatest(F.floor(seconds).cast("long"), F.lit(0))
+    return F.when(whole >= 3600, clock(whole)).otherwise(F.format_string("%d:%02d", F.floor(whole / 60), whole % 60))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Where a sentence ends, and the letters of a script.
 SENTENCE_END = r"(?U)(?<=[.!?…])\s+|\n+"
 GEORGIAN = "ა-ჿ"
 # Fixed value: the shape of an owner/name id.
@@ -90,3 +94,18 @@ def instruction_for(input_type: Column, given: Column, default: str) -> Column:
 
 def formatted(text: Column, input_type: Column, instruction: Column) -> Column:
     return F.when(input_type == "query", F.concat(F.lit("Instruct: "), instruction, F.lit("\nQuery:"), text)).otherwise(text)
+
+
+def normalised(text: Column, form: str = "NFKC") -> Column:
+    """A Unicode normal form; ASCII texts have none but their own and stay in the JVM."""
+
+    @F.pandas_udf("string")
+    def normal(column: pd.Series) -> pd.Series:
+        return column.map(lambda t: None if t is None else unicodedata.normalize(form, t))
+
+    plain = F.length(text) == F.octet_length(text)
+    return F.when(plain, text).otherwise(normal(F.when(~plain, text)))
+
+
+def shown(text: Column, most: int) -> Column:
+    return F.substring(text, 1, most)

@@ -42,9 +42,10 @@ def long_documents(docs: DataFrame, least: int = MIN_CHARS) -> DataFrame:
     return docs.where(F.length(text.or_empty(F.col("text"))) > least)
 
 
-def kept_documents(docs: DataFrame, least: int = MIN_CHARS) -> DataFrame:
-    """Long documents with doc_idx, their ordinal among themselves by doc_id."""
-    return with_ordinal(long_documents(docs, least).select("doc_id", "text"), "doc_idx", "doc_id")
+def kept_documents(docs: DataFrame, least: int = MIN_CHARS, carry: tuple = ("text",)) -> DataFrame:
+    """Long documents with doc_idx, their ordinal among themselves by doc_id. Only the columns to carry
+    are sorted along: none of the text where its length or nothing is needed."""
+    return with_ordinal(long_documents(docs, least).select("doc_id", *carry), "doc_idx", "doc_id")
 
 
 def sentences(docs: DataFrame, least: int = 20, most: int = 300, script: str | None = None) -> DataFrame:
@@ -56,9 +57,13 @@ def sentences(docs: DataFrame, least: int = 20, most: int = 300, script: str | N
 
 def distinct_sentences(found: DataFrame) -> DataFrame:
     """Each sentence once, at its first place. The aggregate combines on the map side, so a sentence
-    that very many documents share is no burden to one task."""
-    first = F.min(F.struct("doc_id", "sent_pos")).alias("first")
-    return found.groupBy("sentence").agg(first).select("first.doc_id", "first.sent_pos", "sentence")
+    that very many documents share is no burden to one task. The place is one number, doc_id times
+    2**32 and sent_pos, which keeps the aggregate a hash one."""
+    wide = F.lit(1 << 32).cast("decimal(10,0)")
+    place = F.min(F.col("doc_id").cast("decimal(20,0)") * wide + F.col("sent_pos").cast("decimal(10,0)")).alias("place")
+    first = found.groupBy("sentence").agg(place)
+    at = F.pmod("place", wide)
+    return first.select(F.call_function("div", F.col("place") - at, wide).alias("doc_id"), at.cast("int").alias("sent_pos"), "sentence")
 
 
 def first_distinct(found: DataFrame, n: int) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tessera.functions import hashing
 from tessera.operators import statistics
 from tessera.operators.ordering import with_ordinal
+from tessera.sources.work import work_table
 
 
 def featured(rows: DataFrame, vector: str = "embedding") -> DataFrame:
@@ -19,8 +20,8 @@ def featured(rows: DataFrame, vector: str = "embedding") -> DataFrame:
 
 def few_shot_probe(rows: DataFrame, per_label: int = 8, draws: int = 10, seed: int = 0) -> DataFrame:
     """(run, item, y, p): each draw's model on the rows (item, label, embedding) that it does not train on."""
-    rows = featured(rows).cache()
-    drawn = statistics.few_shot(rows.select("item", "label"), per_label, draws, seed).select("draw", "item").cache()
+    rows = work_table(featured(rows), "featured")
+    drawn = work_table(statistics.few_shot(rows.select("item", "label"), per_label, draws, seed).select("draw", "item"), "drawn")
     out = None
     for draw in range(draws):  # ten small models
         train = rows.join(drawn.where(F.col("draw") == draw), "item", "left_semi")
@@ -33,7 +34,7 @@ def few_shot_probe(rows: DataFrame, per_label: int = 8, draws: int = 10, seed: i
 
 def cross_validated_probe(rows: DataFrame, k: int = 5, seed: int = 0) -> DataFrame:
     """(run, item, y, p): each fold predicted by the model of the other folds."""
-    rows = featured(statistics.folds(rows, k, seed)).cache()
+    rows = work_table(featured(statistics.folds(rows, k, seed)), "folds")
     out = None
     for fold in range(k):
         model = LogisticRegression(maxIter=100, labelCol="label").fit(rows.where(F.col("fold") != fold))
@@ -44,7 +45,7 @@ def cross_validated_probe(rows: DataFrame, k: int = 5, seed: int = 0) -> DataFra
 
 def clustered(rows: DataFrame, k: int, seed: int = 0, starts: int = 1) -> DataFrame:
     """(item, y, c): k-means clusters of the rows, the best of some starts."""
-    data = featured(rows).cache()
+    data = work_table(featured(rows), "featured")
     models = [KMeans(k=k, seed=seed * starts + i, maxIter=30).fit(data) for i in range(starts)]
     model = min(models, key=lambda m: m.summary.trainingCost)
     return model.transform(data).select("item", F.col("label").alias("y"), F.col("prediction").alias("c"))
@@ -60,12 +61,11 @@ def resampled(rows: DataFrame, run: int, seed: int = 0) -> DataFrame:
 def clustering_scores(rows: DataFrame, runs: int = 10, seed: int = 0) -> DataFrame:
     """One row: v-measure (mean, population deviation) and adjusted Rand index over bootstrap resamples,
     each clustered into as many clusters as there are labels."""
-    rows = with_ordinal(rows, "ord", "item").cache()
+    rows = work_table(with_ordinal(rows, "ord", "item"), "ordered")
     n, k = rows.agg(F.count(F.lit(1)), F.countDistinct("label")).first()
     scores = []
     for run in range(runs):  # ten clusterings
-        found = clustered(resampled(rows, run, seed), k, seed + run, starts=3).cache()
+        found = work_table(clustered(resampled(rows, run, seed), k, seed + run, starts=3), "clustered")
         scores.append((run, *statistics.v_measure(found).crossJoin(statistics.adjusted_rand(found)).first()))
-        found.unpersist()
     made = rows.sparkSession.createDataFrame(scores, "run int, v double, a double")
     return made.agg(F.avg("v").alias("v_measure"), F.stddev_pop("v").alias("v_measure_sd"), F.avg("a").alias("ari"), F.lit(n).alias("n"), F.lit(k).alias("n_clusters"))

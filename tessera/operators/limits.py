@@ -31,11 +31,25 @@ def trailing(events: DataFrame, *keys: str) -> DataFrame:
     return counted.where("_own").drop("_us", "_m", "_own")
 
 
-def daily(events: DataFrame, cap: int) -> DataFrame:
-    """events with their UTC day and whether they are among its first `cap` (0: no limit)."""
-    rows = events.withColumn("day", F.floor(micros("ts") / 86_400_000_000))
-    rank = F.row_number().over(Window.partitionBy("day").orderBy("ts", "event_id"))
-    return rows.withColumn("admitted", (rank <= cap) if cap else F.lit(True))
+def daily(events: DataFrame, cap: int, offset: str = "+00:00", used: DataFrame | None = None) -> DataFrame:
+    """events with their day and whether they are among its first `cap` (0: no limit).
+
+    Days change at midnight of the clock that is `offset` from UTC. used (day, used) has what earlier
+    runs took of a day's cap. A day is dealt to its minutes: ranks within a minute, plus the
+    requests of the minutes before, so no task gets a whole day.
+    """
+    hours, minutes = (int(x) for x in offset.split(":"))
+    shift = (abs(hours) * 60 + minutes) * MINUTE * (-1 if offset.startswith("-") else 1)
+    rows = events.withColumn("day", F.floor((micros("ts") + shift) / 86_400_000_000)).withColumn("_minute", F.floor((micros("ts") + shift) / MINUTE))
+    counts = rows.groupBy("day", "_minute").agg(F.count(F.lit(1)).alias("_k"))
+    before = F.sum("_k").over(Window.partitionBy("day").orderBy("_minute").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select("day", "_minute", F.coalesce(before, F.lit(0)).alias("_before"))  # 1,440 rows a day at most
+    rank = F.row_number().over(Window.partitionBy("day", "_minute").orderBy("ts", "event_id"))
+    placed = rows.withColumn("_rank", rank).join(starts, ["day", "_minute"])
+    if used is not None:
+        placed = placed.join(used, "day", "left").withColumn("_before", F.col("_before") + F.coalesce("used", F.lit(0))).drop("used")
+    admitted = (F.col("_before") + F.col("_rank") <= cap) if cap else F.lit(True)
+    return placed.withColumn("admitted", admitted).drop("_minute", "_rank", "_before")
 
 
 def replay(events: DataFrame, rpm: int, tpm: float, key: str = "user_id") -> DataFrame:

@@ -60,8 +60,8 @@ def adjusted_rand(rows: DataFrame) -> DataFrame:
 def few_shot(rows: DataFrame, per_label: int, draws: int, seed: int = 0) -> DataFrame:
     """(draw, label, item): per draw and label the items of the least hash, as many as there are at most.
 
-    A draw needs the least few of each label: array_agg of a whole label would not do, so ranks come
-    from a window over (draw, label); labels are classes of an evaluation set.
+    The rank is only asked for up to `per_label`, so each task keeps that many rows of a draw and label
+    before the exchange (a window group limit), however common a label is.
     """
     each = rows.withColumn("draw", F.explode(F.array(*[F.lit(d) for d in range(draws)])))
     rank = F.row_number().over(Window.partitionBy("draw", "label").orderBy(hashing.draw_key(F.col("item"), F.col("draw"), seed), "item"))
@@ -69,21 +69,45 @@ def few_shot(rows: DataFrame, per_label: int, draws: int, seed: int = 0) -> Data
 
 
 def folds(rows: DataFrame, k: int = 5, seed: int = 0) -> DataFrame:
-    """(item, label, fold): labels dealt evenly to the folds in the order of a hash."""
-    rank = F.row_number().over(Window.partitionBy("label").orderBy(hashing.draw_key(F.col("item"), seed), "item"))
-    return rows.withColumn("fold", F.pmod(rank - 1, F.lit(k)).cast("int"))
+    """(item, label, fold): labels dealt evenly to the folds in the order of a hash.
+
+    A label is cut into cells by the hash's first digits; a rank is that within the cell plus the
+    rows of the cells before, so no task ranks a whole label.
+    """
+    keyed = rows.withColumn("_key", hashing.draw_key(F.col("item"), seed))
+    keyed = keyed.withColumn("_cell", F.substring("_key", 1, 2))
+    counts = keyed.groupBy("label", "_cell").agg(F.count(F.lit(1)).alias("_k"))
+    before = F.sum("_k").over(Window.partitionBy("label").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select("label", "_cell", F.coalesce(before, F.lit(0)).alias("_before"))  # 256 rows a label at most
+    rank = F.row_number().over(Window.partitionBy("label", "_cell").orderBy("_key", "item"))
+    placed = keyed.withColumn("_rank", rank).join(starts.withColumnRenamed("label", "_label"), F.col("label").eqNullSafe(F.col("_label")) & (keyed["_cell"] == starts["_cell"]))
+    return placed.withColumn("fold", F.pmod(F.col("_before") + F.col("_rank") - 1, F.lit(k)).cast("int")).select(*rows.columns, "fold")
+
+
+#: Scores that a bootstrap holds in one row; more are joined.
+HELD_SCORES = 200_000
 
 
 def bootstrap(scores: DataFrame, replicates: int, seed: int = 0) -> DataFrame:
     """One row: mean, lo and hi (2.5 and 97.5 percentiles) of the mean of resampled scores (ord, x).
 
-    ord is 0..n-1. Replicate b takes for slot i the score of a hashed ordinal; counts of an ordinal
-    are summed before scores are joined, so a replicate moves n small rows.
+    ord is 0..n-1. Replicate b takes for slot i the score of a hashed ordinal. Up to HELD_SCORES scores,
+    which is checked, go to the tasks as one array, and a replicate is one row from the start; more
+    scores are joined with their draws, which moves n small rows a replicate.
     """
+    size = scores.count()
     n = scores.agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean"))
-    slots = scores.select("ord").crossJoin(F.broadcast(n)).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    drawn = slots.select("b", F.pmod(hashing.draw_number(F.col("b"), F.col("ord"), seed), F.col("n")).alias("ord"))
-    means = drawn.join(scores, "ord").groupBy("b").agg(F.avg("x").alias("m"))
+    draw = lambda b, i: F.pmod(hashing.draw_number(b, i, seed), F.col("n"))
+    if size <= HELD_SCORES:
+        held = scores.agg(F.array_sort(F.collect_list(F.struct("ord", "x")))["x"].alias("held"), F.count(F.lit(1)).alias("n"))
+        spark = scores.sparkSession
+        tasks = max(1, min(replicates, spark.sparkContext.defaultParallelism))
+        each = spark.range(0, replicates, 1, tasks).withColumnRenamed("id", "b").crossJoin(F.broadcast(held))
+        drawn = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda i: F.element_at("held", (draw(F.col("b"), i) + 1).cast("int")))
+        means = each.where("n > 0").select("b", (F.aggregate(drawn, F.lit(0.0), lambda t, x: t + x) / F.col("n")).alias("m"))
+    else:
+        slots = scores.select("ord").crossJoin(F.broadcast(n)).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+        means = slots.select("b", draw(F.col("b"), F.col("ord")).alias("ord")).join(scores, "ord").groupBy("b").agg(F.avg("x").alias("m"))
     bounds = means.agg(F.percentile("m", F.lit(0.025)).alias("lo"), F.percentile("m", F.lit(0.975)).alias("hi"))
     return n.select("mean").crossJoin(bounds)
 

@@ -2,21 +2,53 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import arrays, hashing, numbers, text
 
+#: Windows that a task makes at a time.
+STEP_WINDOWS = 1 << 14
+
 
 def byte_windows(kept: DataFrame, length: int = 128, least: int = arrays.MIN_WINDOW) -> DataFrame:
-    """(doc_idx, win_idx, ids): the framed windows of byte tokens; those of fewer tokens are dropped."""
+    """(doc_idx, win_idx, ids): the framed windows of byte tokens; those of fewer tokens are dropped.
+
+    A batch's bytes become ids in one step; a document of n bytes starts a window at every `body` bytes
+    while `least` are left.
+    """
     body = length - 2
-    raw = kept.select("doc_idx", F.encode(text.or_empty(F.col("text")), "UTF-8").alias("raw"))
-    n = F.octet_length("raw")
-    # a window starts at every `body` bytes while `least` bytes are left; only then are bytes made ids
-    starts = raw.where(n >= least).select("doc_idx", "raw", F.posexplode(F.sequence(F.lit(0), F.octet_length("raw") - least, F.lit(body))).alias("win_idx", "at"))
-    ids = starts.select("doc_idx", "win_idx", text.byte_tokens(F.substring("raw", F.col("at") + 1, body)).alias("piece"))
-    return ids.select("doc_idx", "win_idx", arrays.framed(F.col("piece"), length).alias("ids"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(1).cast(pa.large_string())
+            if not batch.num_rows:
+                continue
+            ends = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
+            data = np.frombuffer(column.buffers()[2], dtype=np.uint8) if ends[-1] else np.zeros(0, np.uint8)
+            size = np.diff(ends)
+            count = size // body + (size % body >= least)
+            for first in range(0, int(count.sum()), STEP_WINDOWS):
+                total = np.cumsum(count)
+                number = np.arange(first, min(first + STEP_WINDOWS, int(total[-1])))
+                row = np.searchsorted(total, number, "right")
+                win = number - (total - count)[row]
+                start = ends[row] + win * body
+                filled = np.minimum(body, ends[row + 1] - start)
+                place = np.arange(body)
+                inside = place < filled[:, None]
+                ids = np.full((len(number), length), arrays.PAD, dtype=np.int32)
+                ids[:, 0] = arrays.CLS
+                ids[:, 1 : length - 1][inside] = data[(start[:, None] + place)[inside]].astype(np.int32) + arrays.SPECIALS
+                ids[np.arange(len(number)), filled + 1] = arrays.SEP
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, ids.size + 1, length, dtype=np.int32)), pa.array(ids.reshape(-1)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(win.astype(np.int32)), lists], names=["doc_idx", "win_idx", "ids"])
+
+    return kept.select("doc_idx", text.or_empty(F.col("text")).alias("text")).mapInArrow(run, "doc_idx long, win_idx int, ids array<int>")
 
 
 def window_counts(n_tokens, length: int, least: int):

@@ -32,8 +32,18 @@ def pairs_of_views(df: DataFrame, dim: int = 32) -> DataFrame:
 
 def mean_vector(df: DataFrame, vector: str = "embedding") -> DataFrame:
     """(dim, mean): one row a component; a task sends one partial sum a component."""
-    parts = df.select(F.posexplode(arrays.doubles(F.col(vector))).alias("dim", "x"))
-    return parts.groupBy("dim").agg(F.avg("x").alias("mean"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = 0.0, 0
+        for batch in batches:
+            if batch.num_rows:
+                x = _matrix(batch.column(0)).astype(np.float64)
+                total, n = total + x.sum(axis=0), n + len(x)
+        if n:
+            yield pa.RecordBatch.from_pydict({"dim": pa.array(np.arange(len(total)), pa.int32()), "s": total, "n": np.full(len(total), n)})
+
+    parts = df.select(F.col(vector).alias("v")).where("v is not null").mapInArrow(run, "dim int, s double, n long")
+    return parts.groupBy("dim").agg((F.sum("s") / F.sum("n")).alias("mean"))
 
 
 def centred(df: DataFrame, epsilon: float = 1e-8) -> DataFrame:
@@ -125,49 +135,61 @@ def pearson(a: str, b: str) -> Column:
     return F.covar_pop(a, b) * n / (F.sqrt(F.var_pop(a) * n * F.var_pop(b) * n) + 1e-12)
 
 
-def gram_mse(views: DataFrame) -> DataFrame:
-    """Mean square difference of the views' Gram matrices, all cells, by d x d moments: no pairs."""
-    both = views.select(F.posexplode(F.concat("s", "t")).alias("a", "x"), F.col("vec_id"), F.concat("s", "t").alias("all"), F.size("s").alias("d"))
-    cells = both.select("a", "d", F.posexplode(F.transform("all", lambda y: y * F.col("x"))).alias("b", "p"))
-    moments = cells.groupBy("a", "b", "d").agg(F.sum("p").alias("m"), F.count(F.lit(1)).alias("n"))
-    sign = F.when((F.col("a") < F.col("d")) == (F.col("b") < F.col("d")), 1.0).otherwise(-1.0)
-    return moments.agg((F.sum(sign * F.col("m") * F.col("m")) / F.max("n") / F.max("n")).alias("loss"))
+def moments(vectors: DataFrame) -> DataFrame:
+    """(a, row, s, n): row a of the second moments of the vectors `v`, component a's sum, the number of
+    rows. A task sends its own d x d sums once, and the tasks' rows of a component are added up."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        square, total, n = 0.0, 0.0, 0
+        for batch in batches:
+            if batch.num_rows:
+                x = _matrix(batch.column(0))
+                square, total, n = square + x.T @ x, total + x.sum(axis=0), n + len(x)
+        if n:
+            yield pa.RecordBatch.from_pydict({"a": pa.array(np.arange(len(total)), pa.int32()), "row": pa.array(list(square)), "s": total, "n": np.full(len(total), n)})
 
-def moments(vectors: DataFrame) -> DataFrame:
-    """(a, b, m, n): second moments of the rows' vectors `v`, d x d cells."""
-    cells = vectors.select(F.posexplode("v").alias("a", "x"), "v").select("a", F.posexplode(F.transform("v", lambda y: y * F.col("x"))).alias("b", "p"))
-    return cells.groupBy("a", "b").agg(F.sum("p").alias("m"), F.count(F.lit(1)).alias("n"))
+    def add(part: pa.Table) -> pa.Table:
+        square = _matrix(part["row"].combine_chunks()).sum(axis=0)
+        return pa.table({"a": part["a"].slice(0, 1), "row": pa.array([square]), "s": [sum(part["s"].to_pylist())], "n": pa.array([sum(part["n"].to_pylist())], pa.int64())})
+
+    fields = "a int, row array<double>, s double, n long"
+    parts = vectors.select(F.col("v").cast("array<double>")).where("v is not null").mapInArrow(run, fields)
+    return parts.groupBy("a").applyInArrow(add, fields)  # a row of each task
+
+
+def gram_mse(views: DataFrame) -> DataFrame:
+    """Mean square difference of the views' Gram matrices, all cells, by d x d moments: no pairs."""
+    width = views.select(F.max(F.size("s")).alias("d"))  # one row
+    both = moments(views.select(F.concat("s", "t").alias("v"))).crossJoin(F.broadcast(width))
+    signs = F.transform("row", lambda m, b: F.when((F.col("a") < F.col("d")) == (b < F.col("d")), m * m).otherwise(-m * m))
+    return both.agg((F.sum(F.aggregate(signs, F.lit(0.0), lambda t, x: t + x)) / F.max("n") / F.max("n")).alias("loss"))
 
 
 def covariance(vectors: DataFrame) -> DataFrame:
-    """(a, b, c): scatter matrix of the rows less their mean."""
-    mean = vectors.select(F.posexplode("v").alias("dim", "x")).groupBy("dim").agg(F.avg("x").alias("mean"))
-    left = moments(vectors).join(F.broadcast(mean.withColumnRenamed("mean", "ma")), F.col("a") == F.col("dim")).drop("dim")
-    both = left.join(F.broadcast(mean.withColumnRenamed("mean", "mb")), F.col("b") == F.col("dim"))  # a row a component
-    return both.select("a", "b", (F.col("m") - F.col("n") * F.col("ma") * F.col("mb")).alias("c"))
+    """(a, row): scatter matrix of the rows less their mean."""
+    cells = moments(vectors)
+    sums = cells.agg(F.array_sort(F.collect_list(F.struct("a", "s")))["s"].alias("sums"))  # d numbers
+    both = cells.crossJoin(F.broadcast(sums))
+    return both.select("a", F.zip_with("row", "sums", lambda m, t: m - F.col("s") * t / F.col("n")).alias("row"))
 
 
 def mean_cosine(vectors: DataFrame) -> DataFrame:
     """Mean off-diagonal cosine in closed form: (|sum|^2 - sum |v|^2) / (n (n - 1))."""
-    sums = vectors.select(F.posexplode("v").alias("dim", "x")).groupBy("dim").agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"), F.count(F.lit(1)).alias("n"))
-    return sums.agg(((F.sum(F.col("s") * F.col("s")) - F.sum("q")) / (F.max("n") * (F.max("n") - 1))).alias("mean_cosine"))
+    own = F.element_at("row", F.col("a") + 1)
+    return moments(vectors).agg(((F.sum(F.col("s") * F.col("s")) - F.sum(own)) / (F.max("n") * (F.max("n") - 1))).alias("mean_cosine"))
 
 
 def participation_ratio(vectors: DataFrame) -> DataFrame:
     cells = covariance(vectors)
-    trace = F.sum(F.when(F.col("a") == F.col("b"), F.col("c")).otherwise(0.0))
-    return cells.agg((trace * trace / F.sum(F.col("c") * F.col("c"))).alias("participation_ratio"))
+    trace = F.sum(F.element_at("row", F.col("a") + 1))
+    squares = F.sum(F.aggregate("row", F.lit(0.0), lambda t, x: t + x * x))
+    return cells.agg((trace * trace / squares).alias("participation_ratio"))
 
 
 def effective_rank(vectors: DataFrame) -> DataFrame:
     """exp of the entropy of the scatter matrix's eigenvalues; the d x d matrix goes to the driver."""
-    cells = covariance(vectors).collect()
-    d = 1 + max((r.a for r in cells), default=-1)
-    c = np.zeros((d, d))
-    for r in cells:
-        c[r.a, r.b] = r.c
-    p = np.clip(np.linalg.eigvalsh(c), 0, None) if d else np.ones(1)
+    cells = sorted((r.a, r.row) for r in covariance(vectors).collect())
+    p = np.clip(np.linalg.eigvalsh(np.array([row for _, row in cells])), 0, None) if cells else np.ones(1)
     p = p / p.sum()
     rank = float(np.exp(-(p * np.log(p + 1e-12)).sum()))
     return vectors.sparkSession.createDataFrame([(round(rank, 6),)], "effective_rank double")

@@ -48,7 +48,7 @@ def doc_length_filter(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {KEPT} SELECT doc_idx, doc_id FROM kept WHERE doc_idx < 500")
 def doc_ordinal_first_n(spark: SparkSession, sf: str) -> DataFrame:
-    return corpus.kept_documents(table(spark, sf, "documents")).where("doc_idx < 500").select("doc_idx", "doc_id")
+    return corpus.kept_documents(table(spark, sf, "documents"), carry=()).where("doc_idx < 500").select("doc_idx", "doc_id")
 
 
 @query(f"""WITH ring AS (SELECT {list(corpus.RING)!r} AS s), ids AS (SELECT unnest(range(1000)) AS i)
@@ -93,7 +93,7 @@ def content_hash_split(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {KEPT}, {mixed('doc_idx', 3)} SELECT doc_idx, doc_id, h, h < 0.01 AS is_val FROM hashed")
 def doc_hash_split(spark: SparkSession, sf: str) -> DataFrame:
-    return corpus.document_split(corpus.kept_documents(table(spark, sf, "documents")), 0.01, 3).select("doc_idx", "doc_id", "h", "is_val")
+    return corpus.document_split(corpus.kept_documents(table(spark, sf, "documents"), carry=()), 0.01, 3).select("doc_idx", "doc_id", "h", "is_val")
 
 
 @query(f"WITH {DISTINCT} SELECT doc_id, sent_pos, substr(sha1('0' || chr(1) || sentence), 1, 16) AS order_key FROM firsts ORDER BY order_key, doc_id, sent_pos LIMIT 4096")
@@ -120,8 +120,8 @@ def byte_windows(spark: SparkSession, sf: str) -> DataFrame:
     SELECT CASE WHEN is_val THEN 'val' ELSE 'train' END AS side, count(*) AS docs, sum(wins)::BIGINT AS windows, count(*) FILTER (wins > 0) AS docs_with_windows, max(doc_idx) + 1 AS next_doc FROM w GROUP BY 1""")
 def window_split_stats(spark: SparkSession, sf: str) -> DataFrame:
     """Both ways to count a side's documents: all of them, and those with a window."""
-    kept = corpus.document_split(corpus.kept_documents(table(spark, sf, "documents")), 0.01, 0)
-    rows = kept.withColumn("wins", tokens.window_counts(F.octet_length("text"), 128, 32))
+    kept = corpus.document_split(corpus.kept_documents(table(spark, sf, "documents"), carry=(F.octet_length("text").alias("bytes"),)), 0.01, 0)
+    rows = kept.withColumn("wins", tokens.window_counts(F.col("bytes"), 128, 32))
     side = F.when(F.col("is_val"), "val").otherwise("train").alias("side")
     return rows.groupBy(side).agg(F.count(F.lit(1)).alias("docs"), F.sum("wins").alias("windows"), F.count_if(F.col("wins") > 0).alias("docs_with_windows"), (F.max("doc_idx") + 1).alias("next_doc"))
 

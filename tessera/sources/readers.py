@@ -6,8 +6,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -68,9 +68,11 @@ def read_matrix(spark: SparkSession, path: str) -> DataFrame:
 def as_half(vector):
     """Components rounded to 16-bit floats, as a shard stores them."""
 
-    @F.pandas_udf("array<float>")
-    def rounded(column: pd.Series) -> pd.Series:
-        return column.map(lambda v: None if v is None else np.asarray(v, np.float16).astype(np.float32))
+    @F.arrow_udf("array<float>")
+    def rounded(column: pa.Array) -> pa.Array:
+        halves = column.flatten().to_numpy(zero_copy_only=False).astype(np.float16).astype(np.float32)
+        ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False))]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends, mask=None), pa.array(halves), mask=column.is_null() if column.null_count else None)
 
     return rounded(vector)
 

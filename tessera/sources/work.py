@@ -9,12 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; only where it is unset, as in tests, a temporary folder."""
+    """spark.checkpoint.dir; only where it is unset and all runs in one process, as in tests, a
+    temporary folder."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         context = spark.sparkContext
         known = context._jsc.sc().getCheckpointDir()
         found = known.get() if known.isDefined() else None
+        if not found and context.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not found:
             found = "file://" + tempfile.mkdtemp(prefix="tessera-")
             context.setCheckpointDir(found)
