@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text
+from tessera.operators import vectors
+from tessera.sources.work import work_table
 
 
 def word_terms(column: Column) -> Column:
@@ -61,41 +66,90 @@ def latent_semantics(weights: DataFrame, dim: int = 300, sketch: int = 16, seed:
     """(item_id, dim, x): truncated singular vectors of the TF-IDF rows, of unit length.
 
     A randomised range finder: the rows are projected on hashed Gaussian directions, twice through
-    the matrix, and only small Gram matrices of dim + sketch columns come to the driver.
+    the matrix. A row or a term has one array of dim + sketch numbers, tasks add up their own, and only
+    Gram matrices of that width come to the driver.
     """
-    spark = weights.sparkSession
     sizes = weights.agg(F.countDistinct("item_id"), F.countDistinct("term")).first()
     k = min(dim, max(1, min(sizes) - 1))
     wide = min(k + sketch, min(sizes))
-    unit = lambda tag: (F.pmod(F.xxhash64("term", "c", F.lit(seed), F.lit(tag)), F.lit(1 << 52)) + 1) / float(1 << 52)
-    normal = F.sqrt(-2 * F.log(unit("r"))) * F.cos(2 * np.pi * unit("a"))
-    spread = weights.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(wide - 1))))
-    rows = spread.groupBy("item_id", "c").agg(F.sum(F.col("weight") * normal).alias("y"))
+    rows = _summed(weights.select("item_id", "weight", F.xxhash64("term", F.lit(seed)).alias("y")), "item_id", wide)
     for _ in range(2):
-        rows = _orthonormal(rows, wide)
-        terms = weights.join(rows, "item_id").groupBy("term", "c").agg(F.sum(F.col("weight") * F.col("y")).alias("y"))
-        rows = weights.join(_orthonormal(terms.withColumnRenamed("term", "item_id"), wide).withColumnRenamed("item_id", "term"), "term").groupBy("item_id", "c").agg(F.sum(F.col("weight") * F.col("y")).alias("y"))
-    values, turn = np.linalg.eigh(_gram(rows, wide))
-    turn = turn[:, np.argsort(values)[::-1][:k]]
-    turned = _times(spark, rows, turn)
-    norms = turned.groupBy("item_id").agg((F.sqrt(F.sum(F.col("y") * F.col("y"))) + 1e-12).alias("norm"))
-    return turned.join(norms, "item_id").select("item_id", F.col("c").alias("dim"), (F.col("y") / F.col("norm")).alias("x"))
-
-
-def _gram(rows: DataFrame, wide: int) -> np.ndarray:
-    right = rows.select("item_id", F.col("c").alias("d"), F.col("y").alias("z"))
-    out = np.zeros((wide, wide))
-    for r in rows.join(right, "item_id").groupBy("c", "d").agg(F.sum(F.col("y") * F.col("z")).alias("g")).collect():
-        out[r.c, r.d] = r.g
-    return out
-
-
-def _orthonormal(rows: DataFrame, wide: int) -> DataFrame:
-    values, turn = np.linalg.eigh(_gram(rows, wide))
-    return _times(rows.sparkSession, rows, turn / np.sqrt(np.maximum(values, 1e-12 * values.max())))
-
-
-def _times(spark, rows: DataFrame, matrix: np.ndarray) -> DataFrame:
-    """rows (item_id, c, y) times a small matrix."""
-    cells = spark.createDataFrame([(i, j, float(v)) for (i, j), v in np.ndenumerate(matrix)], "c int, e int, m double")
-    return rows.join(F.broadcast(cells), "c").groupBy("item_id", F.col("e").alias("c")).agg(F.sum(F.col("y") * F.col("m")).alias("y"))
+        terms = _summed(weights.join(_orthonormal(rows), "item_id").select("term", "weight", "y"), "term", wide)
+        rows = _summed(weights.join(_orthonormal(terms), "term").select("item_id", "weight", "y"), "item_id", wide)
+    values, turn = np.linalg.eigh(_gram(rows))
+    turned = _times(rows, turn[:, np.argsort(values)[::-1][:k]])
+    unit = F.transform("y", lambda x: x / (F.sqrt(F.aggregate("y", F.lit(0.0), lambda s, z: s + z * z)) + 1e-12))
+    return turned.select("item_id", F.posexplode(unit).alias("dim", "x"))
+
+
+def _directions(hashes: np.ndarray, wide: int) -> np.ndarray:
+    """(len(hashes), wide) standard normal numbers, the same for the same hash."""
+
+    def uniform(tag: int) -> np.ndarray:
+        x = hashes.view(np.uint64)[:, None] + np.uint64(0x9E3779B97F4A7C15) * (np.arange(wide, dtype=np.uint64) * np.uint64(2) + np.uint64(tag + 1))
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+        return (((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) + 1.0) * 2.0**-53
+
+    return np.sqrt(-2 * np.log(uniform(0))) * np.cos(2 * np.pi * uniform(1))
+
+
+def _summed(entries: DataFrame, key: str, wide: int) -> DataFrame:
+    """(key, y): sums of weight times y, an array or the hash of a random direction, over each key's
+    entries (key, weight, y). A task adds up the entries of a batch before the exchange."""
+    random = entries.schema["y"].dataType.simpleString() == "bigint"
+    fields = f"{key} {entries.schema[key].dataType.simpleString()}, y array<double>"
+
+    def added(keys: pa.Array, values: np.ndarray) -> pa.RecordBatch:
+        coded = keys.dictionary_encode()
+        sums = np.zeros((len(coded.dictionary), wide))
+        np.add.at(sums, coded.indices.to_numpy(), values)
+        ends = np.arange(0, sums.size + 1, wide, dtype=np.int32)
+        return pa.RecordBatch.from_arrays([coded.dictionary, pa.ListArray.from_arrays(pa.array(ends), pa.array(sums.reshape(-1)))], names=[key, "y"])
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 4096):
+                batch = whole.slice(start, 4096)
+                y = batch.column(2)
+                values = _directions(y.to_numpy(), wide) if random else y.flatten().to_numpy(zero_copy_only=False).reshape(len(y), wide)
+                yield added(batch.column(0), values * batch.column(1).to_numpy()[:, None])
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.RecordBatch | None = None  # the last key may go on in the next batch
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            both = pa.Table.from_batches([b for b in (held, batch) if b is not None]).combine_chunks().to_batches()[0]
+            found = added(both.column(0), both.column(1).flatten().to_numpy(zero_copy_only=False).reshape(both.num_rows, wide))
+            yield found.slice(0, found.num_rows - 1)
+            held = found.slice(found.num_rows - 1)
+        if held is not None:
+            yield held
+
+    sums = entries.select(key, "weight", "y").mapInArrow(partial, fields).repartition(key).sortWithinPartitions(key)
+    return work_table(sums.mapInArrow(whole, fields), "sums")
+
+
+def _gram(rows: DataFrame) -> np.ndarray:
+    cells = sorted((r.a, r.row) for r in vectors.moments(rows.select(F.col("y").alias("v"))).collect())
+    return np.array([row for _, row in cells])
+
+
+def _orthonormal(rows: DataFrame) -> DataFrame:
+    values, turn = np.linalg.eigh(_gram(rows))
+    return _times(rows, turn / np.sqrt(np.maximum(values, 1e-12 * values.max())))
+
+
+def _times(rows: DataFrame, matrix: np.ndarray) -> DataFrame:
+    """rows (key, y) times a small matrix."""
+    shared = rows.sparkSession.sparkContext.broadcast(matrix)  # dim + sketch squared at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            y = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) if batch.num_rows else np.zeros((0, len(shared.value)))
+            turned = y @ shared.value
+            ends = np.arange(0, turned.size + 1, turned.shape[1], dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(turned.reshape(-1)))], names=batch.schema.names)
+
+    return rows.mapInArrow(run, rows.schema)

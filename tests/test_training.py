@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera import plans
 from tessera.functions import text
-from tessera.operators import batches, limits, statistics, tokens, training
+from tessera.operators import batches, features, limits, statistics, tokens, training
 from tessera.sources import artifacts, readers
 from tessera.sources.work import scratch_path
 
@@ -185,3 +185,53 @@ def test_daily_caps_at_local_midnight(spark):
     days = {r.event_id: r.day for r in limits.daily(events, 2, "+03:00").collect()}
     assert days[1] == days[0] + 1 == days[5]
     assert all(r.admitted for r in limits.daily(events, 0).collect())
+
+
+def test_latent_semantics_is_the_truncated_svd(spark):
+    rng = np.random.default_rng(4)
+    dense = rng.random((30, 50)) * (rng.random((30, 50)) < 0.3)
+    rows = [(i, f"t{j}", float(dense[i, j])) for i in range(30) for j in range(50) if dense[i, j]]
+    weights = spark.createDataFrame(rows, "item_id long, term string, weight double").repartition(5)
+    for dim in (4, 300):
+        found = np.zeros((30, min(dim, 29)))
+        for r in features.latent_semantics(weights, dim).collect():
+            found[r.item_id, r.dim] = r.x
+        u, s, _ = np.linalg.svd(dense)
+        want = (u[:, : found.shape[1]] * s[: found.shape[1]])
+        want /= np.linalg.norm(want, axis=1, keepdims=True)
+        assert np.abs(found @ found.T - want @ want.T).max() < (1e-6 if dim == 300 else 1e-2)
+
+
+def test_trigram_projection_by_definition(spark):
+    xxhash = pytest.importorskip("xxhash")
+
+    def spark_hash(*parts):
+        seed = 42
+        for p in parts:
+            raw = p.encode() if isinstance(p, str) else int(p).to_bytes(8 if isinstance(p, np.int64) else 4, "little", signed=True)
+            seed = xxhash.xxh64_intdigest(raw, seed=seed)
+        return seed - (1 << 64) if seed >> 63 else seed
+
+    texts = ["some text here", "a", "", "ttt ttt"]
+    got = np.zeros((4, 8))
+    for r in features.trigram_projection(spark.createDataFrame(list(enumerate(texts)), "item_id long, text string"), 8).collect():
+        got[r.item_id, r.dim] = r.x
+    for i, t in enumerate(texts):
+        padded, want = f" {t} ", np.zeros(8)
+        for a in range(len(padded) - 2):
+            bucket = np.int64(spark_hash(padded[a : a + 3]) % 65_536)
+            for d in range(8):
+                u, v = ((spark_hash(bucket, d, 0, tag) % (1 << 52) + 1) / (1 << 52) for tag in "ra")
+                want[d] += math.sqrt(-2 * math.log(u)) * math.cos(2 * math.pi * v)
+        assert got[i] == pytest.approx(want / (np.linalg.norm(want) + 1e-12), abs=1e-9)
+
+
+def test_probes_are_scored_on_rows_they_do_not_train_on(spark):
+    from tessera.operators import learning
+
+    rng = np.random.default_rng(1)
+    rows = spark.createDataFrame([(i, i % 3, [float(x) for x in rng.normal(size=4) + 6 * (i % 3)]) for i in range(90)], "item long, label int, embedding array<double>")
+    few = learning.few_shot_probe(rows, per_label=4, draws=2).collect()
+    assert all(sum(r.run == d for r in few) == 90 - 12 for d in (0, 1)) and sum(r.y == r.p for r in few) / len(few) > 0.95
+    folds = learning.cross_validated_probe(rows).collect()
+    assert sorted(r.item for r in folds) == list(range(90)) and sum(r.y == r.p for r in folds) / 90 > 0.95
