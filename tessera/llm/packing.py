@@ -3,16 +3,18 @@
 Lengths are integers of at most the largest permitted sequence, so best-fit decreasing is worked
 out exactly on their histogram: all bins with the same room take the same run of lengths at once,
 and the plan has a size bounded by the permitted lengths, whatever the number of documents. Where
-no open bin has room, the permitted length of the least cost for each token it is expected to hold
-is opened; the plan is made for several expectations of what still fills a bin and for each largest
-permitted length, and the plan of the least total cost is taken, which optimises the lengths
-jointly. At the end each bin is cut down to the smallest permitted length that holds its contents.
+no open bin has room, the length of the least cost for each token it is expected to hold is opened,
+among a set of the permitted ones. That set is searched for, so the lengths are optimised jointly: from
+all of them, and from the largest alone, a length is left out or taken in while that lowers the plan's
+total cost, for several expectations of what still fills a bin. At the end each bin is cut down to the
+smallest permitted length that holds its contents.
 
 The documents then only need their rank among the pieces of equal length: pieces are counted in
 cells of bounded size, so one common length does not meet in one task.
 
-A token here is a UTF-8 byte. Texts longer than the largest sequence are cut into pieces of that
-length and a rest. Null and empty texts have length 0 and take no bin (bin_id null, one row each).
+A token is a UTF-8 byte of the text, or with `ids_col` an id of an array column, such as
+byte-level BPE encoding gives; arrays are cut at the largest sequence. Texts longer than the largest sequence are cut into pieces, each at the
+last start of a character that leaves no piece longer than it. Null and empty texts and arrays have length 0 and take no bin (bin_id null, one row each).
 Repeated rows are packed each for itself; other columns are ignored; an empty table gives no rows.
 """
 
@@ -24,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import materialise
@@ -32,6 +34,8 @@ from tessera.llm.common import materialise
 SIZES = (512, 1024, 2048, 4096, 8192)
 #: A sequence of S tokens costs S + S*S/ATTENTION.
 ATTENTION = 65_536
+#: Shares of a new bin's room that shorter pieces are expected to fill.
+EXPECTATIONS = (0.0, 0.5, 0.9, 1.0)
 #: Pieces of one cell, at least; of large inputs the square root of all pieces.
 CELL_ROWS = 250
 
@@ -44,8 +48,8 @@ class Plan:
     rooms: room left in the opened lengths, before bins are cut down: number of bins
     """
 
-    def __init__(self, counts: dict[int, int], sizes: tuple[int, ...], expect: float, attention: float = ATTENTION):
-        self.sizes, self.attention = tuple(sorted(sizes)), attention
+    def __init__(self, counts: dict[int, int], sizes: tuple[int, ...], expect: float, attention: float = ATTENTION, opened: tuple[int, ...] = ()):
+        self.sizes, self.opened, self.attention = tuple(sorted(sizes)), tuple(sorted(opened or sizes)), attention
         self.runs: list[tuple[int, int, int, int, int, int]] = []
         self.bins: list[tuple[int, int, int, int]] = []
         self.n_bins = 0
@@ -99,7 +103,7 @@ class Plan:
             filled = own + min(expect * (size - own), rest)
             return self.price(size) / filled
 
-        return min((s for s in self.sizes if s >= length), key=lambda s: (price(s), s))
+        return min((s for s in self.opened if s >= length), key=lambda s: (price(s), s))
 
     def price(self, size: int) -> float:
         return size + size * size / self.attention
@@ -110,33 +114,81 @@ class Plan:
 
 
 def best_plan(counts: dict[int, int], sizes: tuple[int, ...] = SIZES, attention: float = ATTENTION) -> Plan:
-    """The cheapest of the plans over expectations of later filling and largest permitted lengths."""
+    """The cheapest plan found over expectations of later filling and sets of lengths to open."""
     longest = max((x for x, n in counts.items() if n), default=0)
     sizes = tuple(sorted(sizes))
     if longest > sizes[-1]:
         raise ValueError(f"length {longest} is over the largest permitted length {sizes[-1]}")
-    plans = [Plan(counts, sizes[: i + 1], expect, attention) for i in range(len(sizes)) if sizes[i] >= longest for expect in (0.0, 0.5, 0.9, 1.0)]
-    return min(plans, key=lambda p: p.cost)
+    made: dict[tuple[tuple[int, ...], float], Plan] = {}
+
+    def plan(opened: tuple[int, ...], expect: float) -> Plan:
+        if (opened, expect) not in made:
+            made[opened, expect] = Plan(counts, sizes, expect, attention, opened)
+        return made[opened, expect]
+
+    holds = next(s for s in sizes if s >= longest)
+    for expect in EXPECTATIONS:
+        for opened in (sizes, (holds,)):
+            best = plan(opened, expect)
+            while True:
+                others = [tuple(s for s in sizes if (s in best.opened) != (s == change)) for change in sizes]
+                others = [o for o in others if o and o[-1] >= longest]
+                lower = min((plan(o, expect) for o in others), key=lambda p: p.cost, default=best)
+                if lower.cost >= best.cost:
+                    break
+                best = lower
+    return min(made.values(), key=lambda p: p.cost)
 
 
 def pieces_of(df: DataFrame, longest: int, *, id_col: str = "doc_id", text_col: str = "text", content: bool = False) -> DataFrame:
-    """Rows of (id_col, piece, length[, content]): every document in pieces of `longest` bytes at most."""
-    raw = df.select(F.col(id_col), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("_raw"))
-    raw = raw.withColumn("_n", F.octet_length("_raw"))
-    last = F.greatest(F.ceil(F.col("_n") / longest) - 1, F.lit(0)).cast("int")
-    carried = ["_raw"] if content else []
-    cut = raw.select(id_col, "_n", *carried, F.explode(F.sequence(F.lit(0), last)).alias("piece"))
-    columns = [id_col, "piece", F.least(F.lit(longest), F.col("_n") - F.col("piece") * longest).cast("int").alias("length")]
+    """Rows of (id_col, piece, length[, content]): every document in pieces of `longest` bytes at most.
+
+    Piece k starts at the first byte of the character that byte k * (longest - 3) is in; a character
+    has four bytes at most, so no piece is longer than `longest`.
+    """
+    if longest < 7:
+        raise ValueError("a piece has room for two characters at least")
+    raw = df.select(F.col(id_col).alias("id"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("raw"))
+    raw = raw.withColumn("n", F.octet_length("raw"))
+    step = longest - 3
+    last = F.when(F.col("n") > longest, F.ceil(F.col("n") / step) - 1).otherwise(0).cast("int")
+    cut = raw.select("id", "n", "raw", F.explode(F.sequence(F.lit(0), last)).alias("piece"))
+
+    def start(k: Column) -> Column:
+        at = k * step
+        inside = lambda back: F.hex(F.substring("raw", at - back + 1, 1)).rlike("^[89AB]")  # noqa: E731  not a character's first byte
+        back = F.when(~inside(0), 0).when(~inside(1), 1).when(~inside(2), 2).otherwise(3)
+        return F.when((k == 0) | (at >= F.col("n")), F.least(at, F.col("n"))).otherwise(at - back)
+
+    end = F.when(F.col("n") > longest, start(F.col("piece") + 1)).otherwise(F.col("n"))
+    cut = cut.select("id", "raw", "piece", start(F.col("piece")).alias("a"), end.alias("b"))
+    columns = [F.col("id").alias(id_col), "piece", (F.col("b") - F.col("a")).cast("int").alias("length")]
     if content:
-        columns.append(F.substring("_raw", F.col("piece") * longest + 1, longest).alias("content"))
+        columns.append(F.substring("raw", F.col("a") + 1, F.col("b") - F.col("a")).alias("content"))
     return cut.select(*columns)
 
 
-def best_fit_pack(df: DataFrame, sizes: tuple[int, ...] = SIZES, *, id_col: str = "doc_id", text_col: str = "text", content: bool = False, cell_rows: int = CELL_ROWS) -> DataFrame:
+def pieces_of_ids(df: DataFrame, longest: int, *, id_col: str = "doc_id", ids_col: str = "ids", content: bool = False) -> DataFrame:
+    """Rows of (id_col, piece, length[, content]): every array in pieces of `longest` ids at most."""
+    ids = F.col(ids_col)
+    raw = df.select(F.col(id_col).alias("id"), ids.alias("ids"), F.coalesce(F.when(ids.isNotNull(), F.size(ids)), F.lit(0)).alias("n"))
+    last = F.greatest(F.ceil(F.col("n") / longest) - 1, F.lit(0)).cast("int")
+    cut = raw.select("id", "ids", "n", F.explode(F.sequence(F.lit(0), last)).alias("piece"))
+    length = F.least(F.lit(longest), F.col("n") - F.col("piece") * longest).cast("int")
+    columns = [F.col("id").alias(id_col), "piece", length.alias("length")]
+    if content:
+        columns.append(F.slice("ids", F.col("piece") * longest + 1, longest).alias("content"))
+    return cut.select(*columns)
+
+
+def best_fit_pack(df: DataFrame, sizes: tuple[int, ...] = SIZES, *, id_col: str = "doc_id", text_col: str = "text", ids_col: str | None = None, content: bool = False, cell_rows: int = CELL_ROWS) -> DataFrame:
     """Rows of (id_col, piece, length, bin_id, bin_offset, capacity, bin_used[, content])."""
     spark = df.sparkSession
     longest = max(sizes)
-    own = pieces_of(df, longest, id_col=id_col, text_col=text_col, content=content)
+    if ids_col is None:
+        own = pieces_of(df, longest, id_col=id_col, text_col=text_col, content=content)
+    else:
+        own = pieces_of_ids(df, longest, id_col=id_col, ids_col=ids_col, content=content)
     own = materialise(own.withColumn("_row", F.monotonically_increasing_id()), "pieces")
     counts = {r.length: r["count"] for r in own.groupBy("length").count().collect()}  # one row a length
     plan = best_plan({x: n for x, n in counts.items() if x}, sizes)
@@ -157,7 +209,9 @@ def best_fit_pack(df: DataFrame, sizes: tuple[int, ...] = SIZES, *, id_col: str
     bins = np.array(plan.bins, dtype=np.int64).reshape(-1, 4)
     shared = spark.sparkContext.broadcast((runs, bins))  # bounded by the permitted lengths
     kind = ranked.schema[0].dataType.simpleString()
-    fields = f"`{id_col}` {kind}, piece int, length int, bin_id long, bin_offset int, capacity int, bin_used int" + ", content binary" * content
+    fields = f"`{id_col}` {kind}, piece int, length int, bin_id long, bin_offset int, capacity int, bin_used int"
+    if content:
+        fields += f", content {ranked.schema['content'].dataType.simpleString()}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs, bins = shared.value
