@@ -7,7 +7,8 @@ the tokenizer itself. Pre-tokens never cross the network, only the bounded summa
 change only the speed: a count is always the tokenizer's own.
 
 This holds for tokenizers whose pre-tokenisation drops white space (so no token spans it) and whose
-special strings hold no white space; `encode` of each run alone then gives the text's tokens. Null
+special strings hold no white space; `encode` of each run alone then gives the text's tokens. A model
+for which it does not hold on the frequent runs is refused. Null
 text counts as empty: 0 tokens. Each row gives one row, repeated rows included.
 """
 
@@ -79,12 +80,22 @@ def frequent_pretokens(df: DataFrame, text_col: str = "text", table: int = TABLE
     return [r.run for r in rows if len(r.run) <= 64]
 
 
+def _refuse_spanning(encode: Counts, words: list[str]) -> None:
+    """An error for a tokenizer to which white space between runs is more than a gap."""
+    probe = words[:2_000] or ["a", "b."]
+    alone = sum(encode._encode(probe))
+    for space in (" ", "\n", "\t  "):
+        if encode._encode([space + space.join(probe) + space])[0] != alone:
+            raise ValueError("this tokenizer's tokens span white space: its runs cannot be counted one by one")
+
+
 def count_tokens(df: DataFrame, model: str, *, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each row's n_bytes (UTF-8), n_tokens and over_limit (n_tokens > limit). `model` is the
     tokenizer's JSON. Two scans, no shuffle of pre-tokens."""
     context = df.sparkSession.sparkContext
     words = frequent_pretokens(df, text_col)
     encode = Counts(model, {})
+    _refuse_spanning(encode, words)
     shared = context.broadcast((model, {w: encode(w) for w in words}))  # TABLE rows of 64 letters at most
     slim = df.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     fields = f"`{id_col}` {slim.schema[0].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean"

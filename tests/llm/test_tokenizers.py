@@ -84,5 +84,12 @@ def test_op8_over_documents(spark, docs, odd, empty, word_json, library):
     assert token_count.count_tokens(empty, word_json).count() == 0
 
 
+def test_a_tokenizer_whose_tokens_span_space_is_refused(spark):
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        model = file.read()
+    with pytest.raises(ValueError, match="span white space"):
+        token_count.count_tokens(spark.createDataFrame([(1, "some words of a text")], "doc_id long, text string"), model)
+
+
 def test_registered(spark, sf, docs):
     assert queries.QUERIES["op4_byte_bpe"](spark, sf).count() == docs.count()
