@@ -23,7 +23,7 @@ def shared_dir(spark: SparkSession) -> str:
         context = spark.sparkContext
         found = context._jsc.sc().getCheckpointDir()
         found = found.get() if found.isDefined() else None
-        if not found and not spark.sparkContext.master.startswith("local["):
+        if not found and spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not found:
             found = "file://" + tempfile.mkdtemp(prefix="tessera-")
@@ -111,6 +111,21 @@ def _lengths(column: pa.Array) -> np.ndarray:
     return pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
+def dealt_join(rows: DataFrame, one: DataFrame, keys: list[str], hot: DataFrame, spread: str, parts: int = 64, bits: int = 22) -> DataFrame:
+    """rows joined with `one`, which has a row for each value of `keys`.
+
+    hot is a work table of the first key's values that very many rows have. Rows of a key that the filter of the hot ones
+    lets through are dealt to `parts` tasks by column `spread`, and that key's row is copied to each of
+    them; both sides ask the same filter, so a match is never lost.
+    """
+    filter_ = key_filter(hot, bits)
+    wide = may_be_in(F.col(keys[0]), filter_, bits)
+    part = fresh(rows, "part")
+    left = rows.withColumn(part, F.when(wide, F.pmod(F.xxhash64(spread), F.lit(parts))).otherwise(F.lit(0).cast("long")))
+    copies = F.when(wide, F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    return left.join(one.withColumn(part, F.explode(copies)), [*keys, part]).drop(part)
+
+
 def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     """rows (a work table) less those whose `key` is in `gone` (a work table of that column), without the
     column. Only rows that the filter of `gone` lets through are dealt out for the join."""

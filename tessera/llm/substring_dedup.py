@@ -15,8 +15,8 @@ Covered words of overlapping windows merge into maximal intervals.
 
 No step sends a group of equal keys to one task: each aggregate combines on the map side, and the
 joins can be split by Spark. Texts travel once, compressed. Null text has no words, a null doc_id
-comes before all others; rows with equal doc_id and equal words do not precede one another. Extra
-columns are ignored. Every row gives one row; an empty table gives none.
+comes before all others; rows with equal doc_id and equal words do not precede one another, those of
+equal doc_id and other words do so in the order of their words' digests. Extra columns are ignored. Every row gives one row; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -30,12 +30,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialise, steps
+from tessera.llm.common import dealt_join, key_filter, materialise, may_be_in, steps
 from tessera.llm.words import GOLDEN, U64, Words, mix, polynomial, sliding_argmin, starts_within
 
 SIZE = 20
 #: Words of an anchor.
 ANCHOR = 8
+#: Places of an anchor from which it is dealt to several tasks; bits of the filter of repeated anchors.
+HOT, FILTER_BITS = 2_000, 24
 NO_WORDS = hashlib.sha256(b"").hexdigest()
 
 
@@ -73,7 +75,7 @@ def _units(texts: DataFrame, spark) -> tuple[DataFrame, int, int]:
     found = slim.groupBy("k1", "k2").agg(F.min(F.coalesce(F.col("_id").cast("long"), low)).alias("ord"), F.max("n").alias("n"))
     found = materialise(found, "units")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = found.repartitionByRange(parts, "ord").sortWithinPartitions("ord").withColumn("_m", F.monotonically_increasing_id())
+    placed = found.repartitionByRange(parts, "ord").sortWithinPartitions("ord", "k1", "k2").withColumn("_m", F.monotonically_increasing_id())
     placed = materialise(placed, "units-in-order")
     index = F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
     most = placed.agg(F.max(F.shiftright("_m", 33)), F.max(index), F.max("n")).first()
@@ -124,8 +126,12 @@ def remove_repeats(df: DataFrame, *, size: int = SIZE, anchor: int = ANCHOR, id_
     units, shift = _units(texts, spark)
 
     anchors = _anchors(texts, size, anchor)
-    repeated = anchors.groupBy("anchor").count().where("count > 1").select("anchor")
-    marks = anchors.join(repeated, "anchor").groupBy("short").agg(F.collect_set("anchor").alias("marks"))
+    repeated = materialise(anchors.groupBy("anchor").count().where("count > 1"), "repeated-anchors")
+    # only anchors that a filter of the repeated ones lets through are dealt out; very common ones to many tasks
+    keys = repeated.select("anchor")
+    some = anchors.where(may_be_in(F.col("anchor"), key_filter(keys, FILTER_BITS), FILTER_BITS))
+    found = dealt_join(some, keys, ["anchor"], repeated.where(F.col("count") >= HOT).select("anchor"), "short")
+    marks = found.groupBy("short").agg(F.collect_set("anchor").alias("marks"))
     short = F.col("k1").bitwiseAND(F.lit((1 << 48) - 1))
     info = units.withColumn("short", short).join(marks, "short", "left").select("short", F.col("k1").alias("u1"), F.col("k2").alias("u2"), "ord", "unit", "marks")
 

@@ -169,6 +169,37 @@ def test_op2(docs, odd, empty):
     assert packing.best_fit_pack(empty).count() == 0
 
 
+def test_pieces_are_cut_between_characters(spark):
+    rng = random.Random(6)
+    texts = [None, "", "a" * 64, "a" * 65, "é" * 32, "x" + "é" * 40, "€" * 50, "xy" + "𝄞" * 33] + ["".join(rng.choices("aé€𝄞", k=rng.randint(0, 300))) for _ in range(60)]
+    pieces = defaultdict(dict)
+    for r in packing.pieces_of(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 64, content=True).collect():
+        pieces[r.doc_id][r.piece] = bytes(r.content)
+        assert r.length == len(r.content) <= 64 and (r.length or not texts[r.doc_id])
+    for i, text in enumerate(texts):
+        assert "".join(pieces[i][k].decode() for k in range(len(pieces[i]))) == (text or "")
+
+
+def test_ids_are_packed_whole(spark):
+    rows = [(i, None if i == 3 else list(range(n))) for i, n in enumerate([0, 1, 31, 5, 32, 33, 100, 17])]
+    got = defaultdict(dict)
+    for r in packing.best_fit_pack(spark.createDataFrame(rows, "doc_id long, ids array<int>"), (8, 16, 32), ids_col="ids", content=True).collect():
+        got[r.doc_id][r.piece] = list(r.content or [])
+        assert (r.bin_id is None) == (r.length == 0) and r.length == len(r.content or [])
+    assert {i: sum((p[k] for k in sorted(p)), []) for i, p in got.items()} == {i: ids or [] for i, ids in rows}
+
+
+def test_the_set_of_lengths_is_searched(docs):
+    """The chosen plan is at most a hundredth dearer than the best over every set of lengths."""
+    counts = dict(Counter(min(len((r.text or "").encode()), 1024) for r in docs.collect()))
+    counts.pop(0, None)
+    sizes = (128, 256, 512, 1024)
+    best = packing.best_plan(counts, sizes)
+    sets = [tuple(s for k, s in enumerate(sizes) if bits >> k & 1) for bits in range(8, 16)]
+    assert best.cost <= 1.01 * min(packing.Plan(counts, sizes, e, opened=o).cost for o in sets for e in packing.EXPECTATIONS)
+    assert best.cost <= min(packing.Plan(counts, sizes, e).cost for e in packing.EXPECTATIONS)
+
+
 def test_several_lengths_cost_less_than_one(docs):
     counts = Counter(min(len((r.text or "").encode()), 8192) for r in docs.collect())
     counts.pop(0, None)
