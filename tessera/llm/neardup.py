@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fresh, key_filter, materialise, may_be_in, release, steps, without
+from tessera.llm.common import dealt_join, fresh, key_filter, materialise, may_be_in, release, steps, without
 from tessera.llm.graph import components
 from tessera.llm.words import GOLDEN, U64, Words, mix, polynomial, starts_within
 
@@ -44,6 +44,8 @@ BANDS, ROWS = 30, 5
 K = BANDS * ROWS
 #: Documents and shingles of a block, about. They bound a task's memory; every pair of a bucket is met all the same.
 BLOCK, BLOCK_MASS = 256, 1 << 18
+#: Rows of a class from which it is dealt to several tasks.
+HOT = 500
 
 
 def uniform(x: np.ndarray) -> np.ndarray:
@@ -359,9 +361,11 @@ def classes(rows: DataFrame, units: DataFrame, *, size: int = SHINGLE, threshold
 def _classed(df: DataFrame, id_col: str, text_col: str, size: int, threshold: float, bands: int, rows: int) -> DataFrame:
     """_id, _row and label of each row."""
     signed = _signed(df, id_col, text_col, size, bands, rows)
-    units = signed.groupBy("k1", "k2").agg(F.min("_row").alias("unit"))
+    units = materialise(signed.groupBy("k1", "k2").agg(F.min("_row").alias("unit"), F.count(F.lit(1)).alias("copies")), "near-keys")
     own = F.when(F.col("_row") == F.col("unit"), F.col("bands"))
-    members = materialise(signed.drop("packed").join(units, ["k1", "k2"]).select("_id", "_row", "unit", "mass", own.alias("bands")), "near-units")
+    members = dealt_join(signed.drop("packed"), units.select("k1", "k2", "unit"), ["k1", "k2"], units.where(F.col("copies") >= HOT).select("k1"), "_row")
+    members = materialise(members.select("_id", "_row", "unit", "mass", own.alias("bands")), "near-units")
+    release(units)
     labels = classes(signed, members.where("_row = unit").select("unit", "mass", "bands"), size=size, threshold=threshold)
     release(signed)
     members = members.select("_id", "_row", "unit")
@@ -374,8 +378,8 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     """Each row's id_col, class_id (the id that stays), class_size and kept."""
     classed = materialise(_classed(df, id_col, text_col, size, threshold, bands, rows), "classed")
     place = F.struct(F.col("_id").isNull().alias("z"), F.col("_id").alias("i"), F.col("_row").alias("r"))
-    stays = classed.groupBy("label").agg(F.min(place).alias("_best"), F.count(F.lit(1)).alias("class_size"))
-    out = classed.join(stays, "label")
+    stays = materialise(classed.groupBy("label").agg(F.min(place).alias("_best"), F.count(F.lit(1)).alias("class_size")), "near-classes")
+    out = dealt_join(classed, stays, ["label"], stays.where(F.col("class_size") >= HOT).select("label"), "_row")
     return out.select(F.col("_id").alias(id_col), F.col("_best.i").alias("class_id"), "class_size", (F.col("_best.r") == F.col("_row")).alias("kept"))
 
 
