@@ -1,19 +1,20 @@
 """Nearest neighbours by vantage-point trees per shard.
 
-Pivots, a bounded sample spread by farthest-first choice, cut the space into cells: a vector goes to
-its nearest pivot. A cell is cut into shards of bounded size by row number, so copies of one vector
-do not fill a shard. Each shard has a vantage-point tree, which splits at the median distance from a
-vantage point and ends in leaves scanned whole.
+Pivots, a bounded sample, cut the space into cells at two levels: a vector goes to the region of its
+nearest upper pivot and in it to the cell of its nearest lower one. The number of cells grows with the
+table up to MOST_CELLS, so a cell is a shard of about the size wanted. Only a cell that is
+much larger, as copies of one vector make it, is cut into several shards by row number. Each shard has a
+vantage-point tree, which splits at the median distance from a vantage point and ends in leaves scanned whole.
 
 A query first searches a shard of its own cell. Its k-th distance then bounds the other shards: the
-triangle inequality gives a least distance to a cell (outside its radius, or beyond the bisector of
-the pivots), and shards whose least distance times `factor` is over the bound are left out; inside a
-tree the same rule prunes subtrees. With factor 1 nothing that could count is left out and the
+triangle inequality gives a least distance to a cell (outside its or its region's radius, or beyond
+the bisector of two pivots of a level), and shards whose least distance times `factor` is over the
+bound are left out; inside a tree the same rule prunes subtrees. With factor 1 nothing that could count is left out and the
 search is exact; larger factors prune more. Queries are a stated set, sent to shards in rows, never
 crossed with the vectors.
 
-Vectors that are null, empty, zero, hold null or non-finite components, or have another length than
-the commonest one take no part, nor do rows with a null vec_id. A query's own row is no candidate;
+Vectors that are null, empty, zero or hold null or non-finite components take no part, nor do rows
+with a null vec_id. Vectors of different lengths have no distance: each length is searched by itself. A query's own row is no candidate;
 another row of the same vec_id is. Ties go to the smaller vec_id. Fewer candidates than k: all of
 them. Extra columns are ignored; an empty table gives an empty result.
 """
@@ -30,8 +31,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import materialise
 
-#: Vectors from which pivots are chosen, at most; vectors of one shard; of one leaf.
-SAMPLE, SHARD_ROWS, LEAF = 4_096, 2_500, 64
+#: Cells, at least and at most; vectors that pivots are chosen from, for each cell; vectors of one shard, about; of one leaf.
+LEAST_CELLS, MOST_CELLS, SAMPLE, SHARD_ROWS, LEAF = 16, 4_096, 4, 2_500, 64
 #: Queries of one block, for each core of the cluster.
 QUERY_BLOCK = 20_000
 #: Relative slack for rounding in bounds, so exact ties are still visited.
@@ -104,17 +105,47 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & (F.size(vector) > 0) & finite & F.exists(vector, lambda x: x != 0)
 
 
-def choose_pivots(sample: np.ndarray, n: int, seed: int) -> np.ndarray:
-    """Farthest-first choice: each pivot is the sampled vector farthest from those before it."""
-    chosen = [int(np.random.default_rng(seed).integers(len(sample)))]
-    gap = distances(sample, sample[chosen[0]])
-    while len(chosen) < min(n, len(sample)) and gap.max() > 0:
-        chosen.append(int(gap.argmax()))
-        gap = np.minimum(gap, distances(sample, sample[chosen[-1]]))
-    return sample[chosen]
-
-
-def nearest(df: DataFrame, is_query: Column, *, k: int = 10, factor: float = 1.0, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = SAMPLE, shard_rows: int = SHARD_ROWS, seed: int = 7) -> DataFrame:
+class Cells:
+    """Two levels of pivots over a sample, drawn at random so that cells and regions come out alike."""
+
+    def __init__(self, sample: np.ndarray, n: int, seed: int):
+        rng = np.random.default_rng(seed)
+        different = np.unique(sample, axis=0)
+        self.low = different[rng.permutation(len(different))[:n]]
+        self.up = self.low[: int(np.ceil(np.sqrt(len(self.low))))]
+        self.region = np.argmin(np.stack([distances(self.low, p) for p in self.up], axis=1), axis=1)
+        self.members = [np.flatnonzero(self.region == g) for g in range(len(self.up))]
+
+    def place(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each vector's cell, its distance to the cell's pivot and to its region's."""
+        up = np.stack([distances(v, p) for p in self.up], axis=1)
+        region = up.argmin(axis=1)
+        cell, gap = np.zeros(len(v), np.int64), np.zeros(len(v))
+        for g in np.unique(region):
+            rows = np.flatnonzero(region == g)
+            low = np.stack([distances(v[rows], self.low[i]) for i in self.members[g]], axis=1)
+            best = low.argmin(axis=1)
+            cell[rows], gap[rows] = self.members[g][best], low[np.arange(len(rows)), best]
+        return cell, gap, up[np.arange(len(v)), region]
+
+    def least(self, query: np.ndarray, radius: np.ndarray, up_radius: np.ndarray) -> np.ndarray:
+        """A least distance from the query to any vector of each cell (infinite radii: to nothing)."""
+        up, low = distances(self.up, query), distances(self.low, query)
+        out = low - radius
+        near = int(up.argmin())
+        apart = distances(self.up, self.up[near])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            beyond = np.where(apart > 0, (up**2 - up[near] ** 2) / (2 * apart), 0.0)
+            outer = np.maximum(up - up_radius, beyond)
+            for g, m in enumerate(self.members):
+                first = int(low[m].argmin())
+                gap = distances(self.low[m], self.low[m[first]])
+                side = np.where(gap > 0, (low[m] ** 2 - low[m[first]] ** 2) / (2 * gap), 0.0)
+                out[m] = np.maximum(np.maximum(out[m], side), outer[g])
+        return out - SLACK * (low + up.max() + 1)
+
+
+def nearest(df: DataFrame, is_query: Column, *, k: int = 10, factor: float = 1.0, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = SHARD_ROWS, seed: int = 7) -> DataFrame:
     """Rows of (query_id, rank, vec_id, score) of the k nearest found for each row with is_query."""
     if factor < 1:
         raise ValueError("factor is 1 (exact) or more")
@@ -123,37 +154,40 @@ def nearest(df: DataFrame, is_query: Column, *, k: int = 10, factor: float = 1.0
     rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), vector.alias("v"), F.coalesce(is_query, F.lit(False)).alias("ask"))
     rows = rows.where(usable(F.col("v"))).withColumn("row", F.monotonically_increasing_id())
     rows = materialise(rows, "vectors")
-    lengths = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    if not lengths:
-        return spark.createDataFrame([], RESULT)
-    width, total = lengths[0]["n"], lengths[0]["count"]
-    rows = rows.where(F.size("v") == width)
-    taken = rows.orderBy(F.xxhash64("row", F.lit(seed)), "row").limit(sample).select("v").collect()
-    cells = min(256, max(4, int((total / shard_rows) ** 0.5)))
-    pivots = choose_pivots(np.array([r.v for r in taken]), cells, seed)
-    shared = spark.sparkContext.broadcast(pivots)  # 256 vectors at most
+    lengths = rows.groupBy(F.size("v").alias("n")).agg(F.count(F.lit(1)).alias("total"), F.count_if("ask").alias("asked"))
+    out = spark.createDataFrame([], RESULT)
+    for length in lengths.where("asked > 0").collect():  # a row a length of vectors
+        out = out.unionByName(_nearest(rows.where(F.size("v") == length.n), length.n, length.total, k, factor, shard_rows, seed))
+    return out
+
+
+def _nearest(rows: DataFrame, width: int, total: int, k: int, factor: float, shard_rows: int, seed: int) -> DataFrame:
+    """nearest() of rows (id, v, ask, row) whose vectors have one length."""
+    spark = rows.sparkSession
+    wanted = min(MOST_CELLS, max(LEAST_CELLS, total // shard_rows))
+    taken = rows.orderBy(F.xxhash64("row", F.lit(seed)), "row").limit(SAMPLE * wanted).select("v").collect()
+    made = Cells(np.array([r.v for r in taken]), wanted, seed)
+    shared = spark.sparkContext.broadcast(made)  # MOST_CELLS vectors at most
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pivots = shared.value
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            v = _matrix(batch.column(1), width)
-            gap = np.stack([distances(v, p) for p in pivots], axis=1)
-            cell = gap.argmin(axis=1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(gap[np.arange(len(v)), cell])], names=["id", "v", "ask", "row", "cell", "gap"])
-
-    placed = rows.mapInArrow(place, "id long, v array<double>, ask boolean, row long, cell int, gap double")
-    placed = materialise(placed, "placed")
-    sizes = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("gap").alias("radius")).collect()  # a row a cell
-    shards = {r.cell: -(-r.n // shard_rows) for r in sizes}
-    radius = {r.cell: r.radius for r in sizes}
-    first, at = {}, 0
-    for cell in sorted(shards):
-        first[cell], at = at, at + shards[cell]
-    cell_map = spark.createDataFrame([(c, shards[c], first[c]) for c in shards], "cell int, _n int, _first int")
-    salted = placed.join(F.broadcast(cell_map), "cell")  # 256 rows at most
-    shard = F.col("_first") + F.pmod(F.xxhash64("row"), F.col("_n")).cast("int")
+            if batch.num_rows:
+                cell, gap, up = shared.value.place(_matrix(batch.column(1), width))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(gap), pa.array(up)], names=["id", "v", "ask", "row", "cell", "gap", "up"])
+
+    placed = materialise(rows.mapInArrow(place, "id long, v array<double>, ask boolean, row long, cell int, gap double, up double"), "placed")
+    sizes = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("gap").alias("radius"), F.max("up").alias("up")).collect()  # a row a cell
+    most = max(shard_rows, 2 * total // wanted)
+    shards = np.zeros(len(made.low), np.int64)
+    radius, up_radius = np.full(len(made.low), -np.inf), np.full(len(made.up), -np.inf)
+    for r in sizes:
+        shards[r.cell] = 1 if r.n <= most else -(-r.n // most)
+        radius[r.cell] = r.radius
+        up_radius[made.region[r.cell]] = max(up_radius[made.region[r.cell]], r.up)
+    first = np.cumsum(shards) - shards
+    cell_map = spark.createDataFrame([(r.cell, int(shards[r.cell]), int(first[r.cell])) for r in sizes], "cell int, pieces int, start int")
+    salted = placed.join(F.broadcast(cell_map), "cell")  # a row a cell
+    shard = F.col("start") + F.pmod(F.xxhash64("row"), F.col("pieces")).cast("int")
     vectors = salted.select(shard.alias("shard"), "id", "v", "row")
     queries = placed.where("ask")
 
@@ -162,27 +196,21 @@ def nearest(df: DataFrame, is_query: Column, *, k: int = 10, factor: float = 1.0
     found = materialise(found, "home-found")
     bounds = found.groupBy("query_row").agg(F.max("score").alias("kth"), F.count(F.lit(1)).alias("n"))
     bounds = bounds.select(F.col("query_row").alias("row"), F.when(F.col("n") >= k, F.col("kth")).otherwise(float("inf")).alias("bound"))
-    asked = queries.join(bounds, "row", "left").select("id", "v", "row", "cell", F.coalesce("bound", F.lit(float("inf"))).alias("bound"))
+    asked = queries.join(bounds, "row", "left").select("id", "v", "row", F.coalesce("bound", F.lit(float("inf"))).alias("bound"))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pivots = shared.value
-        between = np.stack([distances(pivots, p) for p in pivots])
+        cells = shared.value
         for batch in batches:
-            out: list[list] = [[], [], []]
             v = _matrix(batch.column(1), width) if batch.num_rows else np.zeros((0, width))
-            for i, (cell, bound) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)):
-                gap = distances(pivots, v[i])
-                for c, n in shards.items():
-                    bisector = (gap[c] ** 2 - gap[cell] ** 2) / (2 * between[c, cell]) if c != cell else 0.0
-                    low = max(gap[c] - radius[c], bisector) - SLACK * (gap[c] + 1)
-                    if low * factor > bound:
-                        continue
-                    out[0] += range(first[c], first[c] + n)
-                    out[1] += [i] * n
-                    out[2] += [bound] * n
-            pick = pa.array(out[1], pa.int64())
-            arrays = [pa.array(out[0], pa.int32()), batch.column(0).take(pick), batch.column(1).take(pick), batch.column(2).take(pick), pa.array(out[2], pa.float64())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["shard", "id", "v", "row", "bound"])
+            bound = batch.column(3).to_numpy()
+            to, who = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for i in range(len(v)):
+                open_ = np.flatnonzero((shards > 0) & (np.maximum(cells.least(v[i], radius, up_radius), 0.0) * factor <= bound[i]))
+                many = shards[open_]
+                to.append(np.repeat(first[open_], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many))
+                who.append(np.full(len(to[-1]), i))
+            pick = pa.array(np.concatenate(who))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(to).astype(np.int32)), *[c.take(pick) for c in batch.columns]], names=["shard", "id", "v", "row", "bound"])
 
     away = asked.mapInArrow(spread, "shard int, id long, v array<double>, row long, bound double")
     done = home.select("row", "shard")  # searched already

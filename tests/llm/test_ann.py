@@ -7,12 +7,12 @@ from tessera.llm import ann, queries
 
 
 def brute(rows, k=10, every=100):
-    """{query row: [(score, vec_id)]} over (vec_id, vector) rows that take part."""
+    """(query_id, rank, vec_id, score) over (vec_id, vector) rows that take part, each length by itself."""
     rows = [(i, np.array(v, dtype=float)) for i, v in rows if i is not None and v and None not in v and np.isfinite(np.array(v, dtype=float)).all() and any(v)]
     out = []
     for n, (q, v) in enumerate(rows):
         if q % every == 0:
-            near = sorted((float(np.sqrt(((x - v) ** 2).sum())), i) for m, (i, x) in enumerate(rows) if m != n)
+            near = sorted((float(np.sqrt(((x - v) ** 2).sum())), i) for m, (i, x) in enumerate(rows) if m != n and len(x) == len(v))
             out += [(q, r + 1, i, d) for r, (d, i) in enumerate(near[:k])]
     return sorted(out)
 
@@ -36,7 +36,8 @@ def test_ties_copies_and_awkward_vectors(spark, dim):
     rows += [(2000, None), (2100, []), (2200, [0.0] * dim), (2300, [None] + [1.0] * (dim - 1)), (2400, [float("nan")] * dim), (2500, [float("inf")] * dim), (None, [1.0] * dim)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     rows = [(r.vec_id, r.embedding) for r in df.collect()]
-    df = spark.createDataFrame([(*r, "x", 1) for r in rows] + [(2600, [1.0] * (dim + 1), "x", 1)], "vec_id long, embedding array<float>, row string, cell int")
+    rows += [(2600 + 50 * i, [float(i)] * (dim + 1)) for i in range(5)] + [(3000, [2.0])]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<float>, row string, cell int")
     got, want = result(df, shard_rows=70), brute(rows)
     assert [x[:3] for x in got] == [x[:3] for x in want]
 
@@ -48,8 +49,8 @@ def test_few_and_no_rows(spark):
     assert [x[:3] for x in result(spark.createDataFrame([(100, [1.0, 2.0]), (7, [1.0, 1.0])], schema))] == [(100, 1, 7)]
 
 
-def test_recall_of_the_query(spark):
-    sf = "/root/testdata/check_s"
+@pytest.mark.parametrize("sf", ["/root/testdata/sf0.01", "/root/testdata/sf0.1"])
+def test_recall_of_the_query(spark, sf):
     df = spark.read.parquet(f"{sf}/embeddings.parquet")
     want = {x[:1] + x[2:3] for x in brute([(r.vec_id, r.embedding) for r in df.collect()])}
     got = {(r.query_id, r.vec_id) for r in queries.QUERIES["op5_vantage_point_search"](spark, sf).collect()}
