@@ -14,6 +14,11 @@ def accuracy(rows: DataFrame) -> DataFrame:
     return runs.agg(F.avg("a").alias("mean"), F.stddev_pop("a").alias("sd"))
 
 
+def item_means(rows: DataFrame) -> DataFrame:
+    """Of (run, item, y, p): each item's share of right answers over the runs that had it."""
+    return rows.groupBy("item").agg(F.avg((F.col("y") == F.col("p")).cast("double")).alias("mean"))
+
+
 def macro_f1(rows: DataFrame) -> DataFrame:
     """Of (y, p): mean F1 over the union of true and predicted labels, 0 where it is undefined."""
     hit = (F.col("y") == F.col("p")).cast("int")

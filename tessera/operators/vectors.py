@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import arrays, hashing
+from tessera.operators.ordering import with_ordinal
 
 METRIC_ROWS, MOST_ROWS = 4_096, 10_000
 
@@ -60,6 +61,35 @@ def top_k(df: DataFrame, query: DataFrame, k: int) -> DataFrame:
     return scored.orderBy(F.desc("score"), "vec_id").limit(k)
 
 
+def top_k_each(df: DataFrame, queries: DataFrame, k: int, block: int = 4_096) -> DataFrame:
+    """(query_id, rank, vec_id, score): for each query row the k rows of df with the greatest cosine, the
+    least id among ties (of nine decimals). Queries are sent to the tasks in blocks, a task keeps k rows for each."""
+    spark = df.sparkSession
+    unit = arrays.unit(arrays.doubles(F.col("embedding"))).alias("v")
+    asked = with_ordinal(queries.select(F.col("vec_id").alias("query_id"), unit), "at", "query_id")
+    rows, out = df.select("vec_id", unit), spark.createDataFrame([], "query_id long, vec_id long, score double")
+    for start in range(0, asked.count(), block):
+        held = asked.where((F.col("at") >= start) & (F.col("at") < start + block)).toArrow()
+        shared = spark.sparkContext.broadcast((held["query_id"].to_numpy(), _matrix(held["v"].combine_chunks())))  # a block
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            ids, q = shared.value
+            best_id, best = np.zeros((len(q), 0), np.int64), np.zeros((len(q), 0))
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                score = np.concatenate([best, np.round(q @ _matrix(batch.column(1)).T, 9)], axis=1)
+                vec = np.concatenate([best_id, np.broadcast_to(batch.column(0).to_numpy(), (len(q), batch.num_rows))], axis=1)
+                order = np.lexsort((vec, -score), axis=1)[:, :k]
+                best, best_id = np.take_along_axis(score, order, axis=1), np.take_along_axis(vec, order, axis=1)
+            yield pa.RecordBatch.from_pydict({"query_id": np.repeat(ids, best.shape[1]), "vec_id": best_id.reshape(-1), "score": best.reshape(-1)})
+
+        out = out.unionByName(rows.mapInArrow(run, "query_id long, vec_id long, score double"))
+    ranked = out.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k).alias("best"))
+    found = ranked.select("query_id", F.posexplode("best").alias("rank", "b"))
+    return found.select("query_id", (F.col("rank") + 1).alias("rank"), "b.vec_id", (-F.col("b.s")).alias("score"))
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 

@@ -163,25 +163,32 @@ def mask_contract_counts(spark: SparkSession, sf: str) -> DataFrame:
     return _examples(spark, sf).groupBy(masked.alias("n_masked")).agg(F.count(F.lit(1)).alias("rows"))
 
 
+CORPUS_EXAMPLES = CUT + """, slots AS (SELECT doc_idx, win_idx, unnest(ids) AS id, unnest(range(128)) AS pos FROM windows),
+    ranked AS (SELECT *, row_number() OVER w AS r, sum((id >= 5)::INT) OVER (PARTITION BY doc_idx, win_idx) AS m FROM slots WINDOW w AS (PARTITION BY doc_idx, win_idx ORDER BY (id < 5)::INT, sha1(concat_ws('|', doc_idx, win_idx, pos, 0, 11)))),
+    counted AS (SELECT *, CASE WHEN m = 0 THEN 0 ELSE least(greatest(round_even(m * 0.15, 0), 1), m, 19) END AS n FROM ranked), marked AS (SELECT *, id >= 5 AND r <= n AS hit FROM counted),
+    rows AS (SELECT doc_idx, win_idx, any_value(n)::INT AS n_masked, array_to_string(list(CASE WHEN hit THEN 1 ELSE id END ORDER BY pos), ',') AS input_ids,
+        coalesce(list(pos ORDER BY pos) FILTER (hit), []) AS p, coalesce(list(id ORDER BY pos) FILTER (hit), []) AS g FROM marked GROUP BY 1, 2)"""
+
+
 def _corpus_examples(spark: SparkSession, sf: str) -> DataFrame:
     windows = tokens.byte_windows(corpus.kept_documents(table(spark, sf, "documents")))
     return tokens.masked_examples(windows, 128, 0.15, seed=11)
 
 
-@query()
+@query(f"WITH {CORPUS_EXAMPLES} SELECT doc_idx, win_idx, input_ids, array_to_string(p || [0 FOR i IN range(19 - n_masked)], ',') AS positions, array_to_string(g || [0 FOR i IN range(19 - n_masked)], ',') AS targets, n_masked AS n_weights FROM rows")
 def mlm_mask_corpus(spark: SparkSession, sf: str) -> DataFrame:
     """Every window of every document, as mlm_mask_examples has the first bytes of the items."""
     made = _corpus_examples(spark, sf)
     return made.select("doc_idx", "win_idx", *[arrays.joined(F.col(c)).alias(c) for c in ("input_ids", "positions", "targets")], F.aggregate("weights", F.lit(0.0), lambda s, x: s + x).cast("int").alias("n_weights"))
 
 
-@query()
+@query(f"WITH {CORPUS_EXAMPLES} SELECT n_masked, count(*) AS rows FROM rows GROUP BY 1")
 def mask_corpus_counts(spark: SparkSession, sf: str) -> DataFrame:
     masked = F.size(F.filter("input_ids", lambda x: x == arrays.MASK))
     return _corpus_examples(spark, sf).groupBy(masked.alias("n_masked")).agg(F.count(F.lit(1)).alias("rows"))
 
 
-@query()
+@query(f"WITH t AS (SELECT doc_id, unnest({BYTES.format('text')}) AS token_id FROM documents) SELECT doc_id, token_id, count(*) AS n FROM t GROUP BY ALL")
 def bow_corpus_counts(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.token_bags(table(spark, sf, "documents").withColumnRenamed("doc_id", "item_id")).withColumnRenamed("item_id", "doc_id")
 

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import arrays, hashing, numbers, text
-from tessera.operators import batches, corpus, limits, tokens, training, vectors
+from tessera.operators import batches, corpus, limits, statistics, tokens, training, vectors
+from tessera.operators.ordering import with_ordinal
 from tessera.plans.bookkeeping import SPECS, _values
 from tessera.plans.corpus import BYTES, CUT, horner
 from tessera.plans.registry import query, table
@@ -97,8 +98,6 @@ def pooled_states(spark: SparkSession, sf: str) -> DataFrame:
 @query("""WITH s AS (SELECT row_number() OVER (ORDER BY ts, event_id) - 1 AS step, epoch_us(ts) / 1000000.0 AS seconds, value FROM events), w AS (SELECT step // 100 AS win, count(*) AS n, avg(value) AS loss, min(seconds) AS a, max(seconds) AS b, max(step) AS last FROM s GROUP BY 1),
     r AS (SELECT *, n / greatest(b - coalesce(lag(b) OVER (ORDER BY win), a), 1e-6) AS rate FROM w) SELECT win AS "window", n, round(loss, 6) AS loss, round(rate, 6) AS rate, round((200000 - last - 1) / greatest(rate, 1e-9), 2) AS eta FROM r""")
 def loss_windows(spark: SparkSession, sf: str) -> DataFrame:
-    from tessera.operators.ordering import with_ordinal
-
     log = with_ordinal(table(spark, sf, "events").select("ts", "event_id", "value"), "step", "ts", "event_id")
     found = training.loss_windows(log.select("step", (limits.micros("ts") / 1_000_000).alias("seconds"), F.col("value").alias("loss")), 100, 200_000)
     return found.select("window", "n", F.round("loss", 6).alias("loss"), F.round("rate", 6).alias("rate"), F.round("eta", 2).alias("eta"))
@@ -223,9 +222,6 @@ DRAWS = "d AS (SELECT unnest(range(10))::INT AS draw), r AS (SELECT draw, label,
 @query(f"WITH {DRAWS}, u AS (SELECT item, row_number() OVER (ORDER BY item) - 1 AS pos FROM (SELECT DISTINCT item FROM few)) SELECT draw, item, pos FROM few JOIN u USING (item)")
 def union_positions(spark: SparkSession, sf: str) -> DataFrame:
     """The place of each draw's rows in the union of all draws, which is embedded once."""
-    from tessera.operators import statistics
-    from tessera.operators.ordering import with_ordinal
-
     rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("item"), "label")
     few = statistics.few_shot(rows, 8, 10).select("draw", "item")
     return few.join(with_ordinal(few.select("item").distinct(), "pos", "item"), "item").select("draw", "item", "pos")
@@ -239,6 +235,28 @@ def task_types(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "conversations").select("conv_id", "turn", F.element_at(kinds, kind).alias("task"), text.shown(F.col("text"), 90).alias("wide"), text.shown(F.col("text"), 80).alias("narrow"))
 
 
+@query("SELECT vec_id FROM embeddings ORDER BY sha1(concat_ws('|', vec_id, 0)), vec_id LIMIT 4000")
+def geometry_sample(spark: SparkSession, sf: str) -> DataFrame:
+    """The 4,000 rows that a geometry panel is drawn from."""
+    return vectors.metric_rows(table(spark, sf, "embeddings"), 4_000).select("vec_id")
+
+
+@query("""WITH u AS (SELECT vec_id, [x / (sqrt(list_sum([y::DOUBLE * y FOR y IN embedding])) + 1e-12) FOR x IN embedding] AS v FROM embeddings), s AS (SELECT q.vec_id AS query_id, r.vec_id, round(list_dot_product(q.v, r.v), 9) AS score FROM u q, u r WHERE q.vec_id % 100 = 0),
+    k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) SELECT query_id, rank, vec_id, round(score, 6) AS score FROM k WHERE rank <= 5""")
+def retrieval_each(spark: SparkSession, sf: str) -> DataFrame:
+    """Every hundredth row as a query against all rows."""
+    rows = table(spark, sf, "embeddings")
+    return vectors.top_k_each(rows, rows.where("vec_id % 100 = 0"), 5).select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"))
+
+
+@query("SELECT doc_id % 100 AS item, round(avg(((n_chars > 1000)::INT = quality)::INT), 6) AS mean FROM labels JOIN documents USING (doc_id) GROUP BY 1")
+def item_accuracy(spark: SparkSession, sf: str) -> DataFrame:
+    """Each item's share of right answers over its runs: a hundred items, each in several documents."""
+    rows = table(spark, sf, "labels").join(table(spark, sf, "documents"), "doc_id")
+    answers = rows.select(F.pmod("doc_id", F.lit(100)).alias("item"), F.col("quality").alias("y"), (F.col("n_chars") > 1000).cast("int").alias("p"))
+    return statistics.item_means(answers).select("item", F.round("mean", 6).alias("mean"))
+
+
 @query()
 def normalised_texts(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.sha1(text.normalised(F.col("text"))).alias("digest"))

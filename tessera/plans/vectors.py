@@ -11,8 +11,10 @@ from tessera.operators.ordering import with_ordinal
 from tessera.plans.registry import query, table
 
 UNIT = "[x / (sqrt(list_sum([y * y FOR y IN {0}])) + {1}) FOR x IN {0}]"
-VIEWS = f"""chosen AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings ORDER BY sha1(concat_ws('|', vec_id, 0)), vec_id LIMIT 4096),
-    cut AS (SELECT vec_id, e, e[1:32] AS h FROM chosen), views AS (SELECT vec_id, {UNIT.format('h', '1e-12')} AS s, {UNIT.format('e', '1e-12')} AS t FROM cut)"""
+#: The two views of every row, and of the rows that pair metrics are defined on.
+ALL_VIEWS = f"""every_cut AS (SELECT vec_id, embedding::DOUBLE[] AS e, (embedding::DOUBLE[])[1:32] AS h FROM embeddings),
+    all_views AS (SELECT vec_id, {UNIT.format('h', '1e-12')} AS s, {UNIT.format('e', '1e-12')} AS t FROM every_cut)"""
+VIEWS = ALL_VIEWS + ", views AS (SELECT * FROM all_views ORDER BY sha1(concat_ws('|', vec_id, 0)), vec_id LIMIT 4096)"
 PAIRS = VIEWS + ", pairs AS (SELECT a.vec_id AS i, b.vec_id AS j, list_dot_product(a.s, b.s) AS s, list_dot_product(a.t, b.t) AS t FROM views a JOIN views b ON a.vec_id < b.vec_id)"
 NEAREST = VIEWS + """, every AS (SELECT a.vec_id, b.vec_id AS o, round(list_dot_product(a.s, b.s), 12) AS s, round(list_dot_product(a.t, b.t), 12) AS t FROM views a JOIN views b ON a.vec_id <> b.vec_id),
     nearest AS (SELECT vec_id, (min(struct_pack(k := -s, o := o))).o AS s_nn, (min(struct_pack(k := -t, o := o))).o AS t_nn FROM every GROUP BY 1)"""
@@ -24,11 +26,10 @@ def _views(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _all_views(spark: SparkSession, sf: str) -> DataFrame:
-    """Of every row: for means and moments. Over METRIC_ROWS rows the queries' SQL covers fewer."""
+    """Of every row: for means and moments."""
     return vectors.pairs_of_views(table(spark, sf, "embeddings"))
 
 
-
 @query(f"WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), u AS (SELECT vec_id, {UNIT.format('e', '1e-12')} AS v FROM e) SELECT vec_id, unnest(range(64))::INT AS dim, round(unnest(v), 6) AS x FROM u")
 def l2_normalize(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "embeddings").select("vec_id", arrays.unit(arrays.doubles(F.col("embedding"))).alias("v"))
@@ -102,13 +103,13 @@ def similarity_agreement(spark: SparkSession, sf: str) -> DataFrame:
     return one.crossJoin(two)
 
 
-@query(f"WITH {VIEWS} SELECT round(avg(1 - list_dot_product(s, t[1:32])), 6) AS loss FROM views")
+@query(f"WITH {ALL_VIEWS} SELECT round(avg(1 - list_dot_product(s, t[1:32])), 6) AS loss FROM all_views")
 def loss_cosine(spark: SparkSession, sf: str) -> DataFrame:
     """The student's view against the teacher's first components (a student has the teacher's width)."""
     return _all_views(spark, sf).agg(F.round(F.avg(1 - arrays.dot(F.col("s"), F.slice("t", 1, 32))), 6).alias("loss"))
 
 
-@query(f"WITH {VIEWS} SELECT round(avg(power(list_dot_product(a.s, b.s) - list_dot_product(a.t, b.t), 2)), 6) AS loss FROM views a, views b")
+@query(f"WITH {VIEWS} SELECT round(avg(power(list_dot_product(a.s, b.s) - list_dot_product(a.t, b.t), 2)), 6) AS loss FROM all_views a, all_views b")
 def loss_gram_mse(spark: SparkSession, sf: str) -> DataFrame:
     return vectors.gram_mse(_all_views(spark, sf)).select(F.round("loss", 6).alias("loss"))
 
@@ -123,7 +124,7 @@ def loss_kl(spark: SparkSession, sf: str) -> DataFrame:
     return vectors.soft_retrieval(_views(spark, sf)).agg(F.round(F.avg("loss"), 6).alias("loss"))
 
 
-@query(f"WITH {SOFT} SELECT round(1.0 * (SELECT avg(1 - list_dot_product(s, t[1:32])) FROM views) + 0.5 * (SELECT avg(loss) FROM l), 6) AS loss")
+@query(f"WITH {SOFT} SELECT round(1.0 * (SELECT avg(1 - list_dot_product(s, t[1:32])) FROM all_views) + 0.5 * (SELECT avg(loss) FROM l), 6) AS loss")
 def loss_combined(spark: SparkSession, sf: str) -> DataFrame:
     """The cosine part of all rows; the other compares pairs."""
     views = _views(spark, sf)
@@ -131,7 +132,7 @@ def loss_combined(spark: SparkSession, sf: str) -> DataFrame:
     return one.crossJoin(vectors.soft_retrieval(views).agg(F.avg("loss").alias("b"))).select(F.round(F.col("a") + 0.5 * F.col("b"), 6).alias("loss"))
 
 
-@query(f"WITH {PAIRS} SELECT round(avg(t), 6) AS mean_cosine FROM pairs")
+@query(f"WITH {ALL_VIEWS} SELECT round(avg(list_dot_product(a.t, b.t)), 6) AS mean_cosine FROM all_views a JOIN all_views b ON a.vec_id < b.vec_id")
 def geometry_mean_cos(spark: SparkSession, sf: str) -> DataFrame:
     return vectors.mean_cosine(_all_views(spark, sf).select(F.col("t").alias("v"))).select(F.round("mean_cosine", 6).alias("mean_cosine"))
 
@@ -141,7 +142,7 @@ def geometry_cos_sd(spark: SparkSession, sf: str) -> DataFrame:
     return vectors.cosines(_views(spark, sf)).agg(F.round(F.stddev_pop("t"), 6).alias("cosine_sd"))
 
 
-@query(f"""WITH {VIEWS}, p AS (SELECT vec_id, unnest(range(64)) AS d, unnest(t) AS x FROM views), c AS (SELECT vec_id, d, x - avg(x) OVER (PARTITION BY d) AS x FROM p),
+@query(f"""WITH {ALL_VIEWS}, p AS (SELECT vec_id, unnest(range(64)) AS d, unnest(t) AS x FROM all_views), c AS (SELECT vec_id, d, x - avg(x) OVER (PARTITION BY d) AS x FROM p),
     s AS (SELECT a.d AS a, b.d AS b, sum(a.x * b.x) AS c FROM c a JOIN c b USING (vec_id) GROUP BY 1, 2) SELECT round(power(sum(c) FILTER (a = b), 2) / sum(c * c), 4) AS participation_ratio FROM s""")
 def geometry_pr(spark: SparkSession, sf: str) -> DataFrame:
     return vectors.participation_ratio(_all_views(spark, sf).select(F.col("t").alias("v"))).select(F.round("participation_ratio", 4).alias("participation_ratio"))
