@@ -83,5 +83,23 @@ def masked_examples(windows: DataFrame, length: int, share: float, seed: int, ep
 
 
 def token_bags(rows: DataFrame) -> DataFrame:
-    """(item_id, token_id, n): how often each token stands in each text."""
-    return rows.select("item_id", F.explode(text.utf8_tokens(F.col("text"))).alias("token_id")).groupBy("item_id", "token_id").agg(F.count(F.lit(1)).alias("n"))
+    """(item_id, token_id, n): how often each byte token stands in each text. A row's bytes are counted
+    where they are; rows of the same item_id are added up."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(1).cast(pa.large_string())
+            if not batch.num_rows:
+                continue
+            ends = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
+            for first in range(0, len(column), 256):
+                last = min(first + 256, len(column))
+                data = np.frombuffer(column.buffers()[2] or b"", dtype=np.uint8)[ends[first] : ends[last]]
+                owner = np.repeat(np.arange(last - first), np.diff(ends[first : last + 1]))
+                counts = np.bincount(owner * 256 + data, minlength=(last - first) * 256)
+                cell = np.flatnonzero(counts)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(first + cell // 256)), pa.array((cell % 256 + arrays.SPECIALS).astype(np.int32)), pa.array(counts[cell])], names=["item_id", "token_id", "n"])
+
+    kind = rows.schema["item_id"].dataType.simpleString()
+    each = rows.select("item_id", text.or_empty(F.col("text")).alias("text")).mapInArrow(run, f"item_id {kind}, token_id int, n long")
+    return each.groupBy("item_id", "token_id").agg(F.sum("n").alias("n"))
