@@ -3,7 +3,7 @@
 1. Count the rows of each input partition.
 2. Draw on the driver how many rows each partition sends to each shard: row by row from the
    multivariate hypergeometric law, so partition totals and shard sizes are both exact.
-3. Permute each partition locally and cut it by its row of the matrix.
+3. Permute each partition locally, by a sort within it, and cut it by its row of the matrix.
 4. After the exchange permute each shard: rows get random 64-bit keys, each shard is cut into key
    ranges of bounded size, ranks within a range plus the range's offset are the gapless slots.
 
@@ -26,6 +26,8 @@ from tessera.llm.common import materialise, release
 
 #: Rows of one key range of a shard, at least; of large inputs the square root of all rows.
 RANGE_ROWS = 250
+#: Bytes of the communication matrix up to which it is sent to every task; a larger one is joined.
+CUTS_BYTES = 64 << 20
 
 
 def communication_matrix(counts: list[int], shards: int, seed: int) -> np.ndarray:
@@ -70,15 +72,18 @@ def shuffle_to_shards(df: DataFrame, shards: int = 8, *, seed: int = 20_260_101,
     spark = df.sparkSession
     number = F.monotonically_increasing_id()
     carried = F.struct(*[F.col(f"`{c}`") for c in names]) if names else F.lit(None).cast("int")
-    rows = df.select(carried.alias("carried"), F.spark_partition_id().alias("part"), F.xxhash64(F.lit(seed), number).alias("key"), F.xxhash64(F.lit(seed + 1), number, F.lit("slot")).alias("place"))
-    rows = materialise(rows, "shard-rows")
+    rows = df.select(carried.alias("carried"), F.xxhash64(F.lit(seed), number).alias("key"), F.xxhash64(F.lit(seed + 1), number, F.lit("slot")).alias("place"))
+    # the local permutation: each partition sorted by its own keys, without an exchange; the numbers
+    # given after it hold the partition and the rank in it
+    sorted_ = rows.sortWithinPartitions("key").withColumn("at", F.monotonically_increasing_id())
+    rank = F.col("at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    rows = materialise(sorted_.select("carried", "place", F.shiftright("at", 33).cast("int").alias("part"), rank.alias("rank")), "shard-rows")
 
     counts = rows.groupBy("part").count().orderBy("part").collect()  # one number a partition
     matrix = communication_matrix([r["count"] for r in counts], shards, seed)
     sent = matrix.sum(axis=0)
     cuts = spark.createDataFrame([(r["part"], [int(x) for x in np.cumsum(m)]) for r, m in zip(counts, matrix, strict=True)], "part int, cuts array<long>")
-    local = Window.partitionBy("part").orderBy("key")
-    dealt = rows.withColumn("rank", F.row_number().over(local)).join(cuts, "part")
+    dealt = rows.join(F.broadcast(cuts) if matrix.nbytes <= CUTS_BYTES else cuts, "part")
 
     range_rows = max(range_rows, math.isqrt(int(sent.sum())))
     pieces = [max(1, -(-int(n) // range_rows)) for n in sent]

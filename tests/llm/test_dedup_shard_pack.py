@@ -114,6 +114,26 @@ def test_shuffle_is_uniform(spark):
     assert places.sum() == 240 and (places.sum(axis=0) == 60).all() and (places < 6).all()
 
 
+@pytest.mark.parametrize("most", [0, 1 << 26])
+def test_joined_and_sent_cuts_give_the_same(spark, monkeypatch, most):
+    df = spark.range(500).repartition(7).sortWithinPartitions("id")
+    want = sorted(map(tuple, sharding.shuffle_to_shards(df, 3).collect()))
+    monkeypatch.setattr(sharding, "CUTS_BYTES", most)
+    assert sorted(map(tuple, sharding.shuffle_to_shards(df, 3).collect())) == want
+
+
+def test_written_shards_are_whole_rows_in_slot_order(spark, odd, tmp_path):
+    sharding.write_shards(odd, f"{tmp_path}/shards", 3)
+    back = spark.read.parquet(f"{tmp_path}/shards")
+    assert sorted(c for c in back.columns) == sorted(odd.columns) and back.count() == odd.count()
+    rows = defaultdict(list)
+    for r in back.select("shard", "slot", "doc_id").collect():
+        rows[r.shard].append(r.slot)
+    assert {k: sorted(v) for k, v in rows.items()} == {k: list(range(len(v))) for k, v in rows.items()} and len(rows) == 3
+    ids = sorted((r.doc_id for r in odd.collect()), key=repr)
+    assert sorted((r.doc_id for r in back.collect()), key=repr) == ids
+
+
 def brute_best_fit(lengths, sizes, expect, attention):
     """Item by item; the length to open is chosen once for each item length, as the plan does."""
     bins, left, chosen = [], Counter(lengths), {}
