@@ -23,7 +23,7 @@ from tessera.llm.common import fresh, key_filter, materialise, may_be_in, releas
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Memtables that the rows are dealt to, and runs that a compaction makes one.
-RUNS, FAN = 8, 4
+RUNS, FAN = 4, 2
 #: Copies of one text that are compared with it in one task, about.
 COPIES = 1000
 
