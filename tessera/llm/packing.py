@@ -6,7 +6,7 @@ and the plan has a size bounded by the permitted lengths, whatever the number of
 no open bin has room, the length of the least cost for each token it is expected to hold is opened,
 among a set of the permitted ones. That set is searched for, so the lengths are optimised jointly: from
 all of them, and from the largest alone, a length is left out or taken in while that lowers the plan's
-total cost, for several expectations of what still fills a bin. At the end each bin is cut down to the
+total cost, for the best of several expectations of what still fills a bin. At the end each bin is cut down to the
 smallest permitted length that holds its contents.
 
 The documents then only need their rank among the pieces of equal length: pieces are counted in
@@ -127,16 +127,18 @@ def best_plan(counts: dict[int, int], sizes: tuple[int, ...] = SIZES, attention:
         return made[opened, expect]
 
     holds = next(s for s in sizes if s >= longest)
-    for expect in EXPECTATIONS:
-        for opened in (sizes, (holds,)):
-            best = plan(opened, expect)
-            while True:
-                others = [tuple(s for s in sizes if (s in best.opened) != (s == change)) for change in sizes]
-                others = [o for o in others if o and o[-1] >= longest]
-                lower = min((plan(o, expect) for o in others), key=lambda p: p.cost, default=best)
-                if lower.cost >= best.cost:
-                    break
-                best = lower
+    for first in (sizes, (holds,)):
+        expect = min(EXPECTATIONS, key=lambda e: plan(first, e).cost)
+        best = plan(first, expect)
+        while True:
+            others = [tuple(s for s in sizes if (s in best.opened) != (s == change)) for change in sizes]
+            others = [o for o in others if o and o[-1] >= longest]
+            lower = min((plan(o, expect) for o in others), key=lambda p: p.cost, default=best)
+            if lower.cost >= best.cost:
+                break
+            best = lower
+        for e in EXPECTATIONS:
+            plan(best.opened, e)
     return min(made.values(), key=lambda p: p.cost)
 
 
