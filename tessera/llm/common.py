@@ -111,8 +111,14 @@ def _lengths(column: pa.Array) -> np.ndarray:
     return pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def dealt_join(rows: DataFrame, one: DataFrame, keys: list[str], hot: DataFrame, spread: str, parts: int = 64, bits: int = 22) -> DataFrame:
-    """rows joined with `one`, which has a row for each value of `keys`.
+def filter_bits(keys: DataFrame, most: int = 27) -> int:
+    """The size of a filter for a work table's rows, as its logarithm: 16 bits a row, between 2**16 and
+    2**most (16 MB; with more than 8 million rows it lets more through, which changes no result)."""
+    return min(most, max(16, (16 * keys.count()).bit_length()))
+
+
+def dealt_join(rows: DataFrame, one: DataFrame, keys: list[str], hot: DataFrame, spread: str, parts: int = 64, bits: int = 22, how: str = "inner") -> DataFrame:
+    """rows joined with `one`, which has a row at most for each value of `keys`; how: inner or left.
 
     hot is a work table of the first key's values that very many rows have. Rows of a key that the filter of the hot ones
     lets through are dealt to `parts` tasks by column `spread`, and that key's row is copied to each of
@@ -123,7 +129,7 @@ def dealt_join(rows: DataFrame, one: DataFrame, keys: list[str], hot: DataFrame,
     part = fresh(rows, "part")
     left = rows.withColumn(part, F.when(wide, F.pmod(F.xxhash64(spread), F.lit(parts))).otherwise(F.lit(0).cast("long")))
     copies = F.when(wide, F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
-    return left.join(one.withColumn(part, F.explode(copies)), [*keys, part]).drop(part)
+    return left.join(one.withColumn(part, F.explode(copies)), [*keys, part], how).drop(part)
 
 
 def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
