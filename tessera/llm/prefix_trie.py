@@ -266,26 +266,30 @@ def verified(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         release(shared, members)
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The identifiers of each node's ends, sorted by (rep, depth, conv_id), as text in pieces."""
-    held, ids, number, cut = None, [], 0, False
+def _pieces(size: int):
+    """The identifiers of each node's ends, sorted by (rep, depth, conv_id), as text in pieces of `size`."""
 
-    def piece(whole: bool):
-        return pa.RecordBatch.from_arrays([pa.array([x]) for x in (*held, ids[0], ",".join(map(str, ids)), whole)], names=["rep", "depth", "start", "ids", "whole"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, ids, number, cut = None, [], 0, False
 
-    for batch in batches:
-        for rep, depth, conv in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            if (rep, depth) != held:
-                if held is not None:
-                    yield piece(number > 0 and not cut)  # a range's first node may have begun in another range
-                    number += 1
-                held, ids, cut = (rep, depth), [], False
-            elif len(ids) >= PIECE:
-                yield piece(False)
-                ids, cut = [], True
-            ids.append(conv)
-    if held is not None:
-        yield piece(False)
+        def piece(whole: bool):
+            return pa.RecordBatch.from_arrays([pa.array([x]) for x in (*held, ids[0], ",".join(map(str, ids)), whole)], names=["rep", "depth", "start", "ids", "whole"])
+
+        for batch in batches:
+            for rep, depth, conv in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if (rep, depth) != held:
+                    if held is not None:
+                        yield piece(number > 0 and not cut)  # a range's first node may have begun in another range
+                        number += 1
+                    held, ids, cut = (rep, depth), [], False
+                elif len(ids) >= size:
+                    yield piece(False)
+                    ids, cut = [], True
+                ids.append(conv)
+        if held is not None:
+            yield piece(False)
+
+    return run
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,7 +313,7 @@ def _ends(members: DataFrame) -> DataFrame:
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["rep", "depth", "conv_id"]
     ending = members.where("depth = len").select(*order)
-    pieces = ending.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_pieces, "rep long, depth long, start long, ids string, whole boolean")
+    pieces = ending.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_pieces(PIECE), "rep long, depth long, start long, ids string, whole boolean")
     pieces = materialise(pieces, "ends")
     loose = pieces.where("not whole").repartition("rep", "depth").sortWithinPartitions("rep", "depth", "start").select("rep", "depth", "ids")
     return pieces.where("whole").select("rep", "depth", F.sha2("ids", 256).alias("ends")).unionByName(loose.mapInArrow(_digests, "rep long, depth long, ends string"))
