@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import alignment, ann, exact_dedup, neardup, packing, pii, prefix_trie, sharding, sp_codec, substring_dedup, token_count, toxicity
+from tessera.llm import alignment, ann, exact_dedup, lm_score, neardup, packing, pii, prefix_trie, sharding, sp_codec, substring_dedup, token_count, toxicity
 
 #: Bounds are pruned at 1/1.15 of the exact search's; recall is measured in the tests.
 ANN_FACTOR = 1.15
@@ -68,7 +68,12 @@ def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
         return alignment.align(_read(spark, sf_dir), a.read(), b.read())
 
 
-QUERIES = {f.__name__: f for f in (op1_hypergeometric_shards, op2_best_fit_pack, op3_dart_minhash, op4_byte_bpe, op5_vantage_point_search, op6_exact_dedup, op7_substring_dedup, op8_token_counts, op9_toxicity, op10_pii_surrogates, op11_prefix_trie, op12_tokenizer_alignment)}
+def op13_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir)
+    return lm_score.score(docs, lm_score.fit(docs))
+
+
+QUERIES = {f.__name__: f for f in (op1_hypergeometric_shards, op2_best_fit_pack, op3_dart_minhash, op4_byte_bpe, op5_vantage_point_search, op6_exact_dedup, op7_substring_dedup, op8_token_counts, op9_toxicity, op10_pii_surrogates, op11_prefix_trie, op12_tokenizer_alignment, op13_context_mixing)}
 
 #: crc32 of a conversation's decimal number, byte by byte and bit by bit.
 _CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(c::VARCHAR) + 1), lambda i: ascii(substr(c::VARCHAR, i, 1))::BIGINT)),
