@@ -2,21 +2,25 @@
 
 Found: e-mail, IPv4, IPv6 and MAC addresses, payment cards and IBANs whose check digits hold, US social
 security numbers, telephone numbers, cloud access keys, values of password-like settings, birth
-dates and passport or identity numbers after a word that says so, and persons' names after a form of
-address, a listed given name or a cue such as "my name is". A name's words are then looked for in the
-whole text: wherever one stands again, capitalised or in capitals, before or after, it gets the
-same surrogate. A name without any such sign in its document is not found.
+dates and passport or identity numbers after a word that says so, and persons' names by their signs: a form
+of address, a listed given name, a cue before ("my name is", also in lower case; "contact", "regards,") or
+a verb after ("wrote", "dijo"). A name's words are then looked for in the whole text: wherever one
+stands again, capitalised or in capitals, before or after, it gets the same surrogate. A name without
+any such sign in its document is not found.
 
 Wherever found, an entity is replaced by the surrogate of its canonical form (letters in lower case,
 digits without separators), written back into the original's own separators and letter case.
 
 A surrogate is a keyed permutation of its format's domain: conjugating a shift by a Feistel cipher,
 walked along its cycle into the domain. So different originals of a format get different surrogates
-and none maps to itself; names walk on while a surrogate would meet the listed names. Card numbers keep
+and none maps to itself; where two formats could meet (hexadecimal secrets, example hosts, listed names,
+days of a birth), a surrogate walks on until it is of its original's. Card numbers keep
 their check digit's state, IBANs theirs, addresses their valid octets, North American numbers their
-valid codes. A listed given name becomes another one listed for its gender and script; any other word
-of a name keeps its last letter, where languages mark gender. `collisions` counts, over a whole table,
-surrogates that two originals share; `checked` refuses a table that has any.
+valid codes; a birth date becomes another real day of its time (1600-1899, 1900-2027, 2028-2199, any
+other), digits that are no day others that are none. A listed given name becomes another one listed for
+its gender and script; any other word of a name keeps its last letter, where languages mark gender.
+`collisions` counts, over a whole table, surrogates that two originals share; should there be any, `checked` and
+`anonymise` give all but one of these originals the surrogate of another key, and check again.
 
 Null and empty texts stay as they are. Rows, repeated ones too, map one to one; other columns are
 ignored by `surrogates` and carried by `anonymise`. An empty table gives an empty result.
@@ -29,14 +33,16 @@ import hmac
 import re
 import unicodedata
 import warnings
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from datetime import date
 from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from tessera.llm.common import materialise, release, steps
+from tessera.llm.common import fresh, materialise, release, steps
 
 # Given names by gender and script, and forms of address.
 GIVEN = {
@@ -54,21 +60,29 @@ ALPHABETS = ("0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "аеиоуыэюя
 HEX = "0123456789abcdef"
 # Words before a person's name, a birth date, an identity document's number.
 NAME_CUES = ("my name is", "name:", "signed by", "contact person:", "ich heiße", "je m'appelle", "me llamo")
+#: Before two capitalised words, and after them.
+BEFORE_CUES = ("contact", "written by", "call", "ask for", "dear", "regards,", "sincerely,", "thanks,", "kontakt", "gez.", "grüße,", "contacter", "cordialement,", "contacte con", "atentamente,")
+AFTER_CUES = "wrote|writes|said|says|replied|signed|called|asked|lives|schrieb|sagte|wohnt|écrit|a écrit|habite|escribió|dijo|vive".split("|")
+#: Words that are no name beside a cue.
+NO_NAMES = frozenset("a an the of on in at to for and or not no is are was were be it this that these those my your his her its our their there here with from by as if so der die das ein eine und oder nicht im am auf zu ist le la les un une et ou pas sur dans de du est el los las una y o en es".split())
 BIRTH_CUES = ("born on", "born", "date of birth", "dob", "geboren am", "né le", "née le", "nacido el", "nacida el")
 DOCUMENT_CUES = ("passport", "passport no", "passport number", "identity card", "id card", "reisepass", "passeport", "pasaporte")
+#: Years whose days are moved among themselves.
+TIMES = ((1600, 1899), (1900, 2027), (2028, 2199))
 #: In the order of precedence.
 KINDS = ("email", "access_key", "secret", "iban", "document", "birth", "mac", "ipv6", "card", "ssn", "ipv4", "phone", "name")
 #: The setting that has the secret key of the surrogates.
 KEY_SETTING = "spark.tessera.surrogate.key"
+#: Colliding originals that one round of repairs takes.
+MOST_REPAIRS = 100_000
 #: For the given example tables, where that is unset. Whoever knows a key can undo its surrogates.
 EXAMPLE_KEY = b"tessera public example key"
 
 _CLASS = {c: a for a in ALPHABETS for c in a}
-#: For a character outside all alphabets where its own has no other.
-_SPARE = "bcdfghjklmnpqrstvwxyz"
 _NAMES = {n.lower(): (g, s) for (g, s), names in GIVEN.items() for n in names}
 _TITLE = {t.lower(): g for g, ts in TITLES.items() for t in ts}
 _CAP = r"[^\W\d_a-zß-öø-ÿа-я][^\W\d_]+"
+_LOW = r"[^\W\d_A-ZÀ-ÞА-Я][^\W\d_]+"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 
 PATTERNS = {
@@ -84,12 +98,12 @@ PATTERNS = {
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "ipv4": rf"(?<![\w.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\w|\.\d)",
     "phone": r"(?<![\w.])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w)",
-    "name": rf"(?<!\w)(?:(?P<title>{'|'.join(t for ts in TITLES.values() for t in ts)})\.? (?:{_CAP} ){{0,2}}{_CAP}|(?:{'|'.join(n for ns in GIVEN.values() for n in ns)}) {_CAP}|(?P<cue>(?i:{'|'.join(map(re.escape, NAME_CUES))}) ){_CAP}(?: {_CAP}){{0,2}})(?!\w)",
+    "name": rf"(?<!\w)(?:(?P<title>{'|'.join(t for ts in TITLES.values() for t in ts)})\.? (?:{_CAP} ){{0,2}}{_CAP}|(?:{'|'.join(n for ns in GIVEN.values() for n in ns)}) {_CAP}|(?P<cue>(?i:{'|'.join(map(re.escape, NAME_CUES))})\s){_CAP}(?: {_CAP}){{0,2}}|(?P<near>(?i:{'|'.join(map(re.escape, BEFORE_CUES))})\s){_CAP} {_CAP}|{_CAP} {_CAP}(?= (?:{'|'.join(AFTER_CUES)})(?!\w))|(?P<low>(?i:{'|'.join(map(re.escape, NAME_CUES))})\s)(?P<words>{_LOW}(?: {_LOW}){{1,2}}(?=\s*(?:[.,;!?\n]|$))))(?!\w)",
 }
 _COMPILED = {kind: re.compile(p) for kind, p in PATTERNS.items()}
 #: A text without any of these, or any of the cues, has no such entity; tested before the pattern.
-_HINTS = {"email": re.compile("@"), "access_key": re.compile("A[KS]IA"), "secret": re.compile(r"[=:]"), "ipv6": re.compile(":[0-9A-Fa-f]"), "mac": re.compile("[:-][0-9A-Fa-f]{2}[:-]"), "name": re.compile("|".join([t for ts in TITLES.values() for t in ts] + [n for ns in GIVEN.values() for n in ns]))}
-_CUES = {"name": NAME_CUES, "birth": BIRTH_CUES, "document": DOCUMENT_CUES}
+_HINTS = {"email": re.compile("@"), "access_key": re.compile("A[KS]IA"), "secret": re.compile(r"[=:]"), "ipv6": re.compile(":[0-9A-Fa-f]"), "mac": re.compile("[:-][0-9A-Fa-f]{2}[:-]"), "name": re.compile("|".join([t for ts in TITLES.values() for t in ts] + [n for ns in GIVEN.values() for n in ns]) + "| (?:" + "|".join(AFTER_CUES) + ")")}
+_CUES = {"name": NAME_CUES + BEFORE_CUES, "birth": BIRTH_CUES, "document": DOCUMENT_CUES}
 _DIGIT = re.compile(r"\d")
 
 
@@ -103,6 +117,32 @@ def alphabet(c: str) -> str:
     return "".join(x for x in map(chr, range(first, first + 256)) if x not in _CLASS and x.isalnum() and _kind(x) == _kind(c))
 
 
+@lru_cache(maxsize=5_000)
+def symbols(c: str) -> str:
+    """The characters that c, alone in its alphabet, is moved among: those of its block of 256 that are alone
+    too; in a block with no other such, those of all such blocks. White space and delimiters stay."""
+    block = _alone(ord(c) >> 8)
+    return c if c not in block else block if len(block) > 1 else _lonely()
+
+
+def _alone(block: int) -> str:
+    found = map(chr, range(block << 8, (block + 1) << 8))
+    return "".join(x for x in found if not 0xD800 <= ord(x) < 0xE000 and x.isprintable() and not x.isspace() and x not in ",;\"'" and len(alphabet(x)) == 1)
+
+
+@lru_cache(maxsize=1)
+def _lonely() -> str:
+    return "".join(x for x in map(_alone, range(0x110000 >> 8)) if len(x) == 1)
+
+
+def _day(text: str) -> int | None:
+    """The ordinal of the day YYYYMMDD, if it is one."""
+    try:
+        return date(int(text[:4]), int(text[4:6]), int(text[6:])).toordinal()
+    except ValueError:
+        return None
+
+
 def _kind(c: str) -> tuple:
     """Script, category, and whether c comes back from the other case."""
     both = len(c.upper()) == len(c.lower()) == 1 and c in (c.lower(), c.upper()) and c.upper().lower() == c.lower()
@@ -127,10 +167,14 @@ def _digit_like(s: str, c: str) -> str:
 class Surrogates:
     """The keyed maps. One object a worker; results depend on the key alone."""
 
-    def __init__(self, key: bytes):
-        self.key = key
+    def __init__(self, key: bytes, repairs: dict[tuple[str, str], int] | None = None):
+        self.key, self.repairs = key, repairs or {}
         self.replace = lru_cache(maxsize=50_000)(self._replace)
 
+    def sign(self, canonical: str) -> str:
+        """A keyed digest of an original."""
+        return hmac.new(self.key, canonical.encode(), hashlib.sha256).hexdigest()
+
     def _shift(self, number: int, size: int, domain: str) -> int:
         """A keyed permutation of 0..size-1 without fixed points (none of a domain of one)."""
         if size < 2:
@@ -173,12 +217,20 @@ class Surrogates:
         return self.spell(text, [alphabet(c) for c in text], domain)
 
     def _replace(self, kind: str, canonical: str) -> str:
-        made = getattr(self, "_" + kind)(canonical)
-        if made != canonical:
-            return made
-        # no character has another to move to: letters by a keyed hash of the whole
-        digest = hmac.digest(self.key, f"spare|{kind}|{canonical}".encode(), "sha512")
-        return "".join(_SPARE[digest[i % 64] % len(_SPARE)] for i in range(len(canonical)))
+        again = self.repairs.get((kind, self.sign(canonical)), 0) if self.repairs else 0
+        if again:
+            return Surrogates(self.key + b"|%d" % again)._replace(kind, canonical)
+        if not canonical or any(len(alphabet(c)) > 1 for c in canonical):
+            return getattr(self, "_" + kind)(canonical)
+        # no letter or digit that has another to move to: symbols move among symbols, which no other original gets
+        return self.spell(canonical, [symbols(c) for c in canonical], kind + "|symbols")
+
+    def _until(self, move: Callable[[str], str], text: str, fits: Callable[[str], bool]) -> str:
+        """text moved on until it fits; one to one on all texts that fit, as `move` is on its domain."""
+        while True:
+            text = move(text)
+            if fits(text):
+                return text
 
     def _email(self, text: str) -> str:
         local, _, host = text.partition("@")
@@ -186,7 +238,9 @@ class Surrogates:
         # reserved example domains and the top level stay, so no real host is named by chance
         keep = 2 if len(labels) > 1 and labels[-2] == "example" else 1
         head = ".".join(labels[:-keep])
-        both = self.by_class(local + "@" + head, "email|" + ".".join(labels[-keep:]))
+        domain = "email|" + ".".join(labels[-keep:])
+        real = lambda x: keep == 2 or x.rpartition("@")[2].rpartition(".")[2] != "example"
+        both = self._until(lambda x: self.by_class(x, domain), local + "@" + head, real)
         return both + ("." if head else "") + ".".join(labels[-keep:])
 
     def _ipv4(self, text: str) -> str:
@@ -224,18 +278,31 @@ class Surrogates:
         if set(text) <= set(HEX):
             return self.spell(text, [HEX] * len(text), "secret|hex")
         wide = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789")
-        return self.spell(text, [next((a for a in wide if c in a), None) or alphabet(c) for c in text], "secret")
+        alphabets = [next((a for a in wide if c in a), None) or alphabet(c) for c in text]
+        return self._until(lambda x: self.spell(x, alphabets, "secret"), text, lambda x: not set(x) <= set(HEX))
 
     def _document(self, text: str) -> str:
         return self.spell(text, ["0123456789" if c.isdigit() else "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for c in text], "document")
 
     def _birth(self, text: str) -> str:
-        """Canonical YYYYMMDD: another day of the years from 1900 to 2027; a date outside is moved by its digits."""
-        year, month, day = int(text[:4]), int(text[4:6]), int(text[6:])
-        if not (1900 <= year < 2028 and 1 <= month <= 12 and 1 <= day <= 28):
-            return self.spell(text[:4], ["0123456789"] * 4, "birth year" + text[4:]) + text[4:]
-        number = self._shift(((year - 1900) * 12 + month - 1) * 28 + day - 1, 128 * 12 * 28, "birth")
-        return f"{1900 + number // 336:04d}{number // 28 % 12 + 1:02d}{number % 28 + 1:02d}"
+        """Canonical YYYYMMDD: another real day of its time; what is no day, other digits that are none."""
+        day = _day(text)
+        if day is None:
+            return self._until(lambda x: self.spell(x, ["0123456789"] * 8, "no day"), text, lambda x: _day(x) is None)
+        for first, last in TIMES:
+            low, high = date(first, 1, 1).toordinal(), date(last, 12, 31).toordinal()
+            if low <= day <= high:
+                break
+        else:  # any other time
+            taken = [(date(a, 1, 1).toordinal(), date(b, 12, 31).toordinal()) for a, b in TIMES]
+            move = lambda x: self._shift(x - 1, date.max.toordinal(), "birth|other") + 1
+            made = move(day)
+            while any(a <= made <= b for a, b in taken):
+                made = move(made)
+            other = date.fromordinal(made)
+            return f"{other.year:04d}{other.month:02d}{other.day:02d}"
+        made = date.fromordinal(low + self._shift(day - low, high - low + 1, f"birth|{first}"))
+        return f"{made.year:04d}{made.month:02d}{made.day:02d}"
 
     def _mac(self, text: str) -> str:
         return self.spell(text, [HEX] * 12, "mac")
@@ -314,8 +381,10 @@ def find(text: str) -> list[tuple[int, int, str]]:
     for kind in kinds:
         for m in _COMPILED[kind].finditer(text):
             a, b = m.span("value") if "value" in m.re.groupindex else m.span()
-            if kind == "name" and m["cue"]:
-                a = m.end("cue")
+            if kind == "name":
+                a = max(a, *(m.end(g) for g in ("cue", "near", "low")))
+                if not m["title"] and NO_NAMES.intersection(text[a:b].lower().split()):
+                    continue
             if _valid(kind, text[a:b]) and take(a, b, kind) and kind == "name":
                 words.update(_lower(text[a + x : a + y]) for x, y in _name_words(text[a:b]))
     words = {w for w in words if len(w) > 1}
@@ -341,9 +410,7 @@ def _canonical(kind: str, text: str) -> str:
     if kind == "ipv6":
         return text.lower()
     if kind == "birth":
-        parts = [int(x) for x in re.split(r"[-./]", _ascii_digits(text))]
-        year, month, day = parts if "-" in text else parts[::-1]
-        return f"{year:04d}{month:02d}{day:02d}"
+        return _birth_parts(text)[0]
     if kind == "phone":
         digits = re.sub(r"\D", "", _ascii_digits(text))
         national = digits[1:] if len(digits) == 11 and digits[0] == "1" else digits
@@ -351,6 +418,14 @@ def _canonical(kind: str, text: str) -> str:
     return text
 
 
+def _birth_parts(text: str) -> tuple[str, str]:
+    """(YYYYMMDD, the order of the parts): day before month, unless only the other way is a day."""
+    parts = [int(x) for x in re.split(r"[-./]", _ascii_digits(text))]
+    orders = ("ymd",) if "-" in text else ("dmy", "mdy")
+    read = [("{y:04d}{m:02d}{d:02d}".format(**dict(zip(o, parts, strict=True))), o) for o in orders]
+    return next((r for r in read if _day(r[0]) is not None), read[0])
+
+
 def _written(original: str, surrogate: str, keep) -> str:
     """The surrogate's characters in the places of the original's own (those that `keep` accepts)."""
     letters = iter(surrogate)
@@ -379,9 +454,8 @@ def _one(maker: Surrogates, kind: str, text: str) -> tuple[str, list[tuple[str,
     made = maker.replace(kind, canonical)
     written = made
     if kind == "birth":
-        year, month, day = made[:4], made[4:6], made[6:]
-        mark = re.search(r"[-./]", text)[0]
-        written = mark.join((year, month, day) if mark == "-" else (day, month, year))
+        parts = {"y": made[:4], "m": made[4:6], "d": made[6:]}
+        written = re.search(r"[-./]", text)[0].join(parts[x] for x in _birth_parts(text)[1])
     elif kind in ("card", "ssn", "phone"):
         digits = re.sub(r"\D", "", _ascii_digits(text))
         country = digits[: len(digits) - 10] if kind == "phone" and canonical[0] != "+" else ""
@@ -413,7 +487,7 @@ def redact(text: str, maker: Surrogates) -> tuple[str, list[tuple[str, int, str,
     return "".join(out), entities
 
 
-def surrogates(df: DataFrame, key: bytes, *, id_col: str = "doc_id", text_col: str = "text", with_entities: bool = False) -> DataFrame:
+def surrogates(df: DataFrame, key: bytes, *, id_col: str = "doc_id", text_col: str = "text", with_entities: bool = False, repairs: dict[tuple[str, str], int] | None = None) -> DataFrame:
     """Each row's id_col, text with surrogates, n_entities and the counts of each kind; with_entities
     adds (kind, original's digest, surrogate), the originals themselves never leave the task."""
     slim = df.select(F.col(id_col), F.col(text_col).alias("_text"))
@@ -423,7 +497,7 @@ def surrogates(df: DataFrame, key: bytes, *, id_col: str = "doc_id", text_col: s
     fields += ", entities array<struct<kind:string,original:string,surrogate:string>>" * with_entities
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maker = Surrogates(key)
+        maker = Surrogates(key, repairs)
         for batch in steps(batches, "_text"):
             texts, found = [], []
             for text in batch.column(1).to_pylist():
@@ -434,9 +508,7 @@ def surrogates(df: DataFrame, key: bytes, *, id_col: str = "doc_id", text_col: s
             arrays = [batch.column(0), pa.array(texts, pa.string()), pa.array([len(x) for x in found], pa.int32()), *counts]
             heads = [id_col, "text", "n_entities", *names]
             if with_entities:
-                sign = lambda x: hmac.new(key, x.encode(), hashlib.sha256).hexdigest()
-                listed = [[{"kind": k, "original": sign(c), "surrogate": w} for k, _, c, w in x] for x in found]
-                arrays.append(pa.array(listed, pa.list_(pa.struct([("kind", pa.string()), ("original", pa.string()), ("surrogate", pa.string())]))))
+                arrays.append(_entities(found, maker))
                 heads.append("entities")
             yield pa.RecordBatch.from_arrays(arrays, names=heads)
 
@@ -452,40 +524,59 @@ def key_of(spark: SparkSession) -> bytes:
     return EXAMPLE_KEY
 
 
-def collisions(found: DataFrame) -> DataFrame:
+def _entities(found: list, maker: Surrogates) -> pa.Array:
+    listed = [[{"kind": k, "original": maker.sign(c), "surrogate": w} for k, _, c, w in x] for x in found]
+    return pa.array(listed, pa.list_(pa.struct([("kind", pa.string()), ("original", pa.string()), ("surrogate", pa.string())])))
+
+
+def collisions(found: DataFrame, column: str = "entities") -> DataFrame:
     """(kind, surrogate, originals): surrogates that more than one original of a kind got, of a table
     from surrogates(with_entities=True). None are expected."""
-    one = found.select(F.explode("entities").alias("e")).select("e.*")
+    one = found.select(F.explode(column).alias("e")).select("e.*")
     return one.distinct().groupBy("kind", "surrogate").agg(F.count(F.lit(1)).alias("originals")).where("originals > 1")
 
 
-def checked(df: DataFrame, key: bytes, **options) -> DataFrame:
-    """surrogates(), after a check over the whole table that no two originals of a kind share one."""
-    return _refuse_collisions(surrogates(df, key, with_entities=True, **options)).drop("entities")
+def _without_collisions(make: Callable[[dict], DataFrame], column: str) -> DataFrame:
+    """The table that make(repairs) gives, written once, with its originals' digests in `column`; made
+    again, with other surrogates for all but one of the originals that share one, until none do."""
+    repairs: dict[tuple[str, str], int] = {}
+    while True:
+        found = materialise(make(repairs), "surrogates")
+        shared = collisions(found, column)
+        if not shared.limit(1).count():
+            return found
+        one = found.select(F.explode(column).alias("e")).select("e.*").distinct()
+        both = one.join(shared.drop("originals"), ["kind", "surrogate"])
+        first = both.groupBy("kind", "surrogate").agg(F.min("original").alias("first"))
+        moved = both.join(first, ["kind", "surrogate"]).where("original <> first").select("kind", "original")
+        for r in moved.limit(MOST_REPAIRS).collect():  # of more, the rest in the next round
+            repairs[r.kind, r.original] = repairs.get((r.kind, r.original), 0) + 1
+        release(found)
 
 
-def _refuse_collisions(found: DataFrame) -> DataFrame:
-    found = materialise(found, "surrogates")
-    shared = collisions(found).limit(3).collect()
-    if shared:
-        raise ValueError(f"originals share a surrogate, take another key: {shared}")
-    return found
+def checked(df: DataFrame, key: bytes, **options) -> DataFrame:
+    """surrogates(), after a check over the whole table that no two originals of a kind share one."""
+    return _without_collisions(lambda repairs: surrogates(df, key, with_entities=True, repairs=repairs, **options), "entities").drop("entities")
 
 
 def anonymise(df: DataFrame, key: bytes, *, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """df, all columns, with surrogates in its text and the length column, if it has one, renewed,
-    after the check that no two originals of a kind share one."""
-    alone = df.select(F.lit(0).alias("id"), F.col(text_col).alias("text"))
-    release(_refuse_collisions(surrogates(alone, key, id_col="id", with_entities=True).where("n_entities > 0").select("entities")))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maker = Surrogates(key)
-        for batch in steps(batches, text_col):
-            at = batch.schema.get_field_index(text_col)
-            texts = [redact(t, maker)[0] if t else t for t in batch.column(at).to_pylist()]
-            yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
-
-    out = df.mapInArrow(run, df.schema)
+    after the check that no two originals of a kind share one. Texts are searched once."""
+    column = fresh(df, "entities")
+    fields = StructType([*df.schema.fields, *StructType.fromDDL(f"{column} array<struct<kind:string,original:string,surrogate:string>>").fields])
+
+    def make(repairs: dict) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            maker = Surrogates(key, repairs)
+            for batch in steps(batches, text_col):
+                at = batch.schema.get_field_index(text_col)
+                made = [redact(t, maker) if t else (t, []) for t in batch.column(at).to_pylist()]
+                batch = batch.set_column(at, batch.schema.field(at), pa.array([t for t, _ in made], batch.schema.field(at).type))
+                yield batch.append_column(column, _entities([e for _, e in made], maker))
+
+        return df.mapInArrow(run, fields)
+
+    out = _without_collisions(make, column).drop(column)
     if length_col in df.columns:
         length = F.length(text_col).cast(df.schema[length_col].dataType)
         out = out.withColumn(length_col, F.when(F.col(length_col).isNull() | F.col(text_col).isNull(), F.col(length_col)).otherwise(length))
