@@ -6,15 +6,17 @@ a token of A and one of B are linked where their bytes overlap. A pair's count i
 documents (rows) that hold it linked.
 
 1. Each task packs the linked pairs into int64 keys, A << 20 | B, and counts documents by key with
-   np.unique; partial counts leave it in sorted blocks of bounded size.
+   np.unique; partial counts leave it in sorted blocks of bounded size, and each document's distinct
+   keys go to a work table, so that texts are encoded once.
 2. The partial counts are dealt to ranges of keys and sorted; equal keys are summed as runs. Each
    range is written as a shard of two sorted arrays to the shared folder.
-3. Tasks over the documents map the shards into memory and find their keys by searchsorted. (Where the
+3. Tasks over the documents' keys map the shards into memory and find them by searchsorted. (Where the
    shared folder is no mounted one, a shard is read through Arrow's file systems when first needed.)
 
-Texts are handled in units, cut at single spaces between other characters: neither vocabulary has a
-token across such a space (`Pair` checks both, and takes whole texts as units otherwise), so a unit's tokens,
-groups and links do not depend on its neighbours. Units are kept in bounded caches of each worker.
+Texts are handled in units: words with the space before them, marks after a word, line feeds. Neither
+vocabulary has a token across such a cut (`Pair` checks both, and takes whole texts as units otherwise),
+so a unit's tokens, groups and links do not depend on its neighbours. A text with other white space, or
+with two such characters in a row, is cut at single spaces only. Units are kept in bounded caches of each worker.
 
 Null and empty texts, and texts whose tokens' bytes are not a space and the text, have no tokens: zeros
 and an empty groups_sha256. Repeated rows count as documents of their own. Extra columns are ignored.
@@ -30,21 +32,30 @@ import os
 import re
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from tessera.llm.common import materialise, release, steps, work_path
 from tessera.llm.sp_codec import byte_letters
 
 #: Bits of a token id of B in a key; bits of a key.
 B_BITS, KEY_BITS = 20, 40
-CUT = re.compile(r"(?<=\S) (?=\S)")
-#: A space beside white space, or at an end.
-LOOSE = re.compile(r"^\s| \s|[^\S ] |\s$")
+CUT = re.compile(r"(?<=\S)(?= \S)")
+#: White space other than single spaces and line feeds between other characters.
+LOOSE = re.compile(r"\s(?:\s|(?<![ \n])|$)")
+LETTER, MARK = "A-Za-zÀ-ÖØ-öø-ÿ", ".,;:!?"
+UNIT = re.compile(rf"\n| ?[{LETTER}]+(?=[\s{MARK}]|$)|[{MARK}]+(?=\s|$)| ?\S+")
+#: A cut of UNIT within a token of B.
+ACROSS = re.compile(rf"[{LETTER}][{MARK}]|\n.|.\n", re.DOTALL)
+#: Units that are encoded as one text.
+TOGETHER = 500
 #: Keys that a task holds before it passes them on.
 HELD = 3_000_000
 SPACE_SIGN = "▁"
@@ -62,7 +73,17 @@ class Pair:
         self.a.no_truncation()
         self.a.no_padding()
         self.a.encode_special_tokens = True  # their strings are plain text
-        self.b = sentencepiece.SentencePieceProcessor(model_proto=b_model)
+        # the space before the text is given to it, as units in mid-text have none or their own
+        from sentencepiece import sentencepiece_model_pb2 as pb
+
+        proto = pb.ModelProto()
+        proto.ParseFromString(b_model)
+        normal = proto.normalizer_spec
+        adds = normal.add_dummy_prefix and not normal.remove_extra_whitespaces and not normal.precompiled_charsmap
+        normal.add_dummy_prefix = False
+        self.b = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
+        if not adds:
+            raise ValueError("a model that changes its text, or adds no space before it")
         byte = {x: i for i, x in enumerate(byte_letters())}
         vocabulary = self.a.get_vocab()
         self.a_bytes = [b""] * (max(vocabulary.values(), default=-1) + 1)
@@ -76,30 +97,36 @@ class Pair:
         steps_ = rules.get("pre_tokenizer") or {}
         plain = steps_.get("type") == "ByteLevel" and steps_.get("use_regex") and not steps_.get("add_prefix_space") and not rules.get("normalizer")
         plain = plain and all(" " not in t["content"] for t in rules.get("added_tokens") or [])
-        self.cuts = bool(plain) and not any(SPACE_SIGN in p.lstrip(SPACE_SIGN) or (p[:1] == SPACE_SIGN and p[1:2] == SPACE_SIGN and p.strip(SPACE_SIGN)) for p in pieces)
+        spaced = [p for p in pieces if SPACE_SIGN in p.lstrip(SPACE_SIGN) or (p.startswith(SPACE_SIGN * 2) and p.strip(SPACE_SIGN))]
+        self.cuts = bool(plain) and not spaced and not any(ACROSS.search(p) for p in pieces)
 
     def units(self, text: str) -> list[str]:
-        """The text's units, each without the single space before it."""
+        """The units of a space and the text."""
+        whole = " " + text
         if not self.cuts:
-            return [text]
-        return CUT.split(text) if LOOSE.search(text) else text.split(" ")
+            return [whole]
+        return CUT.split(whole) if text[:1].isspace() or LOOSE.search(text) else UNIT.findall(whole)
 
-    def encode(self, units: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        a = [x.ids for x in self.a.encode_batch_fast([" " + u for u in units], add_special_tokens=False)]
-        return a, self.b.encode(units, num_threads=1)
+    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        a = [x.ids for x in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+        return a, self.b.encode(texts, num_threads=1)
 
+    def gives_back(self, text: str, a: list[int], b: list[int]) -> bool:
+        whole = text.encode()
+        return b"".join(map(self.b_bytes.__getitem__, b)) == whole == b"".join(map(self.a_bytes.__getitem__, a))
 
-def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    n = np.fromiter(map(len, lists), np.int64, len(lists))
-    return n, np.fromiter((i for x in lists for i in x), np.int64, int(n.sum()))
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """np.unique by a sort, which is faster than its hash table here."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
 
 
 class Units:
-    """A worker's bounded cache of units: token, group and link numbers, keys, and for `count` (keys to
-    counts) and `top` (the highest count of each A id) the sums over links."""
+    """A worker's bounded cache of units: numbers of tokens, groups and links, spelled groups, keys."""
 
-    def __init__(self, pair: Pair, count=None, top: np.ndarray | None = None, size: int = 300_000):
-        self.pair, self.count, self.top, self.size = pair, count, top, size
+    def __init__(self, pair: Pair, size: int = 300_000):
+        self.pair, self.size = pair, size
         self.lengths = [np.fromiter(map(len, x), np.int64, len(x)) for x in (pair.a_bytes, pair.b_bytes)]
         self.digits = [str(i) for i in range(max(map(len, self.lengths)))]
         self._clear()
@@ -107,8 +134,8 @@ class Units:
     def _clear(self) -> None:
         self.at: dict[str, int] = {}
         self.groups: list[str] = []
-        # ok, n_a, n_b, n_groups, n_links, n_best, count_sum
-        self.numbers, self.used = np.zeros((7, 1024), np.int64), 0
+        # has tokens, n_a, n_b, n_groups, n_links
+        self.numbers, self.used = np.zeros((5, 1024), np.int64), 0
         self.keys, self.ends = [np.zeros(0, np.int64)], [np.zeros(1, np.int64)]
 
     def learn(self, wanted: set[str]) -> None:
@@ -119,41 +146,51 @@ class Units:
         if missing:
             self._add(list(missing))
 
+    def _encoded(self, units: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, list[int], list[int]]:
+        """(units in the order taken, which have tokens, their bytes, tokens of A and of B in a row).
+        Words after a space are encoded many at a time."""
+        pair = self.pair
+        words = [u for u in units if u[:1] == " " and u.split() == [u[1:]]] if pair.cuts else []
+        joined = set(words)
+        parts = [words[i : i + TOGETHER] for i in range(0, len(words), TOGETHER)] + [[u] for u in units if u not in joined]
+        order, good, fa, fb = [], [], [], []
+        while parts:
+            texts = ["".join(p) for p in parts]
+            again = []
+            for part, text, a, b in zip(parts, texts, *pair.encode(texts), strict=True):
+                if pair.gives_back(text, a, b):
+                    order.extend(part)
+                    good += [True] * len(part)
+                    fa.extend(a)
+                    fb.extend(b)
+                elif len(part) > 1:
+                    again += [[u] for u in part]
+                else:  # a unit that one of them does not give back has no tokens
+                    order.extend(part)
+                    good.append(False)
+            parts = again
+        good = np.array(good, bool)
+        sizes = np.fromiter((len(u.encode()) for u in order), np.int64, len(order)) * good
+        return order, good, sizes, fa, fb
+
     def _add(self, units: list[str]) -> None:
-        pair, n = self.pair, len(units)
-        a, b = pair.encode(units)
-        for i, u in enumerate(units):  # a unit that one of them does not give back has no tokens
-            whole = b" " + u.encode()
-            if b"".join([pair.b_bytes[x] for x in b[i]]) != whole or b"".join([pair.a_bytes[x] for x in a[i]]) != whole:
-                a[i] = b[i] = []
-        (na, fa), (nb, fb) = _flat(a), _flat(b)
+        n = len(units)
+        units, good, sizes, fa, fb = self._encoded(units)
+        fa, fb = np.array(fa, np.int64), np.array(fb, np.int64)
         ends_a, ends_b = np.cumsum(self.lengths[0][fa]), np.cumsum(self.lengths[1][fb])
-        bounds = np.union1d(ends_a, ends_b)
+        bounds = _distinct(np.concatenate([ends_a, ends_b]))
         keys = fa[np.searchsorted(ends_a, bounds)] << B_BITS | fb[np.searchsorted(ends_b, bounds)]
-        links = np.cumsum(na + nb)  # of the units so far, counting bounds of both twice
-        common = np.intersect1d(ends_a, ends_b)
-        last = np.concatenate([[0], np.cumsum(na)])
-        unit_end = np.concatenate([[0], ends_a])[last]  # bytes before each unit, and in all
-        n_groups = np.diff(np.searchsorted(common, unit_end, "right"))
-        n_links = np.diff(np.searchsorted(bounds, unit_end, "right"))
-        assert int(links[-1]) - len(common) == len(bounds)
+        common = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        unit_end = np.concatenate([[0], np.cumsum(sizes)])  # bytes before each unit, and in all
+        na, nb, n_groups, n_links = (np.diff(np.searchsorted(x, unit_end, "right")) for x in (ends_a, ends_b, common, bounds))
         grown = self.used + n
         if grown > self.numbers.shape[1]:
-            self.numbers = np.concatenate([self.numbers, np.zeros((7, grown), np.int64)], axis=1)
+            self.numbers = np.concatenate([self.numbers, np.zeros((5, grown), np.int64)], axis=1)
         block = self.numbers[:, self.used : grown]
-        block[0], block[1], block[2], block[3], block[4] = na > 0, na, nb, n_groups, n_links
-        ends = np.cumsum(n_links)
-        if self.count is None:
-            self.keys.append(keys)
-            self.ends.append(self.ends[-1][-1] + ends)
-        else:
-            found, back = np.unique(keys, return_inverse=True)
-            counts = self.count(found)
-            best = counts == self.top[found >> B_BITS]
-            for row, values in ((5, best[back]), (6, counts[back])):
-                total = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
-                block[row] = np.diff(total[np.concatenate([[0], ends])])
-            self.groups += self._spelled(fa, fb, ends_a, ends_b, common, n_groups)
+        block[0], block[1], block[2], block[3], block[4] = good, na, nb, n_groups, n_links
+        self.keys.append(keys)
+        self.ends.append(self.ends[-1][-1] + np.cumsum(n_links))
+        self.groups += self._spelled(fa, fb, ends_a, ends_b, common, n_groups)
         self.at.update(zip(units, range(self.used, grown), strict=True))
         self.used = grown
 
@@ -174,29 +211,34 @@ class Units:
     def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(number of units of each text, the units' places in the cache, text after text)."""
         cut = [self.pair.units(t) if t else [] for t in texts]
-        self.learn({u for x in cut for u in x})
+        self.learn(set(chain.from_iterable(cut)))
         n = np.fromiter(map(len, cut), np.int64, len(cut))
-        return n, np.fromiter((self.at[u] for x in cut for u in x), np.int64, int(n.sum()))
+        return n, np.fromiter(map(self.at.__getitem__, chain.from_iterable(cut)), np.int64, int(n.sum()))
 
     def sums(self, n: np.ndarray, places: np.ndarray) -> np.ndarray:
         """The numbers of each text, zeros for one that holds a unit without tokens."""
-        total = np.concatenate([np.zeros((7, 1), np.int64), np.cumsum(self.numbers[:, places], axis=1)], axis=1)
+        total = np.concatenate([np.zeros((5, 1), np.int64), np.cumsum(self.numbers[:, places], axis=1)], axis=1)
         ends = np.concatenate([[0], np.cumsum(n)])
         sums = np.diff(total[:, ends], axis=1)
         sums[0] = (sums[0] == n) & (n > 0)
         return sums * sums[0]
 
-    def keys_of(self, n: np.ndarray, places: np.ndarray) -> np.ndarray:
-        """Each text's distinct keys, text after text."""
-        good = np.repeat(self.sums(n, places)[0] > 0, n)
-        owner = np.repeat(np.arange(len(n)), n)[good]
-        pairs = np.unique(owner * self.used + places[good])
+    def keys_of(self, good: np.ndarray, n: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, key, number of links) of each distinct key of the good texts, text after text."""
+        owner, some = np.repeat(np.arange(len(n)), n), np.repeat(good, n)
+        pairs, times = np.unique(owner[some] * self.used + places[some], return_counts=True)
         owner, unit = pairs // self.used, pairs % self.used
         self.keys, self.ends = [np.concatenate(self.keys)], [np.concatenate(self.ends)]
         ends = self.ends[0]
         starts, size = ends[unit], ends[unit + 1] - ends[unit]
         at = np.repeat(starts - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(int(size.sum()))
-        return np.unique(np.repeat(owner, size) << KEY_BITS | self.keys[0][at]) & ((1 << KEY_BITS) - 1)
+        both = np.repeat(owner, size) << KEY_BITS | self.keys[0][at]
+        order = np.argsort(both)
+        both, times = both[order], np.repeat(times, size)[order]
+        if not len(both):
+            return both, both, both
+        first = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]))
+        return both[first] >> KEY_BITS, both[first] & ((1 << KEY_BITS) - 1), np.add.reduceat(times, first)
 
 
 def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -208,17 +250,46 @@ def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
 
 
-def _partial_counts(texts: DataFrame, shared, held: int) -> DataFrame:
+NAMES = ["n_a", "n_b", "n_groups", "n_links"]
+
+
+def _encoded_rows(texts: DataFrame, shared, held: int, with_groups: bool) -> DataFrame:
+    """A row for each text, with its numbers and distinct keys, and rows of partial counts (pair, n)."""
+    kind = texts.schema["_id"].dataType.simpleString()
+    fields = f"_id {kind}, {', '.join(f'{n} long' for n in NAMES)}, sha string, groups string, keys array<long>, times array<long>, pair long, n long"
+    schema = to_arrow_schema(StructType.fromDDL(fields))
+
+    def rows(size: int, **columns) -> pa.RecordBatch:
+        arrays = [columns[f.name].cast(f.type) if f.name in columns else pa.nulls(size, f.type) for f in schema]
+        return pa.RecordBatch.from_arrays(arrays, schema=schema)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units = Units(Pair(*shared.value))
         keys, counts, size = [], [], 0
 
         def block(k, c):
             for i in range(0, len(k), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(k[i : i + 100_000]), pa.array(c[i : i + 100_000])], names=["pair", "n"])
+                part = k[i : i + 100_000]
+                yield rows(len(part), pair=pa.array(part), n=pa.array(c[i : i + 100_000]))
 
         for batch in steps(batches, "_text"):
-            k, c = np.unique(units.keys_of(*units.of(batch.column(1).to_pylist())), return_counts=True)
+            m = batch.num_rows
+            n, places = units.of(batch.column(1).to_pylist())
+            sums = units.sums(n, places)
+            good = sums[0] > 0
+            spelled, start, all_groups, listed = [], 0, units.groups, places.tolist()
+            for ok, k in zip(good.tolist(), n.tolist(), strict=True):
+                spelled.append(";".join([all_groups[p] for p in listed[start : start + k]]) if ok else "")
+                start += k
+            owner, key, times = units.keys_of(good, n, places)
+            ends = pa.array(np.searchsorted(owner, np.arange(m + 1)), pa.int32())
+            columns = dict(zip(NAMES, map(pa.array, sums[1:]), strict=True))
+            columns["sha"] = pa.array([hashlib.sha256(x.encode()).hexdigest() if x else "" for x in spelled], pa.string())
+            columns |= {"keys": pa.ListArray.from_arrays(ends, pa.array(key)), "times": pa.ListArray.from_arrays(ends, pa.array(times))}
+            if with_groups:
+                columns["groups"] = pa.array(spelled, pa.string())
+            yield rows(m, _id=batch.column(0), **columns)
+            k, c = np.unique(key, return_counts=True)
             keys, counts, size = [*keys, k], [*counts, c], size + len(k)
             if size > held:
                 k, c = _merged(keys, counts)
@@ -229,7 +300,7 @@ def _partial_counts(texts: DataFrame, shared, held: int) -> DataFrame:
         if keys:
             yield from block(*_merged(keys, counts))
 
-    return texts.mapInArrow(run, "pair long, n long")
+    return texts.mapInArrow(run, fields)
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -306,27 +377,29 @@ class Shards:
         return out
 
 
-def _sorted_counts(df: DataFrame, shared, id_col: str, text_col: str, held: int = HELD) -> tuple[DataFrame, DataFrame]:
-    partial = materialise(_partial_counts(_texts(df, id_col, text_col), shared, held), "pair-counts")
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return partial.repartitionByRange(parts, "pair").sortWithinPartitions("pair"), partial
+def _encoded(df: DataFrame, a_json: str, b_model: bytes, id_col: str, text_col: str, held: int = HELD, with_groups: bool = False) -> DataFrame:
+    shared = df.sparkSession.sparkContext.broadcast((a_json, b_model))  # bounded by the vocabulary files
+    return materialise(_encoded_rows(_texts(df, id_col, text_col), shared, held, with_groups), "encoded")
+
+
+def _in_order(encoded: DataFrame) -> DataFrame:
+    parts = int(encoded.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return encoded.where("pair is not null").select("pair", "n").repartitionByRange(parts, "pair").sortWithinPartitions("pair")
 
 
 def pair_counts(df: DataFrame, a_json: str, b_model: bytes, *, id_col: str = "doc_id", text_col: str = "text", held: int = HELD) -> DataFrame:
     """(a, b, n): the number of documents that hold tokens a and b linked, for each pair that any holds."""
-    shared = df.sparkSession.sparkContext.broadcast((a_json, b_model))  # bounded by the vocabulary files
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, sums in _runs(batches):
             yield pa.RecordBatch.from_arrays([pa.array((keys >> B_BITS).astype(np.int32)), pa.array((keys & ((1 << B_BITS) - 1)).astype(np.int32)), pa.array(sums)], names=["a", "b", "n"])
 
-    return _sorted_counts(df, shared, id_col, text_col, held)[0].mapInArrow(run, "a int, b int, n long")
+    return _in_order(_encoded(df, a_json, b_model, id_col, text_col, held)).mapInArrow(run, "a int, b int, n long")
 
 
-def _shards(df: DataFrame, shared, id_col: str, text_col: str) -> tuple[list[tuple[int, str, str]], np.ndarray]:
+def _shards(encoded: DataFrame) -> tuple[list[tuple[int, str, str]], np.ndarray]:
     """The written shards and the highest count of each A id."""
-    ordered, partial = _sorted_counts(df, shared, id_col, text_col)
-    folder = work_path(df.sparkSession, "pair-shards")
+    folder = work_path(encoded.sparkSession, "pair-shards")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = list(_runs(batches))  # a range of the distinct pairs, 16 bytes each
@@ -340,42 +413,40 @@ def _shards(df: DataFrame, shared, id_col: str, text_col: str) -> tuple[list[tup
         fields += [pa.array([p] + [None] * (len(at) - 1), pa.string()) for p in paths]
         yield pa.RecordBatch.from_arrays(fields, names=["a", "best", "first", "pairs", "counts"])
 
-    written = materialise(ordered.mapInArrow(run, "a long, best long, first long, pairs string, counts string"), "shards")
-    release(partial)
+    written = materialise(_in_order(encoded).mapInArrow(run, "a long, best long, first long, pairs string, counts string"), "shards")
     rows = [(r["first"], r.pairs, r.counts) for r in written.where("first is not null").select("first", "pairs", "counts").collect()]  # one a range
     best = written.groupBy("a").agg(F.max("best").alias("best")).collect()  # one a token of A's vocabulary
     top = np.zeros(max((r.a for r in best), default=0) + 1, np.int64)
     for r in best:
         top[r.a] = r.best
+    release(written)
     return rows, top
 
 
 def align(df: DataFrame, a_json: str, b_model: bytes, *, id_col: str = "doc_id", text_col: str = "text", with_groups: bool = False) -> DataFrame:
     """Each row's n_a, n_b, n_groups, n_links, n_best (links whose count is their A id's highest), count_sum
-    (over links) and groups_sha256 (of `a1,a2|b1;a3|b2,b3`); with_groups adds that text. Two scans, no
-    shuffle of texts."""
-    context = df.sparkSession.sparkContext
-    shared = context.broadcast((a_json, b_model))
-    rows, top = _shards(df, shared, id_col, text_col)
-    size = len(Pair(a_json, b_model).a_bytes)
-    best = context.broadcast(np.concatenate([top, np.zeros(max(0, size - len(top)), np.int64)]))  # a number a token of A
-    names = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
-    texts = _texts(df, id_col, text_col)
-    fields = f"`{id_col}` {texts.schema['_id'].dataType.simpleString()}, {', '.join(f'{n} long' for n in names)}, groups_sha256 string" + ", groups string" * with_groups
+    (over links) and groups_sha256 (of `a1,a2|b1;a3|b2,b3`); with_groups adds that text. Texts are
+    encoded once and never shuffled."""
+    encoded = _encoded(df, a_json, b_model, id_col, text_col, with_groups=with_groups)
+    rows, top = _shards(encoded)
+    best = df.sparkSession.sparkContext.broadcast(top)  # a number a token of A
+    docs = encoded.where("pair is null").select("_id", *NAMES, "sha", "keys", "times", *["groups"] * with_groups)
+    fields = f"`{id_col}` {docs.schema['_id'].dataType.simpleString()}, {', '.join(f'{n} long' for n in NAMES)}, groups_sha256 string, n_best long, count_sum long" + ", groups string" * with_groups
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units = Units(Pair(*shared.value), Shards(rows), best.value)
-        for batch in steps(batches, "_text"):
-            n, places = units.of(batch.column(1).to_pylist())
-            sums = units.sums(n, places)
-            spelled, start, all_groups = [], 0, units.groups
-            listed = places.tolist()
-            for good, k in zip(sums[0].tolist(), n.tolist(), strict=True):
-                spelled.append(";".join([all_groups[p] for p in listed[start : start + k]]) if good else "")
-                start += k
-            arrays = [batch.column(0), *(pa.array(x) for x in sums[1:]), pa.array([hashlib.sha256(x.encode()).hexdigest() if x else "" for x in spelled], pa.string())]
-            if with_groups:
-                arrays.append(pa.array(spelled, pa.string()))
-            yield pa.RecordBatch.from_arrays(arrays, names=[id_col, *names, "groups_sha256", *["groups"] * with_groups])
-
-    return texts.mapInArrow(run, fields)
+        shards = Shards(rows)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys, ends = batch.column(6).flatten().to_numpy(), batch.column(6).offsets.to_numpy()
+            times = batch.column(7).flatten().to_numpy()
+            found, back = np.unique(keys, return_inverse=True)
+            counts = shards(found)
+            is_best = counts == best.value[found >> B_BITS]
+            sums = []
+            for values in (is_best, counts):
+                total = np.concatenate([[0], np.cumsum(values[back] * times)])
+                sums.append(pa.array(np.diff(total[ends - ends[0]])))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:6], *sums, *batch.columns[8:]], names=[id_col, *NAMES, "groups_sha256", "n_best", "count_sum", *["groups"] * with_groups])
+
+    return docs.mapInArrow(run, fields)
