@@ -4,10 +4,10 @@ Lengths are integers of at most the largest permitted sequence, so best-fit decr
 out exactly on their histogram: all bins with the same room take the same run of lengths at once,
 and the plan has a size bounded by the permitted lengths, whatever the number of documents. Where
 no open bin has room, the length of the least cost for each token it is expected to hold is opened,
-among a set of the permitted ones. That set is searched for, so the lengths are optimised jointly: from
-all of them, and from the largest alone, a length is left out or taken in while that lowers the plan's
-total cost, for the best of several expectations of what still fills a bin. At the end each bin is cut down to the
-smallest permitted length that holds its contents.
+among a set of the permitted ones. The lengths are optimised jointly: every set that holds the longest
+piece is planned, with each of several expectations of what still fills a bin, by tasks of the cluster,
+and the plan of the least total cost is taken. (Sets double with each permitted length, so these should
+be few.) At the end each bin is cut down to the smallest permitted length that holds its contents.
 
 The documents then only need their rank among the pieces of equal length: pieces are counted in
 cells of bounded size, so one common length does not meet in one task.
@@ -23,10 +23,11 @@ from __future__ import annotations
 import math
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import materialise
@@ -113,33 +114,29 @@ class Plan:
         return sum((end - first) * self.price(capacity) for first, end, capacity, _ in self.bins)
 
 
-def best_plan(counts: dict[int, int], sizes: tuple[int, ...] = SIZES, attention: float = ATTENTION) -> Plan:
-    """The cheapest plan found over expectations of later filling and sets of lengths to open."""
-    longest = max((x for x, n in counts.items() if n), default=0)
-    sizes = tuple(sorted(sizes))
+def choices(counts: dict[int, int], sizes: tuple[int, ...]) -> list[tuple[tuple[int, ...], float]]:
+    """Every set of lengths to open that holds the longest piece, with every expectation."""
+    longest, sizes = max((x for x, n in counts.items() if n), default=0), tuple(sorted(sizes))
     if longest > sizes[-1]:
         raise ValueError(f"length {longest} is over the largest permitted length {sizes[-1]}")
-    made: dict[tuple[tuple[int, ...], float], Plan] = {}
-
-    def plan(opened: tuple[int, ...], expect: float) -> Plan:
-        if (opened, expect) not in made:
-            made[opened, expect] = Plan(counts, sizes, expect, attention, opened)
-        return made[opened, expect]
-
-    holds = next(s for s in sizes if s >= longest)
-    for first in (sizes, (holds,)):
-        expect = min(EXPECTATIONS, key=lambda e: plan(first, e).cost)
-        best = plan(first, expect)
-        while True:
-            others = [tuple(s for s in sizes if (s in best.opened) != (s == change)) for change in sizes]
-            others = [o for o in others if o and o[-1] >= longest]
-            lower = min((plan(o, expect) for o in others), key=lambda p: p.cost, default=best)
-            if lower.cost >= best.cost:
-                break
-            best = lower
-        for e in EXPECTATIONS:
-            plan(best.opened, e)
-    return min(made.values(), key=lambda p: p.cost)
+    sets = chain.from_iterable(combinations(sizes, n) for n in range(1, len(sizes) + 1))
+    return [(opened, expect) for opened in sets if opened[-1] >= longest for expect in EXPECTATIONS]
+
+
+def best_plan(counts: dict[int, int], sizes: tuple[int, ...] = SIZES, attention: float = ATTENTION, spark: SparkSession | None = None) -> Plan:
+    """The cheapest plan over all choices (of equally cheap ones the first), judged by tasks of spark, if given."""
+    options = choices(counts, sizes)
+    make = lambda k: Plan(counts, sizes, options[k][1], attention, options[k][0])
+    if spark is None:
+        return min(map(make, range(len(options))), key=lambda p: p.cost)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            costs = [make(k).cost for k in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(costs, pa.float64())], names=["id", "cost"])
+
+    costs = spark.range(0, len(options), 1, len(options)).mapInArrow(run, "id long, cost double").collect()  # a row a choice
+    return make(min(costs, key=lambda r: (r.cost, r.id)).id)
 
 
 def pieces_of(df: DataFrame, longest: int, *, id_col: str = "doc_id", text_col: str = "text", content: bool = False) -> DataFrame:
@@ -193,7 +190,7 @@ def best_fit_pack(df: DataFrame, sizes: tuple[int, ...] = SIZES, *, id_col: str
         own = pieces_of_ids(df, longest, id_col=id_col, ids_col=ids_col, content=content)
     own = materialise(own.withColumn("_row", F.monotonically_increasing_id()), "pieces")
     counts = {r.length: r["count"] for r in own.groupBy("length").count().collect()}  # one row a length
-    plan = best_plan({x: n for x, n in counts.items() if x}, sizes)
+    plan = best_plan({x: n for x, n in counts.items() if x}, sizes, spark=spark)
 
     cell_rows = max(cell_rows, math.isqrt(sum(counts.values())))
     cells = spark.createDataFrame([(x, -(-n // cell_rows)) for x, n in counts.items()], "length int, _cells int")
