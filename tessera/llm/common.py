@@ -67,8 +67,8 @@ def fresh(df: DataFrame, name: str) -> str:
 def key_filter(keys: DataFrame, bits: int = 22) -> Column:
     """A Bloom filter of the one column of `keys`: 2**bits bits in an array of longs, one scalar.
 
-    Its size does not depend on the number of keys. With very many keys it lets everything through,
-    which costs time and changes no result: what passes is always joined with the keys themselves.
+    With very many keys for its size (see filter_bits) it lets everything through, which costs time and
+    changes no result: what passes is always joined with the keys themselves.
     """
     words = 1 << (bits - 6)
     at = F.explode(F.array(*_places(F.xxhash64(keys.columns[0]), bits)))
@@ -111,10 +111,15 @@ def _lengths(column: pa.Array) -> np.ndarray:
     return pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
+def bits_for(rows: int, most: int = 27) -> int:
+    """The size of a filter for so many keys, as its logarithm: 16 bits a key, between 2**16 and 2**most
+    (16 MB; with more than 8 million keys it lets more through, which changes no result)."""
+    return min(most, max(16, (16 * rows).bit_length()))
+
+
 def filter_bits(keys: DataFrame, most: int = 27) -> int:
-    """The size of a filter for a work table's rows, as its logarithm: 16 bits a row, between 2**16 and
-    2**most (16 MB; with more than 8 million rows it lets more through, which changes no result)."""
-    return min(most, max(16, (16 * keys.count()).bit_length()))
+    """bits_for() the rows of a work table."""
+    return bits_for(keys.count(), most)
 
 
 def dealt_join(rows: DataFrame, one: DataFrame, keys: list[str], hot: DataFrame, spread: str, parts: int = 64, bits: int = 22, how: str = "inner") -> DataFrame:
@@ -135,6 +140,6 @@ def dealt_join(rows: DataFrame, one: DataFrame, keys: list[str], hot: DataFrame,
 def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     """rows (a work table) less those whose `key` is in `gone` (a work table of that column), without the
     column. Only rows that the filter of `gone` lets through are dealt out for the join."""
-    filter_ = key_filter(gone)
-    maybe = may_be_in(F.col(key), filter_)
+    bits = filter_bits(gone)
+    maybe = may_be_in(F.col(key), key_filter(gone, bits), bits)
     return rows.where(~maybe).unionByName(rows.where(maybe).join(gone, key, "left_anti")).drop(key)

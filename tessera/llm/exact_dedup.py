@@ -1,8 +1,9 @@
 """Exact dedup by a log-structured merge index of text digests, in DataFrame operations only.
 
-Rows reach the index in RUNS memtables, by the task that read them. A flush combines a memtable by
+Rows reach the index in memtables of MEMTABLE rows about, by the task that read them (from 8 up to 32;
+beyond 8 million rows they grow). A flush combines a memtable by
 digest (the identifier that stays, the number of rows) and writes it as a run sorted by digest, with
-a Bloom filter of fixed size. A digest of one row that no other run's filter holds is settled there
+a Bloom filter sized by its digests. A digest of one row that no other run's filter holds is settled there
 and then. What the filters let through is compacted level by level, FAN runs into one. Digests of
 several rows are hits: only rows that a filter of the hits lets through are dealt out with their
 texts, and each is compared byte by byte with the text of the row that stays; a row that differs in spite
@@ -19,11 +20,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fresh, key_filter, materialise, may_be_in, release, without
+from tessera.llm.common import bits_for, dealt_join, filter_bits, fresh, key_filter, materialise, may_be_in, release, without
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Memtables that the rows are dealt to, and runs that a compaction makes one.
-RUNS, FAN = 4, 2
+#: Rows of a memtable, about; runs, at least and at most, as an entry asks every other run's filter; runs
+#: that a compaction makes one.
+MEMTABLE, LEAST_RUNS, MOST_RUNS, FAN = 1 << 18, 8, 32, 4
+#: Rows of one digest from which they are dealt to several tasks.
+HOT = 2_000
 #: Copies of one text that are compared with it in one task, about.
 COPIES = 1000
 
@@ -37,13 +41,14 @@ def normalised(text: Column) -> Column:
 class MergeIndex:
     """Runs of (digest, keep, rows). `keep` is the identifier that stays."""
 
-    def __init__(self, keep: str = "largest"):
+    def __init__(self, rows: int, keep: str = "largest"):
         self.pick = {"largest": F.max, "smallest": F.min}[keep]
+        self.runs = min(MOST_RUNS, max(LEAST_RUNS, -(-rows // MEMTABLE)))
         self.level: DataFrame | None = None
 
     def flush(self, rows: DataFrame, digest: str, ident: str) -> None:
         """Every memtable's rows combined by digest, each as a sorted run."""
-        rows = rows.select(F.pmod(F.spark_partition_id(), F.lit(RUNS)).alias("run"), F.col(digest).alias("digest"), F.col(ident).alias("keep"), F.lit(1).cast("long").alias("rows"))
+        rows = rows.select(F.pmod(F.spark_partition_id(), F.lit(self.runs)).alias("run"), F.col(digest).alias("digest"), F.col(ident).alias("keep"), F.lit(1).cast("long").alias("rows"))
         self.level = self._merge(rows, "run-0")
 
     def _merge(self, rows: DataFrame, tag: str) -> DataFrame:
@@ -52,16 +57,18 @@ class MergeIndex:
 
     def settle(self) -> tuple[DataFrame, DataFrame]:
         """(digests of one row that no other run's filter holds, all other entries) of the flushed runs."""
-        filters = [key_filter(self.level.where(F.col("run") == i).select("digest")) for i in range(RUNS)]
+        sizes = {r.run: r["count"] for r in self.level.groupBy("run").count().collect()}  # a row a run
+        bits = bits_for(max(sizes.values(), default=0), 24)
+        filters = [key_filter(self.level.where(F.col("run") == i).select("digest"), bits) for i in sorted(sizes)]
         elsewhere = F.lit(False)
-        for i, other in enumerate(filters):
-            elsewhere = elsewhere | ((F.col("run") != i) & may_be_in(F.col("digest"), other))
+        for i, other in zip(sorted(sizes), filters, strict=True):
+            elsewhere = elsewhere | ((F.col("run") != i) & may_be_in(F.col("digest"), other, bits))
         marked = self.level.withColumn("open", (F.col("rows") > 1) | elsewhere)
         return marked.where(~F.col("open")).drop("open"), marked.where("open").drop("open")
 
     def compact(self, entries: DataFrame) -> DataFrame:
         """The entries of all runs as one level: (digest, keep, rows), FAN runs into one at a time."""
-        runs, depth = RUNS, 0
+        runs, depth = self.runs, 0
         while runs > 1:
             runs, depth = -(-runs // FAN), depth + 1
             merged = self._merge(entries.withColumn("run", F.floor(F.col("run") / FAN).cast("int")), f"run-{depth}")
@@ -76,7 +83,7 @@ def exact_dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     docs = df.select(F.col(id_col).alias("_id"), normalised(F.col(text_col)).alias("_text"))
     docs = docs.select("_id", "_text", F.unhex(F.sha2("_text", 256)).alias("_digest"))
 
-    index = MergeIndex(keep)
+    index = MergeIndex(df.count(), keep)
     index.flush(docs, "_digest", "_id")
     settled, entries = index.settle()
     level = index.compact(entries)
@@ -84,8 +91,10 @@ def exact_dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     single = alone.select(F.col("keep").alias("_id"), F.col("keep").alias("keep_id"), F.col("rows").alias("group_size"), F.lit(True).alias("kept"), "digest")
 
     hits = materialise(level.where("rows > 1").withColumnRenamed("digest", "_digest"), "hits")
-    among = docs.where(may_be_in(F.col("_digest"), key_filter(hits.select("_digest"))))
-    members = materialise(among.join(hits, "_digest").withColumn("_row", F.monotonically_increasing_id()), "members")
+    bits = filter_bits(hits)
+    among = docs.withColumn("_row", F.monotonically_increasing_id()).where(may_be_in(F.col("_digest"), key_filter(hits.select("_digest"), bits), bits))
+    hot = hits.where(F.col("rows") >= HOT).select("_digest")
+    members = materialise(dealt_join(among, hits, ["_digest"], hot, "_row"), "members")
     stays = members.where(F.col("_id").eqNullSafe(F.col("keep"))).groupBy("_digest").agg(F.min("_row").alias("_row"))
     # Many copies of one text meet its sample in several tasks: the sample is dealt to each of their parts.
     parts = F.ceil(F.col("rows") / COPIES)
