@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions import hashing, text
+from tessera.functions import arrays, hashing, text
 from tessera.operators import cache, corpus, tokens
+from tessera.operators.ordering import with_ordinal
 from tessera.plans.bookkeeping import DONE, KEYED, _cache, _sentences, _shards
 from tessera.plans.corpus import CUT, KEPT, mixed
 from tessera.plans.registry import query, table
-from tessera.sources import artifacts, readers
+from tessera.sources import artifacts, commits, files, matrix, readers
 from tessera.sources.work import scratch_path, work_table
 
 META = "model string, input_type string, input_total long, embedded long, coverage double, complete boolean, width int"
@@ -79,35 +80,77 @@ def results_json(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT sum(vec_id)::BIGINT AS ids, count(*) AS rows FROM embeddings WHERE label < 5")
 def published_folder(spark: SparkSession, sf: str) -> DataFrame:
-    """A folder published twice: readers have the second, a third that fails its check leaves it be."""
-    path, rows = scratch_path(spark, "published"), table(spark, sf, "embeddings").select("vec_id", "label")
-    artifacts.publish(spark, path, lambda p: rows.write.parquet(p))
+    """A table published twice, as commits: readers have the second, a third that fails its check leaves it be."""
+    log, rows = commits.CommitLog(spark, scratch_path(spark, "published")), table(spark, sf, "embeddings").select("vec_id", "label")
+    log.publish(rows, "vectors")
     half = rows.where("label < 5")
-    artifacts.publish(spark, path, lambda p: half.write.parquet(p), lambda p: spark.read.parquet(p).count() == half.count())
+    log.publish(half, "vectors", lambda made: made.count() == half.count())
     try:
-        artifacts.publish(spark, path, lambda p: rows.limit(1).write.parquet(p), lambda p: spark.read.parquet(p).count() > 1)
+        log.publish(rows.limit(1), "vectors", lambda made: made.count() > 1)
     except ValueError:
         pass
-    return spark.read.parquet(path).agg(F.sum("vec_id").alias("ids"), F.count(F.lit(1)).alias("rows"))
+    return log.read(rows.schema).agg(F.sum("vec_id").alias("ids"), F.count(F.lit(1)).alias("rows"))
+
+
+@query("SELECT l.lang AS step_lang, count(*) AS docs, sum(d.doc_id)::BIGINT AS ids FROM (SELECT max(lang) AS lang FROM documents) l JOIN documents d USING (lang) GROUP BY 1 UNION ALL SELECT 'card', count(DISTINCT lang), NULL FROM documents")
+def committed_steps(spark: SparkSession, sf: str) -> DataFrame:
+    """A step for each language, each commit adding its files and deleting the older steps', beside a card that
+    stays: what readers have in the end, after a squash."""
+    docs = table(spark, sf, "documents").select("doc_id", "lang")
+    log, names = commits.CommitLog(spark, scratch_path(spark, "steps")), sorted(r.lang for r in docs.select("lang").distinct().collect())
+    card = docs.select("lang").distinct().select(F.lit(None).cast("long").alias("doc_id"), "lang")
+    made = log.add(card, "card")
+    log.commit(lambda live: live + made)
+    for step, name in enumerate(names):
+        log.publish_step(docs.where(F.col("lang") == name), step * 100)
+    log.squash()
+    live = log.read(docs.schema).withColumn("step_lang", F.when(F.col("doc_id").isNull(), "card").otherwise(F.col("lang")))
+    return live.groupBy("step_lang").agg(F.count(F.lit(1)).alias("docs"), F.sum("doc_id").alias("ids"))
 
 
 @query("SELECT row_number() OVER (ORDER BY vec_id) - 1 AS pos, len(embedding)::INT AS width, round(list_sum(embedding::DOUBLE[]), 4) AS total FROM embeddings")
 def matrix_file(spark: SparkSession, sf: str) -> DataFrame:
+    """The vectors as one file, written by tasks and scanned by ranges of bytes."""
+    path = scratch_path(spark, "matrix") + "/vectors.npy"
+    matrix.write(table(spark, sf, "embeddings"), path, "embedding", "vec_id")
+    total = F.aggregate(F.col("v").cast("array<double>"), F.lit(0.0), lambda s, x: s + x)
+    return matrix.scan(spark, path, 64 << 10).select("pos", F.size("v").alias("width"), F.round(total, 4).alias("total"))
+
+
+@query("WITH e AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS pos, embedding FROM embeddings), w AS (SELECT doc_id, (doc_id * 7919) % 1000 AS pos FROM documents) SELECT doc_id, pos, round(list_sum(embedding::DOUBLE[]), 4) AS total FROM w LEFT JOIN e USING (pos)")
+def matrix_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of a matrix file by number, in the order asked, repeated ones too; null beyond its end."""
     path = scratch_path(spark, "matrix") + "/vectors.npy"
-    artifacts.write_matrix(spark, path, table(spark, sf, "embeddings"), "embedding", "vec_id")
+    matrix.write(table(spark, sf, "embeddings"), path, "embedding", "vec_id")
+    wanted = table(spark, sf, "documents").select("doc_id", (F.col("doc_id") * 7919 % 1000).alias("pos"))
     total = F.aggregate(F.col("v").cast("array<double>"), F.lit(0.0), lambda s, x: s + x)
-    return readers.read_matrix(spark, path).select("pos", F.size("v").alias("width"), F.round(total, 4).alias("total"))
+    return matrix.take_rows(wanted, path).select("doc_id", "pos", F.round(total, 4).alias("total"))
+
+
+@query(f"WITH {CUT} SELECT doc_idx, win_idx, array_to_string(ids, ',') AS ids FROM windows WHERE (doc_idx * 31 + win_idx) % 5 = 0")
+def record_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """Token windows as records of fixed width, every fifth read back by its record number."""
+    windows = tokens.byte_windows(corpus.kept_documents(table(spark, sf, "documents")))
+    path = scratch_path(spark, "records") + "/windows.npy"
+    matrix.write(windows, path, "ids", "doc_idx", "win_idx", dtype="<i4")
+    index = with_ordinal(windows.select("doc_idx", "win_idx"), "pos", "doc_idx", "win_idx").where("(doc_idx * 31 + win_idx) % 5 = 0")
+    return matrix.take_rows(index, path).select("doc_idx", "win_idx", arrays.joined(F.col("v")).alias("ids"))
 
 
 @query("SELECT sha256(text) AS sha256 FROM benchmark")
 def file_digests(spark: SparkSession, sf: str) -> DataFrame:
-    """Digests of files, one an item."""
-    folder = scratch_path(spark, "files")
-    rows = table(spark, sf, "benchmark").repartition("item_id")
-    rows.write.partitionBy("item_id").option("lineSep", "\x00").text(folder)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    # the line separator that ends each file is no part of the item
-    return files.select(F.sha2(F.expr("substring(content, 1, octet_length(content) - 1)"), 256).alias("sha256"))
+    """Digests of files, one an item, each read as a stream."""
+    made = work_table(files.write_each(table(spark, sf, "benchmark"), scratch_path(spark, "files"), F.col("item_id"), F.col("text")), "file-list")
+    return files.digests(made.select("path"), block=4096).select(F.col("digest").alias("sha256"))
+
+
+@query("SELECT doc_id, sha256(coalesce(text, '')) AS digest, strlen(coalesce(text, '')) AS size FROM documents")
+def document_digests(spark: SparkSession, sf: str) -> DataFrame:
+    """A file for each document, digested as a stream."""
+    docs = table(spark, sf, "documents")
+    made = work_table(files.write_each(docs, scratch_path(spark, "texts"), F.col("doc_id"), F.col("text")), "file-list")
+    found = files.digests(made.select("path"))
+    return found.select(F.element_at(F.split("path", "/"), -1).cast("long").alias("doc_id"), "digest", "size")
 
 
 @query("SELECT source, substr(sha1('m|passage|full|512|' || chr(0) || source), 1, 16) AS config_key, right(source, 1)::INT % 2 = 0 AS reused FROM (SELECT DISTINCT source FROM documents)")

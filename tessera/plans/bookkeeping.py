@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import hashing, numbers, text
-from tessera.operators import cache, limits
+from tessera.operators import cache, calls, encoding, limits, ranges
 from tessera.plans.registry import query, table
+from tessera.sources.work import scratch_path
 
 KEYED = "sents AS (SELECT doc_id AS pos, text AS sentence, sha1('teacher|passage|full' || chr(0) || text) AS k FROM documents), cache AS (SELECT DISTINCT k FROM sents JOIN labels ON pos = doc_id)"
 
@@ -69,6 +70,33 @@ def shard_rows(spark: SparkSession, sf: str) -> DataFrame:
     return cache.rows_in_shards(rows, _shards(spark, sf)[1], 64).select("pos", "shard_start")
 
 
+@query("WITH r AS (SELECT doc_id, doc_id // 2 AS a, doc_id // 2 + n_chars % 37 + CASE WHEN doc_id % 100 = 0 THEN 5000 ELSE 0 END AS b FROM documents) SELECT doc_id, vec_id FROM r JOIN embeddings ON vec_id >= a AND vec_id < b")
+def ranges_of_any_length(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors in ranges of mixed length, some over the whole table, overlapping."""
+    a = F.floor(F.col("doc_id") / 2)
+    length = F.col("n_chars") % 37 + F.when(F.col("doc_id") % 100 == 0, 5000).otherwise(0)
+    made = table(spark, sf, "documents").select("doc_id", a.alias("start"), (a + length).alias("end"))
+    return ranges.points_in_ranges(table(spark, sf, "embeddings").select("vec_id"), made, "vec_id").select("doc_id", "vec_id")
+
+
+@query()
+def called_service(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document sent to a service that limits and fails by hashes: outcome, batch, seconds of back-off."""
+    rows = table(spark, sf, "documents").select(F.floor(F.col("doc_id") / 256).alias("shard"), F.col("doc_id").alias("item"), "text")
+    return calls.called(rows, calls.hash_client(), scratch_path(spark, "calls"))
+
+
+HEX = "(('0x' || substr(sha256(coalesce(text, '')), 4 * {0} + 1, 4))::INT / 65535.0::DOUBLE - 0.5)"
+
+
+@query("WITH v AS (SELECT doc_id, [" + ", ".join(HEX.format(i) for i in range(8)) + "] AS x FROM documents), n AS (SELECT doc_id, x, sqrt(list_sum([c * c FOR c IN x])) AS n FROM v) SELECT doc_id, " + ", ".join(f"(x[{i + 1}] / n)::FLOAT AS e{i}" for i in range(8)) + " FROM n")
+def encoded_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document by an encoder that a worker loads once, batched by length and put back in order."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    made = encoding.encode(docs, encoding.hash_encoder(8, too_many=40_000))
+    return made.select("doc_id", *[F.get("e", F.lit(i)).alias(f"e{i}") for i in range(8)])
+
+
 @query(f"WITH {DONE} SELECT sum(shard_end - shard_start)::BIGINT AS embedded, (SELECT n FROM n) AS n FROM done")
 def shard_embedded_count(spark: SparkSession, sf: str) -> DataFrame:
     ranges, done = _shards(spark, sf)

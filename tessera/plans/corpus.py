@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import arrays, hashing, numbers, text
-from tessera.operators import corpus, tokens
+from tessera.operators import corpus, prefix, tokens
 from tessera.plans.registry import query, table
 
 SPACES = r"regexp_replace({}, '\s+', ' ', 'g')"
@@ -48,7 +48,8 @@ def doc_length_filter(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {KEPT} SELECT doc_idx, doc_id FROM kept WHERE doc_idx < 500")
 def doc_ordinal_first_n(spark: SparkSession, sf: str) -> DataFrame:
-    return corpus.kept_documents(table(spark, sf, "documents"), carry=()).where("doc_idx < 500").select("doc_idx", "doc_id")
+    """The first 500 long documents, from a prefix of the corpus that holds them."""
+    return prefix.first_kept(table(spark, sf, "documents"), 500).select("doc_idx", "doc_id")
 
 
 @query(f"""WITH ring AS (SELECT {list(corpus.RING)!r} AS s), ids AS (SELECT unnest(range(1000)) AS i)
@@ -74,7 +75,8 @@ def sentence_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {DISTINCT} SELECT row_number() OVER (ORDER BY doc_id, sent_pos) - 1 AS pos, doc_id, sentence FROM firsts QUALIFY pos < 5000")
 def sentence_dedup_first_n(spark: SparkSession, sf: str) -> DataFrame:
-    return corpus.first_distinct(corpus.sentences(table(spark, sf, "documents")), 5000)
+    """The first 5,000 distinct sentences, from a prefix of the corpus that holds them."""
+    return prefix.first_sentences(table(spark, sf, "documents"), 5000)
 
 
 @query(f"""WITH {DISTINCT}, b AS (SELECT *, {horner("sha1('7' || chr(0) || sentence)")} AS bucket FROM firsts)

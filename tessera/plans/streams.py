@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tessera.functions import arrays, hashing
 from tessera.plans.corpus import BYTES, DISTINCT, mixed
 from tessera.plans.registry import query, table
-from tessera.streaming import corpus
+from tessera.sources.work import scratch_path
+from tessera.streaming import corpus, limits, sinks
 
 
 def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -30,6 +31,50 @@ def stream_split_windows(spark: SparkSession, sf: str) -> DataFrame:
     return corpus.run_once(made, "stream-windows").withColumn("ids", arrays.joined(F.col("ids"))).select("doc_idx", "win_idx", "side", "ids")
 
 
+WINDOWS = f"""WITH kept AS (SELECT doc_id AS doc_idx, text FROM documents WHERE length(text) > 200), {mixed('doc_idx', 0)}, w AS (SELECT doc_idx, h, strlen(text) // 126 + (strlen(text) % 126 >= 32)::INT AS wins FROM hashed)"""
+
+
+def _in_files(spark: SparkSession, sf: str, name: str, order: str, parts: int) -> DataFrame:
+    """The table as a stream of files in an order, one a micro-batch."""
+    folder, rows = scratch_path(spark, f"files-{name}"), table(spark, sf, name)
+    cut = rows.repartitionByRange(parts, order).sortWithinPartitions(order)
+    cut.write.parquet(folder)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+@query(WINDOWS + " SELECT CASE WHEN h < 0.05 THEN 'val' ELSE 'train' END AS side, sum(wins)::BIGINT AS windows, count(*) FILTER (wins > 0) AS docs FROM w GROUP BY 1")
+def stream_two_sinks(spark: SparkSession, sf: str) -> DataFrame:
+    """One pass to two sinks, broken between them in its second micro-batch and run again: each window once."""
+    stream, folder = _in_files(spark, sf, "documents", "doc_id", 4), scratch_path(spark, "two-sinks")
+    made = corpus.split_windows(stream, 0.05, 0).select("doc_idx", "win_idx", "side")
+    parts = {side: (lambda batch, side=side: batch.where(F.col("side") == side)) for side in ("train", "val")}
+    sinks.run(made, folder, parts, broken_after="train")
+    sinks.run(made, folder, parts)
+    both = sinks.read(spark, folder, "train").unionByName(sinks.read(spark, folder, "val"))
+    return both.groupBy("side").agg(F.count(F.lit(1)).alias("windows"), F.countDistinct("doc_idx").alias("docs"))
+
+
+@query("SELECT count(*) AS events, sum(event_id)::BIGINT AS ids, round(sum(value), 3) AS total FROM events")
+def stream_resumed(spark: SparkSession, sf: str) -> DataFrame:
+    """A stream stopped after two micro-batches and run again from its checkpoint; what the snapshot of all
+    items holds."""
+    stream, folder = _in_files(spark, sf, "events", "ts", 5), scratch_path(spark, "resumed")
+    parts = {"events": lambda batch: batch}
+    sinks.run(stream, folder, parts, stop_before=2)
+    sinks.counted("events", spark, folder, 1)
+    sinks.run(stream, folder, parts)
+    sinks.counted("events", spark, folder, 1)
+    n = table(spark, sf, "events").count()
+    held = sinks.snapshot(spark, folder, "events", n)
+    return held.agg(F.count(F.lit(1)).alias("events"), F.sum("event_id").alias("ids"), F.round(F.sum("value"), 3).alias("total"))
+
+
+@query()
+def rate_limiter_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The limiter's waits as a stream with state and timers for each user."""
+    return corpus.run_once(limits.limited(_in_files(spark, sf, "events", "ts", 3), rpm=3, tpm=500.0), "limiter")
+
+
 @query("WITH s AS (SELECT doc_id, sha1('teacher|passage|full' || chr(0) || text) AS k FROM documents) SELECT DISTINCT k FROM s WHERE k NOT IN (SELECT k FROM s JOIN labels USING (doc_id))")
 def stream_cache_fill(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")

@@ -5,11 +5,9 @@ Every path goes through the file system that Spark knows for it, so any such sto
 
 from __future__ import annotations
 
-import io
 import uuid
 from collections.abc import Callable
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,16 +69,6 @@ def write_json(spark: SparkSession, path: str, row: DataFrame) -> None:
     write_bytes(spark, path, row.toJSON().first().encode())
 
 
-def write_matrix(spark: SparkSession, path: str, rows: DataFrame, vector: str, order: str, most: int = 100_000) -> None:
-    """The vectors of at most `most` rows as one .npy file of 32-bit floats; larger ones are kept as Parquet."""
-    held = rows.orderBy(order).select(vector).limit(most + 1).toPandas()
-    if len(held) > most:
-        raise ValueError(f"an .npy file takes {most} rows at most")
-    raw = io.BytesIO()
-    np.save(raw, np.array(held[vector].tolist() or np.zeros((0, 0)), dtype=np.float32))
-    write_bytes(spark, path, raw.getvalue())
-
-
 def write_aligned(spark: SparkSession, folder: str, sentences: DataFrame, embedded: DataFrame, **settings) -> None:
     """embedded (pos, sentence, e), a part of the sentences in their order, with a sidecar of its coverage."""
     counts = cache.coverage(sentences, embedded)

@@ -49,22 +49,6 @@ def read_meta(spark: SparkSession, path: str, schema: StructType | str) -> DataF
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
-def read_matrix(spark: SparkSession, path: str) -> DataFrame:
-    """(pos, v) of .npy files of floats, one matrix a file, read by the tasks through Spark."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import io
-
-        for batch in batches:
-            for raw in batch.column(0).to_pylist():
-                rows = np.load(io.BytesIO(raw), allow_pickle=False)
-                for start in range(0, len(rows), 4096):
-                    part = rows[start : start + 4096]
-                    yield pa.RecordBatch.from_pydict({"pos": np.arange(start, start + len(part)), "v": pa.array(list(part.astype(np.float32)), pa.list_(pa.float32()))})
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "pos long, v array<float>")
-
-
 def as_half(vector):
     """Components rounded to 16-bit floats, as a shard stores them."""
 
@@ -82,12 +66,6 @@ def write_windows(windows: DataFrame, path: str) -> None:
     windows.write.mode("overwrite").partitionBy("side").parquet(path)
 
 
-def digest_files(spark: SparkSession, path: str) -> DataFrame:
-    """(name, sha256) of whole files."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("sha256"))
-
-
 def encode_with(df: DataFrame, tokenizer_json: str, column: str = "text") -> DataFrame:
     """df's item_id and ids by a tokenizer of the `tokenizers` library, in batches, one load a task."""
     shared = df.sparkSession.sparkContext.broadcast(tokenizer_json)  # one vocabulary file

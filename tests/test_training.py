@@ -162,15 +162,6 @@ def test_states_of_an_empty_folder_and_of_a_missing_step(spark):
     assert tuple(artifacts.read_state(spark, folder, "a int, b int").first()) == (4, 1, None)
 
 
-def test_matrix_files_of_any_size(spark):
-    for n in (0, 1, 70):
-        path = scratch_path(spark, "matrix") + "/m.npy"
-        rows = [(i, [float(i), i / 3]) for i in range(n)]
-        artifacts.write_matrix(spark, path, spark.createDataFrame(rows, "i int, v array<double>"), "v", "i")
-        got = {r.pos: list(r.v) for r in readers.read_matrix(spark, path).collect()}
-        assert got == {i: [float(np.float32(x)) for x in v] for i, v in rows}
-
-
 def test_half_precision_of_nulls_and_empty_vectors(spark):
     rows = [[1.0, 0.1], None, [], [70000.0]]
     got = [r.e for r in spark.createDataFrame([(v,) for v in rows], "v array<float>").select(readers.as_half(F.col("v")).alias("e")).collect()]
