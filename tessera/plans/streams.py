@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import arrays, hashing
 from tessera.plans.corpus import BYTES, DISTINCT, mixed
 from tessera.plans.registry import query, table
-from tessera.sources.work import scratch_path
+from tessera.sources.work import scratch_path, work_table
 from tessera.streaming import corpus, limits, sinks
 
 
@@ -37,8 +37,9 @@ WINDOWS = f"""WITH kept AS (SELECT doc_id AS doc_idx, text FROM documents WHERE
 def _in_files(spark: SparkSession, sf: str, name: str, order: str, parts: int) -> DataFrame:
     """The table as a stream of files in an order, one a micro-batch."""
     folder, rows = scratch_path(spark, f"files-{name}"), table(spark, sf, name)
-    cut = rows.repartitionByRange(parts, order).sortWithinPartitions(order)
-    cut.write.parquet(folder)
+    cut = work_table(rows.repartitionByRange(parts, order).withColumn("_part", F.spark_partition_id()), "parts")
+    for part in range(parts):  # one after the other, as a stream takes files by the time they are written
+        cut.where(F.col("_part") == part).drop("_part").coalesce(1).write.mode("append").parquet(folder)
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
