@@ -30,11 +30,15 @@ def pick_text_column(schema: StructType) -> str:
     return next((f.name for f in schema.fields if isinstance(f.dataType, StringType)), names[0])
 
 
-def synthetic_documents(spark, n: int) -> DataFrame:
-    """Document i is four sentences of the ring from the i-th on."""
+def ring_documents(numbers: DataFrame) -> DataFrame:
+    """Document doc_id is four sentences of the ring from the doc_id-th on."""
     ring = F.array(*[F.lit(s) for s in RING])
-    parts = [F.element_at(ring, F.pmod(F.col("id") + j, F.lit(len(RING))).cast("int") + 1) for j in range(4)]
-    return spark.range(n).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *parts).alias("text"))
+    parts = [F.element_at(ring, F.pmod(F.col("doc_id") + j, F.lit(len(RING))).cast("int") + 1) for j in range(4)]
+    return numbers.select("doc_id", F.concat_ws(" ", *parts).alias("text"))
+
+
+def synthetic_documents(spark, n: int) -> DataFrame:
+    return ring_documents(spark.range(n).withColumnRenamed("id", "doc_id"))
 
 
 def long_documents(docs: DataFrame, least: int = MIN_CHARS) -> DataFrame:

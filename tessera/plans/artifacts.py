@@ -56,17 +56,18 @@ def shard_resume(spark: SparkSession, sf: str) -> DataFrame:
     return cache.missing_shards(ranges, artifacts.finished_shards(spark, folder))
 
 
-STATES = [(10, "x", 0.5), (200, "x", 0.7), (30, "y", 0.6)]
-
-
-@query("SELECT * FROM (VALUES (200, 'x', 0.7::DOUBLE), (30, 'y', 0.6::DOUBLE)) v(step, fingerprint, best)")
+@query("WITH s AS (SELECT source AS fingerprint, max(doc_id) AS step, sum(n_chars)::BIGINT AS best FROM documents GROUP BY 1) SELECT step, fingerprint, best FROM s WHERE step = (SELECT max(step) FROM s) UNION ALL SELECT step, fingerprint, best FROM s WHERE step = (SELECT min(step) FROM s)")
 def folder_states(spark: SparkSession, sf: str) -> DataFrame:
-    """The newest state of a folder, and that of step 30; a folder without a number is none."""
-    folder, schema = scratch_path(spark, "states"), "fingerprint string, best double"
-    for step, fingerprint, best in STATES:
-        artifacts.write_state(spark, folder, step, spark.createDataFrame([(fingerprint, best)], schema))
+    """A state for each source, as steps of a folder: the newest one, and the one of the least step; a folder
+    without a number is none."""
+    folder, schema = scratch_path(spark, "states"), "fingerprint string, best long"
+    made = table(spark, sf, "documents").groupBy(F.col("source").alias("fingerprint")).agg(F.max("doc_id").alias("step"), F.sum("n_chars").alias("best"))
+    steps = made.collect()  # a row a source
+    for r in steps:
+        artifacts.write_state(spark, folder, r.step, spark.createDataFrame([(r.fingerprint, r.best)], schema))
     artifacts.write_bytes(spark, f"{folder}/best/state.json", b"{}")
-    return artifacts.read_state(spark, folder, schema).unionByName(artifacts.read_state(spark, folder, schema, 30))
+    least = min(r.step for r in steps)
+    return artifacts.read_state(spark, folder, schema).unionByName(artifacts.read_state(spark, folder, schema, least)).withColumn("step", F.col("step").cast("long"))
 
 
 @query("SELECT lang AS model, count(*) AS n, round(avg(n_chars), 4) AS score FROM documents GROUP BY 1")

@@ -116,26 +116,25 @@ def assemble_guard(spark: SparkSession, sf: str) -> DataFrame:
     return cache.assembled(rows, rows.count())
 
 
-CURRENT, SAVED = [("lr", "0.001"), ("epochs", "5"), ("seed", "0"), ("loss", None), ("dim", "384")], [("lr", "0.002"), ("epochs", "5"), ("seed", "0"), ("dim", "256"), ("old", "1")]
-
-
-def _values(rows: list[tuple]) -> str:
-    return ", ".join("(" + ", ".join("NULL" if v is None else repr(v) for v in r) + ")" for r in rows)
-
-
-@query(f"SELECT c.key, c.value AS current, s.value AS saved FROM (VALUES {_values(CURRENT)}) c(key, value) LEFT JOIN (VALUES {_values(SAVED)}) s(key, value) USING (key) WHERE c.value IS DISTINCT FROM s.value")
+@query("WITH c AS (SELECT source AS key, CASE WHEN source = 'src3' THEN NULL ELSE count(*)::VARCHAR END AS value FROM documents GROUP BY 1), s AS (SELECT source AS key, (count(*) FILTER (lang <> 'fr' OR source < 'src15'))::VARCHAR AS value FROM documents WHERE source <> 'src7' GROUP BY 1) SELECT c.key, c.value AS current, s.value AS saved FROM c LEFT JOIN s USING (key) WHERE c.value IS DISTINCT FROM s.value")
 def fingerprint_diff(spark: SparkSession, sf: str) -> DataFrame:
-    return cache.changed_settings(spark.createDataFrame(CURRENT, "key string, value string"), spark.createDataFrame(SAVED, "key string, value string"))
+    """Each source's number of documents as a setting, against a saved run's, which lacks one and has some otherwise."""
+    docs = table(spark, sf, "documents")
+    current = docs.groupBy(F.col("source").alias("key")).agg(F.count(F.lit(1)).cast("string").alias("value"))
+    current = current.withColumn("value", F.when(F.col("key") != "src3", F.col("value")))
+    saved = docs.where("source <> 'src7'").groupBy(F.col("source").alias("key")).agg(F.count_if((F.col("lang") != "fr") | (F.col("source") < "src15")).cast("string").alias("value"))
+    return cache.changed_settings(current, saved)
 
 
-LOCAL, REMOTE = [("a", 5, "x"), ("b", 2, "x"), ("c", 2, "x"), ("d", 3, "x")], [("b", 5, "x"), ("c", 5, "y"), ("d", 3, "y"), ("e", 1, "x")]
-
-
-@query(f"""WITH t AS (SELECT run, l.epoch AS le, r.epoch AS re, l.f AS lf, r.f AS rf FROM (VALUES {_values(LOCAL)}) l(run, epoch, f) FULL JOIN (VALUES {_values(REMOTE)}) r(run, epoch, f) USING (run)),
-    s AS (SELECT *, CASE WHEN re IS NULL THEN 'local' WHEN le IS NULL THEN 'remote' WHEN re <= le THEN 'local' WHEN lf <> rf THEN 'refused' ELSE 'remote' END AS source FROM t) SELECT run, source, CASE WHEN source = 'remote' THEN re ELSE le END AS epoch FROM s""")
+@query("""WITH l AS (SELECT source AS run, (count(*) % 5)::INT AS le, max(lang) AS lf FROM documents WHERE doc_id % 2 = 0 AND source <> 'src4' GROUP BY 1), r AS (SELECT source AS run, (count(*) % 5)::INT AS re, max(lang) FILTER (doc_id % 3 = 0) AS rf FROM documents WHERE doc_id % 2 = 1 AND source <> 'src9' GROUP BY 1),
+    t AS (SELECT * FROM l FULL JOIN r USING (run)), s AS (SELECT *, CASE WHEN re IS NULL THEN 'local' WHEN le IS NULL THEN 'remote' WHEN re <= le THEN 'local' WHEN lf <> rf THEN 'refused' ELSE 'remote' END AS source FROM t) SELECT run, source, CASE WHEN source = 'remote' THEN re ELSE le END AS epoch FROM s""")
 def newest_wins(spark: SparkSession, sf: str) -> DataFrame:
-    schema = "run string, epoch int, fingerprint string"
-    return cache.newest(spark.createDataFrame(LOCAL, schema), spark.createDataFrame(REMOTE, schema))
+    """A run for each source: its even documents' state here, its odd ones' elsewhere."""
+    docs = table(spark, sf, "documents")
+    epoch = (F.count(F.lit(1)) % 5).cast("int").alias("epoch")
+    local = docs.where("doc_id % 2 = 0 and source <> 'src4'").groupBy(F.col("source").alias("run")).agg(epoch, F.max("lang").alias("fingerprint"))
+    remote = docs.where("doc_id % 2 = 1 and source <> 'src9'").groupBy(F.col("source").alias("run")).agg(epoch, F.max(F.when(F.col("doc_id") % 3 == 0, F.col("lang"))).alias("fingerprint"))
+    return cache.newest(local, remote)
 
 
 @query("SELECT event_id, count(*) OVER w AS requests, round(sum(value) OVER w, 4) AS tokens FROM events WINDOW w AS (ORDER BY epoch_us(ts) RANGE BETWEEN 59999999 PRECEDING AND CURRENT ROW)")
@@ -161,14 +160,16 @@ def rate_limiter_replay(spark: SparkSession, sf: str) -> DataFrame:
     return limits.replay(table(spark, sf, "events"), rpm=3, tpm=500.0)
 
 
-@query("WITH t AS (SELECT unnest(range(1000)) AS step) SELECT step, round(CASE WHEN step < 30 THEN 0.001 * step / 30 WHEN step < 850 THEN 0.001 ELSE 0.001 * (1 - sqrt(least((step - 850) / 150.0, 1.0))) END, 9) AS lr FROM t")
+@query("WITH t AS (SELECT event_id AS step FROM events) SELECT step, round(CASE WHEN step < 30 THEN 0.001 * step / 30 WHEN step < 850 THEN 0.001 ELSE 0.001 * (1 - sqrt(least((step - 850) / 150.0, 1.0))) END, 9) AS lr FROM t")
 def lr_trapezoid(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.range(1000).select(F.col("id").alias("step"), F.round(numbers.trapezoid(F.col("id"), 1000, 0.001), 9).alias("lr"))
+    """Every event as a step of a schedule of 1,000 steps; later ones stay at its end."""
+    return table(spark, sf, "events").select(F.col("event_id").alias("step")).select("step", F.round(numbers.trapezoid(F.col("step"), 1000, 0.001), 9).alias("lr"))
 
 
-@query("WITH t AS (SELECT unnest(range(1000)) AS step) SELECT step, round(CASE WHEN step < 100 THEN 0.001 * step / 100 ELSE 0.001 * (0.1 + 0.9 * 0.5 * (1 + cos(pi() * least((step - 100) / 900.0, 1.0)))) END, 9) AS lr FROM t")
+@query("WITH t AS (SELECT event_id AS step FROM events) SELECT step, round(CASE WHEN step < 100 THEN 0.001 * step / 100 ELSE 0.001 * (0.1 + 0.9 * 0.5 * (1 + cos(pi() * least((step - 100) / 900.0, 1.0)))) END, 9) AS lr FROM t")
 def lr_warmup_cosine(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.range(1000).select(F.col("id").alias("step"), F.round(numbers.warmup_cosine(F.col("id"), 1000, 0.001, 100), 9).alias("lr"))
+    """Every event as a step of a schedule of 1,000 steps; later ones stay at its end."""
+    return table(spark, sf, "events").select(F.col("event_id").alias("step")).select("step", F.round(numbers.warmup_cosine(F.col("step"), 1000, 0.001, 100), 9).alias("lr"))
 
 
 @query("""WITH s AS (SELECT event_id, value, coalesce(max(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1.0) AS best FROM events)
@@ -195,30 +196,45 @@ def instruction_format(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("item_id", text.formatted(F.col("text"), F.lit("query"), ask).alias("query"), text.formatted(F.col("text"), F.lit("passage"), ask).alias("passage"))
 
 
-SPECS = ["hf://a/b", "a/b", "./a/b", "~/a", "a/b.json", "a", "a/b/c", "-a/b", "A.b-c/d_e"]
+#: A name in nine forms for each document, of its language and source.
+SPEC_SQL = "CASE doc_id % 9 WHEN 0 THEN 'hf://' || lang || '/' || source WHEN 1 THEN lang || '/' || source WHEN 2 THEN './' || lang || '/' || source WHEN 3 THEN '~/' || lang WHEN 4 THEN lang || '/' || source || '.json' WHEN 5 THEN lang WHEN 6 THEN lang || '/' || source || '/x' WHEN 7 THEN '-' || lang || '/' || source ELSE 'A.' || lang || '-c/' || source || '_e' END"
+
+
+def _specs(spark: SparkSession, sf: str) -> DataFrame:
+    """(doc_id, spec)"""
+    lang, source = F.col("lang"), F.col("source")
+    forms = [F.concat(F.lit("hf://"), lang, F.lit("/"), source), F.concat(lang, F.lit("/"), source), F.concat(F.lit("./"), lang, F.lit("/"), source), F.concat(F.lit("~/"), lang), F.concat(lang, F.lit("/"), source, F.lit(".json")), lang, F.concat(lang, F.lit("/"), source, F.lit("/x")), F.concat(F.lit("-"), lang, F.lit("/"), source), F.concat(F.lit("A."), lang, F.lit("-c/"), source, F.lit("_e"))]
+    return table(spark, sf, "documents").select("doc_id", F.get(F.array(*forms), (F.col("doc_id") % 9).cast("int")).alias("spec"))
 
 
-@query(f"SELECT spec, spec LIKE 'hf://%' OR (NOT (spec LIKE '.%' OR spec LIKE '/%' OR spec LIKE '~%' OR spec LIKE '%.json') AND regexp_full_match(spec, '[A-Za-z0-9][A-Za-z0-9._-]*/[A-Za-z0-9._-]+')) AS is_hub, regexp_replace(spec, '^hf://', '') AS bare FROM (SELECT unnest({SPECS!r}) AS spec)")
+@query(f"SELECT doc_id, spec, spec LIKE 'hf://%' OR (NOT (spec LIKE '.%' OR spec LIKE '/%' OR spec LIKE '~%' OR spec LIKE '%.json') AND regexp_full_match(spec, '[A-Za-z0-9][A-Za-z0-9._-]*/[A-Za-z0-9._-]+')) AS is_hub, regexp_replace(spec, '^hf://', '') AS bare FROM (SELECT doc_id, {SPEC_SQL} AS spec FROM documents)")
 def hub_ids(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.createDataFrame([(s,) for s in SPECS], "spec string")
-    return rows.select("spec", text.is_hub_id(F.col("spec")).alias("is_hub"), text.without_hub_prefix(F.col("spec")).alias("bare"))
+    return _specs(spark, sf).select("doc_id", "spec", text.is_hub_id(F.col("spec")).alias("is_hub"), text.without_hub_prefix(F.col("spec")).alias("bare"))
 
 
-ERRORS = [(429, None, "X"), (500, "Quota exceeded", "X"), (500, "CUDA out of memory", "X"), (None, "RESOURCE_EXHAUSTED", "X"), (200, "ok", "OutOfMemoryError"), (503, None, None)]
+#: What an event's number and type make of it as an error.
+ERROR_SQL = "CASE event_id % 5 WHEN 0 THEN 429 WHEN 1 THEN 500 WHEN 2 THEN 200 WHEN 3 THEN NULL ELSE 503 END AS code, CASE event_id % 7 WHEN 0 THEN 'Quota exceeded for ' || event_type WHEN 1 THEN event_type || ': CUDA out of memory' WHEN 2 THEN 'RESOURCE_EXHAUSTED' WHEN 3 THEN NULL ELSE event_type END AS msg, CASE WHEN event_id % 11 = 0 THEN 'OutOfMemoryError' WHEN event_id % 11 = 1 THEN NULL ELSE event_type END AS kind"
 
 
-@query("SELECT i, coalesce(code = 429, false) OR regexp_matches(lower(coalesce(msg, '')), '429|resource_exhausted|quota|rate limit') AS limited, coalesce(kind = 'OutOfMemoryError', false) OR contains(lower(coalesce(msg, '')), 'out of memory') AS oom FROM (VALUES " + _values([(i, *e) for i, e in enumerate(ERRORS)]) + ") t(i, code, msg, kind)")
+@query(f"SELECT event_id, coalesce(code = 429, false) OR regexp_matches(lower(coalesce(msg, '')), '429|resource_exhausted|quota|rate limit') AS limited, coalesce(kind = 'OutOfMemoryError', false) OR contains(lower(coalesce(msg, '')), 'out of memory') AS oom FROM (SELECT event_id, {ERROR_SQL} FROM events)")
 def error_kinds(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.createDataFrame([(i, *e) for i, e in enumerate(ERRORS)], "i int, code int, msg string, kind string")
-    return rows.select("i", text.rate_limited(F.col("code"), F.col("msg")).alias("limited"), text.out_of_memory(F.col("kind"), F.col("msg")).alias("oom"))
+    """Every event as an error of a service: its code, message and kind follow from its number and type."""
+    kind, n = F.col("event_type"), F.col("event_id")
+    pick = lambda m, *values: F.get(F.array(*values), (n % m).cast("int"))
+    code = pick(5, *[F.lit(x).cast("int") for x in (429, 500, 200, None, 503)])
+    said = pick(7, F.concat(F.lit("Quota exceeded for "), kind), F.concat(kind, F.lit(": CUDA out of memory")), F.lit("RESOURCE_EXHAUSTED"), F.lit(None).cast("string"), kind, kind, kind)
+    named = F.when(n % 11 == 0, "OutOfMemoryError").when(n % 11 != 1, kind)
+    return table(spark, sf, "events").select("event_id", text.rate_limited(code, said).alias("limited"), text.out_of_memory(named, said).alias("oom"))
 
 
-@query("""WITH t AS (SELECT unnest(range(200)) AS i) SELECT i, least(60.0, power(2.0, i)) AS backoff, greatest(least(16384, (i * 200) // 2), 512) AS budget, (ceil(i / 8) * 8)::INT AS padded,
+@query("""WITH t AS (SELECT event_id, event_id % 200 AS i FROM events) SELECT event_id, i, least(60.0, power(2.0, i)) AS backoff, greatest(least(16384, (i * 200) // 2), 512) AS budget, (ceil(i / 8) * 8)::INT AS padded,
     round(exp(least(i / 8.0, 20.0)), 3) AS ppl, (round_even(i * 64 * 8.0 / 3 / 64, 0) * 64)::INT AS mlp, (i * 97 // 3600) || ':' || lpad((i * 97 % 3600 // 60)::VARCHAR, 2, '0') || ':' || lpad((i * 97 % 60)::VARCHAR, 2, '0') AS clock FROM t""")
 def scalar_rules(spark: SparkSession, sf: str) -> DataFrame:
-    i = F.col("id")
-    return spark.range(200).select(
-        i.alias("i"),
+    """The small rules for every event's number, modulo 200."""
+    i = F.col("i")
+    return table(spark, sf, "events").select("event_id", (F.col("event_id") % 200).alias("i")).select(
+        "event_id",
+        "i",
         numbers.backoff_seconds(i).alias("backoff"),
         numbers.clamped_budget(F.lit(16384), i * 200, 512).alias("budget"),
         numbers.padded_length(i).alias("padded"),
@@ -228,12 +244,16 @@ def scalar_rules(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-PATHS = ["10/weights.bin", "10/meta.json", "20/weights.bin", "README.md", "best/weights.bin", "7a/x", "30"]
+#: A file's path for each document: of a step, of a named folder, or of none.
+PATH_SQL = "CASE doc_id % 4 WHEN 0 THEN (doc_id % 30 * 10) || '/' || source || '.bin' WHEN 1 THEN source || '/' || lang WHEN 2 THEN (doc_id % 7) || 'a/x' ELSE (doc_id % 50)::VARCHAR END"
 
 
-@query(f"SELECT DISTINCT split_part(p, '/', 1)::BIGINT AS step, split_part(p, '/', 1) <> '20' AS obsolete FROM (SELECT unnest({PATHS!r}) AS p) WHERE contains(p, '/') AND regexp_full_match(split_part(p, '/', 1), '[0-9]+')")
+@query(f"SELECT DISTINCT split_part(p, '/', 1)::BIGINT AS step, split_part(p, '/', 1) <> '20' AS obsolete FROM (SELECT {PATH_SQL} AS p FROM documents) WHERE contains(p, '/') AND regexp_full_match(split_part(p, '/', 1), '[0-9]+')")
 def checkpoint_steps(spark: SparkSession, sf: str) -> DataFrame:
-    return limits.steps(spark.createDataFrame([(p,) for p in PATHS], "path string"), current=20)
+    """The steps among the folders of the documents' paths; 20 is the current one."""
+    n = F.col("doc_id")
+    forms = [F.concat((n % 30 * 10).cast("string"), F.lit("/"), "source", F.lit(".bin")), F.concat("source", F.lit("/"), "lang"), F.concat((n % 7).cast("string"), F.lit("a/x")), (n % 50).cast("string")]
+    return limits.steps(table(spark, sf, "documents").select(F.get(F.array(*forms), (n % 4).cast("int")).alias("path")), current=20)
 
 
 @query("SELECT lang, list_sort(list_distinct(list(source))) AS known, len(list_filter(['src0', 'src1', 'nope'], lambda x: NOT list_contains(list(source), x))) AS unknown FROM documents GROUP BY lang".replace("list_sort(list_distinct(list(source))) AS known, ", ""))

@@ -52,10 +52,11 @@ def doc_ordinal_first_n(spark: SparkSession, sf: str) -> DataFrame:
     return prefix.first_kept(table(spark, sf, "documents"), 500).select("doc_idx", "doc_id")
 
 
-@query(f"""WITH ring AS (SELECT {list(corpus.RING)!r} AS s), ids AS (SELECT unnest(range(1000)) AS i)
+@query(f"""WITH ring AS (SELECT {list(corpus.RING)!r} AS s), ids AS (SELECT doc_id AS i FROM documents)
     SELECT i AS doc_id, s[i % 5 + 1] || ' ' || s[(i + 1) % 5 + 1] || ' ' || s[(i + 2) % 5 + 1] || ' ' || s[(i + 3) % 5 + 1] AS text FROM ids, ring""")
 def synthetic_source(spark: SparkSession, sf: str) -> DataFrame:
-    return corpus.synthetic_documents(spark, 1000)
+    """A synthetic document for each number of the table."""
+    return corpus.ring_documents(table(spark, sf, "documents"))
 
 
 @query(f"WITH {SENTENCES} SELECT * FROM sentences")

@@ -68,9 +68,9 @@ def meta_sidecar(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def bpe_encode(spark: SparkSession, sf: str) -> DataFrame:
-    """(item_id, n_tokens) of the benchmark by an installed public vocabulary."""
+    """(doc_id, n_tokens) of every document by an installed public vocabulary."""
     import public_tokenizers
 
     with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
-        found = readers.encode_with(table(spark, sf, "benchmark"), file.read())
-    return found.select("item_id", F.size("ids").alias("n_tokens"))
+        found = readers.encode_with(table(spark, sf, "documents").select(F.col("doc_id").alias("item_id"), "text"), file.read())
+    return found.select(F.col("item_id").alias("doc_id"), F.size("ids").alias("n_tokens"))

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import arrays, hashing, numbers, text
 from tessera.operators import batches, corpus, limits, statistics, tokens, training, vectors
 from tessera.operators.ordering import with_ordinal
-from tessera.plans.bookkeeping import SPECS, _values
+from tessera.plans.bookkeeping import SPEC_SQL, _specs
 from tessera.plans.corpus import BYTES, CUT, horner
 from tessera.plans.registry import query, table
+from tessera.sources import readers
+from tessera.sources.work import scratch_path
 
 
 def _ids(spark: SparkSession, sf: str) -> DataFrame:
@@ -105,7 +107,13 @@ def loss_windows(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT s AS snapshot, s * 300 AS embedded FROM (SELECT count(*) // 300 AS n FROM labels), unnest(range(1, n + 1)) u(s)")
 def cache_snapshots(spark: SparkSession, sf: str) -> DataFrame:
-    return training.snapshots(table(spark, sf, "labels"), 300)
+    """A snapshot written after each 300 labels, each read back and counted."""
+    folder, rows = scratch_path(spark, "snapshots"), with_ordinal(table(spark, sf, "labels").select("doc_id"), "pos", "doc_id")
+    whole = training.snapshots(rows, 300)
+    parts = rows.withColumn("snapshot", F.floor(F.col("pos") / 300) + 1).join(F.broadcast(whole), "snapshot")  # a row a snapshot
+    parts.select("pos", "snapshot").write.partitionBy("snapshot").parquet(folder)
+    held = spark.read.schema("pos long, snapshot long").parquet(folder).select(F.col("snapshot").alias("part"))
+    return whole.select("snapshot").join(held.groupBy("part").agg(F.count(F.lit(1)).alias("n")), F.col("part") <= F.col("snapshot")).groupBy("snapshot").agg(F.sum("n").alias("embedded"))
 
 
 @query("""WITH c AS (SELECT event_id AS call, event_id % 9 AS l, event_id % 11 AS b FROM events)
@@ -115,28 +123,33 @@ def retry_plan(spark: SparkSession, sf: str) -> DataFrame:
     return training.retry_plan(calls, 100, 6)
 
 
-SHAPES = [("tok/embedding", [32000, 384]), ("layers/0/attn/kernel", [384, 384]), ("layers/0/mlp/kernel", [384, 1024]), ("layers/0/norm/scale", [384]), ("pos/embedding", [128, 384]), ("head/bias", [32000])]
-
-
-@query(f"WITH s AS (SELECT * FROM (VALUES {', '.join(f'({p!r}, {d!r})' for p, d in SHAPES)}) v(path, shape)), n AS (SELECT path, list_product(shape)::BIGINT AS n FROM s) SELECT sum(n)::BIGINT AS total, (sum(n) FILTER (contains(path, 'embedding')))::BIGINT AS embedding, (sum(n) FILTER (NOT contains(path, 'embedding')))::BIGINT AS non_embedding FROM n")
+@query("WITH n AS (SELECT (CASE WHEN p_partkey % 10 = 0 THEN 'tok/embedding/' ELSE 'layers/' END) || p_partkey AS path, p_size::BIGINT * (p_partkey % 384 + 1) AS n FROM part) SELECT sum(n)::BIGINT AS total, (sum(n) FILTER (contains(path, 'embedding')))::BIGINT AS embedding, (sum(n) FILTER (NOT contains(path, 'embedding')))::BIGINT AS non_embedding FROM n")
 def parameter_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return training.parameter_counts(spark.createDataFrame(SHAPES, "path string, shape array<int>"))
+    """Every part as a tensor of its size times a width that follows from its key."""
+    key = F.col("p_partkey")
+    path = F.concat(F.when(key % 10 == 0, "tok/embedding/").otherwise("layers/"), key.cast("string"))
+    return training.parameter_counts(table(spark, sf, "part").select(path.alias("path"), F.array(F.col("p_size").cast("int"), (key % 384 + 1).cast("int")).alias("shape")))
 
 
-@query("SELECT h::INT AS heads, (768 // h)::INT AS head_dim, 32000 * (768 // h) AS embedding_parameters FROM unnest([1, 2, 3, 4, 6, 8, 12, 16, 24]) u(h)")
+@query("SELECT p_partkey, p_size::INT AS heads, (p_size * (p_partkey % 100 + 1) // p_size)::INT AS head_dim, 32000 * (p_size * (p_partkey % 100 + 1) // p_size) AS embedding_parameters FROM part")
 def head_widths(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.createDataFrame([(h,) for h in (1, 2, 3, 4, 6, 8, 12, 16, 24)], "heads int")
-    width = training.head_width(F.lit(768), F.col("heads"))
-    return rows.select("heads", width.alias("head_dim"), (width * 32000).alias("embedding_parameters"))
-
-
-VOCABULARIES = [(n, t, i, r) for n, r, ts in (("whole", 7, "[PAD] [MASK] [UNK] [CLS] [SEP] a b"), ("short", 9, "[PAD] [UNK] a"), ("moved", 5, "[UNK] [PAD] [MASK] [CLS] [SEP]")) for i, t in enumerate(ts.split())]
+    """Every part's size as heads of a model whose width is a multiple of them."""
+    rows = table(spark, sf, "part").select("p_partkey", F.col("p_size").cast("int").alias("heads"), (F.col("p_size") * (F.col("p_partkey") % 100 + 1)).cast("int").alias("hidden"))
+    width = training.head_width(F.col("hidden"), F.col("heads"))
+    return rows.select("p_partkey", "heads", width.cast("int").alias("head_dim"), (width * 32000).cast("long").alias("embedding_parameters"))
 
 
-@query(f"""WITH v AS (SELECT * FROM (VALUES {_values(VOCABULARIES)}) v(name, token, id, requested)), s AS (SELECT unnest({list(training.SPECIAL_TOKENS)!r}) AS token, unnest(range(5)) AS id)
-    SELECT name, (SELECT count(*) FROM s JOIN v x USING (token, id) WHERE x.name = v.name) = 5 AS specials, bool_or(token = '[PAD]' AND id = 0) AS padding, count(*) AS size, count(*) = max(requested) AS as_requested FROM v GROUP BY name""")
+@query(f"""WITH s AS (SELECT unnest({list(training.SPECIAL_TOKENS)!r}) AS token, unnest(range(5)) AS id), w AS (SELECT DISTINCT source AS name, lang AS token FROM documents), n AS (SELECT DISTINCT name FROM w),
+    v AS (SELECT name, token, 4 + row_number() OVER (PARTITION BY name ORDER BY token) AS id FROM w UNION ALL SELECT name, token, CASE WHEN name = 'src2' THEN (id + 1) % 5 ELSE id END FROM n, s WHERE name <> 'src5' OR id <> 1)
+    SELECT name, (SELECT count(*) FROM s JOIN v x USING (token, id) WHERE x.name = v.name) = 5 AS specials, bool_or(token = '[PAD]' AND id = 0) AS padding, count(*) AS size, count(*) = 9 AS as_requested FROM v GROUP BY name""")
 def vocabulary_checks(spark: SparkSession, sf: str) -> DataFrame:
-    return training.vocabulary_checks(spark.createDataFrame(VOCABULARIES, "name string, token string, id int, requested int"))
+    """A vocabulary for each source: the special tokens, then its languages; one source lacks a token, another has them moved."""
+    words = table(spark, sf, "documents").select(F.col("source").alias("name"), F.col("lang").alias("token")).distinct()
+    own = words.withColumn("id", (F.row_number().over(Window.partitionBy("name").orderBy("token")) + 4).cast("int"))  # a language each
+    specials = words.select("name").distinct().select("name", F.posexplode(F.array(*[F.lit(t) for t in training.SPECIAL_TOKENS])).alias("at", "token"))
+    moved = F.when(F.col("name") == "src2", (F.col("at") + 1) % 5).otherwise(F.col("at")).cast("int")
+    specials = specials.where("name <> 'src5' or at <> 1").select("name", "token", moved.alias("id"))
+    return training.vocabulary_checks(own.unionByName(specials).withColumn("requested", F.lit(9)))
 
 
 @query(r"WITH w AS (SELECT DISTINCT unnest(regexp_split_to_array(text, '\s+')) AS piece FROM documents) SELECT count(*) AS entries, count(*) FILTER (regexp_matches(piece, '[À-ɏ]')) AS with_script FROM w WHERE piece <> ''")
@@ -148,27 +161,28 @@ def script_entries(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def vocabulary_script(spark: SparkSession, sf: str) -> DataFrame:
-    """Entries of an installed byte-level vocabulary with a letter of another script, once decoded."""
+    """Of the entries of an installed byte-level vocabulary that the documents use: how many have a letter of
+    another script, once decoded."""
     import public_tokenizers
-    from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
-    pieces = tokenizer.decode_batch([[i] for i in range(tokenizer.get_vocab_size())], skip_special_tokens=False)
-    return training.script_entries(spark.createDataFrame([(p,) for p in pieces], "piece string"), "À-ɏ")
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        model = file.read()
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("item_id"), "text")
+    used = readers.encode_with(docs, model).select(F.explode("ids").alias("id")).distinct()
+    return training.script_entries(readers.decoded_entries(used, model), "À-ɏ")
 
 
-FACTS = [(i, i in (2, 4), i == 4, i in (0, 5, 8), 400 + 20 * i, i in (1, 7)) for i in range(len(SPECS))]
 HUB = "spec LIKE 'hf://%' OR (NOT (spec LIKE '.%' OR spec LIKE '/%' OR spec LIKE '~%' OR spec LIKE '%.json') AND regexp_full_match(spec, '[A-Za-z0-9][A-Za-z0-9._-]*/[A-Za-z0-9._-]+'))"
 
 
-@query(f"""WITH f AS (SELECT {SPECS!r}[i + 1] AS spec, * FROM (VALUES {', '.join(str(f) for f in FACTS)}) v(i, folder, inner_, file, size, parent))
-    SELECT spec, CASE WHEN folder THEN CASE WHEN inner_ THEN 'folder' ELSE 'error' END WHEN file THEN CASE WHEN size <= 500 THEN 'file' ELSE 'train' END WHEN ({HUB}) AND (spec LIKE 'hf://%' OR NOT parent) THEN 'hub' ELSE 'train' END AS source FROM f""")
+@query(f"""WITH f AS (SELECT doc_id, {SPEC_SQL} AS spec, doc_id % 5 = 2 AS folder, doc_id % 10 = 2 AS inner_, doc_id % 3 = 0 AS file, n_chars AS size, doc_id % 7 = 1 AS parent FROM documents)
+    SELECT doc_id, spec, CASE WHEN folder THEN CASE WHEN inner_ THEN 'folder' ELSE 'error' END WHEN file THEN CASE WHEN size <= 500 THEN 'file' ELSE 'train' END WHEN ({HUB}) AND (spec LIKE 'hf://%' OR NOT parent) THEN 'hub' ELSE 'train' END AS source FROM f""")
 def tokenizer_resolution(spark: SparkSession, sf: str) -> DataFrame:
-    """What each name stands for, given what is there on disk; 500 entries are asked for."""
-    rows = spark.createDataFrame([(SPECS[f[0]], *f[1:]) for f in FACTS], "spec string, folder boolean, inner boolean, file boolean, size int, parent boolean")
-    spec = F.col("spec")
-    found = training.resolution(spec, F.col("folder"), F.col("inner"), F.col("file"), F.col("size"), F.lit(500), text.is_hub_id(spec), F.col("parent"))
-    return rows.select("spec", found.alias("source"))
+    """What each document's name stands for, given what its row says is there; 500 entries are asked for."""
+    n = F.col("doc_id")
+    rows = _specs(spark, sf).join(table(spark, sf, "documents").select("doc_id", "n_chars"), "doc_id")
+    found = training.resolution(F.col("spec"), n % 5 == 2, n % 10 == 2, n % 3 == 0, F.col("n_chars"), F.lit(500), text.is_hub_id(F.col("spec")), n % 7 == 1)
+    return rows.select("doc_id", "spec", found.alias("source"))
 
 
 def _gauss(parts: str) -> str:
@@ -262,14 +276,18 @@ def normalised_texts(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.sha1(text.normalised(F.col("text"))).alias("digest"))
 
 
-@query("SELECT i, CASE WHEN i * 97 >= 3600 THEN (i * 97 // 3600) || ':' || lpad((i * 97 // 60 % 60)::VARCHAR, 2, '0') ELSE (i * 97 // 60)::VARCHAR END || ':' || lpad((i * 97 % 60)::VARCHAR, 2, '0') AS clock FROM (SELECT unnest(range(200)) AS i)")
+@query("SELECT event_id, CASE WHEN s >= 3600 THEN (s // 3600) || ':' || lpad((s // 60 % 60)::VARCHAR, 2, '0') ELSE (s // 60)::VARCHAR END || ':' || lpad((s % 60)::VARCHAR, 2, '0') AS clock FROM (SELECT event_id, epoch_us(ts) // 1000000 % 20000 AS s FROM events)")
 def short_clocks(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.range(200).select(F.col("id").alias("i"), numbers.short_clock(F.col("id") * 97).alias("clock"))
+    """The seconds of every event's time, modulo 20,000, as a clock."""
+    seconds = F.floor(limits.micros("ts") / 1_000_000) % 20_000
+    return table(spark, sf, "events").select("event_id", numbers.short_clock(seconds).alias("clock"))
 
 
-@query("WITH d AS (SELECT *, (epoch_us(ts) + 7200000000) // 86400000000 AS day FROM events), u AS (SELECT min(day) AS day, 40 AS used FROM d) SELECT event_id, day, row_number() OVER (PARTITION BY day ORDER BY ts, event_id) + coalesce(used, 0) <= 100 AS admitted FROM d LEFT JOIN u USING (day)")
+@query("WITH d AS (SELECT *, (epoch_us(ts) + 7200000000) // 86400000000 AS day FROM events), u AS (SELECT day, least(count(*), 100) AS used FROM d WHERE event_id % 3 = 0 GROUP BY 1) SELECT event_id, day, row_number() OVER (PARTITION BY day ORDER BY ts, event_id) + coalesce(used, 0) <= 100 AS admitted FROM d LEFT JOIN u USING (day) WHERE event_id % 3 <> 0")
 def daily_cap_resumed(spark: SparkSession, sf: str) -> DataFrame:
-    """Days of a clock two hours ahead; an earlier run took 40 requests of the first day."""
-    events = table(spark, sf, "events")
-    first = events.agg(F.floor((F.min(limits.micros("ts")) + 7_200_000_000) / 86_400_000_000).alias("day"), F.lit(40).alias("used"))
-    return limits.daily(events, 100, "+02:00", first).select("event_id", "day", "admitted")
+    """Days of a clock two hours ahead. An earlier run took every third event, and left what it used of each
+    day in a table, which this run reads back."""
+    events, path = table(spark, sf, "events"), scratch_path(spark, "usage")
+    first = limits.daily(events.where("event_id % 3 = 0"), 100, "+02:00").where("admitted")
+    first.groupBy("day").agg(F.count(F.lit(1)).alias("used")).write.parquet(path)
+    return limits.daily(events.where("event_id % 3 <> 0"), 100, "+02:00", spark.read.parquet(path)).select("event_id", "day", "admitted")
\ No newline at end of file

@@ -80,3 +80,18 @@ def encode_with(df: DataFrame, tokenizer_json: str, column: str = "text") -> Dat
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["item_id", "ids"])
 
     return df.select("item_id", F.col(column).alias("_text")).mapInArrow(run, "item_id long, ids array<int>")
+
+
+def decoded_entries(ids: DataFrame, tokenizer_json: str) -> DataFrame:
+    """(id, piece): entries of a vocabulary by number, decoded."""
+    shared = ids.sparkSession.sparkContext.broadcast(tokenizer_json)  # one vocabulary file
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_str(shared.value)
+        for batch in batches:
+            pieces = tokenizer.decode_batch([[i] for i in batch.column(0).to_pylist()], skip_special_tokens=False)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pieces, pa.string())], names=["id", "piece"])
+
+    return ids.select("id").mapInArrow(run, "id int, piece string")

@@ -138,7 +138,9 @@ def test_batch_encoding_is_that_of_one_by_one(spark, sf):
     rows = spark.read.parquet(f"{sf}/benchmark.parquet")
     want = {r.item_id: one.encode(r.text, add_special_tokens=False).ids for r in rows.collect()}
     assert {r.item_id: list(r.ids) for r in readers.encode_with(rows, raw).collect()} == want
-    pieces = one.decode_batch([[i] for i in range(one.get_vocab_size())], skip_special_tokens=False)
+    docs = {r.doc_id: one.encode(r.text or "", add_special_tokens=False).ids for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    assert {r.doc_id: r.n_tokens for r in plans.QUERIES["bpe_encode"](spark, sf).collect()} == {d: len(ids) for d, ids in docs.items()}
+    pieces = [one.decode([i], skip_special_tokens=False) for i in {i for ids in docs.values() for i in ids}]
     found = plans.QUERIES["vocabulary_script"](spark, sf).first()
     assert (found.entries, found.with_script) == (len(pieces), sum(any("À" <= c <= "ɏ" for c in p) for p in pieces))
 
