@@ -2,8 +2,9 @@
 
 Pivots, a bounded sample, cut the space into cells at two levels: a vector goes to the region of its
 nearest upper pivot and in it to the cell of its nearest lower one. The number of cells grows with the
-table up to MOST_CELLS, so a cell is a shard of about the size wanted. Only a cell that is
-much larger, as copies of one vector make it, is cut into several shards by row number. Each shard has a
+table up to MOST_CELLS, so a cell is a shard of about the size wanted. A cell that is larger than two
+shards, as copies of one vector make it, or a table of more than MOST_CELLS shards, is cut into several
+by row number, so that no task holds more than some 2 * shard_rows vectors, however large the table. Each shard has a
 vantage-point tree, which splits at the median distance from a vantage point and ends in leaves scanned whole.
 
 A query first searches a shard of its own cell. Its k-th distance then bounds the other shards: the
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import materialise
 
 #: Cells, at least and at most; vectors that pivots are chosen from, for each cell; vectors of one shard, about; of one leaf.
-LEAST_CELLS, MOST_CELLS, SAMPLE, SHARD_ROWS, LEAF = 16, 4_096, 4, 2_500, 64
+LEAST_CELLS, MOST_CELLS, SAMPLE, SHARD_ROWS, LEAF = 16, 16_384, 4, 2_500, 64
 #: Queries of one block, for each core of the cluster.
 QUERY_BLOCK = 20_000
 #: Relative slack for rounding in bounds, so exact ties are still visited.
@@ -177,7 +178,7 @@ def _nearest(rows: DataFrame, width: int, total: int, k: int, factor: float, sha
 
     placed = materialise(rows.mapInArrow(place, "id long, v array<double>, ask boolean, row long, cell int, gap double, up double"), "placed")
     sizes = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("gap").alias("radius"), F.max("up").alias("up")).collect()  # a row a cell
-    most = max(shard_rows, 2 * total // wanted)
+    most = 2 * shard_rows
     shards = np.zeros(len(made.low), np.int64)
     radius, up_radius = np.full(len(made.low), -np.inf), np.full(len(made.up), -np.inf)
     for r in sizes:
