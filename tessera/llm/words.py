@@ -69,14 +69,18 @@ class Words:
         """The row of each word."""
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
-    def _hashes(self, seed: int) -> np.ndarray:
+    def again(self, seed: int) -> np.ndarray:
+        """The words' hashes by another seed: after another mixing of every eight bytes, not of the first hash."""
+        return self._hashes(seed, U64(0x8CB92BA72F3D8DD7))
+
+    def _hashes(self, seed: int, step: np.uint64 = GOLDEN) -> np.ndarray:
         length = self.end - self.start
         padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
         at = np.ndarray((len(padded) - 7,), dtype="<u8", buffer=padded, strides=(1,))
         out = mix(length.astype(U64) * GOLDEN + U64(seed))
         which, place, left = np.arange(len(length)), self.start, length
         while len(which):
-            out[which] = mix((out[which] ^ (at[place] & MASKS[np.minimum(left, 8)])) + GOLDEN)
+            out[which] = mix((out[which] ^ (at[place] & MASKS[np.minimum(left, 8)])) * U64(2 * seed + 1) + step)
             more = left > 8
             which, place, left = which[more], place[more] + 8, left[more] - 8
         return out

@@ -67,3 +67,29 @@ def test_kept_text(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.kept_text for r in substring_dedup.remove_repeats(df, with_text=True).collect()}
     assert got == {1: rows[0][1], 2: "start end", 3: "", 4: "short text"}
+
+
+def test_a_hundred_thousand_copies_of_one_text(spark):
+    """Copies of one text are dealt to several tasks: all but the first lose every word."""
+    from pyspark.sql import functions as F
+
+    hot = " ".join(f"w{i}" for i in range(25))
+    df = spark.range(100_000, numPartitions=4).select(F.col("id").alias("doc_id"), F.lit(hot).alias("text"))
+    df = df.unionByName(spark.createDataFrame([(200_000, "x y z " + hot), (200_001, "alone")], "doc_id long, text string"))
+    found = substring_dedup.remove_repeats(df).groupBy("n_words", "n_removed").count().collect()
+    assert {(r.n_words, r.n_removed, r["count"]) for r in found} == {(25, 0, 1), (25, 25, 99_999), (28, 25, 1), (1, 0, 1)}
+
+
+def test_words_are_hashed_twice_and_independently():
+    """Words that one hash cannot tell apart, the other can: neither follows from the other."""
+    import numpy as np
+    import pyarrow as pa
+
+    from tessera.llm.words import Words
+
+    w = Words(pa.array([" ".join(f"word{i}" for i in range(20_000))]))
+    one, two = w.hash, w.again(1)
+    assert len(set(one.tolist())) == len(set(two.tolist())) == 20_000
+    low = lambda x: (x & np.uint64(255)).astype(int)
+    same = np.flatnonzero(low(one) == low(one)[0])
+    assert len(same) > 40 and len(set(low(two)[same])) > 30
