@@ -1,6 +1,6 @@
 """The pipeline against plain versions of its stages."""
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import corpus_pipeline
 from test_dedup_shard_pack import ASCII
@@ -49,3 +49,26 @@ def test_stages_keep_columns_and_take_empty_tables(spark, sf, empty, odd):
     assert corpus_pipeline.STAGES[-1][1](spark, empty, sf).count() == 0
 
 
+def test_packing_stage_takes_odd_rows(spark, odd, sf):
+    """Nulls, empty and very long texts, repeated rows and clashing columns: every row's bytes come back."""
+    rows = corpus_pipeline.STAGES[-1][1](spark, odd, sf).collect()
+    whole = Counter()
+    for r in rows:
+        assert r.length == len(r.content or b"") <= max(packing.SIZES) and (r.bin_id is None) == (r.length == 0)
+        whole[r.doc_id] += r.length
+    want = Counter()
+    for r in odd.select("doc_id", "text").collect():
+        want[r.doc_id] += len((r.text or "").encode())
+    assert whole == want and sum(r.piece == 0 for r in rows) == odd.count()
+
+
+def test_tables_of_finished_stages_are_gone(spark, sf, monkeypatch, tmp_path):
+    """Only the last stage's own tables and the stage before it are left once the run is planned."""
+    from tessera.llm import common
+
+    monkeypatch.setattr(common, "shared_dir", lambda _: f"file://{tmp_path}")
+    out = corpus_pipeline.run(spark, sf)
+    left = {p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir()}
+    assert left == {"stage-pii", "pieces"} and out.count() > 0
+
+
