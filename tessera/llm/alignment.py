@@ -57,7 +57,7 @@ ACROSS = re.compile(rf"[{LETTER}][{MARK}]|\n.|.\n", re.DOTALL)
 #: Units that are encoded as one text.
 TOGETHER = 500
 #: Keys that a task holds before it passes them on.
-HELD = 3_000_000
+HELD = 1_000_000
 SPACE_SIGN = "▁"
 
 
@@ -108,7 +108,9 @@ class Pair:
         return CUT.split(whole) if text[:1].isspace() or LOOSE.search(text) else UNIT.findall(whole)
 
     def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        a = [x.ids for x in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+        a = []
+        for i in range(0, len(texts), 64):  # its results hold much more than the ids
+            a += [x.ids for x in self.a.encode_batch_fast(texts[i : i + 64], add_special_tokens=False)]
         return a, self.b.encode(texts, num_threads=1)
 
     def gives_back(self, text: str, a: list[int], b: list[int]) -> bool:
@@ -125,7 +127,7 @@ def _distinct(x: np.ndarray) -> np.ndarray:
 class Units:
     """A worker's bounded cache of units: numbers of tokens, groups and links, spelled groups, keys."""
 
-    def __init__(self, pair: Pair, size: int = 300_000):
+    def __init__(self, pair: Pair, size: int = 200_000):
         self.pair, self.size = pair, size
         self.lengths = [np.fromiter(map(len, x), np.int64, len(x)) for x in (pair.a_bytes, pair.b_bytes)]
         self.digits = [str(i) for i in range(max(map(len, self.lengths)))]
@@ -272,7 +274,7 @@ def _encoded_rows(texts: DataFrame, shared, held: int, with_groups: bool) -> Dat
                 part = k[i : i + 100_000]
                 yield rows(len(part), pair=pa.array(part), n=pa.array(c[i : i + 100_000]))
 
-        for batch in steps(batches, "_text"):
+        for batch in steps(batches, "_text", 2 << 20):
             m = batch.num_rows
             n, places = units.of(batch.column(1).to_pylist())
             sums = units.sums(n, places)
