@@ -31,6 +31,21 @@ def trailing(events: DataFrame, *keys: str) -> DataFrame:
     return counted.where("_own").drop("_us", "_m", "_own")
 
 
+def best_so_far(events: DataFrame, key: str, value: str = "value", least: float = -1.0) -> DataFrame:
+    """events with is_best: whether `value` is over all of the key's earlier ones (by ts, event_id) and `least`.
+
+    A key's log is dealt to hours: the greatest value of the hours before, a row an hour, and a window
+    within the hour, so no task gets a whole log.
+    """
+    rows = events.withColumn("_hour", F.floor(micros("ts") / (60 * MINUTE)))
+    tops = rows.groupBy(key, "_hour").agg(F.max(value).alias("_top"))
+    earlier = F.max("_top").over(Window.partitionBy(key).orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1))
+    inside = F.max(value).over(Window.partitionBy(key, "_hour").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1))
+    placed = rows.withColumn("_inside", inside).join(tops.select(key, "_hour", earlier.alias("_earlier")), [key, "_hour"])
+    best = F.coalesce(F.greatest("_inside", "_earlier"), F.lit(least))
+    return placed.withColumn("is_best", F.col(value) > best).drop("_hour", "_inside", "_earlier")
+
+
 def daily(events: DataFrame, cap: int, offset: str = "+00:00", used: DataFrame | None = None) -> DataFrame:
     """events with their day and whether they are among its first `cap` (0: no limit).
 

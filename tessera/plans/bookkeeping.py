@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import hashing, numbers, text
@@ -175,9 +175,8 @@ def lr_warmup_cosine(spark: SparkSession, sf: str) -> DataFrame:
 @query("""WITH s AS (SELECT event_id, value, coalesce(max(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1.0) AS best FROM events)
     SELECT event_id, value > best AS is_best FROM s""")
 def running_best(spark: SparkSession, sf: str) -> DataFrame:
-    before = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    best = F.coalesce(F.max("value").over(before), F.lit(-1.0))
-    return table(spark, sf, "events").select("event_id", (F.col("value") > best).alias("is_best"))
+    """Each user's events that are over all earlier ones of theirs."""
+    return limits.best_so_far(table(spark, sf, "events"), "user_id").select("event_id", "is_best")
 
 
 @query("""WITH RECURSIVE x AS (SELECT shard, row_number() OVER (PARTITION BY shard ORDER BY n, doc_id) AS r, n FROM (SELECT doc_id // 256 AS shard, doc_id, strlen(text) // 100 + 1 AS n FROM documents)),

@@ -163,6 +163,13 @@ def tfidf_char_wb(spark: SparkSession, sf: str) -> DataFrame:
     return features.tfidf(rows, features.edge_grams(F.col("text"))).withColumn("weight", F.round("weight", 6))
 
 
+@query(r"WITH t AS (SELECT doc_id AS item_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS term FROM documents), " + TFIDF.replace("FROM benchmark", "FROM documents"))
+def tfidf_word_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Word weights of every document."""
+    rows = table(spark, sf, "documents").select(F.col("doc_id").alias("item_id"), "text")
+    return features.tfidf(rows, features.word_terms(F.col("text"))).withColumn("weight", F.round("weight", 6))
+
+
 @query()
 def trigram_projection(spark: SparkSession, sf: str) -> DataFrame:
     return features.trigram_projection(table(spark, sf, "benchmark"), 64)
