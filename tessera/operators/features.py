@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions import text
+from tessera.functions import arrays, text
 from tessera.operators import vectors
 from tessera.sources.work import work_table
 
@@ -50,16 +50,22 @@ def tfidf(rows: DataFrame, terms: Column, min_df: int = 2) -> DataFrame:
 
 def trigram_projection(rows: DataFrame, dim: int = 64, buckets: int = 65_536, seed: int = 0) -> DataFrame:
     """(item_id, dim, x): sums of a Gaussian vector for each trigram's bucket, of unit length. The
-    vectors come from a hash of (bucket, dim), so nothing is sent to the tasks."""
+    vectors come from a hash of (bucket, dim), so nothing is sent to the tasks; an item's buckets, `buckets`
+    numbers at most, meet in one row, and what is exchanged does not grow with dim."""
     grams = rows.select("item_id", F.explode(text.char_grams(F.col("text"))).alias("gram"))
     bucket = F.pmod(F.xxhash64("gram"), F.lit(buckets))
     counts = grams.groupBy("item_id", bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-    wide = counts.withColumn("dim", F.explode(F.sequence(F.lit(0), F.lit(dim - 1))))
-    unit = lambda tag: (F.pmod(F.xxhash64("bucket", "dim", F.lit(seed), F.lit(tag)), F.lit(1 << 52)) + 1) / float(1 << 52)
-    normal = F.sqrt(-2 * F.log(unit("r"))) * F.cos(2 * np.pi * unit("a"))
-    sums = wide.groupBy("item_id", "dim").agg(F.sum(F.col("n") * normal).alias("x"))
-    norms = sums.groupBy("item_id").agg((F.sqrt(F.sum(F.col("x") * F.col("x"))) + 1e-12).alias("norm"))
-    return sums.join(norms, "item_id").select("item_id", "dim", (F.col("x") / F.col("norm")).alias("x"))
+    held = counts.groupBy("item_id").agg(F.collect_list(F.struct("bucket", "n")).alias("held"))
+
+    def uniform(cell: Column, d: Column, tag: str) -> Column:
+        return (F.pmod(F.xxhash64(cell["bucket"], d, F.lit(seed), F.lit(tag)), F.lit(1 << 52)) + 1) / float(1 << 52)
+
+    def total(d: Column) -> Column:
+        normal = lambda c: F.sqrt(-2 * F.log(uniform(c, d, "r"))) * F.cos(2 * np.pi * uniform(c, d, "a"))
+        return F.aggregate("held", F.lit(0.0), lambda s, c: s + c["n"] * normal(c))
+
+    sums = held.select("item_id", F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), total).alias("x"))
+    return sums.select("item_id", F.posexplode(arrays.unit(F.col("x"))).alias("dim", "x"))
 
 
 def latent_semantics(weights: DataFrame, dim: int = 300, sketch: int = 16, seed: int = 0) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import arrays, hashing
 from tessera.operators.ordering import with_ordinal
+from tessera.sources.work import work_table
 
 METRIC_ROWS, MOST_ROWS = 4_096, 10_000
 
@@ -61,30 +62,38 @@ def top_k(df: DataFrame, query: DataFrame, k: int) -> DataFrame:
     return scored.orderBy(F.desc("score"), "vec_id").limit(k)
 
 
-def top_k_each(df: DataFrame, queries: DataFrame, k: int, block: int = 4_096) -> DataFrame:
+def top_k_each(df: DataFrame, queries: DataFrame, k: int, chunk: int = 16_384, block: int = 8_192) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query row the k rows of df with the greatest cosine, the
-    least id among ties (of nine decimals). Queries are sent to the tasks in blocks, a task keeps k rows for each."""
-    spark = df.sparkSession
+    least id among ties (of nine decimals). Rows are dealt to chunks and queries to blocks; a chunk meets a
+    block in one task, which keeps k rows a query. Null vectors take no part."""
     unit = arrays.unit(arrays.doubles(F.col("embedding"))).alias("v")
-    asked = with_ordinal(queries.select(F.col("vec_id").alias("query_id"), unit), "at", "query_id")
-    rows, out = df.select("vec_id", unit), spark.createDataFrame([], "query_id long, vec_id long, score double")
-    for start in range(0, asked.count(), block):
-        held = asked.where((F.col("at") >= start) & (F.col("at") < start + block)).toArrow()
-        shared = spark.sparkContext.broadcast((held["query_id"].to_numpy(), _matrix(held["v"].combine_chunks())))  # a block
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, q = shared.value
-            best_id, best = np.zeros((len(q), 0), np.int64), np.zeros((len(q), 0))
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                score = np.concatenate([best, np.round(q @ _matrix(batch.column(1)).T, 9)], axis=1)
-                vec = np.concatenate([best_id, np.broadcast_to(batch.column(0).to_numpy(), (len(q), batch.num_rows))], axis=1)
-                order = np.lexsort((vec, -score), axis=1)[:, :k]
-                best, best_id = np.take_along_axis(score, order, axis=1), np.take_along_axis(vec, order, axis=1)
-            yield pa.RecordBatch.from_pydict({"query_id": np.repeat(ids, best.shape[1]), "vec_id": best_id.reshape(-1), "score": best.reshape(-1)})
-
-        out = out.unionByName(rows.mapInArrow(run, "query_id long, vec_id long, score double"))
+
+    def dealt(rows: DataFrame, own: str, size: int) -> tuple[DataFrame, int]:
+        held = work_table(rows.where("v is not null").withColumn("_n", F.monotonically_increasing_id()), own)
+        cells = max(1, -(-held.count() // size))
+        return held.withColumn(own, F.pmod(F.xxhash64("_n"), F.lit(cells)).cast("int")).drop("_n"), cells
+
+    def shown(rows: DataFrame, other: str, cells: int) -> DataFrame:
+        return rows.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(cells - 1))))
+
+    rows, chunks = dealt(df.select("vec_id", unit), "chunk", chunk)
+    asked, blocks = dealt(queries.select(F.col("vec_id").alias("query_id"), unit), "block", block)
+    rows, asked = shown(rows, "block", blocks), shown(asked, "chunk", chunks)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, who, best, of = left["vec_id"].to_numpy(), [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0, np.int64)]
+        if left.num_rows and right.num_rows:
+            v, q, asks = _matrix(left["v"].combine_chunks()), _matrix(right["v"].combine_chunks()), right["query_id"].to_numpy()
+            for start in range(0, len(q), 128):
+                for ask, score in zip(asks[start : start + 128], np.round(q[start : start + 128] @ v.T, 9), strict=True):
+                    near = np.flatnonzero(score >= np.partition(score, -k)[-k]) if len(score) > k else np.arange(len(score))
+                    near = near[np.lexsort((ids[near], -score[near]))[:k]]
+                    who.append(np.full(len(near), ask))
+                    best.append(score[near])
+                    of.append(ids[near])
+        return pa.table({"query_id": np.concatenate(who), "vec_id": np.concatenate(of), "score": np.concatenate(best)})
+
+    out = rows.groupBy("chunk", "block").cogroup(asked.groupBy("chunk", "block")).applyInArrow(run, "query_id long, vec_id long, score double")
     ranked = out.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k).alias("best"))
     found = ranked.select("query_id", F.posexplode("best").alias("rank", "b"))
     return found.select("query_id", (F.col("rank") + 1).alias("rank"), "b.vec_id", (-F.col("b.s")).alias("score"))
@@ -144,19 +153,35 @@ def neighbours(views: DataFrame) -> DataFrame:
 
 def soft_retrieval(views: DataFrame, temperature: float = 0.05) -> DataFrame:
     """(vec_id, loss): cross entropy of the student's softmax over the others under the teacher's."""
-
-    def rows(block, all_):
-        own = block[0][:, None] == all_[0][None, :]
-        logs = []
-        for k in (1, 2):
-            z = block[k] @ all_[k].T / temperature
-            z[own] = -np.inf
-            z -= z.max(axis=1, keepdims=True)
-            logs.append(z - np.log(np.exp(z).sum(axis=1, keepdims=True)))
-        q, p = logs
-        return {"vec_id": block[0], "loss": -np.where(own, 0.0, np.exp(p) * np.where(own, 0.0, q)).sum(axis=1)}
-
-    return against_all(views, "vec_id long, loss double", rows)
+    return against_all(views, "vec_id long, loss double", lambda block, all_: _soft_losses(block, all_, temperature))
+
+
+def soft_retrieval_batches(views: DataFrame, batch: int = 256, temperature: float = 0.05, seed: int = 0) -> DataFrame:
+    """(batch, vec_id, loss): soft_retrieval of every row against the others of its batch. Batches are dealt
+    in the order of a hash of vec_id, as a training run does; in one of a single row there are no others
+    and no loss. A task holds one batch."""
+    placed = with_ordinal(views.withColumn("_key", hashing.draw_key(F.col("vec_id"), seed)), "_ord", "_key", "vec_id")
+    placed = placed.select(F.floor(F.col("_ord") / batch).alias("batch"), "vec_id", "s", "t")
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        every = (rows["vec_id"].to_numpy(), _matrix(rows["s"].combine_chunks()), _matrix(rows["t"].combine_chunks()))
+        found = _soft_losses(every, every, temperature) if len(np.unique(every[0])) > 1 else {"vec_id": every[0][:0], "loss": np.zeros(0)}
+        return pa.table({"batch": pa.array([key[0].as_py()] * len(found["loss"]), pa.int64()), **found})
+
+    return placed.groupBy("batch").applyInArrow(run, "batch long, vec_id long, loss double")
+
+
+def _soft_losses(block: tuple, all_: tuple, temperature: float) -> dict:
+    """Of rows (ids, S, T) against all: what is of the same id does not count."""
+    own = block[0][:, None] == all_[0][None, :]
+    logs = []
+    for k in (1, 2):
+        z = block[k] @ all_[k].T / temperature
+        z[own] = -np.inf
+        z -= z.max(axis=1, keepdims=True)
+        logs.append(z - np.log(np.exp(z).sum(axis=1, keepdims=True)))
+    q, p = logs
+    return {"vec_id": block[0], "loss": -np.where(own, 0.0, np.exp(p) * np.where(own, 0.0, q)).sum(axis=1)}
 
 
 def pearson(a: str, b: str) -> Column:

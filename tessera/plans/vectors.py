@@ -114,9 +114,11 @@ def loss_gram_mse(spark: SparkSession, sf: str) -> DataFrame:
     return vectors.gram_mse(_all_views(spark, sf)).select(F.round("loss", 6).alias("loss"))
 
 
-SOFT = VIEWS + """, z AS (SELECT a.vec_id, list_dot_product(a.s, b.s) / 0.05 AS zs, list_dot_product(a.t, b.t) / 0.05 AS zt FROM views a JOIN views b ON a.vec_id <> b.vec_id),
+SOFT_LOSSES = """, z AS (SELECT a.vec_id, list_dot_product(a.s, b.s) / 0.05 AS zs, list_dot_product(a.t, b.t) / 0.05 AS zt FROM {0} a JOIN {0} b ON a.vec_id <> b.vec_id{1}),
     m AS (SELECT *, max(zs) OVER w AS ms, max(zt) OVER w AS mt FROM z WINDOW w AS (PARTITION BY vec_id)), e AS (SELECT *, sum(exp(zs - ms)) OVER w AS es, sum(exp(zt - mt)) OVER w AS et FROM m WINDOW w AS (PARTITION BY vec_id)),
     l AS (SELECT vec_id, -sum(exp(zt - mt) / et * (zs - ms - ln(es))) AS loss FROM e GROUP BY 1)"""
+SOFT = VIEWS + SOFT_LOSSES.format("views", "")
+BATCHED = ALL_VIEWS + ", batched AS (SELECT *, (row_number() OVER (ORDER BY sha1(concat_ws('|', vec_id, 0)), vec_id) - 1) // 256 AS batch FROM all_views)"
 
 
 @query(f"WITH {SOFT} SELECT round(avg(loss), 6) AS loss FROM l")
@@ -124,6 +126,13 @@ def loss_kl(spark: SparkSession, sf: str) -> DataFrame:
     return vectors.soft_retrieval(_views(spark, sf)).agg(F.round(F.avg("loss"), 6).alias("loss"))
 
 
+@query(f"WITH {BATCHED}{SOFT_LOSSES.format('batched', ' AND a.batch = b.batch')} SELECT batch, count(*) AS n, round(avg(loss), 6) AS loss FROM l JOIN batched USING (vec_id) GROUP BY 1")
+def loss_kl_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """Every row, in batches of 256: each batch's mean."""
+    each = vectors.soft_retrieval_batches(_all_views(spark, sf))
+    return each.groupBy("batch").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("loss"), 6).alias("loss"))
+
+
 @query(f"WITH {SOFT} SELECT round(1.0 * (SELECT avg(1 - list_dot_product(s, t[1:32])) FROM all_views) + 0.5 * (SELECT avg(loss) FROM l), 6) AS loss")
 def loss_combined(spark: SparkSession, sf: str) -> DataFrame:
     """The cosine part of all rows; the other compares pairs."""
