@@ -6,13 +6,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions import arrays, hashing, numbers, text
+from tessera.functions import arrays, draws, numbers, text
 
 #: Windows that a task makes at a time.
 STEP_WINDOWS = 1 << 14
+#: Windows that a task masks at a time.
+STEP_MASKED = 1 << 12
 
 
 def byte_windows(kept: DataFrame, length: int = 128, least: int = arrays.MIN_WINDOW) -> DataFrame:
@@ -60,26 +63,43 @@ def window_counts(n_tokens, length: int, least: int):
 
 def masked_examples(windows: DataFrame, length: int, share: float, seed: int, epoch: int = 0) -> DataFrame:
     """The five arrays of masked-language examples. Which ids are masked depends on the window, epoch
-    and seed alone: the maskable ones of the least hash, all replaced by the mask id."""
+    and seed alone: the maskable ones of the least hash (`hashing.draw_key` of doc_idx, win_idx, place,
+    epoch and seed), all replaced by the mask id. A task hashes STEP_MASKED windows at a time."""
     most = numbers.n_predictions(share, length)
-    keys = F.transform(
-        "ids",
-        lambda x, i: F.struct(hashing.draw_key(F.col("doc_idx"), F.col("win_idx"), i, epoch, seed).alias("key"), i.alias("pos"), x.alias("id")),
-    )
-    may = F.array_sort(F.filter(keys, lambda k: k["id"] >= arrays.SPECIALS))
-    rows = windows.withColumn("_may", may)
-    rows = rows.withColumn("_n", numbers.mask_count(F.size("_may"), share, most))
-    rows = rows.withColumn("_chosen", F.sort_array(F.transform(F.slice("_may", 1, F.col("_n")), lambda k: F.struct(k["pos"].alias("pos"), k["id"].alias("id")))))
-    fill = lambda value: F.array_repeat(value, F.lit(most) - F.col("_n"))
-    return rows.select(
-        "doc_idx",
-        "win_idx",
-        F.transform("ids", lambda x, i: F.when(F.exists("_chosen", lambda c: c["pos"] == i), arrays.MASK).otherwise(x)).alias("input_ids"),
-        arrays.attention(F.col("ids")).alias("attention_mask"),
-        F.concat(F.col("_chosen.pos"), fill(F.lit(0))).alias("positions"),
-        F.concat(F.col("_chosen.id"), fill(F.lit(0))).alias("targets"),
-        F.concat(F.array_repeat(F.lit(1.0).cast("float"), F.col("_n")), fill(F.lit(0.0).cast("float"))).alias("weights"),
-    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, STEP_MASKED):
+                part = batch.slice(first, STEP_MASKED)
+                heads = [b"".join(b"%d|" % x for x in pair if x is not None) for pair in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)]
+                sizes = pc.fill_null(pc.list_value_length(part.column(2)), 0).to_numpy()
+                n, width = len(sizes), int(sizes.max())
+                inside = np.arange(width) < sizes[:, None]
+                ids = np.full((n, width), arrays.PAD, np.int32)
+                ids[inside] = part.column(2).flatten().to_numpy()
+                may = inside & (ids >= arrays.SPECIALS)
+                words = draws.digests(heads, [b"%d|%d|%d" % (i, epoch, seed) for i in range(width)])
+                key = np.where(may, words[0].astype(np.uint64) << np.uint64(32) | words[1], np.uint64(2**64 - 1))
+                order = np.argsort(key, axis=1, kind="stable")
+                ranked = np.take_along_axis(key, order, axis=1)
+                for row in np.flatnonzero(((ranked[:, 1:] == ranked[:, :-1]) & (np.arange(1, width) < may.sum(axis=1)[:, None])).any(axis=1)):
+                    order[row] = np.lexsort([*words[::-1, row], ~may[row]])  # equal in 64 bits: by all of them
+                count = may.sum(axis=1)
+                count = np.where(count > 0, np.minimum(np.minimum(np.maximum(np.rint(count * share), 1), count), most), 0).astype(np.int32)
+                chosen = np.zeros((n, width), bool)
+                np.put_along_axis(chosen, order, np.arange(width) < count[:, None], axis=1)
+                row, place = np.nonzero(chosen)
+                slots = np.arange(most) < count[:, None]
+                positions, targets = np.zeros((2, n, most), np.int32)
+                positions[slots], targets[slots] = place, ids[row, place]
+                ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+                filled = pa.array(np.arange(n + 1, dtype=np.int32) * most)
+                lists = [(ends, np.where(chosen, np.int32(arrays.MASK), ids)[inside]), (ends, (ids[inside] != arrays.PAD).astype(np.int32)), (filled, positions.ravel()), (filled, targets.ravel()), (filled, slots.ravel().astype(np.float32))]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *[pa.ListArray.from_arrays(e, pa.array(v)) for e, v in lists]], names=names)
+
+    keys = windows.select(F.col("doc_idx").cast("long"), F.col("win_idx").cast("int"), F.col("ids").cast("array<int>"))
+    names = ["doc_idx", "win_idx", "input_ids", "attention_mask", "positions", "targets", "weights"]
+    return keys.mapInArrow(run, "doc_idx long, win_idx int, input_ids array<int>, attention_mask array<int>, positions array<int>, targets array<int>, weights array<float>")
 
 
 def token_bags(rows: DataFrame) -> DataFrame:
