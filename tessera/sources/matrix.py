@@ -14,11 +14,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from tessera.operators.ordering import with_ordinal
 from tessera.sources import store
 from tessera.sources.work import scratch_path, work_table
 
@@ -141,42 +142,38 @@ def take_rows(wanted: DataFrame, path: str, column: str = "pos") -> DataFrame:
 
 
 def write(rows: DataFrame, path: str, vector: str, *order: str, dtype: str = "<f4") -> None:
-    """The vectors in an order as one file. Tasks write their ranges of rows beside each other; one
-    task then joins them block by block, so no whole file is in memory anywhere."""
-    spark = rows.sparkSession
-    placed = work_table(with_ordinal(rows.select(vector, *order), "pos", *order).select("pos", F.col(vector).alias("v")), "matrix-rows")
-    n, width, least = placed.agg(F.count(F.lit(1)), F.max(F.size("v")), F.min(F.size("v"))).first()
-    if width != least:
-        raise ValueError("vectors of different lengths, or null ones, are no matrix")
-    folder = scratch_path(spark, "matrix-parts")
+    """The vectors in an order as one file. Rows are dealt to ranges of the order once, and each task
+    writes its own range; one task then joins them block by block, so no whole file is in memory anywhere."""
+    folder = scratch_path(rows.sparkSession, "matrix-parts")
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, file, out = None, None, None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            if first is None:
-                first = batch.column(0)[0].as_py()
-                out = store.Output(f"{folder}/{first}.bin")
-                file = out.__enter__()
-            file.write(batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(dtype).tobytes())
-        if first is not None:
-            out.__exit__(None)
-            yield pa.RecordBatch.from_arrays([pa.array([first]), pa.array([f"{folder}/{first}.bin"])], names=["first", "part"])
-
-    parts = placed.repartitionByRange("pos").sortWithinPartitions("pos").mapInArrow(part, "first long, part string")
-    parts = work_table(parts, "matrix-list")
+        number = TaskContext.get().partitionId()  # as high as the range
+        made, n, least, most = f"{folder}/{number}.bin", 0, None, None
+        with store.Output(made) as file:
+            for batch in batches:
+                if batch.num_rows:
+                    sizes = pc.min_max(pc.fill_null(pc.list_value_length(batch.column(0)), -1)).as_py()
+                    n, least, most = n + batch.num_rows, min(sizes["min"], sizes["min"] if least is None else least), max(sizes["max"], most or 0)
+                    file.write(batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(dtype).tobytes())
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (number, made, n, least, most)], names=["number", "part", "n", "least", "most"])
+
+    dealt = rows.select(vector, *order).repartitionByRange(*order).sortWithinPartitions(*order).select(vector)
+    parts = work_table(dealt.mapInArrow(part, "number long, part string, n long, least long, most long"), "matrix-list")
+    n, least, width = parts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.min("least"), F.max("most")).first()
+    if width != least:
+        raise ValueError("vectors of different lengths, or null ones, are no matrix")
     head = header_bytes(dtype, n, width or 0)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with store.Output(path) as out:
             out.write(head)
             for batch in batches:
-                for name in batch.column(1).to_pylist():
+                for name in batch.column(0).to_pylist():
                     with store.open_input(name) as file:
                         for block in store.chunks(file):
                             out.write(block)
         yield pa.RecordBatch.from_arrays([pa.array([path])], names=["path"])
 
     # a row a range of rows, in one task
-    parts.coalesce(1).sortWithinPartitions("first").mapInArrow(join, "path string").collect()
+    parts.coalesce(1).sortWithinPartitions("number").select("part").mapInArrow(join, "path string").collect()
