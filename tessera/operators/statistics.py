@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions import hashing
+from tessera.functions import draws, hashing
+from tessera.sources import matrix, store
+from tessera.sources.work import scratch_path
 
 
 def accuracy(rows: DataFrame) -> DataFrame:
@@ -89,34 +95,66 @@ def folds(rows: DataFrame, k: int = 5, seed: int = 0) -> DataFrame:
     return placed.withColumn("fold", F.pmod(F.col("_before") + F.col("_rank") - 1, F.lit(k)).cast("int")).select(*rows.columns, "fold")
 
 
-#: Scores that a bootstrap holds in one row; more are joined.
-HELD_SCORES = 200_000
+#: Scores that a bootstrap's tasks read from one file (8 bytes each); more are joined. Slots of a replicate
+#: that are drawn together, replicates hashed at a time, and draws of a task.
+HELD_SCORES, SLOTS, TOGETHER, TASK_DRAWS = 20_000_000, 1 << 16, 8, 1 << 25
 
 
 def bootstrap(scores: DataFrame, replicates: int, seed: int = 0) -> DataFrame:
     """One row: mean, lo and hi (2.5 and 97.5 percentiles) of the mean of resampled scores (ord, x).
 
     ord is 0..n-1. Replicate b takes for slot i the score of a hashed ordinal. Up to HELD_SCORES scores,
-    which is checked, go to the tasks as one array, and a replicate is one row from the start; more
-    scores are joined with their draws, which moves n small rows a replicate.
+    which is checked, are a file in the shared folder, written and read by tasks; a task draws SLOTS slots of
+    some replicates at a time, so replicates and slots are both dealt out and a row is a sum of many draws.
+    More scores are joined with their draws, which moves n small rows a replicate. Null scores count in no mean.
     """
     size = scores.count()
     n = scores.agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean"))
-    draw = lambda b, i: F.pmod(hashing.draw_number(b, i, seed), F.col("n"))
     if size <= HELD_SCORES:
-        held = scores.agg(F.array_sort(F.collect_list(F.struct("ord", "x")))["x"].alias("held"), F.count(F.lit(1)).alias("n"))
-        spark = scores.sparkSession
-        tasks = max(1, min(replicates, spark.sparkContext.defaultParallelism))
-        each = spark.range(0, replicates, 1, tasks).withColumnRenamed("id", "b").crossJoin(F.broadcast(held))
-        drawn = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda i: F.element_at("held", (draw(F.col("b"), i) + 1).cast("int")))
-        means = each.where("n > 0").select("b", (F.aggregate(drawn, F.lit(0.0), lambda t, x: t + x) / F.col("n")).alias("m"))
+        sums = _drawn_sums(scores, size, replicates, seed).groupBy("b").agg(F.sum("s").alias("s"), F.sum("k").alias("k"))
+        means = sums.select("b", F.when(F.col("k") > 0, F.col("s") / F.col("k")).alias("m"))
     else:
+        draw = F.pmod(hashing.draw_number(F.col("b"), F.col("ord"), seed), F.col("n"))
         slots = scores.select("ord").crossJoin(F.broadcast(n)).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-        means = slots.select("b", draw(F.col("b"), F.col("ord")).alias("ord")).join(scores, "ord").groupBy("b").agg(F.avg("x").alias("m"))
+        means = slots.select("b", draw.alias("ord")).join(scores, "ord").groupBy("b").agg(F.avg("x").alias("m"))
     bounds = means.agg(F.percentile("m", F.lit(0.025)).alias("lo"), F.percentile("m", F.lit(0.975)).alias("hi"))
     return n.select("mean").crossJoin(bounds)
 
 
+def _drawn_sums(scores: DataFrame, size: int, replicates: int, seed: int) -> DataFrame:
+    """(b, s, k): sums and counts of the drawn scores, of some slots of a replicate in a row."""
+    spark = scores.sparkSession
+    path = scratch_path(spark, "scores") + "/scores.npy"
+    if size:
+        matrix.write(scores.select("ord", F.array(F.col("x").cast("double")).alias("v")), path, "v", "ord", dtype="<f8")
+    cells = replicates * -(-size // SLOTS)  # those of the same slots side by side
+    tasks = max(1, min(cells, max(spark.sparkContext.defaultParallelism, size * replicates // TASK_DRAWS)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, at = None, -1
+        for batch in batches:
+            part, b = np.divmod(batch.column(0).to_numpy(), replicates)
+            if held is None and len(b):
+                start = matrix.read_header(path).start
+                with store.open_input(path) as file:
+                    file.seek(start)
+                    held = np.frombuffer(file.read(8 * size), "<f8")
+                known = ~np.isnan(held)
+                filled = np.where(known, held, 0.0)
+            s, k = np.zeros(len(b)), np.zeros(len(b), np.int64)
+            for p in np.unique(part).tolist():
+                if p != at:
+                    at, tails = p, [b"%d|%d" % (i, seed) for i in range(p * SLOTS, min((p + 1) * SLOTS, size))]
+                some = np.flatnonzero(part == p)
+                for i in range(0, len(some), TOGETHER):
+                    rows = some[i : i + TOGETHER]
+                    drawn = draws.digests([b"%d|" % x for x in b[rows].tolist()], tails, 1)[0] % np.uint32(size)
+                    s[rows], k[rows] = filled[drawn].sum(axis=1), known[drawn].sum(axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(b), pa.array(s), pa.array(k)], names=["b", "s", "k"])
+
+    return spark.range(0, cells, 1, tasks).mapInArrow(run, "b long, s double, k long")
+
+
 def cluster_bootstrap(scores: DataFrame, replicates: int, seed: int = 0) -> DataFrame:
     """As bootstrap, whole groups (grp 0..g-1) at a time; the mean is over the drawn groups' items."""
     groups = scores.groupBy("grp").agg(F.sum("x").alias("s"), F.count(F.lit(1)).alias("k"))

@@ -1,12 +1,17 @@
 """Draws hashed in numpy against hashlib, and the operators that use them at sizes they could not reach before."""
 
 import hashlib
+import math
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import arrays, draws
-from tessera.operators import tokens
+from tessera.operators import batches, statistics, tokens
+from tessera.sources import matrix
+from tessera.sources.work import work_table
 
 
 def test_digests_are_sha1(monkeypatch):
@@ -36,3 +41,47 @@ def test_masks_are_drawn_by_tasks_in_numpy(spark, monkeypatch):
     # before, each place of a window was hashed, sorted and looked up by expressions of the JVM
     assert "MapInArrow" in made._jdf.queryExecution().executedPlan().toString() and "sha1" not in made._jdf.queryExecution().executedPlan().toString()
     assert made.where(F.col("doc_idx").isNull()).count() == 1
+
+
+def test_pairs_of_least_hash_are_not_all_written(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(batches, "work_table", lambda df, tag: written.append(work_table(df, tag)) or written[-1])
+    n, k = 300, 500
+    got = {(r.i, r.j) for r in batches.pair_sample(spark, n, k, 4).collect()}
+    key = lambda p: hashlib.sha1(f"{p[1] * (p[1] - 1) // 2 + p[0]}|4".encode()).hexdigest()
+    assert got == set(sorted(((i, j) for j in range(n) for i in range(j)), key=key)[:k])
+    # before, a row of each of the 44,850 pairs was
+    assert k <= written[0].count() < 1000
+    # a bound that lets too few through is doubled
+    monkeypatch.setattr(batches.math, "ceil", lambda x, calls=[]: calls.append(x) or (1 << 20 if len(calls) == 1 else math.floor(x)))
+    assert {(r.i, r.j) for r in batches.pair_sample(spark, n, k, 4).collect()} == got and len(written) == 3
+
+
+def test_bootstrap_draws_slots_in_parts(spark, monkeypatch):
+    rng = random.Random(3)
+    x = [rng.choice([0.0, 1.0, -1.0, None]) for _ in range(500)]
+    scores = spark.createDataFrame([(i, v) for i, v in enumerate(x)], "ord long, x double")
+    monkeypatch.setattr(statistics, "SLOTS", 64)
+    monkeypatch.setattr(statistics, "TASK_DRAWS", 1000)
+    means = []
+    for b in range(30):
+        drawn = [x[int(hashlib.sha1(f"{b}|{i}|5".encode()).hexdigest()[:8], 16) % 500] for i in range(500)]
+        drawn = [v for v in drawn if v is not None]
+        means.append(sum(drawn) / len(drawn))
+    row = statistics.bootstrap(scores, 30, 5).first()
+    assert (row.lo, row.hi) == pytest.approx(tuple(np.quantile(means, [0.025, 0.975])), abs=1e-12)
+    # before, a replicate was one row and one array of all its draws, of one task
+    assert statistics._drawn_sums(scores, 500, 30, 5).count() == 30 * 8
+    assert tuple(statistics.bootstrap(scores.limit(0), 5).first()) == (None, None, None)
+
+
+def test_a_matrix_is_dealt_to_ranges_once(spark, tmp_path):
+    rows = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("i"), F.array(F.col("id") * 7919 % 1000).alias("v")).repartition(5)
+    tables = []
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(matrix, "work_table", lambda df, tag: tables.append(tag) or work_table(df, tag))
+        matrix.write(rows, str(tmp_path / "m.npy"), "v", "i", dtype="<i8")
+    assert np.load(tmp_path / "m.npy").ravel().tolist() == list(range(1000))
+    assert tables == ["matrix-list"]  # before, all rows were written twice and dealt twice
+    with pytest.raises(ValueError, match="null ones"):
+        matrix.write(spark.createDataFrame([(1, [1.0]), (2, None)], "i int, v array<double>"), str(tmp_path / "n.npy"), "v", "i")
