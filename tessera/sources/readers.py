@@ -16,6 +16,8 @@ from tessera.functions import text
 from tessera.operators import cache
 
 CACHE_SCHEMA = "k string, e array<float>"
+#: Bytes of text that a task encodes at a time (a longer text is alone or at the end of a step).
+STEP_BYTES = 1 << 20
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -67,7 +69,7 @@ def write_windows(windows: DataFrame, path: str) -> None:
 
 
 def encode_with(df: DataFrame, tokenizer_json: str, column: str = "text") -> DataFrame:
-    """df's item_id and ids by a tokenizer of the `tokenizers` library, in batches, one load a task."""
+    """df's item_id and ids by a tokenizer of the `tokenizers` library, in steps of bounded size, one load a task."""
     shared = df.sparkSession.sparkContext.broadcast(tokenizer_json)  # one vocabulary file
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,9 +77,16 @@ def encode_with(df: DataFrame, tokenizer_json: str, column: str = "text") -> Dat
 
         tokenizer = Tokenizer.from_str(shared.value)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            ids = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["item_id", "ids"])
+            sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy()
+            step = np.cumsum(sizes) // STEP_BYTES
+            cuts = [0, *(np.flatnonzero(np.diff(step)) + 1).tolist(), batch.num_rows]
+            for first, last in zip(cuts[:-1], cuts[1:], strict=True):
+                texts = [t or "" for t in batch.column(1).slice(first, last - first).to_pylist()]
+                # an encoding has a hundred bytes a token: those of a step only are held at a time
+                ids = [np.array(e.ids, np.int32) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+                ends = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32))
+                lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), lists], names=["item_id", "ids"])
 
     return df.select("item_id", F.col(column).alias("_text")).mapInArrow(run, "item_id long, ids array<int>")
 
