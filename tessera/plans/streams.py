@@ -34,13 +34,23 @@ def stream_split_windows(spark: SparkSession, sf: str) -> DataFrame:
 WINDOWS = f"""WITH kept AS (SELECT doc_id AS doc_idx, text FROM documents WHERE length(text) > 200), {mixed('doc_idx', 0)}, w AS (SELECT doc_idx, h, strlen(text) // 126 + (strlen(text) % 126 >= 32)::INT AS wins FROM hashed)"""
 
 
+#: Rows of a file of a stream, about.
+FILE_ROWS = 50_000
+
+
 def _in_files(spark: SparkSession, sf: str, name: str, order: str, parts: int) -> DataFrame:
-    """The table as a stream of files in an order, one a micro-batch."""
+    """The table as a stream of files in an order: a part, of one file or of as many as keep a file at about
+    FILE_ROWS rows, is a micro-batch, so no task writes or reads a part that grows with the table."""
     folder, rows = scratch_path(spark, f"files-{name}"), table(spark, sf, name)
-    cut = work_table(rows.repartitionByRange(parts, order).withColumn("_part", F.spark_partition_id()), "parts")
-    for part in range(parts):  # one after the other, as a stream takes files by the time they are written
-        cut.where(F.col("_part") == part).drop("_part").coalesce(1).write.mode("append").parquet(folder)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    files = -(-rows.count() // (parts * FILE_ROWS)) or 1
+    cut = work_table(rows.repartitionByRange(parts * files, order).withColumn("_part", F.floor(F.spark_partition_id() / files)), "parts")
+    sizes = {r._part: r["count"] for r in cut.groupBy("_part").count().collect()}  # a row a part
+    if min(sizes.values(), default=0) < 1000 * files:
+        files = 1  # some file might have no row and not be written
+    for part in range(parts) if files == 1 else sorted(sizes):  # one after the other, as a stream takes files by the time they are written
+        rest = cut.where(F.col("_part") == part).drop("_part")
+        (rest.coalesce(1) if files == 1 else rest.repartition(files)).write.mode("append").parquet(folder)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(folder)
 
 
 @query(WINDOWS + " SELECT CASE WHEN h < 0.05 THEN 'val' ELSE 'train' END AS side, sum(wins)::BIGINT AS windows, count(*) FILTER (wins > 0) AS docs FROM w GROUP BY 1")
