@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import pathlib
 import random
 
 import numpy as np
@@ -10,8 +11,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions import arrays, draws
 from tessera.operators import batches, statistics, tokens
-from tessera.sources import matrix
-from tessera.sources.work import work_table
+from tessera.plans import streams
+from tessera.sources import matrix, readers
+from tessera.sources.work import scratch_path, work_table
 
 
 def test_digests_are_sha1(monkeypatch):
@@ -85,3 +87,41 @@ def test_a_matrix_is_dealt_to_ranges_once(spark, tmp_path):
     assert tables == ["matrix-list"]  # before, all rows were written twice and dealt twice
     with pytest.raises(ValueError, match="null ones"):
         matrix.write(spark.createDataFrame([(1, [1.0]), (2, None)], "i int, v array<double>"), str(tmp_path / "n.npy"), "v", "i")
+
+
+def test_encoding_holds_a_step_at_a_time(spark, monkeypatch):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        raw = file.read()
+    one = Tokenizer.from_str(raw)
+    texts = [None, "", "word " * 50, "ß" * 9, "x" * 700, None, "", "end"] * 20
+    rows = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").coalesce(1)
+    monkeypatch.setattr(readers, "STEP_BYTES", 300)
+    made = readers.encode_with(rows, raw)
+    assert {r.item_id: list(r.ids) for r in made.collect()} == {i: one.encode(t or "", add_special_tokens=False).ids for i, t in enumerate(texts)}
+    # before, the texts of a whole Arrow batch were encoded, and their encodings held, at once
+    import pyarrow as pa
+
+    function = {}
+    monkeypatch.setattr(type(rows), "mapInArrow", lambda self, run, schema: function.setdefault("run", run), raising=False)
+    readers.encode_with(rows, raw)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], names=["item_id", "_text"])
+    out = list(function["run"](iter([batch])))
+    assert len(out) > 20 and sum(b.num_rows for b in out) == len(texts)
+
+
+def test_a_part_of_a_stream_is_several_files(spark, sf, monkeypatch):
+    made = []
+    monkeypatch.setattr(streams, "scratch_path", lambda spark, tag: made.append(scratch_path(spark, tag)) or made[-1])
+    big = spark.range(12_000).select(F.col("id").alias("event_id"), (F.col("id") * 7919 % 12_000).alias("ts"))
+    monkeypatch.setattr(streams, "table", lambda *a: big)
+    monkeypatch.setattr(streams, "FILE_ROWS", 2000)
+    stream = streams._in_files(spark, sf, "any", "ts", 3)
+    files = [p.name for p in pathlib.Path(made[0].removeprefix("file://")).glob("*.parquet")]
+    assert len(files) == 6  # two a part; before, one task wrote and read a third of the table
+    batches_seen = []
+    stream.writeStream.foreachBatch(lambda batch, k: batches_seen.append(batch.agg(F.min("ts"), F.max("ts"), F.count("ts")).first())).trigger(availableNow=True).option("checkpointLocation", scratch_path(spark, "seen")).start().awaitTermination()
+    assert len(batches_seen) == 3 and sum(b[2] for b in batches_seen) == 12_000
+    assert all(a[1] < b[0] for a, b in zip(batches_seen, batches_seen[1:], strict=False))
