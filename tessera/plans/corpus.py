@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import arrays, hashing, numbers, text
 from tessera.operators import corpus, prefix, tokens
 from tessera.plans.registry import query, table
+from tessera.sources import files
 
 SPACES = r"regexp_replace({}, '\s+', ' ', 'g')"
 PIECES = r"string_split(regexp_replace(regexp_replace(coalesce(text, ''), '([.!?…])\s+', '\1' || chr(1), 'g'), '\n+', chr(1), 'g'), chr(1))"
@@ -231,14 +230,9 @@ def corpus_digest(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {DISTINCT} SELECT sha1(string_agg(sentence, chr(0) ORDER BY doc_id, sent_pos)) AS digest, count(*) AS n FROM firsts")
 def sentence_digest(spark: SparkSession, sf: str) -> DataFrame:
-    """corpus_digest of the documents' distinct sentences: sorted by the tasks, then one pass on the
-    driver, which holds a partition at a time."""
-    found = corpus.distinct_sentences(corpus.sentences(table(spark, sf, "documents")))
-    digest, n = hashlib.sha1(), 0
-    for row in found.orderBy("doc_id", "sent_pos").select("sentence").toLocalIterator():
-        digest.update(b"\0" * (n > 0) + row.sentence.encode())
-        n += 1
-    return spark.createDataFrame([(digest.hexdigest() if n else None, n)], "digest string, n long")
+    """corpus_digest of the documents' distinct sentences: sorted and written by the tasks, then one pass of a
+    task over the files."""
+    return files.digest_in_order(corpus.distinct_sentences(corpus.sentences(table(spark, sf, "documents"))), "sentence", "doc_id", "sent_pos")
 
 
 @query("SELECT item_id, unnest([' ' || trim(text) || ' ']) AS padded, substr(' ' || trim(text) || ' ', i::INT, 3) AS gram, i::INT AS at FROM benchmark, unnest(range(1, length(trim(text)) + 1)) AS u(i)".replace("unnest([' ' || trim(text) || ' ']) AS padded, ", ""))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tessera.functions import arrays, draws
 from tessera.operators import batches, statistics, tokens
 from tessera.plans import streams
-from tessera.sources import matrix, readers
+from tessera.sources import files, matrix, readers
 from tessera.sources.work import scratch_path, work_table
 
 
@@ -119,9 +119,16 @@ def test_a_part_of_a_stream_is_several_files(spark, sf, monkeypatch):
     monkeypatch.setattr(streams, "table", lambda *a: big)
     monkeypatch.setattr(streams, "FILE_ROWS", 2000)
     stream = streams._in_files(spark, sf, "any", "ts", 3)
-    files = [p.name for p in pathlib.Path(made[0].removeprefix("file://")).glob("*.parquet")]
-    assert len(files) == 6  # two a part; before, one task wrote and read a third of the table
+    written = [p.name for p in pathlib.Path(made[0].removeprefix("file://")).glob("*.parquet")]
+    assert len(written) == 6  # two a part; before, one task wrote and read a third of the table
     batches_seen = []
     stream.writeStream.foreachBatch(lambda batch, k: batches_seen.append(batch.agg(F.min("ts"), F.max("ts"), F.count("ts")).first())).trigger(availableNow=True).option("checkpointLocation", scratch_path(spark, "seen")).start().awaitTermination()
     assert len(batches_seen) == 3 and sum(b[2] for b in batches_seen) == 12_000
     assert all(a[1] < b[0] for a, b in zip(batches_seen, batches_seen[1:], strict=False))
+
+
+def test_a_digest_in_order_passes_no_text_to_the_driver(spark, monkeypatch):
+    rows = spark.range(300).select((F.col("id") * 7919 % 300).alias("at"), F.concat(F.lit("ß"), (F.col("id") * 7919 % 300).cast("string")).alias("t")).repartition(5)
+    monkeypatch.setattr(type(rows), "toLocalIterator", None)  # before, the driver took every row
+    assert tuple(files.digest_in_order(rows, "t", "at").first()) == (hashlib.sha1("\0".join(f"ß{i}" for i in range(300)).encode()).hexdigest(), 300)
+    assert tuple(files.digest_in_order(rows.limit(0), "t", "at").first()) == (None, 0)
