@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -60,3 +63,10 @@ def truncated(vector: Column, dim: int, epsilon: float = 1e-12) -> Column:
 def joined(ids: Column) -> Column:
     """Ids as text, separated by commas."""
     return F.concat_ws(",", ids.cast("array<string>"))
+
+
+def joined_lists(ends: pa.Array, ids: np.ndarray) -> pa.Array:
+    """joined, within a task: of lists of integers, given as their ends and the numbers of all."""
+    coded = pa.array(ids).dictionary_encode()
+    words = pc.cast(coded.dictionary, pa.string()).take(coded.indices)
+    return pc.binary_join(pa.ListArray.from_arrays(ends, words), ",")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +16,7 @@ from tessera.functions import arrays, draws, numbers, text
 STEP_WINDOWS = 1 << 14
 #: Windows that a task masks at a time.
 STEP_MASKED = 1 << 12
+Step = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
 def byte_windows(kept: DataFrame, length: int = 128, least: int = arrays.MIN_WINDOW) -> DataFrame:
@@ -24,6 +25,14 @@ def byte_windows(kept: DataFrame, length: int = 128, least: int = arrays.MIN_WIN
     A batch's bytes become ids in one step; a document of n bytes starts a window at every `body` bytes
     while `least` are left.
     """
+    return _texts(kept).mapInArrow(_windowing(length, least), "doc_idx long, win_idx int, ids array<int>")
+
+
+def _texts(kept: DataFrame) -> DataFrame:
+    return kept.select("doc_idx", text.or_empty(F.col("text")).alias("text"))
+
+
+def _windowing(length: int, least: int) -> Step:
     body = length - 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -51,7 +60,7 @@ def byte_windows(kept: DataFrame, length: int = 128, least: int = arrays.MIN_WIN
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, ids.size + 1, length, dtype=np.int32)), pa.array(ids.reshape(-1)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(win.astype(np.int32)), lists], names=["doc_idx", "win_idx", "ids"])
 
-    return kept.select("doc_idx", text.or_empty(F.col("text")).alias("text")).mapInArrow(run, "doc_idx long, win_idx int, ids array<int>")
+    return run
 
 
 def window_counts(n_tokens, length: int, least: int):
@@ -65,6 +74,25 @@ def masked_examples(windows: DataFrame, length: int, share: float, seed: int, ep
     """The five arrays of masked-language examples. Which ids are masked depends on the window, epoch
     and seed alone: the maskable ones of the least hash (`hashing.draw_key` of doc_idx, win_idx, place,
     epoch and seed), all replaced by the mask id. A task hashes STEP_MASKED windows at a time."""
+    keys = windows.select(F.col("doc_idx").cast("long"), F.col("win_idx").cast("int"), F.col("ids").cast("array<int>"))
+    return keys.mapInArrow(_masking(length, share, seed, epoch), _fields(()))
+
+
+def masked_windows(kept: DataFrame, length: int, share: float, seed: int, epoch: int = 0, least: int = arrays.MIN_WINDOW, joined: Sequence[str] = ()) -> DataFrame:
+    """masked_examples of byte_windows: a task cuts its texts and masks the windows, which go through no
+    rows in between. The arrays named in `joined` come as text, as `arrays.joined` gives them."""
+    windows, masked = _windowing(length, least), _masking(length, share, seed, epoch, joined)
+    return _texts(kept).select(F.col("doc_idx").cast("long"), "text").mapInArrow(lambda batches: masked(windows(batches)), _fields(joined))
+
+
+ARRAYS = {"input_ids": "int", "attention_mask": "int", "positions": "int", "targets": "int", "weights": "float"}
+
+
+def _fields(joined: Sequence[str]) -> str:
+    return ", ".join(["doc_idx long, win_idx int", *[f"{name} string" if name in joined else f"{name} array<{kind}>" for name, kind in ARRAYS.items()]])
+
+
+def _masking(length: int, share: float, seed: int, epoch: int, joined: Sequence[str] = ()) -> Step:
     most = numbers.n_predictions(share, length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,16 +106,17 @@ def masked_examples(windows: DataFrame, length: int, share: float, seed: int, ep
                 ids = np.full((n, width), arrays.PAD, np.int32)
                 ids[inside] = part.column(2).flatten().to_numpy()
                 may = inside & (ids >= arrays.SPECIALS)
-                words = draws.digests(heads, [b"%d|%d|%d" % (i, epoch, seed) for i in range(width)])
-                key = np.where(may, words[0].astype(np.uint64) << np.uint64(32) | words[1], np.uint64(2**64 - 1))
-                order = np.argsort(key, axis=1, kind="stable")
-                ranked = np.take_along_axis(key, order, axis=1)
-                for row in np.flatnonzero(((ranked[:, 1:] == ranked[:, :-1]) & (np.arange(1, width) < may.sum(axis=1)[:, None])).any(axis=1)):
-                    order[row] = np.lexsort([*words[::-1, row], ~may[row]])  # equal in 64 bits: by all of them
-                count = may.sum(axis=1)
-                count = np.where(count > 0, np.minimum(np.minimum(np.maximum(np.rint(count * share), 1), count), most), 0).astype(np.int32)
-                chosen = np.zeros((n, width), bool)
-                np.put_along_axis(chosen, order, np.arange(width) < count[:, None], axis=1)
+                tails = [b"%d|%d|%d" % (i, epoch, seed) for i in range(width)]
+                key = np.where(may, draws.digests(heads, tails, 1)[0], np.uint32(2**32 - 1))
+                able = may.sum(axis=1)
+                count = np.where(able > 0, np.minimum(np.minimum(np.maximum(np.rint(able * share), 1), able), most), 0).astype(np.int32)
+                ranked = np.sort(key, axis=1)
+                last = np.take_along_axis(ranked, np.maximum(count - 1, 0)[:, None], axis=1) if width else key
+                chosen = may & (key <= last)
+                for row in np.flatnonzero(chosen.sum(axis=1) > count):  # the last is equal to others in 32 bits: by all of them
+                    order = np.lexsort([*draws.digests([heads[row]], tails)[::-1, 0], ~may[row]])
+                    chosen[row] = False
+                    chosen[row, order[: count[row]]] = True
                 row, place = np.nonzero(chosen)
                 slots = np.arange(most) < count[:, None]
                 positions, targets = np.zeros((2, n, most), np.int32)
@@ -95,11 +124,10 @@ def masked_examples(windows: DataFrame, length: int, share: float, seed: int, ep
                 ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
                 filled = pa.array(np.arange(n + 1, dtype=np.int32) * most)
                 lists = [(ends, np.where(chosen, np.int32(arrays.MASK), ids)[inside]), (ends, (ids[inside] != arrays.PAD).astype(np.int32)), (filled, positions.ravel()), (filled, targets.ravel()), (filled, slots.ravel().astype(np.float32))]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *[pa.ListArray.from_arrays(e, pa.array(v)) for e, v in lists]], names=names)
+                made = [arrays.joined_lists(e, v) if name in joined else pa.ListArray.from_arrays(e, pa.array(v)) for name, (e, v) in zip(ARRAYS, lists, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *made], names=["doc_idx", "win_idx", *ARRAYS])
 
-    keys = windows.select(F.col("doc_idx").cast("long"), F.col("win_idx").cast("int"), F.col("ids").cast("array<int>"))
-    names = ["doc_idx", "win_idx", "input_ids", "attention_mask", "positions", "targets", "weights"]
-    return keys.mapInArrow(run, "doc_idx long, win_idx int, input_ids array<int>, attention_mask array<int>, positions array<int>, targets array<int>, weights array<float>")
+    return run
 
 
 def token_bags(rows: DataFrame) -> DataFrame:

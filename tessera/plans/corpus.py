@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -172,16 +174,15 @@ CORPUS_EXAMPLES = CUT + """, slots AS (SELECT doc_idx, win_idx, unnest(ids) AS i
         coalesce(list(pos ORDER BY pos) FILTER (hit), []) AS p, coalesce(list(id ORDER BY pos) FILTER (hit), []) AS g FROM marked GROUP BY 1, 2)"""
 
 
-def _corpus_examples(spark: SparkSession, sf: str) -> DataFrame:
-    windows = tokens.byte_windows(corpus.kept_documents(table(spark, sf, "documents")))
-    return tokens.masked_examples(windows, 128, 0.15, seed=11)
+def _corpus_examples(spark: SparkSession, sf: str, joined: Sequence[str] = ()) -> DataFrame:
+    return tokens.masked_windows(corpus.kept_documents(table(spark, sf, "documents")), 128, 0.15, seed=11, joined=joined)
 
 
 @query(f"WITH {CORPUS_EXAMPLES} SELECT doc_idx, win_idx, input_ids, array_to_string(p || [0 FOR i IN range(19 - n_masked)], ',') AS positions, array_to_string(g || [0 FOR i IN range(19 - n_masked)], ',') AS targets, n_masked AS n_weights FROM rows")
 def mlm_mask_corpus(spark: SparkSession, sf: str) -> DataFrame:
     """Every window of every document, as mlm_mask_examples has the first bytes of the items."""
-    made = _corpus_examples(spark, sf)
-    return made.select("doc_idx", "win_idx", *[arrays.joined(F.col(c)).alias(c) for c in ("input_ids", "positions", "targets")], F.aggregate("weights", F.lit(0.0), lambda s, x: s + x).cast("int").alias("n_weights"))
+    made = _corpus_examples(spark, sf, ("input_ids", "positions", "targets"))
+    return made.select("doc_idx", "win_idx", "input_ids", "positions", "targets", F.aggregate("weights", F.lit(0.0), lambda s, x: s + x).cast("int").alias("n_weights"))
 
 
 @query(f"WITH {CORPUS_EXAMPLES} SELECT n_masked, count(*) AS rows FROM rows GROUP BY 1")
