@@ -132,3 +132,20 @@ def test_a_digest_in_order_passes_no_text_to_the_driver(spark, monkeypatch):
     monkeypatch.setattr(type(rows), "toLocalIterator", None)  # before, the driver took every row
     assert tuple(files.digest_in_order(rows, "t", "at").first()) == (hashlib.sha1("\0".join(f"ß{i}" for i in range(300)).encode()).hexdigest(), 300)
     assert tuple(files.digest_in_order(rows.limit(0), "t", "at").first()) == (None, 0)
+
+
+def test_parts_of_a_draw_cover_all_places_and_fill_their_arrays(monkeypatch):
+    for slab, rows, columns in ((7, 3, 20), (7, 20, 3), (100, 8, 1000), (100, 64, 10), (5, 1, 1), (5, 0, 4), (5, 4, 0)):
+        monkeypatch.setattr(draws, "SLAB", slab)
+        seen = np.zeros((rows, columns), int)
+        parts = list(draws._slabs(rows, columns))
+        for r, c, m, n in parts:
+            assert m * n <= slab
+            seen[r : r + m, c : c + n] += 1
+        assert (seen == 1).all()
+    # before, tails of each length were hashed on their own, in arrays that were not filled
+    made = []
+    monkeypatch.setattr(draws, "SLAB", 1 << 16)
+    monkeypatch.setattr(draws, "_compressed", lambda left, right, words, f=draws._compressed: made.append(right.shape[1] * left.shape[1]) or f(left, right, words))
+    draws.digests([b"%d|" % b for b in range(8)], [b"%d|0" % i for i in range(1 << 14)], 1)
+    assert made == [1 << 16, 1 << 16]
