@@ -3,7 +3,9 @@ knows will do."""
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -69,21 +71,14 @@ def write_windows(windows: DataFrame, path: str) -> None:
 
 
 def encode_with(df: DataFrame, tokenizer_json: str, column: str = "text") -> DataFrame:
-    """df's item_id and ids by a tokenizer of the `tokenizers` library, in steps of bounded size, one load a task."""
+    """df's item_id and ids by a tokenizer of the `tokenizers` library, in steps of bounded size, one load a worker."""
     shared = df.sparkSession.sparkContext.broadcast(tokenizer_json)  # one vocabulary file
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_str(shared.value)
+        tokenizer = _loaded(shared.value)
         for batch in batches:
-            sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy()
-            step = np.cumsum(sizes) // STEP_BYTES
-            cuts = [0, *(np.flatnonzero(np.diff(step)) + 1).tolist(), batch.num_rows]
-            for first, last in zip(cuts[:-1], cuts[1:], strict=True):
-                texts = [t or "" for t in batch.column(1).slice(first, last - first).to_pylist()]
-                # an encoding has a hundred bytes a token: those of a step only are held at a time
-                ids = [np.array(e.ids, np.int32) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            for first, last in _steps(batch.column(1)):
+                ids = _encoded(tokenizer, batch.column(1).slice(first, last - first))
                 ends = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32))
                 lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), lists], names=["item_id", "ids"])
@@ -91,6 +86,44 @@ def encode_with(df: DataFrame, tokenizer_json: str, column: str = "text") -> Dat
     return df.select("item_id", F.col(column).alias("_text")).mapInArrow(run, "item_id long, ids array<int>")
 
 
+def used_ids(df: DataFrame, tokenizer_json: str, column: str = "text") -> DataFrame:
+    """(id): the different ids of encode_with. A task passes each of its ids on once."""
+    shared = df.sparkSession.sparkContext.broadcast(tokenizer_json)  # one vocabulary file
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer = _loaded(shared.value)
+        seen = np.zeros(max(tokenizer.get_vocab().values(), default=-1) + 1, bool)
+        for batch in batches:
+            for first, last in _steps(batch.column(0)):
+                for ids in _encoded(tokenizer, batch.column(0).slice(first, last - first)):
+                    seen[ids] = True
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(seen).astype(np.int32))], names=["id"])
+
+    return df.select(F.col(column).alias("_text")).mapInArrow(run, "id int").distinct()
+
+
+@lru_cache(maxsize=1)
+def _loaded(tokenizer_json: str):
+    """One tokenizer a worker: one for each task would leave its pieces between those of the next."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share the cores; threads would each hold memory of their own
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_str(tokenizer_json)
+
+
+def _steps(column: pa.Array) -> list[tuple[int, int]]:
+    """Parts of a batch of STEP_BYTES of text."""
+    step = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy()) // STEP_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(step)) + 1).tolist(), len(column)]
+    return list(zip(cuts[:-1], cuts[1:], strict=True))
+
+
+def _encoded(tokenizer, column: pa.Array) -> list[np.ndarray]:
+    """The ids of a step's texts. An encoding has a hundred bytes a token: those of a step only are held at a time."""
+    texts = [t or "" for t in column.to_pylist()]
+    return [np.array(e.ids, np.int32) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+
 def decoded_entries(ids: DataFrame, tokenizer_json: str) -> DataFrame:
     """(id, piece): entries of a vocabulary by number, decoded."""
     shared = ids.sparkSession.sparkContext.broadcast(tokenizer_json)  # one vocabulary file

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessera import plans
 from tessera.functions import arrays, draws
 from tessera.operators import batches, statistics, tokens
 from tessera.plans import streams
@@ -149,3 +150,18 @@ def test_parts_of_a_draw_cover_all_places_and_fill_their_arrays(monkeypatch):
     monkeypatch.setattr(draws, "_compressed", lambda left, right, words, f=draws._compressed: made.append(right.shape[1] * left.shape[1]) or f(left, right, words))
     draws.digests([b"%d|" % b for b in range(8)], [b"%d|0" % i for i in range(1 << 14)], 1)
     assert made == [1 << 16, 1 << 16]
+
+
+def test_a_worker_loads_one_tokenizer_and_a_task_passes_an_id_on_once(spark):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        raw = file.read()
+    # before, each task loaded its own, whose memory stayed between that of the next
+    assert readers._loaded(raw) is readers._loaded(raw)
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(["one two one", None, "", "two two ßé"] * 50)], "item_id long, text string").repartition(2)
+    want = {x for r in readers.encode_with(rows, raw).collect() for x in r.ids}
+    found = [r.id for r in readers.used_ids(rows, raw).collect()]
+    assert len(found) == len(set(found)) and set(found) == want
+    # before, every token of the table was a row
+    assert "explode" not in plans.QUERIES["vocabulary_script"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert readers.used_ids(rows.where("item_id < 0"), raw).count() == 0
