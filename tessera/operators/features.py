@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import arrays, text
@@ -37,15 +37,32 @@ def edge_grams(column: Column, least: int = 3, most: int = 5) -> Column:
     return F.flatten(F.transform(words, grams))
 
 
+#: Terms whose weights go to every task (some 100 bytes each there), and texts that a task counts.
+HELD_TERMS, TASK_TEXTS = 1 << 19, 1 << 12
+
+
 def tfidf(rows: DataFrame, terms: Column, min_df: int = 2) -> DataFrame:
-    """(item_id, term, weight): 1 + ln tf times ln((1 + n) / (1 + df)) + 1, rows of unit length."""
-    counts = rows.select("item_id", F.explode(terms).alias("term")).groupBy("item_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    n = rows.agg(F.count(F.lit(1)).alias("n"))
+    """(item_id, term, weight): 1 + ln tf times ln((1 + n) / (1 + df)) + 1, rows of unit length.
+
+    Texts are dealt by item, and what is counted or summed by item stays there. The HELD_TERMS terms of most
+    items, nearly all entries, get their weights from a broadcast; only entries of the others are exchanged,
+    for a join with theirs, and come back to their items.
+    """
+    size = rows.count()
+    parts = max(rows.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_TEXTS))
+    counts = rows.repartition(parts, "item_id").select("item_id", F.explode(terms).alias("term")).groupBy("item_id", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= min_df)
-    idf = df.crossJoin(F.broadcast(n)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    raw = counts.join(idf, "term").select("item_id", "term", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
-    norms = raw.groupBy("item_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norms, "item_id").select("item_id", "term", (F.col("w") / F.col("norm")).alias("weight"))
+    idf = work_table(df.withColumn("idf", F.log((1 + F.lit(size)) / (1 + F.col("df"))) + 1), "idf")
+    w = ((1 + F.log("tf")) * F.col("idf")).alias("w")
+    if idf.count() <= HELD_TERMS:
+        raw = counts.join(F.broadcast(idf), "term").select("item_id", "term", w)
+    else:
+        held = work_table(idf.orderBy(F.desc("df"), "term").limit(HELD_TERMS).select("term", "idf"), "held")
+        near = counts.join(F.broadcast(held), "term").select("item_id", "term", w)
+        far = counts.join(F.broadcast(held), "term", "left_anti").join(idf, "term").select("item_id", "term", w)
+        raw = near.unionByName(far.repartition(parts, "item_id"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("item_id")))
+    return raw.select("item_id", "term", (F.col("w") / norm).alias("weight"))
 
 
 def trigram_projection(rows: DataFrame, dim: int = 64, buckets: int = 65_536, seed: int = 0) -> DataFrame:

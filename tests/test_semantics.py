@@ -1,5 +1,6 @@
 """Operators against plain restatements: boundaries, growth, order, resumption."""
 
+import collections
 import hashlib
 import math
 import random
@@ -259,3 +260,23 @@ def test_clusters_and_probe_find_separate_classes(spark):
     assert statistics.accuracy(learning.few_shot_probe(rows, draws=1)).first()["mean"] > 0.9
     found = learning.clustered(rows.withColumn("ord", F.col("item")), 120, 4, runs=1)
     assert statistics.v_measure(found).first()[0] > 0.8
+
+
+def test_weights_of_held_and_of_joined_terms_are_the_same(spark, monkeypatch):
+    texts = [(i % 30 if i % 17 else None, " ".join(f"w{j}" for j in range(2, 60) if i % j == 0 or j > 50 - i % 7) + " w2 w2") for i in range(1, 90)] + [(31, None), (32, "")]
+    rows = spark.createDataFrame(texts, "item_id long, text string").repartition(5)
+    tf = collections.Counter((i, t) for i, text in texts for t in (text or "").split())
+    df = collections.Counter(t for _, t in tf)
+    w = {k: (1 + math.log(n)) * (math.log((1 + len(texts)) / (1 + df[k[1]])) + 1) for k, n in tf.items() if df[k[1]] >= 2}
+    norms = collections.Counter()
+    for (i, _), x in w.items():
+        norms[i] += x * x
+    want = {k: pytest.approx(x / math.sqrt(norms[k[0]])) for k, x in w.items()}
+    for most in (1 << 19, 7, 1):
+        monkeypatch.setattr(features, "HELD_TERMS", most)
+        made = features.tfidf(rows, features.word_terms(F.col("text")))
+        got = made.collect()
+        assert len(got) == len(want) and {(r.item_id, r.term): r.weight for r in got} == want
+        plan = made._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        # before, every entry was exchanged by its term and twice by its item
+        assert most < 1 << 19 or plan.count("Exchange hashpartitioning") == 1
