@@ -96,8 +96,9 @@ def folds(rows: DataFrame, k: int = 5, seed: int = 0) -> DataFrame:
 
 
 #: Scores that a bootstrap's tasks read from one file (8 bytes each); more are joined. Slots of a replicate
-#: that are drawn together, replicates hashed at a time, and draws of a task.
-HELD_SCORES, SLOTS, TOGETHER, TASK_DRAWS = 20_000_000, 1 << 16, 8, 1 << 25
+#: that are drawn together, replicates hashed at a time, and draws of a task (a second or two, however many scores
+#: there are; reading the file comes to it).
+HELD_SCORES, SLOTS, TOGETHER, TASK_DRAWS = 20_000_000, 1 << 16, 8, 1 << 22
 
 
 def bootstrap(scores: DataFrame, replicates: int, seed: int = 0) -> DataFrame:
@@ -128,7 +129,7 @@ def _drawn_sums(scores: DataFrame, size: int, replicates: int, seed: int) -> Dat
     if size:
         matrix.write(scores.select("ord", F.array(F.col("x").cast("double")).alias("v")), path, "v", "ord", dtype="<f8")
     cells = replicates * -(-size // SLOTS)  # those of the same slots side by side
-    tasks = max(1, min(cells, max(spark.sparkContext.defaultParallelism, size * replicates // TASK_DRAWS)))
+    tasks = max(1, min(cells, max(spark.sparkContext.defaultParallelism, -(-size * replicates // TASK_DRAWS))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, at = None, -1

@@ -165,3 +165,13 @@ def test_a_worker_loads_one_tokenizer_and_a_task_passes_an_id_on_once(spark):
     # before, every token of the table was a row
     assert "explode" not in plans.QUERIES["vocabulary_script"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert readers.used_ids(rows.where("item_id < 0"), raw).count() == 0
+
+
+def test_a_bootstraps_tasks_are_short_however_many_scores_there_are(spark):
+    scores = spark.range(1000).select(F.col("id").alias("ord"), (F.col("id") % 3).cast("double").alias("x"))
+    least = spark.sparkContext.defaultParallelism
+    for replicates in (10, 20_000, 80_000, 1_600_000):
+        tasks = statistics._drawn_sums(scores, 1000, replicates, 0).rdd.getNumPartitions()
+        # before, tasks grew with the draws up to 3.4e7 of them, about 10 s
+        assert tasks >= least
+        assert 1000 * replicates / tasks <= 5_000_000
