@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tessera import plans
 from tessera.functions import arrays, draws
 from tessera.operators import batches, statistics, tokens
-from tessera.plans import streams
+from tessera.plans import evaluation, streams
 from tessera.sources import files, matrix, readers
 from tessera.sources.work import scratch_path, work_table
 
@@ -175,3 +175,14 @@ def test_a_bootstraps_tasks_are_short_however_many_scores_there_are(spark):
         # before, tasks grew with the draws up to 3.4e7 of them, about 10 s
         assert tasks >= least
         assert 1000 * replicates / tasks <= 5_000_000
+
+
+def test_paired_delta_deals_its_draws_to_short_tasks(spark, sf, monkeypatch):
+    scores = spark.range(150_000).select(F.col("id").alias("ord"), (F.col("id") % 2).cast("double").alias("x"), (F.col("id") % 3 == 0).cast("double").alias("z"))
+    dealt = []
+    monkeypatch.setattr(evaluation, "_scores", lambda *a: scores)
+    monkeypatch.setattr(statistics, "_drawn_sums", lambda *a, f=statistics._drawn_sums: dealt.append(f(*a)) or dealt[-1])
+    plans.QUERIES["paired_delta"](spark, sf)
+    # before, as many tasks as there are cores, until each had 3.4e7 draws
+    assert 150_000 * 200 / dealt[0].rdd.getNumPartitions() <= 5_000_000
+    assert dealt[0].count() == 200 * 3
