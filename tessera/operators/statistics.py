@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -95,31 +96,26 @@ def folds(rows: DataFrame, k: int = 5, seed: int = 0) -> DataFrame:
     return placed.withColumn("fold", F.pmod(F.col("_before") + F.col("_rank") - 1, F.lit(k)).cast("int")).select(*rows.columns, "fold")
 
 
-#: Scores that a bootstrap's tasks read from one file (8 bytes each); more are joined. Slots of a replicate
-#: that are drawn together, replicates hashed at a time, and draws of a task (a second or two, however many scores
-#: there are; reading the file comes to it).
+#: Scores that a bootstrap's task holds (8 bytes each, read from one file). Slots of a replicate that are drawn
+#: together, replicates hashed at a time, and draws of a task (a second or two, however many scores there are;
+#: reading the scores it holds comes to it).
 HELD_SCORES, SLOTS, TOGETHER, TASK_DRAWS = 20_000_000, 1 << 16, 8, 1 << 22
 
 
 def bootstrap(scores: DataFrame, replicates: int, seed: int = 0) -> DataFrame:
     """One row: mean, lo and hi (2.5 and 97.5 percentiles) of the mean of resampled scores (ord, x).
 
-    ord is 0..n-1. Replicate b takes for slot i the score of a hashed ordinal. Up to HELD_SCORES scores,
-    which is checked, are a file in the shared folder, written and read by tasks; a task draws SLOTS slots of
-    some replicates at a time, so replicates and slots are both dealt out and a row is a sum of many draws.
-    More scores are joined with their draws, which moves n small rows a replicate. Null scores count in no mean.
+    ord is 0..n-1. Replicate b takes for slot i the score of a hashed ordinal. The scores are a file in the
+    shared folder, written and read by tasks; a task draws SLOTS slots of some replicates at a time, so
+    replicates and slots are both dealt out and a row is a sum of many draws. Of more than HELD_SCORES scores a
+    task reads one range, and the drawn ordinals (4 bytes each) are dealt to the tasks of their range.
+    Null scores count in no mean.
     """
     size = scores.count()
-    n = scores.agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean"))
-    if size <= HELD_SCORES:
-        sums = _drawn_sums(scores, size, replicates, seed).groupBy("b").agg(F.sum("s").alias("s"), F.sum("k").alias("k"))
-        means = sums.select("b", F.when(F.col("k") > 0, F.col("s") / F.col("k")).alias("m"))
-    else:
-        draw = F.pmod(hashing.draw_number(F.col("b"), F.col("ord"), seed), F.col("n"))
-        slots = scores.select("ord").crossJoin(F.broadcast(n)).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-        means = slots.select("b", draw.alias("ord")).join(scores, "ord").groupBy("b").agg(F.avg("x").alias("m"))
+    sums = _drawn_sums(scores, size, replicates, seed).groupBy("b").agg(F.sum("s").alias("s"), F.sum("k").alias("k"))
+    means = sums.select("b", F.when(F.col("k") > 0, F.col("s") / F.col("k")).alias("m"))
     bounds = means.agg(F.percentile("m", F.lit(0.025)).alias("lo"), F.percentile("m", F.lit(0.975)).alias("hi"))
-    return n.select("mean").crossJoin(bounds)
+    return scores.agg(F.avg("x").alias("mean")).crossJoin(bounds)
 
 
 def _drawn_sums(scores: DataFrame, size: int, replicates: int, seed: int) -> DataFrame:
@@ -130,30 +126,66 @@ def _drawn_sums(scores: DataFrame, size: int, replicates: int, seed: int) -> Dat
         matrix.write(scores.select("ord", F.array(F.col("x").cast("double")).alias("v")), path, "v", "ord", dtype="<f8")
     cells = replicates * -(-size // SLOTS)  # those of the same slots side by side
     tasks = max(1, min(cells, max(spark.sparkContext.defaultParallelism, -(-size * replicates // TASK_DRAWS))))
+    ranges = max(1, -(-size // max(1, HELD_SCORES)))
+    held, shares = -(-size // ranges), -(-tasks // ranges)  # scores of a range, tasks that look up in it
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, at = None, -1
+    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Cells, their replicates and a row of drawn ordinals each, TOGETHER at most."""
+        at = -1
         for batch in batches:
-            part, b = np.divmod(batch.column(0).to_numpy(), replicates)
-            if held is None and len(b):
-                start = matrix.read_header(path).start
-                with store.open_input(path) as file:
-                    file.seek(start)
-                    held = np.frombuffer(file.read(8 * size), "<f8")
-                known = ~np.isnan(held)
-                filled = np.where(known, held, 0.0)
-            s, k = np.zeros(len(b)), np.zeros(len(b), np.int64)
+            cell = batch.column(0).to_numpy()
+            part, b = np.divmod(cell, replicates)
             for p in np.unique(part).tolist():
                 if p != at:
                     at, tails = p, [b"%d|%d" % (i, seed) for i in range(p * SLOTS, min((p + 1) * SLOTS, size))]
                 some = np.flatnonzero(part == p)
                 for i in range(0, len(some), TOGETHER):
                     rows = some[i : i + TOGETHER]
-                    drawn = draws.digests([b"%d|" % x for x in b[rows].tolist()], tails, 1)[0] % np.uint32(size)
-                    s[rows], k[rows] = filled[drawn].sum(axis=1), known[drawn].sum(axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(b), pa.array(s), pa.array(k)], names=["b", "s", "k"])
-
-    return spark.range(0, cells, 1, tasks).mapInArrow(run, "b long, s double, k long")
+                    found = draws.digests([b"%d|" % x for x in b[rows].tolist()], tails, 1)[0]
+                    yield cell[rows], b[rows], found if size >> 32 else found % np.uint32(size)
+
+    def scores_of(number: int) -> tuple[np.ndarray, np.ndarray]:
+        """A range's scores, 0 for null ones, and which are known."""
+        start = matrix.read_header(path).start
+        with store.open_input(path) as file:
+            file.seek(start + 8 * held * number)
+            found = np.frombuffer(file.read(8 * min(held, size - held * number)), "<f8")
+        known = ~np.isnan(found)
+        return np.where(known, found, 0.0), known
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filled = None
+        for _, b, ordinals in drawn(batches):
+            if filled is None:
+                filled, known = scores_of(0)
+            yield pa.RecordBatch.from_arrays([pa.array(b), pa.array(filled[ordinals].sum(axis=1)), pa.array(known[ordinals].sum(axis=1))], names=["b", "s", "k"])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        firsts = held * np.arange(ranges + 1)
+        for cell, b, ordinals in drawn(batches):
+            rows = []
+            for c, x, row in zip(cell.tolist(), b.tolist(), np.sort(ordinals, axis=1), strict=True):
+                cuts = np.searchsorted(row, firsts).tolist()
+                rows += [(r * shares + c % shares, x, (row[i:j] - np.uint32(r * held)).tobytes()) for r, (i, j) in enumerate(pairwise(cuts)) if i < j]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], names=["task", "b", "places"])
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = None
+        for batch in batches:
+            s, k = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
+            for i, (task, places) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2), strict=True)):
+                if number != task // shares:  # one a task
+                    number = task // shares
+                    filled, known = scores_of(number)
+                at = np.frombuffer(places.as_buffer(), np.uint32)
+                s[i], k[i] = filled[at].sum(), known[at].sum()
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(s), pa.array(k)], names=["b", "s", "k"])
+
+    each = spark.range(0, cells, 1, tasks)
+    if ranges == 1:
+        return each.mapInArrow(sums, "b long, s double, k long")
+    dealt = each.mapInArrow(deal, "task long, b long, places binary").repartitionById(ranges * shares, F.col("task").cast("int"))
+    return dealt.mapInArrow(look_up, "b long, s double, k long")
 
 
 def cluster_bootstrap(scores: DataFrame, replicates: int, seed: int = 0) -> DataFrame:

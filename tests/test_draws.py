@@ -186,3 +186,27 @@ def test_paired_delta_deals_its_draws_to_short_tasks(spark, sf, monkeypatch):
     # before, as many tasks as there are cores, until each had 3.4e7 draws
     assert 150_000 * 200 / dealt[0].rdd.getNumPartitions() <= 5_000_000
     assert dealt[0].count() == 200 * 3
+
+
+def test_more_scores_than_a_task_holds_are_drawn_in_short_tasks(spark, sf, monkeypatch):
+    rng = random.Random(9)
+    x = [(i, rng.choice([0.0, 1.0, None]), rng.choice([0.0, 1.0])) for i in range(700)]
+    scores = spark.createDataFrame(x, "ord long, x double, z double").coalesce(1)
+    dealt = []
+    monkeypatch.setattr(evaluation, "_scores", lambda *a: scores)
+    held = plans.QUERIES["paired_delta"](spark, sf).first()
+    monkeypatch.setattr(statistics, "HELD_SCORES", 300)
+    monkeypatch.setattr(statistics, "SLOTS", 64)
+    monkeypatch.setattr(statistics, "TASK_DRAWS", 10_000)
+    monkeypatch.setattr(statistics, "_drawn_sums", lambda *a, f=statistics._drawn_sums: dealt.append(f(*a)) or dealt[-1])
+    found = plans.QUERIES["paired_delta"](spark, sf)
+    assert found.first() == held
+    # before, the tasks that read the scores (here one) made all the draws, by expressions of the JVM
+    assert "sha1" not in found._jdf.queryExecution().optimizedPlan().toString()
+    made = dealt[0].withColumn("task", F.spark_partition_id()).groupBy("task").agg(F.sum("k").alias("k"), F.count("b").alias("rows")).collect()
+    assert len(made) == 15 and sum(r.rows for r in made) == 3 * 200 * 11  # 3 ranges, 5 tasks each
+    assert max(r.k for r in made) <= 15_000
+    # each replicate's draws are those of its slots, none lost
+    known = {i for i, v, _ in x if v is not None}
+    want = sum(int(hashlib.sha1(f"7|{i}|0".encode()).hexdigest()[:8], 16) % 700 in known for i in range(700))
+    assert dealt[0].where("b = 7").agg(F.sum("k")).first()[0] == want
