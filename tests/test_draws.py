@@ -210,3 +210,18 @@ def test_more_scores_than_a_task_holds_are_drawn_in_short_tasks(spark, sf, monke
     known = {i for i, v, _ in x if v is not None}
     want = sum(int(hashlib.sha1(f"7|{i}|0".encode()).hexdigest()[:8], 16) % 700 in known for i in range(700))
     assert dealt[0].where("b = 7").agg(F.sum("k")).first()[0] == want
+
+
+def test_pairs_are_told_by_one_word_of_many_rows_at_a_time(spark, monkeypatch):
+    import pyarrow as pa
+
+    rows, function, asked = spark.range(1), {}, []
+    monkeypatch.setattr(type(rows), "mapInArrow", lambda self, run, schema: function.setdefault("run", run))
+    monkeypatch.setattr(batches, "DIGITS", 2)
+    batches._numbers_under(spark, 25_050, 1 << 26, 7)
+    monkeypatch.setattr(draws, "digests", lambda heads, tails, words=5, f=draws.digests: asked.append((len(heads), words)) or f(heads, tails, words))
+    made = pa.Table.from_batches(function["run"](iter([pa.RecordBatch.from_arrays([pa.array(range(251))], names=["id"])])))
+    want = {i: hashlib.sha1(b"%d|7" % i).digest() for i in range(25_050)}
+    assert dict(zip(made["id"].to_pylist(), made["key"].to_pylist(), strict=True)) == {i: k for i, k in want.items() if k[:4] < (1 << 26).to_bytes(4, "big")}
+    # before, five words of each digest were kept, and the tails expanded again for every eight rows
+    assert [w for _, w in asked] == [1] * len(asked) and len(asked) == 1 + -(-250 // batches.HASHED_ROWS)
